@@ -159,3 +159,27 @@ def scan(docs: DataFrame, model: Markov | None = None, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string" + (", redacted string" if with_text else "")
     return arrow_map(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), make, schema).withColumnRenamed("id", id_col)
+
+
+def redact_documents(docs: DataFrame, model: Markov, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of docs with secrets replaced in the text, and the count of characters set to the new text's."""
+    import pyarrow as pa
+
+    from memlift.shipping import ship
+
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                texts = [t and redact(t, all_spans(t, model)) for t in part.column(names.index(text_col)).to_pylist()]
+                cols = list(part.columns)
+                cols[names.index(text_col)] = pa.array(texts, part.schema.field(text_col).type)
+                if chars_col in names:
+                    i = names.index(chars_col)
+                    cols[i] = pa.array([n if t is None else len(t) for t, n in zip(texts, cols[i].to_pylist())], part.schema.field(chars_col).type)
+                yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -160,3 +160,22 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     out = arrow_map(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), make, f"id {kind}, score double, predicted int")
     return out.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_ordinary(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted to be toxic. No shuffle, no join."""
+    import pyarrow as pa
+
+    from memlift.shipping import ship
+
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        one = model.scorer()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                yield part.filter(pa.array([one(t.as_py()) < 0.5 for t in part.column(at)], pa.bool_()))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
