@@ -45,6 +45,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unstage(*frames: DataFrame) -> None:
+    """Deletes what stage() wrote for frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if "/memlift-" in str(folder):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow with columns as Python lists. make() is called once in a task and returns what turns a batch into a batch."""
     ship(df.sparkSession)

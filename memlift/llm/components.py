@@ -4,7 +4,7 @@ components() gives every linked id the smallest id that its links reach, by alte
 each round of joins and grouped minima at least squares what an id has seen, so a few rounds do.
 
 linked_groups() finds the components of "similar enough" among ids that share keys, without making all pairs of a group:
-first each id is checked with one leader it shares most keys with; then only pairs that are still in different components
+first each id is checked with the two leaders (smallest and largest id of a key) it shares most keys with; then only pairs that are still in different components
 are made and checked. Nothing that is similar stays unconnected, because every pair that shares a key is either in one
 component already or is checked.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import release, stage
+from memlift.llm.common import release, stage, unstage
 from memlift.shipping import ship
 
 
@@ -33,9 +33,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = stage(large.where("a != b").distinct(), "large_star")
+        unstage(least)
         least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "small")
         small = large.join(least.hint("merge"), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old = e
         e = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small_star")
+        unstage(old, large, least)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         release(spark)
         if now == before:
@@ -77,41 +80,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_a.mapInArrow(run, "a long, b long")
 
 
-def linked_groups(postings: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
-    """postings: key, id, n (size of the id's set). load_sets: from a table of ids to (id, members). Returns (id, component)
-    of linked ids, or None where nothing shares a key."""
+#: Up to so many ids a table of ids goes to each task; beyond, both sides are dealt out by id.
+BROADCAST_IDS = 300_000
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (with an id) whose id is in ids. Few ids are sent to the rows; else both are dealt out by id."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(ids.hint("broadcast" if few else "merge"), "id", "left_semi")
+
+
+def linked_groups(postings: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, least_met: int = 1) -> DataFrame:
+    """postings: key, id, n (size of the id's set), each (key, id) once. load_sets: from a table of ids to (id, members).
+    A similar pair shares at least least_met keys, or as many as `percent` of the smaller set where that is less.
+    Returns (id, component) of linked ids."""
     spark = postings.sparkSession
-    stat = postings.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("lead")).where("c > 1")
-    stat = stage(stat.select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "shared_keys")
-    shared = stage(postings.join(stat.hint("merge"), "key"), "shared_postings")
+    often = stage(postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared_keys")
     release(spark)
-    fits = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
-    met = shared.where(F.col("id") != F.col("lead")).where(fits).groupBy("id", "lead").agg(F.count("*").alias("met"))
-    first = stage(met.groupBy("id").agg(F.max_by("lead", F.struct("met", -F.col("lead"))).alias("lead")).select(F.col("id").alias("a"), F.col("lead").alias("b")), "first_pairs")
-    ids = shared.select("id").distinct()
-    sets = stage(load_sets(ids), "sets")
+    shared = stage(postings.join(often.hint("merge"), "key"), "shared_postings")
+    unstage(often)
     release(spark)
-    links = stage(verified(first, sets, percent), "links_0")
+    ends = stage(shared.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "ends")
+    with_ends = shared.join(ends.hint("merge"), "key")
+    need = F.least(F.lit(least_met), F.ceil(F.col("n") * percent / 100))
+    first = []
+    for end in ("lo", "hi"):  # the leader that shares most keys
+        met = with_ends.where(F.col("id") != F.col(end)).groupBy("id", F.col(end).alias("b")).agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= need)
+        first.append(met.groupBy("id").agg(F.max(F.struct("met", -F.col("b"))).alias("x")).select(F.col("id").alias("a"), (-F.col("x.col2")).alias("b")))
+    first = stage(first[0].unionByName(first[1]).distinct(), "first_pairs")
+    unstage(ends)
     release(spark)
-    rows = shared.select("key", "id", "n")
-    for turn in (1, 2):
-        found = links.limit(1).count() > 0
-        comp = components(links) if found else None
-        own = rows.join(comp.hint("merge"), "id", "left") if found else rows.withColumn("component", F.lit(None).cast("long"))
-        own = own.withColumn("component", F.coalesce("component", "id"))
-        # keys whose ids are in one component already have nothing to add
-        mixed = own.groupBy("key").agg(F.min(F.struct("component", "id", "n")).alias("x"), F.max("component").alias("y")).where("x.component != y")
-        mixed = stage(mixed.select("key", F.col("x.component").alias("lead_comp"), F.col("x.id").alias("lead"), F.col("x.n").alias("lead_n")), f"mixed_{turn}")
-        own = stage(own.join(mixed.hint("merge"), "key"), f"own_{turn}")
-        release(spark)
-        if turn == 1:  # a second leader for whoever isn't with the key's first component
-            pairs = own.where("component != lead_comp").where(fits).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-        else:  # all that is left: pairs of different components
-            x = own.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            y = own.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-            pairs = x.hint("merge").join(y, "key").where("a < b and ca != cb").where(close).select("a", "b").distinct()
-        more = stage(verified(stage(pairs, f"pairs_{turn}"), sets, percent), f"links_{turn}")
-        release(spark)
-        links = links.unionByName(more)
-    return components(links)
+    links = _check(first, load_sets, percent, "links_first")
+    comp = stage(components(links), "components_first")
+    own = shared.join(comp.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = stage(own, "own")
+    release(spark)
+    # keys whose ids are in one component already have nothing to add
+    mixed = stage(own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "mixed")
+    own = stage(own.join(mixed.hint("merge"), "key"), "mixed_own")
+    unstage(shared, mixed, comp)
+    release(spark)
+    x = own.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = own.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    pairs = x.hint("merge").join(y, "key").where("a < b and ca != cb").where(close)
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first(F.least("na", "nb")).alias("n")).where(F.col("met") >= need).select("a", "b")
+    more = _check(stage(pairs, "pairs"), load_sets, percent, "links_more")
+    unstage(own)
+    return components(links.unionByName(more))
+
+
+def _check(pairs: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, label: str) -> DataFrame:
+    """The pairs that are similar; sets are loaded for their ids only and deleted afterwards."""
+    ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    sets = stage(load_sets(ids), "sets")
+    links = stage(verified(pairs, sets, percent), label)
+    unstage(ids, sets, pairs)
+    release(pairs.sparkSession)
+    return links

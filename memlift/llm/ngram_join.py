@@ -3,7 +3,8 @@
 A document's set has its distinct shingles of five lower-cased words. Two documents of s and t shingles link when their
 overlap is at least T = ceil(0.8 / 1.8 * (s + t)), which for any partner is at least ceil(0.8 * s). DivideSkip splits a
 document's inverted lists by length: of its s lists, the T - 1 longest are only probed, and each partner must occur in one
-of the s - T + 1 shorter ones. Lists are ordered by how often a shingle occurs (frequent ones last, others by hash), the
+of the s - T + 1 shorter ones; with T - 10 probed lists, a partner must occur in 10 of the s - T + 10 shorter ones, which keeps
+chance meetings out. Lists are ordered by how often a shingle occurs (frequent ones last, others by hash), the
 same for all documents, so the short lists are each set's first entries. The short lists are merged by Spark's sort-merge
 joins and counts of (document, partner); the long ones are probed by binary search in the partner's sorted set, which gives
 the exact overlap.
@@ -15,7 +16,7 @@ Which shingles are frequent only orders lists; it never changes a result. So it
 which the largest are kept.
 
 Fewer than five words are one shingle. Nulls and empty texts have an empty set, which links with nothing. Very long texts
-are read whole. Repeated rows count as copies; rows with one id are one document. A null id is kept, alone. Further columns
+are read whole. Repeated rows count as copies, and rows that share an id share its links. A null id is kept, alone. Further columns
 don't matter, and an empty table gives an empty result.
 """
 
@@ -27,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import release, stage, utf8
-from memlift.llm.components import linked_groups
+from memlift.llm.common import release, stage, unstage, utf8
+from memlift.llm.components import linked_groups, only
 from memlift.shipping import ship
 
 SHINGLE = 5
 PERCENT = 80
-#: So many shingles at most are known as frequent: 1.2 MB that goes to each task.
-FREQUENT = 150_000
+#: So many shingles at most are known as frequent: 3.2 MB that goes to each task.
+FREQUENT = 200_000
+#: A partner must occur in so many short lists (in all that an overlap needs, where that is fewer).
+LEAST_MET = 10
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,10 +66,10 @@ def shingles(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
 
 
 def short_lists(members: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The s - T + 1 members that come first in the order of lists."""
+    """The s - T + LEAST_MET members that come first in the order of lists."""
     s = len(members)
     need = -(-percent * s // 100)
-    n = s - need + 1
+    n = s - need + min(LEAST_MET, need)
     if not s:
         return members
     order = np.zeros(s, np.int64)
@@ -83,21 +86,25 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         cache: dict[bytes, int] = {}
-        held, total = [], 0
+        held, total, seen = [], 0, set()
 
         def counts():
             keys, c = np.unique(np.concatenate(held), return_counts=True)
-            hit = c >= 4
+            hit = c >= 3
             return pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(c[hit])], schema=target)
 
         for batch in batches:
             for text in batch.column(0):
                 m = shingles(text.as_py(), cache)
+                sign = xxhash.xxh3_64_intdigest(m.tobytes())
+                if sign in seen:  # copies don't make a shingle frequent
+                    continue
+                seen.add(sign)
                 held.append(m)
                 total += len(m)
                 if total > 4_000_000:
                     yield counts()
-                    held, total = [], 0
+                    held, total, seen = [], 0, set()
         if total:
             yield counts()
 
@@ -139,24 +146,29 @@ def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches):
         cache: dict[bytes, int] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), cache) for t in batch.column(1)], pa.list_(pa.int64()))], schema=target)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), cache) for t in part.column(1)], pa.list_(pa.int64()))], schema=target)
 
-    return docs.join(ids.hint("merge"), "id").select("id", "text").mapInArrow(run, "id long, members array<long>").dropDuplicates(["id"])
+    return only(docs, ids).select("id", "text").mapInArrow(run, "id long, members array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row a document: its id, n_shingles, class_id (the smallest id with the same set) and component_id."""
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    found = stage(classes(own, percent), "classes")
-    some = found.where("n_shingles > 0 and id is not null")
+    full = stage(classes(own, percent), "classes")
     # one row for each set; the short lists are the set's, so any copy's will do
-    kept = some.groupBy("sign").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
+    kept = full.where("n_shingles > 0 and id is not null").groupBy("sign").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
     kept = stage(kept, "representatives")
+    found = stage(full.drop("short"), "signs")
+    unstage(full)
     release(spark)
     postings = kept.select(F.explode("short").alias("key"), "id", F.col("n").cast("int").alias("n"))
-    linked = linked_groups(postings, lambda ids: member_sets(own, ids), percent)
+    linked = linked_groups(postings, lambda ids: member_sets(own, ids), percent, LEAST_MET)
     group = kept.select("sign", F.col("id").alias("class_id")).join(linked.withColumnRenamed("id", "class_id").hint("merge"), "class_id", "left")
     group = stage(group.select("sign", "class_id", F.coalesce("component", "class_id").alias("component_id")), "groups")
-    out = found.drop("short").join(group.hint("merge"), "sign", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
+    unstage(kept)
+    out = found.join(group.hint("merge"), "sign", "left")
+    lone = F.col("n_shingles") == 0
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(lone, F.col("id")).otherwise(F.coalesce("class_id", "id")).alias("class_id"), F.when(lone, F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))

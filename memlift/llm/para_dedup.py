@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import release, stage, utf8
-from memlift.llm.components import linked_groups
+from memlift.llm.common import release, stage, unstage, utf8
+from memlift.llm.components import BROADCAST_IDS, linked_groups
 from memlift.llm.ngram_join import shingles
 from memlift.shipping import ship
 
@@ -100,8 +100,10 @@ def paragraph_sets(docs: DataFrame, pids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=target)
 
     ship(docs.sparkSession)
-    joined = docs.join(wanted.hint("merge"), docs["id"] == wanted["doc"]).select("id", "text", "lines")
-    return joined.mapInArrow(run, "id long, members array<long>").dropDuplicates(["id"])
+    wanted = stage(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    joined = docs.join(wanted.hint("broadcast" if few else "merge"), docs["id"] == wanted["doc"]).select("id", "text", "lines")
+    return joined.mapInArrow(run, "id long, members array<long>")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,8 +113,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     found = find_paragraphs(own)
     found = stage(found, "paragraphs")
-    kept = found.groupBy("sign").agg(F.min("pid").alias("id"), F.max("pid").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    full = found
+    kept = full.groupBy("sign").agg(F.min("pid").alias("id"), F.max("pid").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     kept = stage(kept, "classes")
+    found = stage(full.drop("bands", "n"), "places")
+    unstage(full)
+    release(spark)
     postings = kept.select(F.explode("bands").alias("key"), "id", "n")
     linked = linked_groups(postings, lambda ids: paragraph_sets(own, ids), PERCENT)
     group = kept.select("sign", "id", "last").join(linked.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -121,7 +127,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spread = stage(spread.select("component", F.when(F.floor(F.col("lo") / LINES) < F.floor(F.col("hi") / LINES), 2).otherwise(1).alias("in_docs"), (F.col("lo") < F.col("hi")).alias("many")), "spread")
     group = stage(group.join(spread.hint("merge"), "component").where("many").select("sign", "component", "in_docs"), "repeated")
     release(spark)
-    return found.drop("bands", "n").join(group.hint("merge"), "sign").drop("sign").withColumn("id", F.floor(F.col("pid") / LINES).cast("long"))
+    unstage(kept)
+    return found.join(group.hint("merge"), "sign").drop("sign").withColumn("id", F.floor(F.col("pid") / LINES).cast("long"))
 
 
 def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
