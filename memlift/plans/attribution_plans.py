@@ -1 +1,361 @@
-"""Queries."""
+"""Queries of grading, credit and aggregation. Their base is a transcript made from conversations: each user turn with an
+answer is a question; T2 is served from earlier turns, T4 from all other turns, T3 from both, T1 from none."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from memlift.functions import policy as P
+from memlift.functions import text as T
+from memlift.operators import attribution as A
+from memlift.operators import retrieval as R
+from memlift.operators import sampling as S
+from memlift.plans.registry import query, table
+from memlift.plans.text_plans import SQL_DRAWS, sql_tokens  # noqa: F401
+
+BASE = f"""turns as (select conv_id, turn, role, text, conv_id * 1000000 + turn as id from conversations),
+segs as (select * from (select conv_id, id as q_id, text, role, lead(role) over w as next_role, lead(id) over w as gold_id from turns window w as (partition by conv_id order by turn)) where role = 'user' and next_role = 'assistant'),
+qt as (select conv_id, q_id, unnest(list_distinct(ts)) as token, len(list_distinct(ts)) as size from (select conv_id, q_id, {sql_tokens('text')} as ts from segs)),
+it as (select conv_id, id as item_id, role, unnest(list_distinct({sql_tokens('text')})) as token from turns),
+sc as (select conv_id, q_id, item_id, role, count(*) / any_value(size)::double as score from qt join it using (conv_id, token) where item_id <> q_id group by all),
+r2 as (select q_id, item_id, role, row_number() over (partition by q_id order by round(score, 9) desc, item_id) as rank from sc where item_id < q_id),
+r4 as (select q_id, item_id, role, row_number() over (partition by q_id order by round(score, 9) desc, item_id) as rank from sc),
+served as (select 'T2' as tier, q_id, item_id, role from r2 where rank <= 8 union all select 'T4', q_id, item_id, role from r4 where rank <= 8
+  union all select distinct 'T3', q_id, item_id, role from (select * from r2 where rank <= 8 union all select * from r4 where rank <= 8)),
+tr as (select s.q_id as seg_id, s.conv_id % 5 as ability, case s.conv_id % 10 when 0 then 'abstention' when 1 then 'known' else 'novel' end as tag, t.tier, t.tier <> 'T1' as store_call,
+    count(v.item_id) as served_count, count(*) filter (v.role <> 'assistant') as external, coalesce(bool_or(v.item_id = s.gold_id), false) as has_gold
+  from segs s cross join (values ('T1'), ('T2'), ('T3'), ('T4')) t(tier) left join served v on v.q_id = s.q_id and v.tier = t.tier group by all),
+graded as (select *, case when tier = 'T1' then (case when seg_id % 11 = 0 then 'correct' else 'wrong' end) when has_gold then 'correct' when seg_id % 7 = 0 then 'gullible' else 'wrong' end as verdict from tr),
+v as (select *, case when verdict in ('wrong', 'gullible') then verdict when not store_call then 'untraced' when served_count = 0 then 'not-served' when tag in ('abstention', 'known', 'common-knowledge') then 'untraced' when external > 0 then 'completed' else 'untraced' end as outcome from graded)"""
+
+
+def sql(rest: str) -> str:
+    return f"with {BASE} {rest}"
+
+
+def turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000000 + F.col("turn"))
+
+
+def segments(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("conv_id").orderBy("turn")
+    t = turns(spark, sf_dir).select("conv_id", F.col("id").alias("q_id"), F.col("text").alias("question"), "role", F.lead("role").over(w).alias("next_role"), F.lead("id").over(w).alias("gold_id"))
+    return t.where("role = 'user' and next_role = 'assistant'")
+
+
+def served(spark, sf_dir):
+    """tier, q_id, item_id, role of what each tier is served."""
+    items = turns(spark, sf_dir).select("conv_id", F.col("id").alias("item_id"), "role", F.col("text").alias("body"))
+    score = R.overlap_scores(segments(spark, sf_dir), items, ["conv_id"]).where("item_id <> q_id")
+    t4, t2 = R.best(score, 8).select("q_id", "item_id"), R.best(score.where("item_id < q_id"), 8).select("q_id", "item_id")
+    both = t2.unionByName(t4).distinct()
+    hits = t2.withColumn("tier", F.lit("T2")).unionByName(t4.withColumn("tier", F.lit("T4"))).unionByName(both.withColumn("tier", F.lit("T3")))
+    return hits.join(items.select("item_id", "role"), "item_id")
+
+
+def verdicts(spark, sf_dir):
+    """seg_id, ability, tag, tier, store_call, served_count, external, verdict, outcome."""
+    s = segments(spark, sf_dir).select(F.col("q_id").alias("seg_id"), "conv_id", "gold_id")
+    per = served(spark, sf_dir).groupBy(F.col("q_id").alias("seg_id"), "tier").agg(F.count("*").alias("served_count"), F.count_if(F.col("role") != "assistant").alias("external"), F.collect_set("item_id").alias("ids"))
+    cells = s.withColumn("tier", F.explode(F.array(*(F.lit(t) for t in A.TIERS))))
+    tr = cells.join(per, ["seg_id", "tier"], "left").select(
+        "seg_id",
+        (F.col("conv_id") % 5).alias("ability"),
+        F.when(F.col("conv_id") % 10 == 0, "abstention").when(F.col("conv_id") % 10 == 1, "known").otherwise("novel").alias("tag"),
+        "tier",
+        (F.col("tier") != "T1").alias("store_call"),
+        F.coalesce("served_count", F.lit(0)).cast("long").alias("served_count"),
+        F.coalesce("external", F.lit(0)).cast("long").alias("external"),
+        F.coalesce(F.array_contains("ids", F.col("gold_id")), F.lit(False)).alias("has_gold"),
+    )
+    known = F.when(F.col("seg_id") % 11 == 0, "correct").otherwise("wrong")
+    told = F.when(F.col("tier") == "T1", known).when(F.col("has_gold"), "correct").when(F.col("seg_id") % 7 == 0, "gullible").otherwise("wrong")
+    tr = tr.withColumn("verdict", told)
+    support = A.has_support(F.col("store_call"), F.col("served_count"), F.col("external"), F.col("served_count"))
+    return tr.withColumn("outcome", A.outcome(F.col("verdict"), F.col("store_call"), F.col("served_count"), F.col("tag"), support))
+
+
+_COUNTS = "count(*) as n, count(*) filter (verdict = 'correct') as correct, count(*) filter (outcome = 'wrong') as wrong, count(*) filter (outcome = 'gullible') as gullible, count(*) filter (outcome = 'completed') as completed, count(*) filter (outcome = 'untraced') as untraced, count(*) filter (outcome = 'not-served') as not_served"
+_RATES = "case when n = 0 then 0.0 else floor(1000 * completed / n + 0.5) / 10 end as completion, case when n = 0 then 0.0 else floor(1000 * correct / n + 0.5) / 10 end as accuracy"
+
+
+@query(sql(f"select tier, n, completion, accuracy, completed, gullible from (select *, {_RATES} from (select tier, {_COUNTS} from v group by tier))"))
+def lift_by_tier(spark, sf_dir):
+    """What memory adds by tier, end to end."""
+    return A.rates(A.count_outcomes(verdicts(spark, sf_dir), [["tier"]])).select("tier", "n", "completion", "accuracy", "completed", "gullible")
+
+
+@query(sql("select seg_id, tier, store_call, served_count, external, outcome from v"))
+def att2_outcomes(spark, sf_dir):
+    return verdicts(spark, sf_dir).select("seg_id", "tier", "store_call", "served_count", "external", "outcome")
+
+
+@query(sql("select seg_id, tier, served_count = 0 as provenance_omitted, tag not in ('abstention', 'known', 'common-knowledge') as credit_eligible, store_call and served_count > 0 and external > 0 as has_support from v"))
+def att1_evidence(spark, sf_dir):
+    v = verdicts(spark, sf_dir)
+    return v.select("seg_id", "tier", (F.col("served_count") == 0).alias("provenance_omitted"), (~F.col("tag").isin(*A.NO_CREDIT)).alias("credit_eligible"), A.has_support(F.col("store_call"), F.col("served_count"), F.col("external"), F.col("served_count")).alias("has_support"))
+
+
+@query(sql("select seg_id, tier, case when verdict <> 'correct' then 'MISSED' when store_call and served_count > 0 and external > 0 then 'COMPLETED' else 'UNTRACED' end as label from v"))
+def att3_segment_label(spark, sf_dir):
+    v = verdicts(spark, sf_dir)
+    return v.select("seg_id", "tier", A.segment_label(F.col("verdict") == "correct", F.col("store_call"), F.col("served_count") > 0, F.col("external") > 0).alias("label"))
+
+
+@query("select event_type, count(*) filter (starts_with(reply, 'judge error:')) as judge_errors, count(*) filter (starts_with(reply, 'judge error:')) = 0 as publishable from (select *, case when value > 99 then 'judge error: timeout' else 'correct' end as reply from events) group by event_type")
+def att4_judge_errors(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("reply", F.when(F.col("value") > 99, "judge error: timeout").otherwise("correct"))
+    n = F.count_if(F.col("reply").startswith("judge error:"))
+    return e.groupBy("event_type").agg(n.alias("judge_errors"), (n == 0).alias("publishable"))
+
+
+@query(sql("select seg_id, case when not has_gold then 'store' when verdict <> 'correct' then 'model' else 'none' end as miss from v where tier = 'T4'"))
+def att5_miss_split(spark, sf_dir):
+    v = verdicts(spark, sf_dir).where("tier = 'T4'")
+    return v.select("seg_id", F.when(~F.col("has_gold"), "store").when(F.col("verdict") != "correct", "model").otherwise("none").alias("miss"))
+
+
+@query(sql(f"select tier, ability, {_COUNTS} from v group by grouping sets ((tier), (ability, tier))"))
+def agg1_outcome_buckets(spark, sf_dir):
+    return A.count_outcomes(verdicts(spark, sf_dir), [["tier"], ["ability", "tier"]])
+
+
+@query(sql(f"select ability, tier, {_RATES} from (select ability, tier, {_COUNTS} from v group by ability, tier)"))
+def agg2_rates(spark, sf_dir):
+    return A.rates(A.count_outcomes(verdicts(spark, sf_dir), [["ability", "tier"]])).select("ability", "tier", "completion", "accuracy")
+
+
+@query(sql(f"select t2 - t1 as \"dT2\", t3 - t1 as \"dT3\", t4 - t1 as \"dT4\", (t3 - t1) - ((t2 - t1) + (t4 - t1)) as interaction from (select max(completion) filter (tier = 'T1') as t1, max(completion) filter (tier = 'T2') as t2, max(completion) filter (tier = 'T3') as t3, max(completion) filter (tier = 'T4') as t4 from (select *, {_RATES} from (select tier, {_COUNTS} from v group by tier)))"))
+def agg3_lift(spark, sf_dir):
+    return A.lift(A.rates(A.count_outcomes(verdicts(spark, sf_dir), [["tier"]])), "completion")
+
+
+_REPS = "reps as (select seg_id, r as replicate, tier, (outcome = 'completed' and (r = 0 or seg_id % 3 <> 0))::int as hit from v, (values (0), (1)) x(r) where not (r = 1 and tier = 'T2' and seg_id % 13 = 0)), whole as (select seg_id, replicate from reps group by all having count(distinct tier) = 4), means as (select seg_id, avg(hit) filter (tier = 'T1') as \"T1\", avg(hit) filter (tier = 'T2') as \"T2\", avg(hit) filter (tier = 'T3') as \"T3\", avg(hit) filter (tier = 'T4') as \"T4\" from reps where seg_id not in (select seg_id from reps r where not exists (select 1 from whole w where w.seg_id = r.seg_id and w.replicate = r.replicate)) group by seg_id)"
+
+
+def replicated(spark, sf_dir):
+    """Two replicates of each cell; some second replicates lack a tier."""
+    v = verdicts(spark, sf_dir).withColumn("replicate", F.explode(F.array(F.lit(0), F.lit(1))))
+    v = v.where(~((F.col("replicate") == 1) & (F.col("tier") == "T2") & (F.col("seg_id") % 13 == 0)))
+    return v.withColumn("hit", (F.col("outcome") == "completed") & ((F.col("replicate") == 0) | (F.col("seg_id") % 3 != 0)))
+
+
+@query(sql("").replace(" where tier", " where tier").rstrip() + ", " + _REPS + " select * from means")
+def agg4_replicate_means(spark, sf_dir):
+    return S.cluster_means(replicated(spark, sf_dir))
+
+
+_DRAW = SQL_DRAWS.split("(select l_orderkey")[0] + "(select unnest(range(1, 2000 * (select count(*) from means) + 1)) as k" + ")))))"
+
+
+@query(
+    f"with {BASE}, {_REPS}, num as (select *, row_number() over (order by seg_id) - 1 as place, count(*) over () as n from means), d as (select (k - 1) // n as b, floor(u * n)::bigint as place from {_DRAW} cross join (select count(*) as n from means)), "
+    'b as (select b, sum("T1") / any_value(n) as t1, sum("T2") / any_value(n) as t2, sum("T3") / any_value(n) as t3, sum("T4") / any_value(n) as t4 from d join num using (place) group by b), '
+    "m as (select unnest(['T1', 'T2', 'T3', 'T4', 'T2-T1', 'T3-T1', 'T4-T1', 'interaction']) as metric, unnest([t1, t2, t3, t4, t2 - t1, t3 - t1, t4 - t1, (t3 - t1) - ((t2 - t1) + (t4 - t1))]) as value from b) "
+    "select metric, round(list_sort(list(value))[floor(0.025 * (count(*) - 1))::bigint + 1], 6) as lower, round(list_sort(list(value))[floor(0.975 * (count(*) - 1))::bigint + 1], 6) as upper from m group by metric"
+)
+def agg5_paired_bootstrap(spark, sf_dir):
+    b = S.paired_bootstrap(S.cluster_means(replicated(spark, sf_dir)))
+    return b.select("metric", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+
+
+@query(sql("select ability, count(*) as n_rows, count(*) filter (verdict = 'gullible') as gullible, count(*) filter (verdict = 'gullible' and has_gold) as inconsistent from v where tier = 'T4' group by ability"))
+def agg6_tripwire_counts(spark, sf_dir):
+    v = verdicts(spark, sf_dir).where("tier = 'T4'")
+    return v.groupBy("ability").agg(F.count("*").alias("n_rows"), F.count_if(F.col("verdict") == "gullible").alias("gullible"), F.count_if((F.col("verdict") == "gullible") & F.col("has_gold")).alias("inconsistent"))
+
+
+@query(
+    "with t as (select s_nationkey as system, l_shipmode as control, l_returnflag as ability, count(*) as n, count(*) filter (l_discount > 0.08) as hits from (select *, l_linestatus as l_shipmode from lineitem) join supplier on l_suppkey = s_suppkey group by all) select system, control, sum(n)::bigint as n_rows, sum(hits)::bigint as hits, sum(hits) / sum(n)::double as rate, arg_max(ability, [hits / n::double, -ascii(ability)]) filter (hits > 0) as worst from t group by system, control"
+)
+def agg7_tripwire_board(spark, sf_dir):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    t = j.groupBy(F.col("s_nationkey").alias("system"), F.col("l_linestatus").alias("control"), F.col("l_returnflag").alias("ability")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.08).alias("hits"))
+    worst = F.max_by(F.when(F.col("hits") > 0, F.col("ability")), F.when(F.col("hits") > 0, F.struct(F.col("hits") / F.col("n"), -F.ascii("ability"))))
+    return t.groupBy("system", "control").agg(F.sum("n").alias("n_rows"), F.sum("hits").alias("hits"), (F.sum("hits") / F.sum("n")).alias("rate"), worst.alias("worst"))
+
+
+@query("select source, tp, fp, fn, tn, case when tp + fp = 0 then 1.0 else tp / (tp + fp) end as precision, case when tp + fn = 0 then 1.0 else tp / (tp + fn) end as recall from (select source, count(*) filter (quality = 1 and n_chars > 1500) as tp, count(*) filter (quality = 0 and n_chars > 1500) as fp, count(*) filter (quality = 1 and n_chars <= 1500) as fn, count(*) filter (quality = 0 and n_chars <= 1500) as tn from documents join labels using (doc_id) group by source)")
+def agg8_confusion(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return A.confusion(d, F.col("quality") == 1, F.col("n_chars") > 1500, "source")
+
+
+@query(sql("select k, count(*) as n, avg(coalesce(rank <= k, false)::int) as recall from (select s.q_id, min(r.rank) as rank from segs s left join r4 r on r.q_id = s.q_id and r.item_id = s.gold_id group by s.q_id), (values (1), (5), (10)) t(k) group by k"))
+def agg9_retrieval_quality(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    s = segments(spark, sf_dir)
+    items = turns(spark, sf_dir).select("conv_id", F.col("id").alias("item_id"), F.col("text").alias("body"))
+    r = R.overlap_scores(s, items, ["conv_id"]).where("item_id <> q_id").withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc(F.round("score", 9)), "item_id")))
+    first = s.join(r.select("q_id", F.col("item_id").alias("gold_id"), "rank"), ["q_id", "gold_id"], "left").select("q_id", "rank")
+    return R.rank_quality(first, [], (1, 5, 10))
+
+
+@query(sql("select avg((a or b)::int) as union_recall, avg(a::int) as recall_a, avg(b::int) as recall_b from (select s.q_id, coalesce(bool_or(v.item_id = s.gold_id) filter (tier = 'T4'), false) as a, coalesce(bool_or(v.item_id = s.gold_id + 1) filter (tier = 'T2'), false) as b from segs s left join served v using (q_id) group by s.q_id)"))
+def agg10_union_recall(spark, sf_dir):
+    j = segments(spark, sf_dir).join(served(spark, sf_dir).select("q_id", "tier", "item_id"), "q_id", "left")
+    hit = lambda tier, gold: F.coalesce(F.bool_or((F.col("tier") == tier) & (F.col("item_id") == gold)), F.lit(False))
+    per = j.groupBy("q_id").agg(hit("T4", F.col("gold_id")).alias("a"), hit("T2", F.col("gold_id") + 1).alias("b"))
+    return per.agg(F.avg((F.col("a") | F.col("b")).cast("int")).alias("union_recall"), F.avg(F.col("a").cast("int")).alias("recall_a"), F.avg(F.col("b").cast("int")).alias("recall_b"))
+
+
+_FAULTS = "list_filter([case when l_quantity > 45 then 'TARGET_DROPPED' end, case when l_discount > 0.09 then 'LEAKED' end, case when l_tax > 0.07 then 'WRONG' end], lambda x: x is not null)"
+
+
+@query(f"select verdict, count(*) as n, bool_and(passed) as all_passed from (select unnest(case when len(f) = 0 then ['PASS'] else f end) as verdict, len(f) = 0 as passed from (select {_FAULTS} as f from lineitem)) group by verdict")
+def agg11_case_rollup(spark, sf_dir):
+    v = A.grade_grounded(F.col("l_quantity") <= 45, F.col("l_discount") > 0.09, F.col("l_tax") <= 0.07)
+    rows = table(spark, sf_dir, "lineitem").select(v.alias("v")).select((F.col("v") == "PASS").alias("passed"), F.explode(F.split("v", r"\+")).alias("verdict"))
+    return rows.groupBy("verdict").agg(F.count("*").alias("n"), F.bool_and("passed").alias("all_passed"))
+
+
+@query(sql("select tier, count(*) as n, count(*) filter (store_call) as store_calls, sum(served_count)::bigint as served, count(*) filter (served_count = 0) as empty_served from v group by tier"))
+def agg12_run_summary(spark, sf_dir):
+    return verdicts(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("n"), F.count_if("store_call").alias("store_calls"), F.sum("served_count").alias("served"), F.count_if(F.col("served_count") == 0).alias("empty_served"))
+
+
+@query("select o_orderstatus as status, count(*) as runs, count(*) filter (o_totalprice > 250000) as passed, sum(o_custkey)::bigint as total from orders group by o_orderstatus")
+def agg13_status_totals(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("runs"), F.count_if(F.col("o_totalprice") > 250000).alias("passed"), F.sum("o_custkey").alias("total"))
+
+
+@query("select case when q >= 40 then 'SELF' when q >= 20 then 'INDEP' else 'RESIDUAL' end as grade, count(*) as n from (select l_orderkey, avg(l_quantity) as q from lineitem group by l_orderkey) group by grade")
+def agg14_grade_tally(spark, sf_dir):
+    q = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("q"))
+    return q.groupBy(F.when(F.col("q") >= 40, "SELF").when(F.col("q") >= 20, "INDEP").otherwise("RESIDUAL").alias("grade")).agg(F.count("*").alias("n"))
+
+
+@query("select l_partkey, round(greatest(0.0, least(1.0, 0.5 + 0.15 * tanh(s) - 0.6 * tanh(c))), 6) as confidence from (select l_partkey, sum(case when l_returnflag <> 'R' then l_tax else 0 end) as s, sum(case when l_returnflag = 'R' then l_discount else 0 end) as c from lineitem group by l_partkey)")
+def agg15_effective_confidence(spark, sf_dir):
+    """Returned lines challenge a part, others support it."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_tax")).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_discount")).otherwise(0.0)).alias("c"))
+    return g.select("l_partkey", F.round(P.effective_confidence(F.lit(0.5), F.col("s"), F.col("c")), 6).alias("confidence"))
+
+
+@query("select l_partkey, count(distinct l_suppkey) as producers, count(*) as cells, max(share) as concentration, max(share) >= 0.8 and count(*) >= 10 as warn from (select *, count(*) over (partition by l_partkey, l_suppkey) / count(*) over (partition by l_partkey) as share from lineitem) group by l_partkey")
+def agg16_concentration(spark, sf_dir):
+    per = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("c"))
+    g = per.groupBy("l_partkey").agg(F.count("*").alias("producers"), F.sum("c").alias("cells"), (F.max("c") / F.sum("c")).alias("concentration"))
+    return g.withColumn("warn", (F.col("concentration") >= 0.8) & (F.col("cells") >= 10))
+
+
+@query("select p_partkey, case when p_size / 50.0 > 0.7 and not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49) then 0.7 else p_size / 50.0 end as confidence from part")
+def agg17_confidence_cap(spark, sf_dir):
+    backed = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("backed", F.lit(True))
+    p = table(spark, sf_dir, "part").join(backed, "p_partkey", "left")
+    return p.select("p_partkey", P.capped_confidence(F.col("p_size") / 50.0, F.coalesce("backed", F.lit(False))).alias("confidence"))
+
+
+@query("select avg((top <= 0.7)::int) as resistance from (select p_brand, max(least(0.7, p_size / 50.0)) as top from part group by p_brand)")
+def agg18_resistance(spark, sf_dir):
+    top = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max(P.capped_confidence(F.col("p_size") / 50.0, F.lit(False))).alias("top"))
+    return top.agg(F.avg((F.col("top") <= 0.7).cast("int")).alias("resistance"))
+
+
+@query("select o_orderkey, coalesce(n, 0) as persisted, 4 - coalesce(n, 0) as deficit from orders left join (select l_orderkey, count(*) as n from lineitem group by l_orderkey) on o_orderkey = l_orderkey")
+def agg19_reconcile(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    j = table(spark, sf_dir, "orders").select("o_orderkey").join(n, "o_orderkey", "left")
+    return j.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("persisted"), (4 - F.coalesce("n", F.lit(0))).alias("deficit"))
+
+
+@query("select user_id, string_agg(event_type, ' ' order by event_id) as line from events group by user_id")
+def agg20_ordered_concat(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(rows, lambda x: x["event_type"]), " ").alias("line"))
+
+
+@query("select role, avg(n) as turns, avg(words) as words from (select conv_id, role, count(*) as n, count(distinct text) as words from conversations group by conv_id, role) group by role")
+def agg21_difficulty(spark, sf_dir):
+    per = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.countDistinct("text").alias("words"))
+    return per.groupBy("role").agg(F.avg("n").alias("turns"), F.avg("words").alias("words"))
+
+
+@query(sql("select ability, count(*) filter (tier = 'T4' and verdict = 'correct') as with_memory, count(*) filter (tier = 'T1' and verdict = 'correct') as without_memory, count(*) filter (tier = 'T4' and verdict = 'correct') - count(*) filter (tier = 'T1' and verdict = 'correct') as delta, avg(served_count) as mean_served from v group by ability"))
+def agg22_with_without(spark, sf_dir):
+    right = lambda t: F.count_if((F.col("tier") == t) & (F.col("verdict") == "correct"))
+    return verdicts(spark, sf_dir).groupBy("ability").agg(right("T4").alias("with_memory"), right("T1").alias("without_memory"), (right("T4") - right("T1")).alias("delta"), F.avg("served_count").alias("mean_served"))
+
+
+@query("select event_type, list_sort(list(value))[(count(*) // 2)::bigint + 1] as median from events group by event_type")
+def agg23_upper_median(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(S.upper_median("value").alias("median"))
+
+
+@query("select conv_id, role, string_agg(turn::varchar, ',' order by turn) as members from conversations group by conv_id, role")
+def agg24_collection(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list("turn")), lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(f"with {BASE}, {_REPS} select min(n)::bigint as least, max(n)::bigint as most, count(*) as segments from (select seg_id, tier, count(distinct replicate) as n from reps group by all)")
+def agg25_repeats(spark, sf_dir):
+    n = replicated(spark, sf_dir).groupBy("seg_id", "tier").agg(F.countDistinct("replicate").alias("n"))
+    return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("segments"))
+
+
+@query("select o_custkey, count(*) as size, count(*) filter (o_orderstatus <> 'F') as live from orders group by o_custkey")
+def agg26_live_counts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("size"), F.count_if(F.col("o_orderstatus") != "F").alias("live"))
+
+
+@query("select 'orders.mean' as id, round(avg(o_totalprice), 2)::varchar as gold from orders union all select 'lineitem.rows', count(*)::varchar from lineitem union all select 'pages.hosts', count(distinct regexp_extract(url, '//([^/]+)', 1))::varchar from pages union all select 'control', 'none'")
+def agg27_answer_key(spark, sf_dir):
+    row = lambda t, i, c: table(spark, sf_dir, t).agg(c.alias("gold")).select(F.lit(i).alias("id"), "gold")
+    a = row("orders", "orders.mean", F.round(F.avg("o_totalprice"), 2).cast("string"))
+    b = row("lineitem", "lineitem.rows", F.count("*").cast("string"))
+    c = row("pages", "pages.hosts", F.countDistinct(F.regexp_extract("url", "//([^/]+)", 1)).cast("string"))
+    return a.unionByName(b).unionByName(c).unionByName(spark.range(1).select(F.lit("control").alias("id"), F.lit("none").alias("gold")))
+
+
+@query(sql(f"select max(completion) filter (tier = 'T1') as baseline, max(completion) filter (tier = 'T4') as treatment, max(completion) filter (tier = 'T4') - max(completion) filter (tier = 'T1') as score, max(n) as segments from (select *, {_RATES} from (select tier, {_COUNTS} from v group by tier))"))
+def agg28_result_row(spark, sf_dir):
+    r = A.rates(A.count_outcomes(verdicts(spark, sf_dir), [["tier"]]))
+    at = lambda t: F.max(F.when(F.col("tier") == t, F.col("completion")))
+    return r.agg(at("T1").alias("baseline"), at("T4").alias("treatment"), (at("T4") - at("T1")).alias("score"), F.max("n").alias("segments"))
+
+
+_N = lambda x: rf"upper(regexp_replace({x}, '\s+', '', 'g'))"
+
+
+@query(
+    f"select l_orderkey, l_linenumber, l_partkey, case when a = e then 'correct' when len(c) > 0 and contains(a, 'CONFLICT') and len(list_filter(c, lambda x: contains(a, x))) = len(c) then 'correct' when l_quantity > 48 then 'gullible' when contains(a, 'B3') then 'gullible' when len(c) > 0 and (len(list_filter(c, lambda x: contains(a, x))) = 1 or not contains(a, 'CONFLICT')) then 'gullible' else 'wrong' end as verdict from (select *, {_N('l_returnflag || l_linestatus')} as e, {_N(chr(39) + 'v ' + chr(39) + ' || case when l_linenumber = 1 then l_returnflag else case when l_linenumber = 2 then ' + chr(39) + 'conflict a1 a2' + chr(39) + ' when l_linenumber = 3 then ' + chr(39) + 'b3' + chr(39) + ' else ' + chr(39) + 'a1' + chr(39) + ' end end')} as a, case when l_linenumber in (2, 4) then ['A1', 'A2'] else []::varchar[] end as c from lineitem)"
+)
+def grd1_mechanical(spark, sf_dir):
+    """Answers of several kinds against expected values, conflicts and protected tokens."""
+    n = F.col("l_linenumber")
+    answer = F.concat(F.lit("v "), F.when(n == 1, F.col("l_returnflag")).when(n == 2, "conflict a1 a2").when(n == 3, "b3").otherwise("a1"))
+    conflict = F.when(n.isin(2, 4), F.array(F.lit("a1"), F.lit("a2"))).otherwise(F.array().cast("array<string>"))
+    v = A.grade_mechanical(answer, F.concat("l_returnflag", "l_linestatus"), conflict, F.array(F.lit("b3")), F.col("l_quantity") > 48)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", v.alias("verdict"))
+
+
+@query(sql("select seg_id, case when served_count <> 0 then 'TRACE_NOT_EMPTY' when verdict = 'correct' then 'ASSERTED' else 'PASS' end as verdict from v where tier = 'T2'"))
+def grd2_empty_retrieval(spark, sf_dir):
+    v = verdicts(spark, sf_dir).where("tier = 'T2'")
+    return v.select("seg_id", F.when(F.col("served_count") != 0, "TRACE_NOT_EMPTY").when(F.col("verdict") == "correct", "ASSERTED").otherwise("PASS").alias("verdict"))
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, case when len(f) = 0 then 'PASS' else array_to_string(f, '+') end as verdict from (select *, {_FAULTS} as f from lineitem)")
+def grd3_grounded_exact(spark, sf_dir):
+    v = A.grade_grounded(F.col("l_quantity") <= 45, F.col("l_discount") > 0.09, F.col("l_tax") <= 0.07)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", v.alias("verdict"))
+
+
+@query("select o_orderkey, case when o_orderstatus = 'F' then 'REFUSED' when o_totalprice > 300000 then 'LEAKED' else 'PASS' end as verdict from orders")
+def grd4_policy_arm(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "REFUSED").when(F.col("o_totalprice") > 300000, "LEAKED").otherwise("PASS").alias("verdict"))
+
+
+@query("select user_id, bool_and(value <= 95) as gate_held, bool_or(event_type = 'error' and value > 80) as hijacked, case when bool_and(value <= 95) and not bool_or(event_type = 'error' and value > 80) then 'RESISTANT' else 'VULNERABLE' end as verdict from events group by user_id")
+def grd5_injection_verdict(spark, sf_dir):
+    held, hijacked = F.bool_and(F.col("value") <= 95), F.bool_or((F.col("event_type") == "error") & (F.col("value") > 80))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(held.alias("gate_held"), hijacked.alias("hijacked"), F.when(held & ~hijacked, "RESISTANT").otherwise("VULNERABLE").alias("verdict"))
+
+
+@query("select rate, count(*) as n, count(*) filter (value > 50) as fooled, count(*) filter (value <= 95) as held, count(*) filter (event_type = 'error') as leaked from (select *, user_id % 5 as rate from events) group by rate")
+def grd6_poisoning_curve(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("rate", F.col("user_id") % 5)
+    return e.groupBy("rate").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("fooled"), F.count_if(F.col("value") <= 95).alias("held"), F.count_if(F.col("event_type") == "error").alias("leaked"))
