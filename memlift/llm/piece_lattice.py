@@ -10,7 +10,7 @@ part is solved once and kept, and the N best of the text are the N best sums ove
 smallest steps down from their best can be in them.
 
 The model file here is of the merging (BPE) kind: its library segments by merges in order of score, which need not be the
-path of the best sum. `ids` are that library's; the N best are by sums of scores, and equal the library's own N best when
+path of the best sum. `ids` are that library's, word by word; the N best are by sums of scores, and equal the library's own N best when
 the same pieces are loaded as a unigram model. Characters without a piece become byte pieces.
 
 A null text counts as empty: no pieces, one empty segmentation. Very long texts are read whole. Ties between paths of one
@@ -34,6 +34,8 @@ SPACE = "▁"
 N_BEST = 4
 #: At most so many words keep their segmentations in a Python worker.
 CACHE = 300_000
+#: In place of a score: pieces begin so, and none does. Scores are never above 0.
+BEGINS, ABSENT = 2.0, 1.0
 #: What the library takes off the lowest score for a character without a piece.
 UNKNOWN = 10.0
 
@@ -51,12 +53,12 @@ class PieceModel:
         given = {p: sp.get_score(i) for p, i in self.ids.items()}
         # a score of -1e9 marks pieces that no counted merge makes; they come right after the lowest real score
         lowest = min(s for s in given.values() if s > -1e8)
-        self.merge_score = given
         self.score = {p: max(s, lowest - 1) for p, s in given.items()}
         self.unknown = sp.unk_id()
         self.unknown_score = min(self.score.values()) - UNKNOWN
-        #: what pieces begin with, each with the piece's score or None
-        self.starts: dict[str, float | None] = {p[:n]: None for p in self.ids for n in range(1, len(p))} | self.score
+        #: what pieces begin with, each with the piece's score or BEGINS
+        self.starts: dict[str, float] = {p[:n]: BEGINS for p in self.ids for n in range(1, len(p))} | self.score
+        self.library = sp
         self.together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.n_best = n_best
         self.words: dict[str, tuple] = {}
@@ -70,74 +72,63 @@ class PieceModel:
     def fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
-    def merged(self, part: str) -> list[int]:
-        """Ids by merges: the neighbours whose union has the best score first, from left to right."""
-        pieces, score = list(part), self.merge_score
-        scores = [score.get(a + b) for a, b in zip(pieces, pieces[1:])]
-        while True:
-            best = max((s for s in scores if s is not None), default=None)
-            if best is None:
-                break
-            i = scores.index(best)
-            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
-            del scores[i]
-            if i:
-                scores[i - 1] = score.get(pieces[i - 1] + pieces[i])
-            if i < len(scores):
-                scores[i] = score.get(pieces[i] + pieces[i + 1])
-        return [i for p in pieces for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
-
-    def lattice(self, part: str) -> tuple[list[tuple[int, int, float]], list[float], list[int]]:
-        """Edges (start, stop, score) in order of start; the best score up to each place; the edge by which it comes there."""
-        end, starts, none = len(part), self.starts, float("-inf")
+    def lattice(self, part: str) -> tuple[list[tuple[int, int, float]], list[float]]:
+        """Edges (start, stop, score), and the best score from the start to each place."""
+        end = len(part)
         edges: list[tuple[int, int, float]] = []
-        ahead, by = [none] * (end + 1), [-1] * (end + 1)
-        ahead[0] = 0.0
+        ahead = [0.0] + [float("-inf")] * end
         for start in range(end):
-            here = ahead[start]
             for stop in range(start + 1, end + 1):
-                piece = part[start:stop]
-                s = starts.get(piece, none)
-                if s is none or s is None:
-                    if stop == start + 1 and piece not in self.ids:  # a character without a piece
-                        known, s = piece in starts, self.unknown_score
-                    elif s is none:
-                        break
-                    else:
-                        continue
-                else:
-                    known = True
-                if here + s > ahead[stop]:
-                    ahead[stop], by[stop] = here + s, len(edges)
-                edges.append((start, stop, s))
-                if not known:
+                kind = self.starts.get(part[start:stop], ABSENT)
+                if kind <= 0 or stop == start + 1:
+                    s = kind if kind <= 0 else self.unknown_score  # a character without a piece
+                    ahead[stop] = max(ahead[stop], ahead[start] + s)
+                    edges.append((start, stop, s))
+                if kind == ABSENT:
                     break
-        return edges, ahead, by
+        return edges, ahead
 
     def viterbi(self, part: str) -> tuple[float, list[int], float]:
-        """Score and ids of the best segmentation, and the step from it to the second best.
-
-        Any other path has an edge that the best one lacks, so the second best is the best path over such an edge."""
-        edges, ahead, by = self.lattice(part)
-        end = len(part)
-        behind = [float("-inf")] * end + [0.0]
-        for start, stop, s in reversed(edges):
-            if s + behind[stop] > behind[start]:
-                behind[start] = s + behind[stop]
-        used, at = set(), end
+        """Score and ids of the best segmentation, and the step from it to the second best: each place keeps its two best."""
+        end, get = len(part), self.starts.get
+        best, second, came = [float("-inf")] * (end + 1), [float("-inf")] * (end + 1), [0] * (end + 1)
+        best[0] = 0.0
+        for start in range(end):
+            b, c = best[start], second[start]
+            for stop in range(start + 1, end + 1):
+                s = kind = get(part[start:stop], ABSENT)
+                if s > 0:
+                    if stop > start + 1:
+                        if s == BEGINS:
+                            continue
+                        break
+                    s = self.unknown_score  # a character without a piece
+                v, old = b + s, best[stop]
+                if v > old:
+                    best[stop], came[stop] = v, start
+                    second[stop] = c + s if c + s > old else old
+                elif v > second[stop]:
+                    second[stop] = v
+                if kind == ABSENT:
+                    break
+        cuts, at = [], end
         while at:
-            used.add(by[at])
-            at = edges[by[at]][0]
-        ids = [i for e in sorted(used) for i in self.piece_ids(part[edges[e][0] : edges[e][1]])]
-        second = max((ahead[a] + s + behind[b] for e, (a, b, s) in enumerate(edges) if e not in used), default=float("-inf"))
-        return ahead[end], ids, ahead[end] - second
+            cuts.append(part[came[at] : at])
+            at = came[at]
+        ids: list[int] = []
+        for piece in reversed(cuts):
+            if piece in self.ids:
+                ids.append(self.ids[piece])
+            else:
+                ids += self.fallback(piece)
+        return best[end], ids, best[end] - second[end]
 
     def piece_ids(self, piece: str) -> list[int]:
         return [self.ids[piece]] if piece in self.ids else self.fallback(piece)
 
     def best(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a string by the sum of scores, from the best on, by A-star from the end."""
-        edges, ahead, _ = self.lattice(part)
+        edges, ahead = self.lattice(part)
         end = len(part)
         to: list[list[tuple[int, float]]] = [[] for _ in range(end + 1)]
         for start, stop, s in edges:
@@ -159,12 +150,12 @@ class PieceModel:
                 heapq.heappush(queue, (-(ahead[start] + s + after), turn, start, after + s, (at, path)))
         return found
 
-    def solve(self, part: str) -> tuple[list[int], float, list[int], float]:
+    def solve(self, part: str) -> tuple[float, list[int], float]:
         known = self.parts.get(part)
         if known is None:
             if len(self.parts) >= CACHE:
                 self.parts.clear()
-            known = self.parts[part] = (self.merged(part), *self.viterbi(part))
+            known = self.parts[part] = self.viterbi(part)
         return known
 
     def cut(self, word: str) -> list[str]:
@@ -184,23 +175,34 @@ class PieceModel:
             total = [(s, total[i][1] + entries[j][1]) for s, i, j in sorted(sums, key=lambda x: (-x[0], x[1], x[2]))[: self.n_best]]
         return total
 
-    def word_of(self, word: str) -> tuple:
-        """(word, bytes of its ids by merges, bytes of its best path's ids, score of that, step to the second best, decoded)."""
-        known = self.words.get(word)
-        if known is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            solved = [self.solve(p) for p in self.cut(word)]
-            ids = array("i", [i for s in solved for i in s[0]])
-            path = array("i", [i for s in solved for i in s[2]])
-            known = self.words[word] = (word, ids.tobytes(), path.tobytes(), sum(s[1] for s in solved), min(s[3] for s in solved), self.decoded(ids))
-        return known
+    def words_of(self, full: str) -> list[tuple]:
+        """For each word of a normal text: (word, bytes of its ids by merges, bytes of its best path's ids, score of that,
+        step to the second best, decoded)."""
+        found = self.word.findall(full)
+        known = self.words
+        new = [w for w in dict.fromkeys(found) if w not in known]
+        if new:
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = list(dict.fromkeys(found))
+            # the library puts the first space before each word itself
+            for word, ids in zip(new, self.library.encode([w[1:].replace(SPACE, " ") for w in new], num_threads=1) if new[0][0] == SPACE else [self.library.encode(w) for w in new]):
+                parts = self.cut(word)
+                if len(parts) == 1:
+                    score, path, step = self.solve(word)
+                else:
+                    solved = [self.solve(p) for p in parts]
+                    score, path, step = sum(x[0] for x in solved), [i for x in solved for i in x[1]], min(x[2] for x in solved)
+                known[word] = (word, array("i", ids).tobytes(), array("i", path).tobytes(), score, step, self.decoded(ids))
+        return [known[w] for w in found]
 
     def n_best_word(self, word: str) -> list[tuple[float, list[int]]]:
         return self.add_up([self.best(p, self.n_best) for p in self.cut(word)])
 
     def decoded(self, ids: list[int]) -> str:
         """Pieces as text, with bytes put together; spaces are still marked."""
+        if self.of_byte.keys().isdisjoint(ids):
+            return "".join([self.names[i] for i in ids])
         out, held = [], bytearray()
         for i in ids:
             if i in self.of_byte:
@@ -214,8 +216,8 @@ class PieceModel:
 
     def encode(self, text: str | None) -> list[int]:
         out = array("i")
-        for w in self.word.findall(self.normal(text or "")):
-            out.frombytes(self.word_of(w)[1])
+        for w in self.words_of(self.normal(text or "")):
+            out.frombytes(w[1])
         return out.tolist()
 
     def decode(self, ids: list[int]) -> str:
@@ -224,7 +226,7 @@ class PieceModel:
 
     def n_best_of(self, text: str | None, with_ids: bool = True) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a whole text."""
-        return self._n_best([self.word_of(w) for w in self.word.findall(self.normal(text or ""))], with_ids)
+        return self._n_best(self.words_of(self.normal(text or "")), with_ids)
 
     def _n_best(self, words: list[tuple], with_ids: bool) -> list[tuple[float, list[int]]]:
         # other than by their best, only the words with the smallest steps can take part in the N best
@@ -260,7 +262,7 @@ def encode_documents(docs: DataFrame, path: str, n_best: int = N_BEST, id_col: s
             for text in batch["text"]:
                 text = text or ""
                 full = model.normal(text)
-                words = [model.word_of(w) for w in model.word.findall(full)]
+                words = model.words_of(full)
                 raw = b"".join([w[1] for w in words])
                 best = b"".join([w[2] for w in words])
                 scores = [s for s, _ in model._n_best(words, False)]
