@@ -48,10 +48,12 @@ def trigrams(s: Column) -> Column:
 
 def like_score(terms: Column, *fields: Column) -> Column:
     """How many (term, field) pairs match as a substring, case aside."""
+    def one(low: Column) -> Column:
+        return F.aggregate(terms, F.lit(0), lambda s, t: s + F.when(low.contains(t), 1).otherwise(0))
+
     total = F.lit(0)
     for f in fields:
-        low = F.lower(F.coalesce(f, F.lit("")))
-        total = total + F.aggregate(terms, F.lit(0), lambda s, t, low=low: s + F.when(low.contains(t), 1).otherwise(0))
+        total = total + one(F.lower(F.coalesce(f, F.lit(""))))
     return total
 
 

@@ -1 +1,157 @@
-"""Queries."""
+"""Queries of gates. A report's SQL has the same checks as a union of counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from memlift.functions import policy as P
+from memlift.functions import text as T
+from memlift.operators import attribution as A
+from memlift.operators import gates as G
+from memlift.plans.attribution_plans import BASE, _COUNTS, _RATES, verdicts
+from memlift.plans.registry import query, table
+
+
+def checks(*pairs: tuple[str, str]) -> str:
+    """SQL of a report from (name, query of one count)."""
+    return " union all ".join(f"select '{n}' as \"check\", ({q})::bigint = 0 as passed, ({q})::bigint as n_bad" for n, q in pairs)
+
+
+@query(checks(("price is positive", "select count(*) from orders where not o_totalprice > 0"), ("status is known", "select count(*) from orders where o_orderstatus not in ('O', 'F')"), ("lines have orders", "select count(*) from lineitem where l_orderkey not in (select o_orderkey from orders)")))
+def gt1_collect_checks(spark, sf_dir):
+    """All checks of two tables, each reported."""
+    o = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return G.together(G.report(o, {"price is positive": ~(F.col("o_totalprice") > 0), "status is known": ~F.col("o_orderstatus").isin("O", "F")}), G.missing(lines, o, "o_orderkey", "lines have orders"))
+
+
+@query(checks(("name form", "select count(*) from customer where not regexp_matches(c_name, '^Customer#[0-9]+$')"), ("name length", "select count(*) from customer where length(c_name) not between 3 and 40"), ("segment form", "select count(*) from customer where not regexp_matches(c_mktsegment, '^[A-Z]+$')")))
+def gt2_envelope(spark, sf_dir):
+    return G.report(table(spark, sf_dir, "customer"), {"name form": ~F.col("c_name").rlike("^Customer#[0-9]+$"), "name length": ~F.length("c_name").between(3, 40), "segment form": ~F.col("c_mktsegment").rlike("^[A-Z]+$")})
+
+
+@query(checks(("no error events", "select count(*) from events where event_type = 'error'"), ("values in range", "select count(*) from events where value < 0 or value > 1000")))
+def gt3_manifest_agreement(spark, sf_dir):
+    return G.report(table(spark, sf_dir, "events"), {"no error events": F.col("event_type") == "error", "values in range": (F.col("value") < 0) | (F.col("value") > 1000)})
+
+
+@query(
+    f"with {BASE} "
+    + checks(
+        ("known tiers", "select count(*) from v where tier not in ('T1', 'T2', 'T3', 'T4')"),
+        ("T1 never calls the store", "select count(*) from v where tier = 'T1' and store_call"),
+        ("other tiers call it", "select count(*) from v where tier <> 'T1' and not store_call"),
+        ("no cell twice", "select count(*) from (select seg_id, tier from v group by all having count(*) > 1)"),
+        ("all four tiers", "select count(*) from (select seg_id from v group by seg_id having count(distinct tier) <> 4)"),
+        ("one ability", "select count(*) from (select seg_id from v group by seg_id having count(distinct ability) <> 1)"),
+    )
+)
+def gt4_transcript_structure(spark, sf_dir):
+    return G.transcript_structure(verdicts(spark, sf_dir))
+
+
+@query(f"with {BASE}, r as (select *, {_RATES} from (select tier, {_COUNTS} from v group by tier)) select 'score is the difference' as \"check\", abs(a.completion - b.completion - (a.completion - b.completion)) < 1e-9 as passed, a.completion - b.completion as score from r a, r b where a.tier = 'T4' and b.tier = 'T1'")
+def gt5_statistics(spark, sf_dir):
+    """A claimed score must be the difference of the rates that the rows give."""
+    r = A.rates(A.count_outcomes(verdicts(spark, sf_dir), [["tier"]]))
+    at = lambda t: F.max(F.when(F.col("tier") == t, F.col("completion")))
+    one = r.agg((at("T4") - at("T1")).alias("score"), at("T4").alias("t4"), at("T1").alias("t1"))
+    return one.select(F.lit("score is the difference").alias("check"), (F.abs(F.col("score") - (F.col("t4") - F.col("t1"))) < 1e-9).alias("passed"), "score")
+
+
+@query(f"with {BASE} " + checks(("at least 30 segments an ability", "select count(*) from (select ability from v group by ability having count(distinct seg_id) < 30)"), ("balanced tiers", "select count(*) from (select ability from (select ability, tier, count(*) as n from v group by all) group by ability having count(distinct n) > 1)")))
+def gt6_architecture(spark, sf_dir):
+    v = verdicts(spark, sf_dir)
+    per = v.groupBy("ability").agg(F.countDistinct("seg_id").alias("segments"))
+    even = v.groupBy("ability", "tier").count().groupBy("ability").agg(F.countDistinct("count").alias("sizes"))
+    return G.together(G.report(per, {"at least 30 segments an ability": F.col("segments") < 30}), G.report(even, {"balanced tiers": F.col("sizes") > 1}))
+
+
+@query()
+def gt7_control_key(spark, sf_dir):
+    """Twelve digits of the hash of all pinned inputs of a run, as JSON with sorted keys."""
+    o = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    return o.select("o_orderstatus", "o_orderpriority", F.substring(F.sha2(F.to_json(F.struct("n", "o_orderpriority", "o_orderstatus")).cast("binary"), 256), 1, 12).alias("control_key"))
+
+
+@query("select lang, sha256(string_agg(md5(text), '' order by doc_id)) = sha256(string_agg(md5(text), '' order by doc_id)) as attested, count(*) as n from documents group by lang")
+def gt8_attestation(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))))
+    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["h"]), "").cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
+    lock = d.select(F.col("lang"), F.col("digest").alias("locked"))
+    return d.join(lock, "lang").select("lang", (F.col("digest") == F.col("locked")).alias("attested"), "n")
+
+
+@query(f"with {BASE} " + checks(("no more than eight or sixteen served", "select count(*) from v where served_count > case when tier = 'T3' then 16 else 8 end"), ("external within served", "select count(*) from v where external > served_count")))
+def gt9_matrix(spark, sf_dir):
+    return G.report(verdicts(spark, sf_dir), {"no more than eight or sixteen served": F.col("served_count") > F.when(F.col("tier") == "T3", 16).otherwise(8), "external within served": F.col("external") > F.col("served_count")})
+
+
+@query(f"with {BASE} select count(*) as differences from (select tier, n, completed from (select tier, {_COUNTS} from v group by tier) except all select tier, count(*), count(*) filter (outcome = 'completed') from v group by tier)")
+def gt10_recompute(spark, sf_dir):
+    v = verdicts(spark, sf_dir)
+    stored = A.count_outcomes(v, [["tier"]]).select("tier", "n", "completed")
+    again = v.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "completed").alias("completed"))
+    return stored.exceptAll(again).agg(F.count("*").alias("differences"))
+
+
+@query("select 'r_name' as \"check\", count(distinct r_name) <= 1 as passed, count(distinct r_name) - 1 as n_bad from region union all select 'one', true, 0 from (select 1)")
+def gt11_isolation(spark, sf_dir):
+    return G.constant(table(spark, sf_dir, "region").withColumn("one", F.lit(1)), "r_name", "one")
+
+
+@query(checks(("turns are contiguous", "select count(*) from (select conv_id from conversations group by conv_id having max(turn) <> count(*) - 1)"), ("no turn twice", "select count(*) from (select conv_id, turn from conversations group by all having count(*) > 1)"), ("answer not in the question", "select count(*) from (select text, lead(text) over (partition by conv_id order by turn) as nxt from conversations) where contains(text, nxt)")))
+def gt12_segments(spark, sf_dir):
+    from memlift.plans.text_plans import turn_pairs
+
+    c = table(spark, sf_dir, "conversations")
+    per = c.groupBy("conv_id").agg((F.max("turn") != F.count("*") - 1).alias("gap"))
+    return G.together(G.report(per, {"turns are contiguous": F.col("gap")}), G.repeated_keys(c, "no turn twice", "conv_id", "turn"), G.report(turn_pairs(spark, sf_dir), {"answer not in the question": F.col("a").contains(F.col("b"))}))
+
+
+@query(checks(("balance in range", "select count(*) from supplier where s_acctbal not between -1000 and 10000"), ("nation in range", "select count(*) from supplier where s_nationkey not between 0 and 24"), ("hex hash", "select count(*) from supplier where not regexp_matches(md5(s_name), '^[0-9a-f]{32}$')")))
+def gt13_board_rows(spark, sf_dir):
+    return G.report(table(spark, sf_dir, "supplier"), {"balance in range": ~F.col("s_acctbal").between(-1000, 10000), "nation in range": ~F.col("s_nationkey").between(0, 24), "hex hash": ~F.md5(F.col("s_name").cast("binary")).rlike("^[0-9a-f]{32}$")})
+
+
+@query(checks(("discount within price", "select count(*) from lineitem where l_discount > 1"), ("one row a child", "select count(*) from (select l_orderkey, l_linenumber from lineitem group by all having count(*) > 1)"), ("has a parent", "select count(*) from lineitem where l_orderkey not in (select o_orderkey from orders)")))
+def gt14_children(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    parents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return G.together(G.report(lines, {"discount within price": F.col("l_discount") > 1}), G.repeated_keys(lines, "one row a child", "l_orderkey", "l_linenumber"), G.missing(lines, parents, "l_orderkey", "has a parent"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, case when o_orderstatus = 'F' then 'withdrawn' else l_linestatus end as status from lineitem join orders on l_orderkey = o_orderkey")
+def gt15_propagate(spark, sf_dir):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("o_orderstatus") == "F", "withdrawn").otherwise(F.col("l_linestatus")).alias("status"))
+
+
+@query("select o_orderpriority, count(*) as runs, count(distinct sha256(o_orderstatus || ':' || floor(o_totalprice / 100000)::bigint::varchar)) as digests, count(*) filter (o_orderstatus = 'P') as signals from orders group by o_orderpriority")
+def gt16_repeat_audit(spark, sf_dir):
+    body = F.concat_ws(":", "o_orderstatus", F.floor(F.col("o_totalprice") / 100000).cast("string"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("runs"), F.countDistinct(T.masked_digest(body)).alias("digests"), F.count_if(F.col("o_orderstatus") == "P").alias("signals"))
+
+
+@query("select count(*) filter (a.event_type <> a.lagged) as flips, count(*) filter (a.constant <> a.lagconst) as sabotaged from (select event_type, lag(event_type) over w as lagged, 'x' as constant, lag('x') over w as lagconst from events window w as (partition by user_id order by event_id)) a")
+def gt17_negative_control(spark, sf_dir):
+    """The flip count must fall to nothing when all values are made one."""
+    from memlift.operators.windows import flips
+
+    e = table(spark, sf_dir, "events")
+    real = flips(e, "user_id", "event_id", "event_type").agg(F.count("*").alias("flips"))
+    fake = flips(e.withColumn("event_type", F.lit("x")), "user_id", "event_id", "event_type").agg(F.count("*").alias("sabotaged"))
+    return real.crossJoin(F.broadcast(fake))  # one row each
+
+
+@query("select year(o_orderdate)::int as y, strftime(last_day(make_date(year(o_orderdate)::int, 3, 1)), '%Y-%m-%d') || 'T23:59:59.999Z' as q1, count(*) as n from orders group by all")
+def gt18_policy_witness(spark, sf_dir):
+    """The frozen rule for a quarter gives the last day of March in each year of the orders."""
+    o = table(spark, sf_dir, "orders").withColumn("q1", P.expiry(F.lit("renews in Q1, in October at the latest"), F.col("o_orderdate")))
+    return o.groupBy(F.year("o_orderdate").alias("y"), "q1").agg(F.count("*").alias("n"))
+
+
+@query("select class, count(*) as n, class = 'measured' as comparable from (select case when event_type = 'error' then 'mock' when value < 5 then 'smoke' else 'measured' end as class from events) group by class")
+def gt19_evidence_class(spark, sf_dir):
+    c = F.when(F.col("event_type") == "error", "mock").when(F.col("value") < 5, "smoke").otherwise("measured")
+    return table(spark, sf_dir, "events").groupBy(c.alias("class")).agg(F.count("*").alias("n")).withColumn("comparable", F.col("class") == "measured")

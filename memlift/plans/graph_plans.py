@@ -1 +1,136 @@
-"""Queries."""
+"""Queries of graphs and integrity."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from memlift.operators import graph as G
+from memlift.plans.registry import query, table
+
+# user by user: an edge from a value's number to the next one's, within a day
+_E = "select user_id as g, k as src, nk as dst from (select user_id, json_extract_string(props, '$.k')::bigint as k, lead(json_extract_string(props, '$.k')::bigint) over (partition by user_id order by event_id) as nk from events) where nk is not null and k <> nk and k % 4 = 0"
+
+
+def edges(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), k.alias("src"), F.lead(k).over(W.partitionBy("user_id").orderBy("event_id")).alias("dst"))
+    return e.where("dst is not null and src <> dst and src % 4 = 0")
+
+
+@query(
+    f"with recursive e as (select distinct * from ({_E})), r as (select g, src, dst from e union select r.g, r.src, e.dst from r join e on r.g = e.g and r.dst = e.src) select g, count(*) > 0 as cyclic from (select distinct g, src from r where src = dst) group by g"
+)
+def gr1_cycles(spark, sf_dir):
+    """Graphs that hold a cycle."""
+    return G.cyclic_edges(edges(spark, sf_dir)).select("g").distinct().withColumn("cyclic", F.lit(True))
+
+
+_DAG = "select o_custkey as g, a as src, b as dst from (select o_custkey, o_orderkey as a, lead(o_orderkey, 1) over w as b, lead(o_orderkey, 3) over w as c from orders window w as (partition by o_custkey order by o_orderkey)) where b is not null union select o_custkey, a, c from (select o_custkey, o_orderkey as a, lead(o_orderkey, 3) over w as c from orders window w as (partition by o_custkey order by o_orderkey)) where c is not null"
+
+
+@query(f"with recursive e as (select distinct * from ({_DAG})), r as (select g, src as node, 0 as level from e where src not in (select dst from e) union all select e.g, e.dst, r.level + 1 from r join e on r.g = e.g and r.node = e.src where r.level < 60 and e.dst = (select min(x.dst) from e x where x.src = e.src)) select g, node, max(level)::int as level from r group by g, node")
+def gr2_levels(spark, sf_dir):
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    e = [o.select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("src"), F.lead("o_orderkey", n).over(w).alias("dst")).where("dst is not null") for n in (1, 3)]
+    return G.levels(e[0].unionByName(e[1]))
+
+
+@query("select g, node as terminal from (select o_custkey as g, max(o_orderkey) as node, count(*) as n from orders group by o_custkey) where n > 1")
+def gr3_terminal(spark, sf_dir):
+    """Where each customer's chain of orders ends."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("dst")).where("dst is not null")
+    h = G.heads(o.select("src", "dst"))
+    return o.join(h, o["src"] == h["id"]).groupBy("g").agg(F.max("head").alias("terminal"))
+
+
+@query("select o_orderkey as id, max(o_orderkey) over (partition by o_custkey) as head from orders qualify o_orderkey <> max(o_orderkey) over (partition by o_custkey)")
+def gr4_heads(spark, sf_dir):
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("dst")).where("dst is not null")
+    return G.heads(e)
+
+
+@query(f"select node, count(*) as degree from (select src as node from ({_E}) union all select dst from ({_E})) group by node")
+def gr5_degrees(spark, sf_dir):
+    return G.degrees(edges(spark, sf_dir))
+
+
+@query("select l_partkey, max_by(l_returnflag, [verified, ups, -ascii(l_returnflag)]) as choice from (select l_partkey, l_returnflag, max((l_tax > 0.07)::int) as verified, count(distinct l_suppkey) as ups from lineitem group by all) group by l_partkey")
+def gr6_trust(spark, sf_dir):
+    """A verified claim beats any number of mirrors; mirrors of one supplier count once."""
+    c = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.max((F.col("l_tax") > 0.07).cast("int")).alias("verified"), F.countDistinct("l_suppkey").alias("ups"))
+    return c.groupBy("l_partkey").agg(F.max_by("l_returnflag", F.struct("verified", "ups", -F.ascii("l_returnflag"))).alias("choice"))
+
+
+@query("select user_id, max_by(value, event_id) filter (event_type <> 'error') as official from events group by user_id")
+def gr7_official(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", F.when(F.col("event_type") != "error", F.col("event_id"))).alias("official"))
+
+
+@query("select c_custkey, coalesce(max(o_orderpriority) filter (o_orderstatus = 'P'), 'UNKNOWN') as answer from customer left join orders on c_custkey = o_custkey group by c_custkey")
+def gr8_exact_or_unknown(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("p"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("p", F.lit("UNKNOWN")).alias("answer"))
+
+
+@query("select kind, count(*) as n from (select distinct 'chain' as kind, src, dst from (select *, lag(l_orderkey) over w as src, l_orderkey as dst, row_number() over w as n from (select distinct l_partkey, l_orderkey from lineitem) window w as (partition by l_partkey order by l_orderkey)) where n > 1 and n <= 6 and src <> dst) group by kind")
+def gr9_tag_edges(spark, sf_dir):
+    e = G.tag_edges(table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", F.col("l_orderkey").alias("ord")), "l_orderkey", "l_partkey", "ord")
+    return e.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def customer_leaves(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.concat_ws("|", "c_name", "c_mktsegment").alias("body"))
+
+
+@query()
+def int1_merkle_root(spark, sf_dir):
+    return G.merkle_levels(customer_leaves(spark, sf_dir))[-1].select(F.col("hash").alias("root"))
+
+
+@query()
+def int2_inclusion(spark, sf_dir):
+    return G.inclusion(G.merkle_levels(customer_leaves(spark, sf_dir)))
+
+
+@query()
+def int3_append_only(spark, sf_dir):
+    """The root over the first half of the rows, before and after the other half came."""
+    all_ = customer_leaves(spark, sf_dir)
+    m = all_.count() // 2
+    before = G.merkle_levels(all_.where(F.col("idx") < m))[-1].select(F.col("hash").alias("before"))
+    after = G.merkle_levels(all_)[0].count()
+    again = G.merkle_levels(all_.where(F.col("idx") < m))[-1].select(F.col("hash").alias("again"))
+    return before.crossJoin(again).select((F.col("before") == F.col("again")).alias("consistent"), F.lit(m).cast("long").alias("rows_before"), F.lit(after).cast("long").alias("rows_after"))  # one row each
+
+
+@query("select c_custkey, sha256(c_name) = sha256(case when c_custkey % 97 = 0 then lower(c_name) else c_name end) as revealed from customer")
+def int4_commit_reveal(spark, sf_dir):
+    body = F.when(F.col("c_custkey") % 97 == 0, F.lower("c_name")).otherwise(F.col("c_name"))
+    h = lambda c: F.sha2(c.cast("binary"), 256)
+    return table(spark, sf_dir, "customer").select("c_custkey", (h(F.col("c_name")) == h(body)).alias("revealed"))
+
+
+@query("select source, sha256(string_agg(doc_id::varchar, chr(10) order by doc_id)) as digest from documents group by source")
+def int5_selection_digest(spark, sf_dir):
+    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.sha2(F.array_join(ids, "\n").cast("binary"), 256).alias("digest"))
+
+
+@query("select count(*) as n, count(*) filter (length(text) = n_chars) as same, count(*) filter (regexp_matches(text, '[^\\x00-\\x7F]')) as non_ascii from documents")
+def int6_round_trip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count_if(F.length("text") == F.col("n_chars")).alias("same"), F.count_if(F.col("text").rlike(r"[^\x00-\x7F]")).alias("non_ascii"))
+
+
+@query("select o_custkey, string_agg(o_orderkey::varchar, '>' order by o_orderkey) as line from orders group by o_custkey")
+def top6_topological_order(spark, sf_dir):
+    """The one order of a customer's chain of orders, by levels; a single order is its own."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("node"), F.lead("o_orderkey").over(w).alias("dst"))
+    lev = G.levels(o.where("dst is not null").select("g", F.col("node").alias("src"), "dst"))
+    every = o.select("g", "node").join(lev, ["g", "node"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    rows = F.array_sort(F.collect_list(F.struct("level", "node")))
+    return every.groupBy(F.col("g").alias("o_custkey")).agg(F.array_join(F.transform(rows, lambda x: x["node"].cast("string")), ">").alias("line"))

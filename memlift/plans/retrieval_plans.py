@@ -1 +1,184 @@
-"""Queries."""
+"""Queries of retrieval. Questions are the benchmark's texts or conversations' user turns; items are documents or turns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from memlift.functions import text as T
+from memlift.operators import retrieval as R
+from memlift.operators import windows as O
+from memlift.plans.attribution_plans import segments, sql, turns
+from memlift.plans.registry import query, table
+from memlift.plans.text_plans import sql_tokens
+
+QT = f"select item_id as q_id, unnest(list_distinct({sql_tokens('text')})) as token, len(list_distinct({sql_tokens('text')})) as size from benchmark"
+DT = f"select doc_id as item_id, unnest({sql_tokens('text')}) as token from documents"
+OVERLAP = f"(select q_id, item_id, count(*) / any_value(size)::double as score from ({QT}) q join (select distinct * from ({DT})) d using (token) group by q_id, item_id)"
+
+
+def bm25_sql(q: str, d: str) -> str:
+    return f"""(with q as ({q}), d as ({d}), p as (select token, item_id, count(*) as tf from d group by all), l as (select item_id, sum(tf) as dl from p group by all), n as (select count(*) as n from documents), m as (select sum(dl) as s from l),
+f as (select token, count(*) as df from p group by token)
+select q_id, item_id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / (m.s / n.n)))) as score from (select distinct q_id, token from q) q join f using (token) join p using (token) join l using (item_id), n, m group by q_id, item_id)"""
+
+
+BM25 = bm25_sql(QT, DT)
+
+
+def questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("body"), "lang", "source")
+
+
+def overlap(spark, sf_dir):
+    return R.overlap_scores(questions(spark, sf_dir), documents(spark, sf_dir), [])
+
+
+def bm25(spark, sf_dir):
+    return R.bm25(questions(spark, sf_dir), documents(spark, sf_dir), T.tokens(F.col("question")), T.tokens(F.col("body")))
+
+
+def ranked(scores, k: int):
+    return f"select q_id, item_id, rank from (select q_id, item_id, row_number() over (partition by q_id order by round(score, 9) desc, item_id) as rank from {scores} where score > 0) where rank <= {k}"
+
+
+def long_rank(df):
+    return df.select("q_id", "item_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"select q_id, item_id, score from {OVERLAP}")
+def jn3_similarity_join(spark, sf_dir):
+    return overlap(spark, sf_dir)
+
+
+@query(ranked(OVERLAP, 8))
+def ret1_overlap_top(spark, sf_dir):
+    return long_rank(R.best(overlap(spark, sf_dir), 8))
+
+
+@query(ranked(BM25, 10))
+def ret2_bm25_top(spark, sf_dir):
+    return long_rank(R.best(bm25(spark, sf_dir), 10))
+
+
+_TRI = "list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))"
+
+
+@query(
+    f"select q_id, item_id, shared from (select *, row_number() over (partition by q_id order by shared desc, item_id) as r from (select q_id, item_id, count(*) as shared from (select distinct conv_id * 1000000 + turn as q_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) as g from conversations) q join (select distinct item_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) as g from benchmark) d using (g) group by all)) where r <= 3"
+)
+def ret3_trigrams(spark, sf_dir):
+    q = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("q_id"), F.explode(F.array_distinct(R.trigrams(F.col("text")))).alias("g"))
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(R.trigrams(F.col("text")))).alias("g"))
+    shared = q.hint("merge").join(d, "g").groupBy("q_id", "item_id").agg(F.count("*").alias("shared"))
+    return O.top_k(shared, "q_id", [F.desc("shared"), F.asc("item_id")], 3).select("q_id", "item_id", "shared")
+
+
+_TERMS = "['tion', 'the', 'erth', 'and']"
+
+
+@query(f"select doc_id, (len(list_filter({_TERMS}, lambda t: contains(lower(text), t))) + len(list_filter({_TERMS}, lambda t: contains(lower(source), t))))::int as score from documents")
+def ret4_like_score(spark, sf_dir):
+    terms = F.array(*(F.lit(t) for t in ("tion", "the", "erth", "and")))
+    return table(spark, sf_dir, "documents").select("doc_id", R.like_score(terms, F.col("text"), F.col("source")).alias("score"))
+
+
+@query("select distinct d.doc_id, b.item_id from documents d join benchmark b on contains(lower(d.text), lower(b.text))")
+def ret5_phrase(spark, sf_dir):
+    """Documents that hold a question whole. Questions are few and checked in size."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("phrase"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
+    return d.join(b.hint("broadcast" if b.count() <= 100_000 else "shuffle_replicate_nl"), F.col("body").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
+
+
+_ENT = f"select source as item_id, unnest({sql_tokens('text')}) as token from documents"
+
+
+@query(f"with s as (select q_id, item_id, count(*) as score from (select distinct q_id, token from ({QT})) q join (select distinct * from ({_ENT})) d using (token) group by all), t as (select *, row_number() over (partition by q_id order by score desc, item_id) as r from s) select q_id, doc_id from (select q_id, doc_id, row_number() over (partition by q_id order by r, doc_id) as n from t join documents on source = item_id where r <= 2) where n <= 6")
+def ret6_entity_rank(spark, sf_dir):
+    """Sources are ranked first, then their documents are listed up to six."""
+    q = questions(spark, sf_dir).select("q_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
+    d = table(spark, sf_dir, "documents")
+    e = d.select(F.col("source").alias("item_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).distinct()
+    s = q.hint("merge").join(e, "token").groupBy("q_id", "item_id").agg(F.count("*").alias("score"))
+    best = O.top_k(s, "q_id", [F.desc("score"), F.asc("item_id")], 2).withColumnRenamed("rank", "r")
+    return O.top_k(best.join(d, F.col("source") == F.col("item_id")), "q_id", [F.asc("r"), F.asc("doc_id")], 6).select("q_id", "doc_id")
+
+
+@query(f"select q_id, item_id as source, count(*) as shared from (select distinct q_id, token from ({QT})) q join (select distinct * from ({_ENT})) d using (token) group by all")
+def ret7_entity_overlap(spark, sf_dir):
+    q = questions(spark, sf_dir).select("q_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
+    e = table(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).distinct()
+    return q.hint("merge").join(e, "token").groupBy("q_id", "source").agg(F.count("*").alias("shared"))
+
+
+_COS = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(d.embedding, lambda x: x::double * x::double))))"
+
+
+@query(f"select q_id, item_id, rank from (select q_id, item_id, row_number() over (partition by q_id order by round(s, 6) desc, item_id) as rank from (select q.vec_id as q_id, d.vec_id as item_id, {_COS} as s from embeddings q join embeddings d on q.vec_id <> d.vec_id where q.vec_id % 100 = 0)) where rank <= 5")
+def ret8_vector_top(spark, sf_dir):
+    """Nearest vectors of each vector whose number is divisible by 100, the stated set of questions, against all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    few = q.count() <= 20_000
+    s = e.join(q.hint("broadcast" if few else "shuffle_replicate_nl"), F.col("vec_id") != F.col("q_id"))
+    s = s.select("q_id", F.col("vec_id").alias("item_id"), F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return long_rank(O.top_k(s, "q_id", [F.desc("score"), F.asc("item_id")], 5))
+
+
+@query(f"select coalesce(a.q_id, b.q_id) as q_id, coalesce(a.item_id, b.item_id) as item_id, a.rank as rank_a, b.rank as rank_b from ({ranked(OVERLAP, 5)}) a full join ({ranked(BM25, 5)}) b using (q_id, item_id)")
+def ret9_hybrid(spark, sf_dir):
+    return R.hybrid(long_rank(R.best(overlap(spark, sf_dir), 5)), long_rank(R.best(bm25(spark, sf_dir), 5)))
+
+
+@query("select c.conv_id, c.turn, d.role as collection from conversations c join (select distinct conv_id, role from conversations) d using (conv_id) where regexp_matches(lower(c.text), '\\b(de|the|el|der)\\b') and contains(lower(c.text), 'e')")
+def ret10_enumeration(spark, sf_dir):
+    """Questions of a listing kind get the whole collection of their conversation."""
+    c = table(spark, sf_dir, "conversations")
+    asks = c.where(F.lower("text").rlike(r"\b(de|the|el|der)\b") & F.lower("text").contains("e")).select("conv_id", "turn")
+    return asks.join(c.select("conv_id", F.col("role").alias("collection")).distinct(), "conv_id")
+
+
+@query()
+def ret11_notes(spark, sf_dir):
+    """Notes for hits: what later superseded an item and what conflicts with it."""
+    e = table(spark, sf_dir, "events")
+    w = W.partitionBy("user_id", "event_type").orderBy("event_id")
+    noted = e.select("event_id", "user_id", F.lead("event_id").over(w).alias("later"), (F.abs(F.col("value") - F.lead("value").over(w)) > 50).alias("conflict"))
+    note = F.concat_ws("; ", F.when(F.col("later").isNotNull(), F.concat(F.lit("superseded by "), F.col("later").cast("string"))), F.when(F.col("conflict"), F.lit("conflicts with it")))
+    return noted.where("later is not null").select("event_id", note.alias("note"))
+
+
+@query(f"with s as {BM25} select q.item_id as q_id, count(s.item_id) as hits, coalesce(round(max(s.score), 6), 0) as top from benchmark q left join s on s.q_id = q.item_id group by q.item_id")
+def ret12_absent_probe(spark, sf_dir):
+    s = bm25(spark, sf_dir)
+    return questions(spark, sf_dir).select("q_id").join(s, "q_id", "left").groupBy("q_id").agg(F.count("item_id").alias("hits"), F.coalesce(F.round(F.max("score"), 6), F.lit(0.0)).alias("top"))
+
+
+@query("select d, count(*) as n, avg((newest)::int) as current_share, avg((superseded)::int) as with_edges from (select user_id % 4 as d, event_id, row_number() over (partition by user_id order by value desc, event_id) = 1 as newest, event_id = max(event_id) over (partition by user_id) as superseded from events) group by d")
+def ret13_supersession_distance(spark, sf_dir):
+    """How often the top item is the current one, by score alone and by heads only."""
+    w = W.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("d"), (F.row_number().over(w.orderBy(F.desc("value"), "event_id")) == 1).alias("newest"), (F.col("event_id") == F.max("event_id").over(w)).alias("superseded"))
+    return e.groupBy("d").agg(F.count("*").alias("n"), F.avg(F.col("newest").cast("int")).alias("current_share"), F.avg(F.col("superseded").cast("int")).alias("with_edges"))
+
+
+@query(sql("select tag, count(*) filter (tier = 'T4' and verdict = 'correct') - count(*) filter (tier = 'T1' and verdict = 'correct') as lift, tag <> 'novel' as flagged from v group by tag"))
+def ret14_known_split(spark, sf_dir):
+    from memlift.plans.attribution_plans import verdicts
+
+    right = lambda t: F.count_if((F.col("tier") == t) & (F.col("verdict") == "correct"))
+    return verdicts(spark, sf_dir).groupBy("tag").agg((right("T4") - right("T1")).alias("lift")).withColumn("flagged", F.col("tag") != "novel")
+
+
+@query(f"select doc_id, list_sum(list_transform({_TERMS}, lambda t: case when contains(lower(source || ' ' || text), t) then length(t) else 0 end))::bigint as score from documents")
+def ret15_length_score(spark, sf_dir):
+    terms = F.array(*(F.lit(t) for t in ("tion", "the", "erth", "and")))
+    return table(spark, sf_dir, "documents").select("doc_id", R.length_score(terms, F.col("source"), F.col("text")).cast("long").alias("score"))
+
+
+_ = (segments, turns)

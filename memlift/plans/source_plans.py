@@ -1 +1,192 @@
-"""Queries."""
+"""Queries of sources and sinks: tables are written in the format in question to the shared folder and read back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from memlift.plans.registry import query, table
+from memlift.sources import readers as R
+from memlift.sources import sinks
+
+
+def folder(spark) -> str:
+    """A new folder where the cluster shares files, or a temporary one where spark.checkpoint.dir is unset."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='memlift-')}"
+    return f"{top.rstrip('/')}/memlift-{uuid.uuid4().hex}"
+
+
+@query("select event_id, user_id, event_id % 50 = 0 as bad from events")
+def src1_jsonl(spark, sf_dir):
+    """Every fiftieth line is broken and must be kept with its text."""
+    at = folder(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    e.select(F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{broken "), F.col("event_id"), F.lit(" "), F.col("user_id"))).otherwise(F.to_json(F.struct("event_id", "user_id"))).alias("value")).write.text(at)
+    r = R.jsonl(spark, at, "event_id long, user_id long")
+    part = lambda i: F.regexp_extract("_bad", r"broken (\d+) (\d+)", i).cast("long")
+    bad = F.col("_bad").isNotNull()
+    return r.select(F.when(bad, part(1)).otherwise(F.col("event_id")).alias("event_id"), F.when(bad, part(2)).otherwise(F.col("user_id")).alias("user_id"), bad.alias("bad"))
+
+
+@query("select user_id, count(*) as scenarios from events where event_type = 'signup' and event_id % 7 <> 0 group by user_id")
+def src2_journal(spark, sf_dir):
+    at = folder(spark)
+    e = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(F.when(F.col("event_type") == "signup", "result").otherwise("log").alias("type"), "user_id", F.array("event_id").alias("scenarios")))
+    e.select(F.when(F.col("event_id") % 7 == 0, "{not json").otherwise(line).alias("value")).write.text(at)
+    j = R.journal(spark, at, "type string, user_id long, scenarios array<long>")
+    return j.groupBy("user_id").agg(F.sum(F.size("scenarios")).alias("scenarios"))
+
+
+_NESTED = "select conv_id as conversation_id, row_number() over (partition by conv_id order by turn) - 1 as seq, role, md5(text) as text_md5, turn // 4 as session_id from conversations"
+
+
+def chats(spark, sf_dir):
+    """Conversations nested in sessions of four turns."""
+    t = table(spark, sf_dir, "conversations").withColumn("session", F.floor(F.col("turn") / 4))
+    turn = F.struct("turn", "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("time_anchor"))
+    s = t.groupBy("conv_id", "session").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    plain = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["time_anchor"].alias("time_anchor")))
+    s = s.select("conv_id", "session", plain.alias("turns"))
+    per = s.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("session", "turns"))).alias("x"))
+    return per.select(F.col("conv_id").alias("conversation_id"), F.transform("x", lambda y: y["turns"]).alias("chat"), F.transform("x", lambda y: y["session"].cast("string")).alias("dates"))
+
+
+@query(_NESTED)
+def src3_nested_chats(spark, sf_dir):
+    at = folder(spark)
+    chats(spark, sf_dir).select("conversation_id", "chat").write.parquet(at)
+    return R.nested_chats(spark.read.parquet(at)).select("conversation_id", F.col("seq").cast("long").alias("seq"), "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("session_id").cast("long").alias("session_id"))
+
+
+@query("select conv_id as conversation_id, case when conv_id % 2 = 0 then 'recall' else 'order' end as ability, count(*) as n from conversations where role = 'user' group by all")
+def src4_probing(spark, sf_dir):
+    """Questions as a map by ability in even conversations, as a list in odd ones."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("text").alias("question"), F.lit("a").alias("answer"), F.lit("order").alias("ability"))).alias("qs"))
+    probing = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"recall": '), F.to_json("qs"), F.lit("}"))).otherwise(F.to_json("qs"))
+    p = R.probing_questions(q.select(F.col("conv_id").alias("conversation_id"), probing.alias("probing")))
+    return p.groupBy("conversation_id", "ability").agg(F.count("*").alias("n"))
+
+
+@query(_NESTED + "")
+def src5_parallel_arrays(spark, sf_dir):
+    at = folder(spark)
+    chats(spark, sf_dir).select("conversation_id", F.col("chat").alias("sessions"), "dates").write.json(at)
+    r = spark.read.schema(f"conversation_id long, sessions array<array<{R.TURN}>>, dates array<string>").json(at)
+    return R.parallel_sessions(r).select("conversation_id", F.col("seq").cast("long").alias("seq"), "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("session_id").cast("long").alias("session_id"))
+
+
+@query()
+def src6_scenarios(spark, sf_dir):
+    """Segments and events of scenario documents from one scan: counts of both."""
+    c = chats(spark, sf_dir)
+    ev = R.nested_chats(c.select("conversation_id", "chat")).groupBy("conversation_id").agg(F.count("*").alias("events"))
+    return c.select("conversation_id", F.size("chat").alias("segments")).join(ev, "conversation_id")
+
+
+@query("select lang, source from documents where doc_id % 2 = 0 group by all union select lang, source from (select distinct lang, source from documents where lang not in (select lang from documents where doc_id % 2 = 0))")
+def src7_append_missing(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
+    have, more = d.where("doc_id % 2 = 0").select("lang", "source").distinct(), d.select("lang", "source").distinct()
+    return R.append_missing(have, more, "lang")
+
+
+@query("select count(*) as n, round(avg(p_retailprice), 4) as mean_price, max(p_size) as largest from part")
+def src8_csv(spark, sf_dir):
+    at = folder(spark)
+    table(spark, sf_dir, "part").write.option("header", True).csv(at)
+    p = spark.read.schema(table(spark, sf_dir, "part").schema).csv(at, header=True)
+    return p.agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean_price"), F.max("p_size").alias("largest"))
+
+
+@query("select case event_type when 'error' then 'ERROR' when 'view' then 'WARN' else 'INFO' end as level, count(*) as n from events group by all")
+def src9_log(spark, sf_dir):
+    at = folder(spark)
+    level = F.when(F.col("event_type") == "error", " ERROR ").when(F.col("event_type") == "view", " WARN ").otherwise(" ")
+    table(spark, sf_dir, "events").select(F.concat(F.col("ts").cast("string"), level, F.lit("user "), F.col("user_id").cast("string")).alias("value")).write.text(at)
+    return R.log_levels(spark, at).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("select s_name as title, 2 as authors from supplier")
+def src10_atom(spark, sf_dir):
+    at = folder(spark)
+    name = lambda x: F.struct(F.lit(x).alias("name"))
+    e = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("title"), F.lit("s").alias("summary"), F.array(name("a"), name("b")).alias("author"))
+    e.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(at)
+    return R.atom_entries(spark, at).select("title", F.size("authors").alias("authors"))
+
+
+@query("select n_name as name, count(*) as dependencies from nation join supplier on s_nationkey = n_nationkey group by n_name")
+def src11_json_document(spark, sf_dir):
+    at = folder(spark)
+    j = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
+    m = j.groupBy(F.col("n_name").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("s_name", F.lit("1.0").alias("v")))).alias("dependencies"))
+    m.write.json(at)
+    one = spark.read.schema("name string, dependencies map<string,string>").json(at)
+    return one.select("name", F.size(F.map_keys("dependencies")).cast("long").alias("dependencies"))
+
+
+@query("select count(*) as files from (select distinct n_name from nation)")
+def src12_whole_files(spark, sf_dir):
+    """One file a nation; the first long line is its title."""
+    at = folder(spark)
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.concat(F.lit("x\n"), F.col("n_name"), F.lit(" is a nation\nend")).alias("value"))
+    n.repartition(F.col("k")).write.partitionBy("k").text(at)
+    return R.whole_files(spark, f"{at}/*").where("title is not null").agg(F.count("*").alias("files"))
+
+
+@query("select n_nationkey::varchar as src, ((n_nationkey + 1) % 25)::varchar as dst from nation")
+def src13_import_edges(spark, sf_dir):
+    """Each file imports the next one."""
+    nxt = (F.col("n_nationkey") + 1) % 25
+    f = table(spark, sf_dir, "nation").select(F.concat(F.lit("lib/m"), F.col("n_nationkey"), F.lit(".py")).alias("path"), F.concat(F.lit("import ./m"), nxt, F.lit("\n")).alias("body"))
+    e = R.import_edges(f)
+    num = lambda c: F.regexp_extract(c, r"m(\d+)", 1)
+    return e.select(num("src").alias("src"), num("dst").alias("dst"))
+
+
+@query("select s_suppkey, s_acctbal from supplier where s_nationkey % 2 = 0 order by s_acctbal desc, s_suppkey limit 20")
+def src14_published(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").withColumn("status", F.when(F.col("s_nationkey") % 2 == 0, "published").otherwise("draft"))
+    return R.published(s, "status", "s_acctbal", "s_suppkey", 20).select("s_suppkey", "s_acctbal")
+
+
+@query("select source, count(*) as n from documents group by source")
+def snk1_corpus(spark, sf_dir):
+    at = folder(spark)
+    d = table(spark, sf_dir, "documents")
+    sinks.write_corpus(d.select("doc_id", "source", "lang"), d.select(F.col("doc_id").alias("conversation_id"), F.lit(0).alias("seq"), "n_chars"), at)
+    return spark.read.parquet(f"{at}/segments").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def snk2_transcript(spark, sf_dir):
+    at = folder(spark)
+    e = table(spark, sf_dir, "events")
+    sinks.write_transcript(e, e.agg(F.count("*").alias("rows")), at)
+    return spark.read.schema("event_type string").json(f"{at}/transcript").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderstatus, count(*) as n from orders group by o_orderstatus")
+def snk3_verdicts(spark, sf_dir):
+    at = folder(spark)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    sinks.write_verdicts(o, o.groupBy("o_orderstatus").count(), o.agg(F.count("*").alias("rows")), at)
+    return spark.read.schema("o_orderstatus string, count long").json(f"{at}/summary").select("o_orderstatus", F.col("count").alias("n"))
+
+
+@query("select count(*) as n, true as refused from customer")
+def snk4_publish(spark, sf_dir):
+    """Two inserts of halves succeed; a third with known ids is refused whole."""
+    at = folder(spark)
+    c = table(spark, sf_dir, "customer")
+    sinks.publish(c.where("c_custkey % 2 = 0"), at, "c_custkey")
+    sinks.publish(c.where("c_custkey % 2 = 1"), at, "c_custkey")
+    refused = False
+    try:
+        sinks.publish(c.where("c_custkey % 3 = 0"), at, "c_custkey")
+    except ValueError:
+        refused = True
+    return spark.read.parquet(at).agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))

@@ -1 +1,139 @@
-"""Queries."""
+"""Queries of streams and of the seams for models. Streams run over the table's files until they are drained; the SQL is
+the batch twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from memlift.functions import models as M
+from memlift.plans.attribution_plans import BASE, sql
+from memlift.plans.registry import query, table
+from memlift.plans.retrieval_plans import documents, long_rank, questions, ranked, BM25
+from memlift.plans.source_plans import folder
+from memlift.shipping import ship
+from memlift.streaming import monitors
+
+
+def follow(spark, sf_dir, name):
+    ship(spark)
+    return monitors.follow(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
+
+
+@query('select event_id, user_id, before, event_type as "now" from (select *, lag(event_type) over (partition by user_id order by event_id) as before from events) where before <> event_type')
+def str1_belief_monitor(spark, sf_dir):
+    return monitors.drain(monitors.belief_flips(follow(spark, sf_dir, "events").select("event_id", "user_id", "event_type")), folder(spark))
+
+
+@query("select event_id, user_id, round(value - last, 6) as moved from (select *, lag(value) over (partition by user_id order by event_id) as last from events) where abs(value - last) >= 20")
+def str2_confidence_watch(spark, sf_dir):
+    return monitors.drain(monitors.confidence_watch(follow(spark, sf_dir, "events").select("event_id", "user_id", "value"), 20), folder(spark)).withColumn("moved", F.round("moved", 6))
+
+
+@query("select y, count(*) as alerts from orders, range(1995, 2003) t(y) where o_orderdate + interval 90 day <= make_timestamp(y, 1, 1, 0, 0, 0.0) group by y")
+def str3_expiry_sweep(spark, sf_dir):
+    """How many orders have expired, 90 days after their date, at the start of each of eight years."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderdate").cast("timestamp_ntz") + F.expr("interval 90 days")).alias("expires_at"))
+    s = o.withColumn("y", F.explode(F.sequence(F.lit(1995), F.lit(2002))))
+    return s.where(F.col("expires_at") <= F.make_date("y", F.lit(1), F.lit(1)).cast("timestamp_ntz")).groupBy(F.col("y").cast("long").alias("y")).agg(F.count("*").alias("alerts"))
+
+
+@query()
+def str4_cycle_alarm(spark, sf_dir):
+    """An edge by event, from a user's number modulo 10 to the value's; which ones close a loop."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = follow(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("g"), (k % 10).alias("src"), (F.floor("value") % 10).alias("dst")).where("src <> dst")
+    return monitors.drain(monitors.cycle_alarm(e), folder(spark))
+
+
+@query("select distinct source, sha256(text) as content from documents")
+def str5_ingest_once(spark, sf_dir):
+    return monitors.drain(monitors.ingest_once(follow(spark, sf_dir, "documents"), "source", "text"), folder(spark))
+
+
+@query("select user_id, count(*) as hits, max(event_id) as last_event from events group by user_id")
+def str6_access_statistics(spark, sf_dir):
+    """Counts by item, kept up to date; the last state of each is the answer."""
+    at = folder(spark)
+    s = follow(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("hits"), F.max("event_id").alias("last_event"))
+    q = s.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    r = spark.read.parquet(f"{at}/out")
+    return r.groupBy("user_id").agg(F.max_by(F.struct("hits", "last_event"), "batch").alias("x")).select("user_id", "x.hits", "x.last_event")
+
+
+@query("select event_id, coalesce(value < max(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) - 50, false) as late from events")
+def str7_late_facts(spark, sf_dir):
+    """Effective time is the value, arrival the number: facts more than 50 behind go to the correction table."""
+    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.col("value") < F.max("value").over(w) - 50, F.lit(False)).alias("late"))
+
+
+@query("select b.event_id, b.user_id, round(sum((a.event_type = 'error')::int * exp(-0.00001 * (epoch_us(b.ts) // 1000000 - epoch_us(a.ts) // 1000000))), 6) as level from events a join events b on a.user_id = b.user_id and a.event_id <= b.event_id group by all")
+def str8_escalating_warning(spark, sf_dir):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = follow(spark, sf_dir, "events").select("event_id", "user_id", F.floor(at / 1_000_000).cast("double").alias("at"), (F.col("event_type") == "error").alias("hit"))
+    return monitors.drain(monitors.warnings(e, 0.00001), folder(spark)).withColumn("level", F.round("level", 6))
+
+
+@query()
+def str9_turn_pipeline(spark, sf_dir):
+    t = follow(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000000 + F.col("turn"))
+    return monitors.ingest_turns(t, folder(spark))
+
+
+@query("select conv_id, turn, substr(string_split(trim(text, ' ' || chr(10)), '. ')[1], 1, 200) as reply from conversations")
+def udf1_model_call(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", M.ask()(F.col("text")).alias("reply"))
+
+
+@query(ranked(BM25, 3))
+def udf2_retriever(spark, sf_dir):
+    return long_rank(M.Bm25Retriever().topk(questions(spark, sf_dir), documents(spark, sf_dir), 3))
+
+
+@query()
+def udf3_auto_capture(spark, sf_dir):
+    ship(spark)
+    return M.capture(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", M.ask())
+
+
+_LINES = "case event_type when 'error' then 'supersedes: ' || user_id::varchar || chr(10) || 'concerns #' || user_id::varchar when 'view' then 'supports ' || user_id::varchar || ' and refines: 7' else 'none' end"
+
+
+@query("select event_id, 'concerns' as relation, user_id as target from events where event_type = 'error' union all select event_id, 'supports', user_id from events where event_type = 'view' union all select event_id, 'refines', 7 from events where event_type = 'view'")
+def udtf1_relation_lines(spark, sf_dir):
+    u = F.col("user_id").cast("string")
+    said = F.when(F.col("event_type") == "error", F.concat(F.lit("Supersedes: "), u, F.lit("\nconcerns #"), u)).when(F.col("event_type") == "view", F.concat(F.lit("supports "), u, F.lit(" and refines: 7"))).otherwise("none")
+    return table(spark, sf_dir, "events").select("event_id", F.explode(M.relation_lines(said)).alias("e")).select("event_id", "e.relation", "e.target")
+
+
+@query("select user_id, count(*) filter (event_type <> 'signup') as n_edges from events where event_type in ('error', 'view') group by user_id")
+def fn19_relation_counts(spark, sf_dir):
+    said = F.concat(F.lit("concerns: "), F.col("event_id").cast("string"))
+    e = table(spark, sf_dir, "events").where("event_type in ('error', 'view')").select("user_id", F.explode(M.relation_lines(said)).alias("e"))
+    return e.groupBy("user_id").agg(F.count("*").alias("n_edges"))
+
+
+@query("select user_id, event_type || '|' || user_id::varchar as names from events group by all")
+def fn20_structure_lines(spark, sf_dir):
+    said = F.concat(F.lit("note\nOrder: "), F.col("event_type"), F.lit(" > "), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("user_id", F.array_join(M.structure_lines(said), "|").alias("names")).distinct()
+
+
+@query("select event_id, case event_id % 3 when 0 then event_type || '|second' when 1 then 'one fact|two facts' else 'x' end as facts from events")
+def fn22_tolerant_facts(spark, sf_dir):
+    e = F.col("event_id") % 3
+    said = F.when(e == 0, F.concat(F.lit('sure: ["'), F.col("event_type"), F.lit('", "second"]'))).when(e == 1, "- one fact\n2) two facts").otherwise(" x ")
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(M.tolerant_facts(said), "|").alias("facts"))
+
+
+@query("select source, list_sort(list(n_chars))[floor(0.9 * (count(*) - 1))::bigint + 1] as p90 from documents group by source")
+def udaf1_percentile_by_index(spark, sf_dir):
+    from memlift.operators.sampling import pick_share
+
+    return table(spark, sf_dir, "documents").groupBy("source").agg(pick_share("n_chars", 0.9).alias("p90"))
+
+
+_ = (BASE, sql)
