@@ -5,8 +5,9 @@ each round of joins and grouped minima at least squares what an id has seen, so
 
 linked_groups() finds the components of "similar enough" among ids that share keys, without making all pairs of a group:
 first each id is checked with the two leaders (smallest and largest id of a key) it shares most keys with; then only pairs that are still in different components
-are made and checked. Nothing that is similar stays unconnected, because every pair that shares a key is either in one
-component already or is checked.
+are made and checked: by key where few ids share it, else by their rarest members. Nothing that is similar stays
+unconnected: a pair that shares enough keys is in one component already, or shares them all with few others, or both have a
+key that many share, and then its rare members bring it together.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import release, stage, unstage
+from memlift.llm.common import arrow_rows, release, stage, unstage
 from memlift.shipping import ship
 
 
@@ -27,8 +28,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     e = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = stage(e, "edges")
-    before = None
     for _ in range(most_rounds):
+        # stars around their smallest id are the end: nobody has two centres, and no centre has one itself
+        two = e.groupBy("a").count().where("count > 1").limit(1).count()
+        if not two and not e.select(F.col("b").alias("a")).distinct().hint("merge").join(e.select("a"), "a", "left_semi").limit(1).count():
+            break
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -39,11 +43,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         old = e
         e = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small_star")
         unstage(old, large, least)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         release(spark)
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
@@ -80,6 +80,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_a.mapInArrow(run, "a long, b long")
 
 
+#: A key with more ids than this makes no pairs by itself.
+SHORT_KEY = 16
 #: Up to so many ids a table of ids goes to each task; beyond, both sides are dealt out by id.
 BROADCAST_IDS = 300_000
 
@@ -120,21 +122,52 @@ def linked_groups(postings: DataFrame, load_sets: Callable[[DataFrame], DataFram
     own = stage(own.join(mixed.hint("merge"), "key"), "mixed_own")
     unstage(shared, mixed, comp)
     release(spark)
-    x = own.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = own.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    # keys with a few ids: their pairs. Whoever has a key with many is compared by rare members instead
+    many = stage(own.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > SHORT_KEY).select("key"), "long_keys")
+    few = own.join(many.hint("merge"), "key", "left_anti")
+    pairs = stage(_pairs(few, percent).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= need).select("a", "b"), "pairs")
+    crowd = stage(own.join(many.hint("merge"), "key", "left_semi").select("id", "n", "component").distinct(), "crowd")
+    release(spark)
+    more = _check(pairs, load_sets, percent, "links_more")
+    rare = _check(stage(_rare_pairs(crowd, load_sets, percent), "rare_pairs"), load_sets, percent, "links_rare")
+    unstage(own, many, crowd)
+    return components(links.unionByName(more).unionByName(rare))
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, n (the smaller size) for ids of different components and fitting sizes under one key; rows: key, id, n, component."""
+    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = x.hint("merge").join(y, "key").where("a < b and ca != cb").where(close)
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first(F.least("na", "nb")).alias("n")).where(F.col("met") >= need).select("a", "b")
-    more = _check(stage(pairs, "pairs"), load_sets, percent, "links_more")
-    unstage(own)
-    return components(links.unionByName(more))
+    return x.hint("merge").join(y, "key").where("a < b and ca != cb").where(close).select("a", "b", F.least("na", "nb").alias("n"))
+
+
+def _rare_pairs(crowd: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their rarest members; crowd: id, n, component.
+
+    With members ordered by how often they occur among these ids, a pair that is similar enough shares one of each set's
+    first n - ceil(percent * n) + 1. Versions of a text have their own edits there, so a group of versions that aren't
+    similar makes hardly any pairs, however large it is."""
+    with arrow_rows(crowd.sparkSession, 500):
+        sets = stage(load_sets(crowd.select("id")).join(crowd.hint("merge"), "id"), "crowd_sets")
+    rows = sets.select("id", F.explode("members").alias("key"))
+    often = stage(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "crowd_counts")
+    shared = rows.join(often.hint("merge"), "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared"))
+    # members of one id only come first in the order and meet nobody; of the first ones, what is left are shared ones
+    head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    first = sets.select("id", "n", "component").join(stage(shared, "crowd_shared").hint("merge"), "id").where(head > 0)
+    keys = stage(first.select("id", "n", "component", F.explode(F.slice("shared", F.lit(1), head.cast("int"))).alias("x")).select("id", "n", "component", F.col("x.key").alias("key")), "crowd_keys")
+    unstage(sets, often)
+    mixed = stage(keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "crowd_mixed")
+    return _pairs(keys.join(mixed.hint("merge"), "key"), percent).select("a", "b").distinct()
 
 
 def _check(pairs: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, label: str) -> DataFrame:
     """The pairs that are similar; sets are loaded for their ids only and deleted afterwards."""
     ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = stage(load_sets(ids), "sets")
-    links = stage(verified(pairs, sets, percent), label)
+    with arrow_rows(pairs.sparkSession, 500):
+        links = stage(verified(pairs, sets, percent), label)
     unstage(ids, sets, pairs)
     release(pairs.sparkSession)
     return links
