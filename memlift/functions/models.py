@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from memlift.functions import text as T
 from memlift.operators import retrieval as R
@@ -22,7 +23,7 @@ def first_sentence(prompt: str) -> str:
 def ask(make: Callable[[], Callable[[str], str]] = lambda: first_sentence) -> Callable[[Column], Column]:
     """A vectorised function from prompts to replies. make() is called once in a task, to open one client."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = make()
         for prompts in batches:
