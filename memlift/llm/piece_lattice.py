@@ -64,7 +64,7 @@ class PieceModel:
         self.words: dict[str, tuple] = {}
         self.parts: dict[str, tuple] = {}
         # words may be cut before a space only if no piece has one behind another character
-        self.word = re.compile(f"{SPACE}+[^{SPACE}]*") if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else re.compile(".+", re.S)
+        self.word = re.compile(f"{SPACE}.*" if any(SPACE in p.lstrip(SPACE) for p in self.ids) else f"{SPACE}+[^{SPACE}]*", re.S)
 
     def normal(self, text: str) -> str:
         return (" " + text).replace(" ", SPACE) if text else ""
@@ -185,8 +185,10 @@ class PieceModel:
             if len(known) + len(new) > CACHE:
                 known.clear()
                 new = list(dict.fromkeys(found))
-            # the library puts the first space before each word itself
-            for word, ids in zip(new, self.library.encode([w[1:].replace(SPACE, " ") for w in new], num_threads=1) if new[0][0] == SPACE else [self.library.encode(w) for w in new]):
+            # the library puts the first space before each word itself, but not before an empty one
+            given = self.library.encode([w[1:].replace(SPACE, " ") for w in new], num_threads=1)
+            for word, ids in zip(new, given):
+                ids = ids or self.piece_ids(word)
                 parts = self.cut(word)
                 if len(parts) == 1:
                     score, path, step = self.solve(word)

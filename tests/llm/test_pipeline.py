@@ -1,0 +1,48 @@
+"""The pipeline stage by stage against plain versions of the same decisions."""
+
+from collections import Counter
+
+import public_tokenizers
+import sentencepiece
+
+from memlift.llm import mixing, secret_scan, toxicity
+from memlift.llm.common import stage
+from tests.llm.test_ngram_join import brute
+
+
+def test_stages(spark, sf_dir):
+    import corpus_pipeline as c
+
+    d0 = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*c.COLUMNS)
+    steps, d = dict(c.STAGES), d0
+    assert [n for n, _ in c.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixture", "pieces"]
+
+    d1 = stage(steps["toxicity"](spark, d0, sf_dir), "t1")
+    model = toxicity.fit(d0, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    one = model.scorer()
+    rows = {r["doc_id"]: r for r in d0.collect()}
+    assert {r["doc_id"] for r in d1.collect()} == {i for i, r in rows.items() if one(r["text"]) < 0.5}
+
+    d2 = stage(steps["near_duplicates"](spark, d1, sf_dir), "t2")
+    groups = brute([(r["doc_id"], r["text"]) for r in d1.collect()])
+    assert {r["doc_id"] for r in d2.collect()} == {i for i, (_, top) in groups.items() if top == i}
+
+    d3 = stage(steps["secrets"](spark, d2, sf_dir), "t3")
+    m = secret_scan.fit(d2)
+    kept = {r["doc_id"]: r for r in d3.collect()}
+    for r in d2.collect():
+        text = secret_scan.redact(r["text"], secret_scan.all_spans(r["text"], m))
+        assert (kept[r["doc_id"]]["text"], kept[r["doc_id"]]["n_chars"]) == (text, len(text))
+
+    d4 = stage(steps["mixture"](spark, d3, sf_dir), "t4")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(d3).collect() if r["copies"]}
+    assert Counter(r["doc_id"] for r in d4.collect()) == Counter(copies)
+    for d in (d1, d2, d3, d4):
+        assert d.columns == list(c.COLUMNS)
+
+    d5 = steps["pieces"](spark, d4, sf_dir).collect()
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert len(d5) == d4.count()
+    for r in d5:
+        assert r["n_pieces"] == len(lib.encode(kept[r["doc_id"]]["text"])) and r["decoded"]
+    assert c.run(spark, sf_dir).count() == len(d5)
