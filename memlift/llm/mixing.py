@@ -10,7 +10,8 @@ its rank is random odds divided by inclusion odds, and documents are taken in or
 Random numbers come from the hash of the document's id, so reruns agree.
 
 The order is never sorted as a whole: ranks fall into fixed bins, words are summed by source and bin, and only the bin in
-which a source's sample ends is ordered. So a source with a third of all rows is dealt out like the others.
+which a source's sample ends is ordered. Last, the one document whose coming in or going out brings a source nearest to its target is
+taken or left. So a source with a third of all rows is dealt out like the others.
 
 Nulls: a null text has 0 words and is taken with its source's certain copies, which are no words; a null source is a
 source of its own; a null id hashes as the text "null", ties in rank go by id, then by size, and rows equal in both are
@@ -87,5 +88,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = F.struct(F.col("rank").alias("last"), F.col("id").alias("last_id"), F.col("size").alias("last_size"))
     taken = F.when(F.col("rank") >= 1, 0).when(F.col("edge").isNull(), F.when(F.col("rest") > 0, 1).otherwise(0)).when(F.col("bin") < F.col("edge"), 1).when(F.col("bin") > F.col("edge"), 0)
     taken = taken.otherwise(F.when(F.col("last").isNotNull() & (key <= F.col("last")), 1).otherwise(0))
-    r = r.withColumn("copies", (F.col("whole") + taken).cast("long"))
+    r = stage(r.select("id", "source", "size", "source_size", "target", "rank", "whole", taken.cast("long").alias("taken_")), "drawn")
+    # what a source's sample misses its target by, and the one document that mends most of it by coming in or going out
+    gap = r.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * (F.col("whole") + F.col("taken_")))).alias("gap"))
+    gap = stage(gap.withColumnRenamed("source", "own"), "gaps")
+    g = r.join(gap.hint(hint), F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
+    miss = F.abs(F.abs(F.col("gap")) - F.col("size"))
+    fits = (F.col("rank") < 1) & (F.col("size") > 0) & (miss < F.abs(F.col("gap"))) & (F.col("taken_") == F.when(F.col("gap") > 0, 0).otherwise(1))
+    mend = g.where(fits).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "id", "size")).alias("x"))
+    mend = stage(mend.select(F.col("source").alias("own"), F.col("x.rank").alias("rank_"), F.col("x.id").alias("id_"), F.col("x.size").alias("size_")), "mended")
+    r = r.join(mend.hint(hint), F.col("source").eqNullSafe(F.col("own")) & (F.col("rank") == F.col("rank_")) & F.col("id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_")), "left")
+    changed = F.when(F.col("rank_").isNull(), F.col("taken_")).otherwise(1 - F.col("taken_"))
+    r = r.withColumn("copies", F.col("whole") + changed)
     return r.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
