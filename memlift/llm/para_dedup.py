@@ -1,40 +1,52 @@
-"""Repeated paragraphs across documents by MinHash banding.
+"""Passages that repeat across documents: paragraphs by MinHash banding, and what stands inside them by equal sentences.
 
 A paragraph is a line with at least MIN_WORDS words, lower-cased. Equal paragraphs collapse into one class by a hash of 128
 bits. Each class has BANDS bands of ROWS minimum hashes over its five-word shingles; bands are tuned for recall: at a
 Jaccard of 0.8 a pair shares a band with probability 1 - (1 - 0.8^4)^14 = 0.9994. Colliding paragraphs are joined by band and
-checked: they are near when the exact Jaccard of their shingles is 0.8 or more. Near classes form components; in each, the
-first paragraph (smallest document, then place) stays and the others are removed from their documents. Repeats inside one
-document are removed alike.
+checked: they are near when the exact Jaccard of their shingles is 0.8 or more. Near classes form components.
+
+A passage can also stand in the middle of a longer paragraph. So paragraphs are cut into units at the ends of sentences,
+and long sentences at words picked by their hash, which cuts a passage alike wherever it stands. Units of UNIT_WORDS words or more
+that other documents hold too are repeated. Neighbouring repeated units and paragraphs of a document make a run; a run
+of MIN_RUN words or more is a passage. Of each passage the document with the smallest id keeps its text.
 
 Nulls and empty texts have no paragraphs. Very long texts are read whole. Repeated rows are copies like others; rows with
-one id count as one document's paragraphs. A null id is kept, with nothing removed. Ties can't occur: places are unique.
-Further columns don't matter, and an empty table gives an empty result.
+one id count as one document, and repeats inside one document don't count. Rows with a null id have no passages. Ties can't
+occur: places are unique. Further columns don't matter, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import release, stage, unstage, utf8
+from memlift.llm.common import arrow_map, release, stage, unstage, utf8
 from memlift.llm.components import BROADCAST_IDS, linked_groups
 from memlift.llm.ngram_join import shingles
 from memlift.shipping import ship
 
-MIN_WORDS = 5
+MIN_WORDS = 30
+UNIT_WORDS, LONG_SENTENCE = 5, 24
+#: Words of a run that make a passage, and characters between neighbours in a run (a sentence too short to be a unit).
+MIN_RUN, GAP = 25, 60
 BANDS, ROWS = 14, 4
 PERCENT = 80
-#: A paragraph's number is its document's times this, plus its line.
+#: A paragraph's number is its document's times this, plus its line; a unit's is its document's times this.
 LINES = 1 << 20
 _rng = np.random.default_rng(5)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
+SENTENCE = re.compile(r".+?(?:[.!?]+(?=\s)|\Z)", re.S)
+SPACED_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
 def paragraphs(text: str | None):
     """(line, start, end, text) of each paragraph; start and end in code points."""
     at = 0
@@ -44,6 +56,29 @@ def paragraphs(text: str | None):
         at += len(line) + 1
 
 
+def units(text: str | None):
+    """(start, end, normal bytes, words) of each unit, in order."""
+    at = 0
+    for line in (text or "").split("\n"):
+        for m in SENTENCE.finditer(line):
+            words = utf8(m[0]).lower().split()
+            if len(words) <= LONG_SENTENCE:
+                if len(words) >= UNIT_WORDS:
+                    yield at + m.start(), at + m.end(), b" ".join(words), len(words)
+                continue
+            first, held = None, []
+            for w in SPACED_WORD.finditer(m[0]):
+                first = w.start() if first is None else first
+                word = utf8(w[0]).lower()
+                held.append(word)
+                if len(held) >= UNIT_WORDS and xxhash.xxh3_64_intdigest(word) % 6 == 0:
+                    yield at + m.start() + first, at + m.start() + w.end(), b" ".join(held), len(held)
+                    first, held = None, []
+            if len(held) >= UNIT_WORDS:
+                yield at + m.start() + first, at + m.end(), b" ".join(held), len(held)
+        at += len(line) + 1
+
+
 def normal(line: str) -> bytes:
     return b" ".join(utf8(line).lower().split())
 
@@ -60,9 +95,9 @@ def bands(members: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def find_paragraphs(docs: DataFrame) -> DataFrame:
-    """pid, first_char, last_char, words, sign, n (shingles), bands; docs: id, text."""
-    target = pa.schema([("pid", pa.int64()), ("first_char", pa.int32()), ("last_char", pa.int32()), ("words", pa.int32()), ("sign", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+def find_parts(docs: DataFrame) -> DataFrame:
+    """Paragraphs and units: pid, first_char, last_char, words, sign (of a paragraph), key (of a unit), n (shingles), bands."""
+    target = pa.schema([("pid", pa.int64()), ("first_char", pa.int32()), ("last_char", pa.int32()), ("words", pa.int32()), ("sign", pa.binary()), ("key", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         cache: dict[bytes, int] = {}
@@ -74,12 +109,15 @@ def find_paragraphs(docs: DataFrame) -> DataFrame:
                     for i, start, end, line in paragraphs(text):
                         clean = normal(line)
                         m = shingles(line, cache)
-                        for c, value in zip(cols, (doc * LINES + i, start, end, clean.count(b" ") + 1, xxhash.xxh3_128_digest(clean), len(m), bands(m))):
+                        for c, value in zip(cols, (doc * LINES + i, start, end, clean.count(b" ") + 1, xxhash.xxh3_128_digest(clean), None, len(m), bands(m))):
+                            c.append(value)
+                    for start, end, clean, n in units(text):
+                        for c, value in zip(cols, (doc * LINES, start, end, n, None, xxhash.xxh3_64_intdigest(clean) - (1 << 63), None, None)):
                             c.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
 
     ship(docs.sparkSession)
-    return docs.where("id is not null").mapInArrow(run, "pid long, first_char int, last_char int, words int, sign binary, n int, bands array<long>")
+    return docs.where("id is not null").mapInArrow(run, "pid long, first_char int, last_char int, words int, sign binary, key long, n int, bands array<long>")
 
 
 def paragraph_sets(docs: DataFrame, pids: DataFrame) -> DataFrame:
@@ -107,56 +145,77 @@ def paragraph_sets(docs: DataFrame, pids: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a paragraph: id, pid, first_char, last_char, words, component (smallest pid) and in_docs (documents that
-    hold the component, counted up to 2)."""
+    """id, first_char, last_char, words, first_doc: paragraphs and units that another document holds too, with the smallest
+    id that holds them."""
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    found = find_paragraphs(own)
-    found = stage(found, "paragraphs")
-    full = found
-    kept = full.groupBy("sign").agg(F.min("pid").alias("id"), F.max("pid").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    doc_of = lambda c: F.floor(F.col(c) / LINES).cast("long")
+    full = stage(find_parts(own), "parts")
+    kept = full.where("sign is not null").groupBy("sign").agg(F.min("pid").alias("id"), F.max("pid").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     kept = stage(kept, "classes")
-    found = stage(full.drop("bands", "n"), "places")
+    place = ("pid", "first_char", "last_char", "words")
+    found = stage(full.where("sign is not null").select(*place, "sign"), "paragraphs")
+    loose = stage(full.where("key is not null").select(*place, "key"), "units")
     unstage(full)
     release(spark)
     postings = kept.select(F.explode("bands").alias("key"), "id", "n")
     linked = linked_groups(postings, lambda ids: paragraph_sets(own, ids), PERCENT)
-    group = kept.select("sign", "id", "last").join(linked.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    group = stage(group, "groups")
+    group = stage(kept.select("sign", "id", "last").join(linked.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "groups")
     spread = group.groupBy("component").agg(F.min("id").alias("lo"), F.max("last").alias("hi"))
-    spread = stage(spread.select("component", F.when(F.floor(F.col("lo") / LINES) < F.floor(F.col("hi") / LINES), 2).otherwise(1).alias("in_docs"), (F.col("lo") < F.col("hi")).alias("many")), "spread")
-    group = stage(group.join(spread.hint("merge"), "component").where("many").select("sign", "component", "in_docs"), "repeated")
-    release(spark)
+    spread = stage(spread.where(doc_of("lo") < doc_of("hi")).select("component", doc_of("lo").alias("first_doc")), "spread")
+    group = stage(group.join(spread.hint("merge"), "component").select("sign", "first_doc"), "repeated_signs")
     unstage(kept)
-    return found.join(group.hint("merge"), "sign").drop("sign").withColumn("id", F.floor(F.col("pid") / LINES).cast("long"))
+    release(spark)
+    lines = found.join(group.hint("merge"), "sign").select(*place, "first_doc")
+    often = loose.groupBy("key").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi")
+    often = stage(often.select("key", doc_of("lo").alias("first_doc")), "repeated_units")
+    release(spark)
+    inside = loose.join(often.hint("merge"), "key").select(*place, "first_doc")
+    return lines.unionByName(inside).withColumn("id", doc_of("pid")).drop("pid")
+
+
+def runs(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, words, first document) of the runs of neighbouring parts that have enough words."""
+    out: list[list[int]] = []
+    for start, end, words, first in sorted(set(parts), key=lambda p: (p[0], -p[1])):
+        if out and end <= out[-1][1]:  # inside what is there: a unit of a repeated paragraph
+            out[-1][3] = min(out[-1][3], first)
+        elif out and start <= out[-1][1] + GAP:
+            out[-1][2] += words if start >= out[-1][1] else max(0, words - 1)
+            out[-1][1], out[-1][3] = end, min(out[-1][3], first)
+        else:
+            out.append([start, end, words, first])
+    return [tuple(r) for r in out if r[2] >= MIN_RUN]
 
 
 def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: its id, n_repeated (paragraphs that stand elsewhere too), n_removed, words_removed,
-    removed_spans (start:end in code points) and repeats, the components of its paragraphs that other documents hold."""
+    """One row for each passage of a document that another document holds too: the document's id, first_doc_id (the smallest id that
+    holds a part of it), first_char and last_char (code points, end exclusive), n_words, removed (another document keeps it).
+    Documents without such passages have no row."""
     rows = repeated(docs, id_col, text_col)
-    gone = F.col("pid") != F.col("component")
-    span = F.when(gone, F.struct("first_char", F.concat_ws(":", "first_char", "last_char").alias("said")))
-    per = rows.groupBy("id").agg(
-        F.count("*").alias("n_repeated"),
-        F.count_if(gone).alias("n_removed"),
-        F.sum(F.when(gone, F.col("words")).otherwise(0)).cast("long").alias("words_removed"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(span)), lambda x: x["said"]), ",").alias("removed_spans"),
-        F.array_sort(F.collect_set(F.when(F.col("in_docs") == 2, F.col("component")))).alias("repeats"),
-    )
-    per = stage(per, "by_document")
-    own = docs.select(docs[id_col].cast("long").alias("id"))
-    out = own.join(per.hint("merge"), "id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(F.col("id").alias(id_col), zero("n_repeated"), zero("n_removed"), zero("words_removed"), F.coalesce("removed_spans", F.lit("")).alias("removed_spans"), F.coalesce("repeats", F.array().cast("array<long>")).alias("repeats"))
-
-
-def remove_spans(text: str | None, spans: str) -> str | None:
-    """The text without the lines that dedup_paragraphs names."""
+    # a document's own parts: bounded by its text
+    per = stage(rows.groupBy("id").agg(F.collect_list(F.struct("first_char", "last_char", "words", "first_doc")).alias("parts")), "by_document")
+
+    def make():
+        def step(batch):
+            out: dict[str, list] = {n: [] for n in ("id", "first_doc_id", "first_char", "last_char", "n_words", "removed")}
+            for i, parts in zip(batch["id"], batch["parts"]):
+                for start, end, words, first in runs([(p["first_char"], p["last_char"], p["words"], p["first_doc"]) for p in parts]):
+                    for n, v in zip(out, (i, first, start, end, words, first != i)):
+                        out[n].append(v)
+            return out
+
+        return step
+
+    return arrow_map(per, make, "id long, first_doc_id long, first_char long, last_char long, n_words long, removed boolean").withColumnRenamed("id", id_col)
+
+
+def remove_passages(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the passages (first_char, last_char) that dedup_paragraphs says are removed."""
     if not text or not spans:
         return text
     out, at = [], 0
-    for start, end in (map(int, s.split(":")) for s in spans.split(",")):
+    for start, end in sorted(spans):
         out.append(text[at:start])
-        at = min(len(text), end + 1)
-    return "".join([*out, text[at:]]).rstrip("\n")
+        at = max(at, end)
+    return "".join([*out, text[at:]]).strip()

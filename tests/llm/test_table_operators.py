@@ -105,26 +105,37 @@ class TestEmbeddings:
 
 
 class TestParagraphs:
-    def test_repeats_and_near_repeats(self, spark):
+    def test_repeats_inside_and_near(self, spark):
         rng = random.Random(8)
-        line = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
-        passage = line(60)
+        line = lambda n: " ".join(f"w{rng.randrange(5000)}" + ("." if k % 8 == 7 else "") for k in range(n))
+        passage, inner, notice = line(60), line(64), "Licensed under the terms of this short notice."
         near = passage.split()
         near[30] = "changed"
-        rows = [(i, "\n".join([line(20), passage if i % 2 else " ".join(near).upper(), line(15)])) for i in range(20)]
-        rows += [(100, f"{line(12)}\n{line(12)}"), (101, None), (102, ""), (103, "too short\nto count"), (104, "a b c d e f\na b c d e f")]
+        rows = [(i, "\n".join([line(40), notice, passage if i % 2 else " ".join(near).upper(), line(35)])) for i in range(20)]
+        rows += [(50 + i, f"{line(40)} {line(3)} {inner} {line(30)}") for i in range(10)]
+        rows += [(100, f"{line(32)}\n{line(32)}"), (101, None), (102, ""), (103, "too short\nto count"), (104, f"{notice}\n{line(50)}"), (105, "\n".join([line(45)] * 2))]
         rows += [(200 + i, passage) for i in range(60)]
-        d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as pid", "'x' as repeats")
-        got = {r["doc_id"]: r for r in para_dedup.dedup_paragraphs(d).collect()}
-        assert set(got) == {i for i, _ in rows}
-        assert (got[0]["n_removed"], got[0]["repeats"]) == (0, [1])
-        for i in [*range(1, 20), *range(200, 260)]:
-            assert got[i]["n_removed"] == 1 and got[i]["repeats"] == [1]
-        assert [got[i]["n_repeated"] for i in (100, 101, 102, 103)] == [0] * 4
-        assert (got[104]["n_removed"], got[104]["repeats"]) == (1, [])
-        text = dict(rows)
-        assert passage not in para_dedup.remove_spans(text[1], got[1]["removed_spans"]) and len(para_dedup.remove_spans(text[1], got[1]["removed_spans"]).split("\n")) == 2
-        assert para_dedup.remove_spans(text[201], got[201]["removed_spans"]) == ""
+        d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as pid", "'x' as words")
+        text, got = dict(rows), {}
+        for r in para_dedup.dedup_paragraphs(d).collect():
+            got.setdefault(r["doc_id"], []).append(r)
+        assert set(got) == {*range(20), *range(50, 60), *range(200, 260)}
+        for i in [*range(20), *range(200, 260)]:
+            (r,) = [r for r in got[i] if r["n_words"] >= 50]
+            assert (r["first_doc_id"], r["removed"]) == (0, i != 0)
+            assert text[i][r["first_char"] : r["last_char"]].lower().split()[-50:-35] == passage.lower().split()[-50:-35]
+        for i in range(50, 60):
+            (r,) = got[i]
+            assert (r["first_doc_id"], r["removed"]) == (50, i != 50)
+            cut = text[i][r["first_char"] : r["last_char"]]
+            assert cut.strip(". ") in inner and r["n_words"] >= 48
+        assert para_dedup.remove_passages(text[201], [(r["first_char"], r["last_char"]) for r in got[201]]) == ""
+
+    def test_sentences_without_ends(self):
+        rng = random.Random(9)
+        passage = " ".join(f"w{rng.randrange(5000)}" for _ in range(70))
+        cut = lambda before: {u[2] for u in para_dedup.units(f"{before} {passage} tail tail tail")}
+        assert sum(len(x.split()) for x in cut("a b c d e f g") & cut("some other words stand here before it")) >= 40
 
     def test_empty_table(self, spark):
         assert para_dedup.dedup_paragraphs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
