@@ -81,7 +81,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 #: A key with more ids than this makes no pairs by itself.
-SHORT_KEY = 16
+SHORT_KEY = 6
 #: Up to so many ids a table of ids goes to each task; beyond, both sides are dealt out by id.
 BROADCAST_IDS = 300_000
 
@@ -134,12 +134,17 @@ def linked_groups(postings: DataFrame, load_sets: Callable[[DataFrame], DataFram
     return components(links.unionByName(more).unionByName(rare))
 
 
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b, n (the smaller size) for ids of different components and fitting sizes under one key; rows: key, id, n, component."""
-    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+def _pairs(rows: DataFrame, percent: int, places: bool = False) -> DataFrame:
+    """a, b, n (the smaller size) for ids of different components and fitting sizes under one key; rows: key, id, n, component.
+
+    With places (the key's place among its id's members, by one order for all), rows also go unless what stands behind the
+    two places is enough for the overlap: the first member that a similar pair shares has nothing shared before it."""
+    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *([F.col("place").alias("pa")] if places else []))
+    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), *([F.col("place").alias("pb")] if places else []))
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return x.hint("merge").join(y, "key").where("a < b and ca != cb").where(close).select("a", "b", F.least("na", "nb").alias("n"))
+    if places:
+        close &= F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    return x.hint("merge").join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b", F.least("na", "nb").alias("n"))
 
 
 def _rare_pairs(crowd: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -156,10 +161,10 @@ def _rare_pairs(crowd: DataFrame, load_sets: Callable[[DataFrame], DataFrame], p
     # members of one id only come first in the order and meet nobody; of the first ones, what is left are shared ones
     head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
     first = sets.select("id", "n", "component").join(stage(shared, "crowd_shared").hint("merge"), "id").where(head > 0)
-    keys = stage(first.select("id", "n", "component", F.explode(F.slice("shared", F.lit(1), head.cast("int"))).alias("x")).select("id", "n", "component", F.col("x.key").alias("key")), "crowd_keys")
+    keys = stage(first.select("id", "n", "component", (F.col("n") - F.size("shared")).alias("lone"), F.posexplode(F.slice("shared", F.lit(1), head.cast("int"))).alias("at", "x")).select("id", "n", "component", F.col("x.key").alias("key"), (F.col("lone") + F.col("at")).alias("place")), "crowd_keys")
     unstage(sets, often)
     mixed = stage(keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "crowd_mixed")
-    return _pairs(keys.join(mixed.hint("merge"), "key"), percent).select("a", "b").distinct()
+    return _pairs(keys.join(mixed.hint("merge"), "key"), percent, places=True).select("a", "b").distinct()
 
 
 def _check(pairs: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, label: str) -> DataFrame:

@@ -12,8 +12,8 @@ the exact overlap.
 Copies of a set collapse into one class before lists are made, and pairs inside a group that is connected already are never
 made (see components.linked_groups), so groups of thousands of copies cost as much as their members.
 
-Which shingles are frequent only orders lists; it never changes a result. So it comes from counts in each input split, of
-which the largest are kept.
+Which shingles are frequent only orders lists; it never changes a result. So it comes from counts in each input split, over
+documents that don't share their smallest or largest shingle hash with one before (copies, mostly), and the largest sums are kept.
 
 Fewer than five words are one shingle. Nulls and empty texts have an empty set, which links with nothing. Very long texts
 are read whole. Repeated rows count as copies, and rows that share an id share its links. A null id is kept, alone. Further columns
@@ -34,8 +34,8 @@ from memlift.shipping import ship
 
 SHINGLE = 5
 PERCENT = 80
-#: So many shingles at most are known as frequent: 3.2 MB that goes to each task.
-FREQUENT = 200_000
+#: So many shingles at most are known as frequent: 6.4 MB that goes to each task.
+FREQUENT = 400_000
 #: A partner must occur in so many short lists (in all that an overlap needs, where that is fewer).
 LEAST_MET = 10
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +86,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         cache: dict[bytes, int] = {}
-        held, total, seen = [], 0, set()
+        held, total, seen = [], 0, (set(), set())
 
         def counts():
             keys, c = np.unique(np.concatenate(held), return_counts=True)
@@ -96,15 +96,15 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for text in batch.column(0):
                 m = shingles(text.as_py(), cache)
-                sign = xxhash.xxh3_64_intdigest(m.tobytes())
-                if sign in seen:  # copies don't make a shingle frequent
+                if not len(m) or m[0] in seen[0] or m[-1] in seen[1]:  # copies, near ones too, don't make a shingle frequent
                     continue
-                seen.add(sign)
+                seen[0].add(m[0])
+                seen[1].add(m[-1])
                 held.append(m)
                 total += len(m)
                 if total > 4_000_000:
                     yield counts()
-                    held, total, seen = [], 0, set()
+                    held, total, seen = [], 0, (set(), set())
         if total:
             yield counts()
 
