@@ -52,4 +52,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embed_dedup, op3_quality_rules, op4_secret_scan, op5_mixing, op6_para_dedup, op7_html_extract, op8_piece_lattice, op9_ngram_join, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::double * z[2]::double))"
+
+#: All pairs compared in plain SQL; the other operators can't be said in SQL and are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op2_embed_dedup": f"""with recursive v as (select vec_id, embedding as e, label from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where {_DOT.format("a.e", "b.e")} / sqrt({_DOT.format("a.e", "a.e")} * {_DOT.format("b.e", "b.e")}) >= 0.98),
+c as (select vec_id as id, vec_id as r from embeddings union select p.b, c.r from c join p on c.id = p.a),
+m as (select id, min(r) as component_id from c group by id)
+select vec_id, (select count(*) from p where a = vec_id) as n_links, component_id, component_id = vec_id as kept from embeddings join m on id = vec_id""",
+    "op9_ngram_join": f"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+u as (select doc_id, len(s) as n, unnest(s) as x from s),
+p as (select a.doc_id as a, b.doc_id as b from u a join u b on a.x = b.x and a.doc_id <> b.doc_id group by all having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+c as (select doc_id as id, doc_id as r from documents union select p.b, c.r from c join p on c.id = p.a)
+select doc_id, len(s)::bigint as n_shingles, min(r) as component_id from s join c on id = doc_id group by doc_id, s""",
+}
