@@ -32,8 +32,8 @@ from memlift.llm.common import arrow_map
 
 SPACE = "▁"
 N_BEST = 4
-#: At most so many words keep their segmentations in a Python worker.
-CACHE = 300_000
+#: At most twice so many words, and so many parts, keep their segmentations in a Python worker.
+CACHE, PARTS = 250_000, 100_000
 #: In place of a score: pieces begin so, and none does. Scores are never above 0.
 BEGINS, ABSENT = 2.0, 1.0
 #: What the library takes off the lowest score for a character without a piece.
@@ -62,6 +62,7 @@ class PieceModel:
         self.together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.n_best = n_best
         self.words: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.parts: dict[str, tuple] = {}
         # words may be cut before a space only if no piece has one behind another character
         self.word = re.compile(f"{SPACE}.*" if any(SPACE in p.lstrip(SPACE) for p in self.ids) else f"{SPACE}+[^{SPACE}]*", re.S)
@@ -153,7 +154,7 @@ class PieceModel:
     def solve(self, part: str) -> tuple[float, list[int], float]:
         known = self.parts.get(part)
         if known is None:
-            if len(self.parts) >= CACHE:
+            if len(self.parts) >= PARTS:
                 self.parts.clear()
             known = self.parts[part] = self.viterbi(part)
         return known
@@ -178,13 +179,17 @@ class PieceModel:
     def words_of(self, full: str) -> list[tuple]:
         """For each word of a normal text: (word, bytes of its ids by merges, bytes of its best path's ids, score of that,
         step to the second best, decoded)."""
+        if len(self.words) >= CACHE:  # what was used since the last turn stays, so frequent words are never solved again
+            self.older, self.words = self.words, {}
         found = self.word.findall(full)
-        known = self.words
-        new = [w for w in dict.fromkeys(found) if w not in known]
+        known, older, new = self.words, self.older, []
+        for w in dict.fromkeys(found):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(found))
             # the library puts the first space before each word itself, but not before an empty one
             given = self.library.encode([w[1:].replace(SPACE, " ") for w in new], num_threads=1)
             for word, ids in zip(new, given):
