@@ -102,6 +102,13 @@ def linked_groups(postings: DataFrame, load_sets: Callable[[DataFrame], DataFram
     shared = stage(postings.join(often.hint("merge"), "key"), "shared_postings")
     unstage(often)
     release(spark)
+    if least_met > 1:  # whoever has fewer shared keys than any partner would need has none; a partner may be smaller
+        fewest = F.least(F.lit(least_met), F.ceil(F.col("n") * percent * percent / 10_000))
+        able = shared.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= fewest).select("id")
+        able = stage(shared.join(stage(able, "able").hint("merge"), "id"), "able_postings")
+        unstage(shared)
+        shared = able
+        release(spark)
     ends = stage(shared.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "ends")
     with_ends = shared.join(ends.hint("merge"), "key")
     need = F.least(F.lit(least_met), F.ceil(F.col("n") * percent / 100))
