@@ -33,7 +33,7 @@ from memlift.llm.common import arrow_map
 SPACE = "▁"
 N_BEST = 4
 #: At most twice so many words, and so many parts, keep their segmentations in a Python worker.
-CACHE, PARTS = 250_000, 100_000
+CACHE, PARTS = 180_000, 80_000
 #: In place of a score: pieces begin so, and none does. Scores are never above 0.
 BEGINS, ABSENT = 2.0, 1.0
 #: What the library takes off the lowest score for a character without a piece.
