@@ -1,14 +1,20 @@
 """Passages that repeat across documents: paragraphs by MinHash banding, and what stands inside them by equal sentences.
 
-A paragraph is a line with at least MIN_WORDS words, lower-cased. Equal paragraphs collapse into one class by a hash of 128
-bits. Each class has BANDS bands of ROWS minimum hashes over its five-word shingles; bands are tuned for recall: at a
-Jaccard of 0.8 a pair shares a band with probability 1 - (1 - 0.8^4)^14 = 0.9994. Colliding paragraphs are joined by band and
-checked: they are near when the exact Jaccard of their shingles is 0.8 or more. Near classes form components.
-
-A passage can also stand in the middle of a longer paragraph. So paragraphs are cut into units at the ends of sentences,
-and long sentences at words picked by their hash, which cuts a passage alike wherever it stands. Units of UNIT_WORDS words or more
-that other documents hold too are repeated. Neighbouring repeated units and paragraphs of a document make a run; a run
-of MIN_RUN words or more is a passage. Of each passage the document with the smallest id keeps its text.
+A paragraph is a line with at least MIN_WORDS words, or a block of several lines between blank ones, lower-cased, with any
+white space as one blank. Equal paragraphs collapse into one class by a hash of 128 bits. Each class has BANDS bands of ROWS
+minimum hashes over its five-word shingles; bands are tuned for recall: at a Jaccard of 0.8 a pair shares a band with
+probability 1 - (1 - 0.8^4)^14 = 0.9994. A set of up to WHOLE_SET shingles is near to its equals only, so it has one band.
+Colliding paragraphs are joined by band and checked: they are near when the exact Jaccard of their shingles is 0.8 or more.
+Near classes form components.
+
+A passage can also stand in the middle of a longer paragraph, or be wrapped otherwise. So blocks are cut into units at the
+ends of sentences, whatever their lines, and long sentences at words whose hash is the smallest among their neighbours, which
+cuts a passage alike wherever it stands. A sentence of fewer than UNIT_WORDS words belongs to the next one's unit. Units that
+other documents hold too are repeated.
+
+Of each component and each repeated unit the document with the smallest id keeps its text, whatever surrounds it there; the
+others' is removed, but for what the document keeps of others. Components and units that stand nowhere but inside repeated
+paragraphs go or stay with these. Neighbours with the same verdict and no word between them make one passage.
 
 Nulls and empty texts have no paragraphs. Very long texts are read whole. Repeated rows are copies like others; rows with
 one id count as one document, and repeats inside one document don't count. Rows with a null id have no passages. Ties can't
@@ -18,6 +24,7 @@ occur: places are unique. Further columns don't matter, and an empty table gives
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,53 +37,90 @@ from memlift.llm.components import BROADCAST_IDS, linked_groups
 from memlift.llm.ngram_join import shingles
 from memlift.shipping import ship
 
-MIN_WORDS = 30
+MIN_WORDS = 5
 UNIT_WORDS, LONG_SENTENCE = 5, 24
-#: Words of a run that make a passage, and characters between neighbours in a run (a sentence too short to be a unit).
-MIN_RUN, GAP = 25, 60
+#: Words of a passage, where the caller asks for no others.
+MIN_RUN = 25
+#: A long sentence is cut after words with the smallest hash among so many on both sides.
+NEAR_WORDS = 4
+#: With so few shingles, a Jaccard of 0.8 takes equal sets.
+WHOLE_SET = 3
 BANDS, ROWS = 14, 4
 PERCENT = 80
-#: A paragraph's number is its document's times this, plus its line; a unit's is its document's times this.
-LINES = 1 << 20
+#: A paragraph's number is its document's times LINES, plus its first line, plus BLOCK for a block; a unit's is its document's times LINES.
+LINES, BLOCK = 1 << 21, 1 << 20
+PLACE = ("pid", "first_char", "last_char", "first_word", "words")
 _rng = np.random.default_rng(5)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-SENTENCE = re.compile(r".+?(?:[.!?]+(?=\s)|\Z)", re.S)
+SENTENCE = re.compile(r".+?(?:[.!?]+(?=[\x20\x09-\x0D])|\Z)", re.S)
 SPACED_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SPACES = " \t\n\v\f\r"
 
 
-def paragraphs(text: str | None):
-    """(line, start, end, text) of each paragraph; start and end in code points."""
-    at = 0
+def blocks(text: str | None):
+    """(line, start, first word, lines with their words) of each run of lines with words; start in code points."""
+    at = word = 0
+    first, held = None, []
     for i, line in enumerate((text or "").split("\n")):
-        if len(utf8(line).split()) >= MIN_WORDS:
-            yield i, at, at + len(line), line
-        at += len(line) + 1
+        n = len(utf8(line).split())
+        if n:
+            first = first or (i, at, word)
+            held.append((line, n))
+        elif held:
+            yield *first, held
+            first, held = None, []
+        at, word = at + len(line) + 1, word + n
+    if held:
+        yield *first, held
+
+
+def paragraphs(text: str | None):
+    """(number, start, end, first word, words, text) of each line of MIN_WORDS words and each block of several lines."""
+    for i, start, word, lines in blocks(text):
+        at, n = start, word
+        for k, (line, words) in enumerate(lines):
+            if words >= MIN_WORDS:
+                yield i + k, at, at + len(line), n, words, line
+            at, n = at + len(line) + 1, n + words
+        if len(lines) > 1 and n - word >= MIN_WORDS:
+            yield BLOCK + i, start, at - 1, word, n - word, "\n".join(line for line, _ in lines)
+
+
+def cuts(words: list[bytes]) -> list[int]:
+    """Where a long sentence is cut: ends of its parts, in words. Each depends on the words next to it only."""
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    n = len(h)
+    ends = [i + 1 for i in range(UNIT_WORDS - 1, n - UNIT_WORDS) if h[i] < min(h[max(0, i - NEAR_WORDS) : i]) and h[i] < min(h[i + 1 : i + 1 + NEAR_WORDS])]
+    return [*ends, n]
 
 
 def units(text: str | None):
-    """(start, end, normal bytes, words) of each unit, in order."""
-    at = 0
-    for line in (text or "").split("\n"):
-        for m in SENTENCE.finditer(line):
-            words = utf8(m[0]).lower().split()
-            if len(words) <= LONG_SENTENCE:
-                if len(words) >= UNIT_WORDS:
-                    yield at + m.start(), at + m.end(), b" ".join(words), len(words)
+    """(start, end, normal bytes, words, first word) of each unit, in order."""
+    for _, start, word, lines in blocks(text):
+        block = "\n".join(line for line, _ in lines)
+        first, held = None, []
+        for m in SENTENCE.finditer(block):
+            own = utf8(m[0]).lower().split()
+            if not own:
+                continue
+            if first is None:
+                first = m.end() - len(m[0].lstrip(SPACES))
+            held += own
+            if len(held) < UNIT_WORDS:
                 continue
+            end = m.start() + len(m[0].rstrip(SPACES))
+            if len(held) <= LONG_SENTENCE:
+                yield start + first, start + end, b" ".join(held), len(held), word
+            else:
+                places, a = [w.span() for w in SPACED_WORD.finditer(block, first, end)], 0
+                for b in cuts(held):
+                    yield start + places[a][0], start + places[b - 1][1], b" ".join(held[a:b]), b - a, word + a
+                    a = b
+            word += len(held)
             first, held = None, []
-            for w in SPACED_WORD.finditer(m[0]):
-                first = w.start() if first is None else first
-                word = utf8(w[0]).lower()
-                held.append(word)
-                if len(held) >= UNIT_WORDS and xxhash.xxh3_64_intdigest(word) % 6 == 0:
-                    yield at + m.start() + first, at + m.start() + w.end(), b" ".join(held), len(held)
-                    first, held = None, []
-            if len(held) >= UNIT_WORDS:
-                yield at + m.start() + first, at + m.end(), b" ".join(held), len(held)
-        at += len(line) + 1
 
 
 def normal(line: str) -> bytes:
@@ -84,7 +128,9 @@ def normal(line: str) -> bytes:
 
 
 def bands(members: np.ndarray) -> np.ndarray:
-    """One hash for each band of a set's minimum hashes."""
+    """One hash for each band of a set's minimum hashes; of a small set, one hash of the whole."""
+    if len(members) <= WHOLE_SET:
+        return np.array([xxhash.xxh3_64_intdigest(members.tobytes())], np.uint64).view(np.int64)
     h = members.view(np.uint64)[:, None] * _A + _B
     h ^= h >> np.uint64(31)
     least = h.min(0).reshape(BANDS, ROWS)
@@ -96,28 +142,27 @@ def bands(members: np.ndarray) -> np.ndarray:
 
 
 def find_parts(docs: DataFrame) -> DataFrame:
-    """Paragraphs and units: pid, first_char, last_char, words, sign (of a paragraph), key (of a unit), n (shingles), bands."""
-    target = pa.schema([("pid", pa.int64()), ("first_char", pa.int32()), ("last_char", pa.int32()), ("words", pa.int32()), ("sign", pa.binary()), ("key", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    """Paragraphs and units: pid, first_char, last_char, first_word, words, sign (of a paragraph), key (of a unit), n (shingles), bands."""
+    target = pa.schema([("pid", pa.int64()), *((c, pa.int32()) for c in PLACE[1:]), ("sign", pa.binary()), ("key", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         cache: dict[bytes, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 cols: list[list] = [[] for _ in target]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for i, start, end, line in paragraphs(text):
-                        clean = normal(line)
-                        m = shingles(line, cache)
-                        for c, value in zip(cols, (doc * LINES + i, start, end, clean.count(b" ") + 1, xxhash.xxh3_128_digest(clean), None, len(m), bands(m))):
+                    for i, start, end, word, words, own in paragraphs(text):
+                        m = shingles(own, cache)
+                        for c, value in zip(cols, (doc * LINES + i, start, end, word, words, xxhash.xxh3_128_digest(normal(own)), None, len(m), bands(m))):
                             c.append(value)
-                    for start, end, clean, n in units(text):
-                        for c, value in zip(cols, (doc * LINES, start, end, n, None, xxhash.xxh3_64_intdigest(clean) - (1 << 63), None, None)):
+                    for start, end, clean, words, word in units(text):
+                        for c, value in zip(cols, (doc * LINES, start, end, word, words, None, xxhash.xxh3_64_intdigest(clean) - (1 << 63), None, None)):
                             c.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
 
     ship(docs.sparkSession)
-    return docs.where("id is not null").mapInArrow(run, "pid long, first_char int, last_char int, words int, sign binary, key long, n int, bands array<long>")
+    return docs.where("id is not null").mapInArrow(run, "pid long, first_char int, last_char int, first_word int, words int, sign binary, key long, n int, bands array<long>")
 
 
 def paragraph_sets(docs: DataFrame, pids: DataFrame) -> DataFrame:
@@ -130,11 +175,11 @@ def paragraph_sets(docs: DataFrame, pids: DataFrame) -> DataFrame:
         for batch in batches:
             ids, sets = [], []
             for doc, text, lines in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = (text or "").split("\n")
-                for pid in lines:
-                    if pid - doc * LINES < len(rows):
-                        ids.append(pid)
-                        sets.append(shingles(rows[pid - doc * LINES], cache))
+                wanted = set(lines)
+                for i, *_, own in paragraphs(text):
+                    if doc * LINES + i in wanted:
+                        ids.append(doc * LINES + i)
+                        sets.append(shingles(own, cache))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=target)
 
     ship(docs.sparkSession)
@@ -145,17 +190,16 @@ def paragraph_sets(docs: DataFrame, pids: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, first_char, last_char, words, first_doc: paragraphs and units that another document holds too, with the smallest
-    id that holds them."""
+    """id, first_char, last_char, first_word, words, first_doc, unit, part: paragraphs and units that another document holds
+    too, with the smallest id that holds them, whether it is a unit, and its component or the unit's key."""
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     doc_of = lambda c: F.floor(F.col(c) / LINES).cast("long")
     full = stage(find_parts(own), "parts")
     kept = full.where("sign is not null").groupBy("sign").agg(F.min("pid").alias("id"), F.max("pid").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     kept = stage(kept, "classes")
-    place = ("pid", "first_char", "last_char", "words")
-    found = stage(full.where("sign is not null").select(*place, "sign"), "paragraphs")
-    loose = stage(full.where("key is not null").select(*place, "key"), "units")
+    found = stage(full.where("sign is not null").select(*PLACE, "sign"), "paragraphs")
+    loose = stage(full.where("key is not null").select(*PLACE, "key"), "units")
     unstage(full)
     release(spark)
     postings = kept.select(F.explode("bands").alias("key"), "id", "n")
@@ -163,51 +207,120 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     group = stage(kept.select("sign", "id", "last").join(linked.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "groups")
     spread = group.groupBy("component").agg(F.min("id").alias("lo"), F.max("last").alias("hi"))
     spread = stage(spread.where(doc_of("lo") < doc_of("hi")).select("component", doc_of("lo").alias("first_doc")), "spread")
-    group = stage(group.join(spread.hint("merge"), "component").select("sign", "first_doc"), "repeated_signs")
+    group = stage(group.join(spread.hint("merge"), "component").select("sign", "component", "first_doc"), "repeated_signs")
     unstage(kept)
     release(spark)
-    lines = found.join(group.hint("merge"), "sign").select(*place, "first_doc")
+    lines = found.join(group.hint("merge"), "sign").select(*PLACE, "first_doc", F.lit(False).alias("unit"), F.col("component").alias("part"))
     often = loose.groupBy("key").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi")
     often = stage(often.select("key", doc_of("lo").alias("first_doc")), "repeated_units")
     release(spark)
-    inside = loose.join(often.hint("merge"), "key").select(*place, "first_doc")
+    inside = loose.join(often.hint("merge"), "key").select(*PLACE, "first_doc", F.lit(True).alias("unit"), F.col("key").alias("part"))
     return lines.unionByName(inside).withColumn("id", doc_of("pid")).drop("pid")
 
 
-def runs(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, first document) of the runs of neighbouring parts that have enough words."""
-    out: list[list[int]] = []
-    for start, end, words, first in sorted(set(parts), key=lambda p: (p[0], -p[1])):
-        if out and end <= out[-1][1]:  # inside what is there: a unit of a repeated paragraph
-            out[-1][3] = min(out[-1][3], first)
-        elif out and start <= out[-1][1] + GAP:
-            out[-1][2] += words if start >= out[-1][1] else max(0, words - 1)
-            out[-1][1], out[-1][3] = end, min(out[-1][3], first)
-        else:
-            out.append([start, end, words, first])
-    return [tuple(r) for r in out if r[2] >= MIN_RUN]
+def inside(parts: list[tuple]) -> list[bool]:
+    """For each (start, end, unit, ...) in order of start, longest first, whether a paragraph before it in the list holds it."""
+    out, reach = [], -1
+    for start, end, unit, *_ in parts:
+        out.append(end <= reach)
+        if not unit:
+            reach = max(reach, end)
+    return out
 
 
-def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each passage of a document that another document holds too: the document's id, first_doc_id (the smallest id that
-    holds a part of it), first_char and last_char (code points, end exclusive), n_words, removed (another document keeps it).
-    Documents without such passages have no row."""
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans without overlaps that cover the same, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of spans isn't in kept; both as union() gives them."""
+    out, k = [], 0
+    for start, end in spans:
+        while k < len(kept) and kept[k][1] <= start:
+            k += 1
+        j = k
+        while j < len(kept) and kept[j][0] < end:
+            if start < kept[j][0]:
+                out.append((start, kept[j][0]))
+            start = kept[j][1]
+            j += 1
+        if start < end:
+            out.append((start, end))
+    return out
+
+
+def runs(doc: int, parts: list[tuple[int, int, int, int, int]], least_words: int = MIN_RUN) -> list[tuple[int, int, int, int, bool]]:
+    """(start, end, words, first document, removed) of a document's passages; parts: (start, end, first word, words, first
+    document). A part is kept where this document is its first, and removed elsewhere but for what is kept."""
+    word = {p[0]: p[2] for p in parts} | {p[1]: p[2] + p[3] for p in parts}
+    kept = union([(p[0], p[1]) for p in parts if p[4] == doc])
+    gone = without(union([(p[0], p[1]) for p in parts if p[4] != doc]), kept)
+    out: list[list] = []
+    for start, end, removed in sorted([(*s, False) for s in kept] + [(*s, True) for s in gone]):
+        if out and out[-1][4] == removed and word[out[-1][1]] == word[start]:
+            out[-1][1] = end
+        else:
+            out.append([start, end, 0, doc, removed])
+    starts = [r[0] for r in out]
+    firsts: list[list[int]] = [[] for _ in out]
+    for start, end, _, _, first in parts:
+        k = max(0, bisect_right(starts, start) - 1)
+        while k < len(out) and out[k][0] < end:
+            if first != doc and out[k][4] and start < out[k][1]:
+                firsts[k].append(first)
+            k += 1
+    for r, found in zip(out, firsts):
+        r[2], r[3] = word[r[1]] - word[r[0]], min(found, default=doc)
+    return [tuple(r) for r in out if r[2] >= least_words]
+
+
+def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = MIN_RUN) -> DataFrame:
+    """One row for each passage of at least least_words words of a document that another document holds too: the document's id,
+    first_doc_id (its own id where it keeps the passage, else the smallest id that keeps a part of it), first_char and
+    last_char (code points, end exclusive), n_words, removed (others keep it). Documents without such passages have no row."""
     rows = repeated(docs, id_col, text_col)
+    part = ("first_char", "last_char", "unit", "first_word", "words", "first_doc", "part")
     # a document's own parts: bounded by its text
-    per = stage(rows.groupBy("id").agg(F.collect_list(F.struct("first_char", "last_char", "words", "first_doc")).alias("parts")), "by_document")
+    per = stage(rows.groupBy("id").agg(F.collect_list(F.struct(*part)).alias("parts")), "parts_by_document")
+
+    def mark():
+        def step(batch):
+            out: dict[str, list] = {n: [] for n in ("id", "nested", *part)}
+            for i, parts in zip(batch["id"], batch["parts"]):
+                own = sorted({tuple(p[n] for n in part) for p in parts}, key=lambda p: (p[0], -p[1], p[2]))
+                for p, nested in zip(own, inside(own)):
+                    for n, v in zip(out, (i, nested, *p)):
+                        out[n].append(v)
+            return out
+
+        return step
+
+    # whoever stands inside repeated paragraphs everywhere goes or stays with them
+    marked = stage(arrow_map(per, mark, "id long, nested boolean, first_char int, last_char int, unit boolean, first_word int, words int, first_doc long, part long"), "marked")
+    free = marked.where("not nested")
+    deep = marked.where("nested").join(free.select("unit", "part").distinct().hint("merge"), ["unit", "part"], "left_semi")
+    own = free.unionByName(deep).groupBy("id").agg(F.collect_list(F.struct("first_char", "last_char", "first_word", "words", "first_doc")).alias("parts"))
+    own = stage(own, "by_document")
 
     def make():
         def step(batch):
             out: dict[str, list] = {n: [] for n in ("id", "first_doc_id", "first_char", "last_char", "n_words", "removed")}
             for i, parts in zip(batch["id"], batch["parts"]):
-                for start, end, words, first in runs([(p["first_char"], p["last_char"], p["words"], p["first_doc"]) for p in parts]):
-                    for n, v in zip(out, (i, first, start, end, words, first != i)):
+                for start, end, words, first, removed in runs(i, [(p["first_char"], p["last_char"], p["first_word"], p["words"], p["first_doc"]) for p in parts], least_words):
+                    for n, v in zip(out, (i, first, start, end, words, removed)):
                         out[n].append(v)
             return out
 
         return step
 
-    return arrow_map(per, make, "id long, first_doc_id long, first_char long, last_char long, n_words long, removed boolean").withColumnRenamed("id", id_col)
+    return arrow_map(own, make, "id long, first_doc_id long, first_char long, last_char long, n_words long, removed boolean").withColumnRenamed("id", id_col)
 
 
 def remove_passages(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -137,5 +137,49 @@ class TestParagraphs:
         cut = lambda before: {u[2] for u in para_dedup.units(f"{before} {passage} tail tail tail")}
         assert sum(len(x.split()) for x in cut("a b c d e f g") & cut("some other words stand here before it")) >= 40
 
+    def line(self, rng, n, every=12):
+        return " ".join(f"w{rng.randrange(5000)}" + ("." if k % every == every - 1 else "") for k in range(n))
+
+    def test_short_wrapped_and_edited(self, spark):
+        rng = random.Random(10)
+        line = lambda n: self.line(rng, n)
+        near, notice, wrapped, five = line(28).replace(".", ""), line(7).replace(".", ""), line(60).split(), line(60).split(". ")
+        lines = lambda n: "\n".join(" ".join(wrapped[i : i + n]) for i in range(0, 60, n))
+        edited = [*five[:2], line(12).rstrip("."), *five[3:]]
+        other = near.replace(near.split()[-1], "changed")
+        rows = [(1, f"{line(40)}\n{near}"), (2, f"{other}\n{line(40)}"), (3, f"{notice}\n{line(40)}"), (4, f"{line(40)}\n{notice}")]
+        rows += [(5, f"{line(36)}\n{lines(11)}\n{line(24)}"), (6, f"{line(24)}\n{lines(14)}\n{line(36)}"), (7, f"{line(36)} {'. '.join(five)} {line(36)}"), (8, f"{line(36)} {'. '.join(edited)} {line(36)}")]
+        d, got = spark.createDataFrame(rows, "doc_id long, text string"), {}
+        for r in para_dedup.dedup_paragraphs(d, least_words=para_dedup.MIN_WORDS).collect():
+            got.setdefault(r["doc_id"], []).append((r["first_doc_id"], r["removed"], r["n_words"]))
+        assert {i: sorted(x) for i, x in got.items()} == {
+            **{1: [(1, False, 28)], 2: [(1, True, 28)], 3: [(3, False, 7)], 4: [(3, True, 7)], 5: [(5, False, 60)], 6: [(5, True, 60)]},
+            **{7: [(7, False, 24)] * 2, 8: [(7, True, 24)] * 2},
+        }
+
+    def test_cuts_depend_on_words_near_by(self):
+        rng = random.Random(11)
+        words = [b"%d" % rng.randrange(5000) for _ in range(400)]
+        whole = set(para_dedup.cuts(words))
+        for start in range(1, 60):
+            assert {c + start for c in para_dedup.cuts(words[start:])} - whole <= set(range(start, start + 10)) and {c for c in whole if c > start + 10} <= {c + start for c in para_dedup.cuts(words[start:])}
+
+    def test_what_is_removed_stays_in_its_first_document(self, spark):
+        rng = random.Random(12)
+        line = lambda n: self.line(rng, n)
+        p, p1, p2, stock = line(48), line(48), line(48), line(12)
+        p = f"{p} {stock}"
+        near = p1.split()
+        near[30] = "changed"
+        edit = " ".join(near).split(". ")[2] + "."  # stands in a near copy, and by itself
+        rows = [(2, f"{stock} {line(30)}\n{p1}"), (5, f"{p}\n{line(40)}\n{p1}\n{p2}"), (7, f"{line(20)}\n{' '.join(near)}"), (9, f"{p2}\n{line(40)}\n{p}"), (11, f"{line(36)} {edit} {line(36)}")]
+        d, text = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+        gone = {}
+        for r in para_dedup.dedup_paragraphs(d, least_words=para_dedup.MIN_WORDS).where("removed").collect():
+            gone.setdefault(r["doc_id"], []).append((r["first_char"], r["last_char"]))
+        left = {i: para_dedup.remove_passages(t, gone.get(i, [])) for i, t in text.items()}
+        assert p in left[5] and p not in left[9] and p2 in left[5] and p2 not in left[9] and p1 in left[2] and p1 not in left[5]
+        assert edit in left[7] and edit not in left[11] and stock in left[2]
+
     def test_empty_table(self, spark):
         assert para_dedup.dedup_paragraphs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
