@@ -51,8 +51,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the encoding of each row."""
-    return piece_lattice.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=("lang", "source"))
+    """doc_id, lang, source and the encoding of each row, its ids among it."""
+    return piece_lattice.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, carry=("lang", "source"))
 
 
 STAGES = [("toxicity", toxic_out), ("near_duplicates", near_duplicates_out), ("secrets", secrets_out), ("mixture", mixture), ("pieces", pieces)]

@@ -46,3 +46,12 @@ def test_stages(spark, sf_dir):
     for r in d5:
         assert r["n_pieces"] == len(lib.encode(kept[r["doc_id"]]["text"])) and r["decoded"]
     assert c.run(spark, sf_dir).count() == len(d5)
+
+
+def test_ids_of_the_last_stage_give_the_text(spark):
+    import corpus_pipeline as c
+
+    texts = {1: "some words, and more of them", 2: "naïve café 123", 3: ""}
+    d = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r["doc_id"]: lib.decode(list(r["ids"])) for r in c.pieces(spark, d, "").collect()} == texts
