@@ -3,13 +3,14 @@
 Each page is cut into blocks, each with the path of elements around it. A path is generalised to tags with their first
 class, without positions and ids. A page scores its containers by the text in them less the text of links, and gives its
 best one, and every container near it, a vote. Spark sums the votes by host and path; the winning path of the host then
-says, on every page of it, which blocks are the text. A page without that path uses its own best container.
+says, on every page of it, which blocks are the text. A page of which that path holds clearly less
+than its own best container uses that one.
 
 Parts that are never text (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles,
 comments of readers) are left out by tag, role or class, inside the winning container too.
 
 A null html counts as empty; a page without text gives an empty string. A null or odd url belongs to the host "". Pages
-are never cut or capped. Ties between paths go to the shallower, then the smaller by code point. Repeated rows are
+are never cut or capped. Ties between paths go to the deeper, then the smaller by code point. Repeated rows are
 handled one by one, further columns don't matter, and an empty table gives an empty result.
 """
 
@@ -128,21 +129,20 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 def container_scores(parts: list[tuple[tuple[str, ...], str, int]]) -> dict[str, float]:
-    """Score of each container: its text that is not in links, with a little off for each step up, so that the
-    narrowest container of the whole text wins."""
+    """Score of each container: its text that is not in links."""
     own: dict[str, float] = defaultdict(float)
     for path, text, link in parts:
         value = max(0.0, len(text) - 3.0 * link)
         for depth in range(1, len(path) + 1):
             if path[depth - 1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "blockquote", "pre", "dd", "dt"):
                 break
-            # each further level inside adds a little, less than any paragraph outside it would
-            own["/".join(path[:depth])] += value * (1 + 0.01 * min(depth, 20))
+            own["/".join(path[:depth])] += value
     return dict(own)
 
 
 def best(scores: dict[str, float]) -> str:
-    return min(scores, key=lambda p: (-scores[p], p.count("/"), p), default="")
+    """The narrowest of the containers that hold most: one that leaves out scored text never wins."""
+    return min(scores, key=lambda p: (-scores[p], -p.count("/"), p), default="")
 
 
 def text_under(parts: list[tuple[tuple[str, ...], str, int]], path: str) -> str:
@@ -153,6 +153,10 @@ def text_under(parts: list[tuple[tuple[str, ...], str, int]], path: str) -> str:
 
 #: Up to this many hosts the winning paths go to every task; beyond, pages are joined with them by host.
 BROADCAST_HOSTS = 50_000
+#: A page's full vote; so fine that leaving out one character of a page shows.
+VOTE = 10**9
+#: A page whose text under its host's path scores less than this share of its best container uses its own.
+COVERED = 0.9
 
 
 def host_paths(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -168,7 +172,7 @@ def host_paths(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     if top > 0:
                         for p, s in scores.items():
                             if s >= 0.5 * top:
-                                sums[host_of(url), p] += round(1000 * s / top)
+                                sums[host_of(url), p] += int(VOTE * s / top)
             keys = sorted(sums)
             return {"host": [k[0] for k in keys], "path": [k[1] for k in keys], "votes": [int(sums[k]) for k in keys]}
 
@@ -177,8 +181,8 @@ def host_paths(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     votes = arrow_map(pages.select(pages[url_col].alias("url"), pages[html_col].alias("html")), make, "host string, path string, votes long")
     total = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     depth = F.size(F.split("path", "/"))
-    # the largest vote wins; ties go to the shallower path, then to the smaller one
-    return total.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), depth, F.col("path"))).alias("path"))
+    # the largest vote wins; ties go to the deeper path, then to the smaller one
+    return total.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -depth, F.col("path"))).alias("path"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -197,9 +201,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts, used = [], []
             for page, path in zip(batch["html"], batch["path"]):
                 parts = blocks(page)
+                scores = container_scores(parts)
+                own = best(scores)
                 text = text_under(parts, path) if path else ""
-                if not text:
-                    path = best(container_scores(parts))
+                if not text or scores.get(path, 0.0) < COVERED * scores.get(own, 0.0):
+                    path = own
                     text = text_under(parts, path)
                 texts.append(text)
                 used.append(path)

@@ -196,6 +196,13 @@ class TestPages:
             parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body))
             assert r["text"] == "\n\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
 
+    def test_heading_outside_a_long_body_stays(self, spark):
+        page = "<body><article><h1>A heading</h1><div class=body><p>%s</p></div></article></body>"
+        rows = [(i, "http://a.example/x", page % ("word " * 2000)) for i in range(5)] + [(9, "http://a.example/y", page % "short")]
+        rows += [(10, "http://a.example/z", "<body><article><h1>H</h1></article><div><p>%s</p></div></body>" % ("other text " * 50))]
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(got[i].startswith("A heading\n\n") for i in (0, 4, 9)) and "other text" in got[10]
+
     def test_parts_that_are_not_text(self, spark):
         page = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav>menu</nav><div id=main class="post c12">
         <h1>Title &amp; more</h1><p>First <b>bold</b>
