@@ -47,6 +47,7 @@ class PrefixCounter:
         #: what tokens begin with, and whether that is a token
         self.starts = {t[:n]: False for t in self.ids for n in range(1, len(t))} | dict.fromkeys(self.ids, True)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
+        self.longest = max(map(len, self.ids))
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.ok: dict[tuple[bytes, bytes], bool] = {}
         self.counts: dict[str, int] = {}
@@ -133,19 +134,34 @@ class PrefixCounter:
         return out
 
     def fit(self, text: str, budget: int) -> int:
-        """The largest end of a piece, in characters, up to which the text has at most `budget` tokens."""
-        pieces, total = self.cumulative(text)
-        at = 0
-        for piece, n in zip(pieces, total, strict=True):
-            if n > budget:
-                break
-            at += len(piece)
+        """The length in characters of a prefix of the text with at most `budget` tokens, cut inside the piece where the
+        budget ends by that piece's own table."""
+        return self.fit_pieces(*self.cumulative(text), budget)
+
+    def fit_pieces(self, pieces: list[str], total: list[int], budget: int) -> int:
+        at = before = 0
+        for k, (piece, upto) in enumerate(zip(pieces, total, strict=True)):
+            if upto > budget:
+                return at + self.cut_in(pieces[k - 1] if k else "", piece, budget - before)
+            at, before = at + len(piece), upto
         return at
 
+    def cut_in(self, last: str, piece: str, room: int) -> int:
+        """How many characters of a piece that follows `last` have at most `room` tokens and stay a piece when cut there."""
+        if room <= 0 or self.special is not None and self.special.fullmatch(piece):
+            return 0
+        head = piece[: room * self.longest]  # no more can fit
+        count, ends = self.table(utf8(head)), list(accumulate(len(utf8(c)) for c in head))
+        for n in range(min(len(head), len(piece) - 1), 0, -1):
+            # white space before a cut may join what the cut leaves of the next piece's blank
+            if count[ends[n - 1]] <= room and (not last.isspace() or self.split.findall(last + piece[:n]) == [last, piece[:n]]) and self.split.findall(piece[:n]) == [piece[:n]]:
+                return n
+        return 0
+
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its id, n_bytes, n_tokens, over_limit (more than limit tokens) and fit_chars, the length in
-    characters of its longest run of whole pieces from the start that has at most limit tokens. No shuffle."""
+    characters of a prefix with at most limit tokens, cut inside the piece where the limit is reached. No shuffle."""
 
     def make():
         counter = PrefixCounter(path)
@@ -161,12 +177,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 if n <= limit:
                     fit.append(len(text))
                 else:
-                    end = 0
-                    for piece, upto in zip(pieces, total):
-                        if upto > limit:
-                            break
-                        end += len(piece)
-                    fit.append(end)
+                    fit.append(counter.fit_pieces(pieces, total, limit))
             return {"id": batch["id"], "n_bytes": n_bytes, "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens], "fit_chars": fit}
 
         return step

@@ -38,6 +38,16 @@ class TestTokens:
             fit = (t or "")[: got[i]["fit_chars"]]
             assert len(lib.encode(fit, add_special_tokens=False).ids) <= 513
 
+    def test_budget_ends_inside_a_long_piece(self, texts):
+        lib, own, rng = Tokenizer.from_file(self.path), token_counts.PrefixCounter(self.path), random.Random(5)
+        size = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+        for t in ["".join(rng.choice("abcdefghijklmnop") for _ in range(5000)), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000)), "a \n " + "q" * 4000]:
+            n = own.fit(t, 512)
+            assert size(t[:n]) <= 512 < size(t[: n + 1]) and n > 100
+        for t in texts[:60]:
+            for budget in (1, 7, 40):
+                assert size(t[: own.fit(t, budget)]) <= budget
+
     def test_every_prefix(self, texts):
         lib, own = Tokenizer.from_file(self.path), token_counts.PrefixCounter(self.path)
         for t in [x for x in ODD if x and len(x) < 200] + [t[:150] for t in texts[:40]]:
