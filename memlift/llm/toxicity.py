@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from memlift.llm.common import arrow_map, sample_about, utf8
 
-#: Fitting looks at no more than about so many labelled documents of each class, and at so many characters of each.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2500, 7500, 20_000
+#: Fitting looks at no more than about so many labelled documents of each class, whole.
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 2500, 7500
 WINDOW = 6
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 8_192
 THRESHOLDS = (2, 3, 4, 5, 6, 7, 8)
@@ -138,7 +138,7 @@ def held_out(id_col) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """Learns from a bounded sample of the labelled rows that are not held out."""
-    d = docs.select(docs[id_col].alias("id"), F.substring(docs[text_col], 1, SAMPLE_CHARS).alias("text"))
+    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     y = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & ~held_out(labels[id_col])).select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).distinct()
     picked = sample_about(y.where("y = 1"), SAMPLE_TOXIC, F.col("id")).unionByName(sample_about(y.where("y = 0"), SAMPLE_ORDINARY, F.col("id")))
     rows = d.join(F.broadcast(picked), "id").select("id", "text", "y").collect()  # about ten thousand keys: a known bound

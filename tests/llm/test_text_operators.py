@@ -259,6 +259,17 @@ class TestToxicity:
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
             assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
 
+    def test_fit_reads_whole_texts(self, spark, monkeypatch):
+        seen = []
+        monkeypatch.setattr(toxicity, "train", lambda rows: seen.extend(rows))
+        monkeypatch.setattr(secret_scan, "train", lambda rnd, own: seen.extend(own))
+        d = spark.createDataFrame([(1, "word " * 10_000 + "blorghsnarkfistdunglepot")], "doc_id long, text string")
+        toxicity.fit(d, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+        assert seen[0][0].endswith("blorghsnarkfistdunglepot")
+        seen.clear()
+        secret_scan.fit(d)
+        assert "blorghsnarkfistdunglepot" in seen
+
     def test_no_labels_and_odd_texts(self, spark):
         empty = spark.createDataFrame([], "doc_id long, toxic int")
         d = docs(spark, ODD)
