@@ -3,11 +3,12 @@
 components() gives every linked id the smallest id that its links reach, by alternating large-star and small-star steps:
 each round of joins and grouped minima at least squares what an id has seen, so a few rounds do.
 
-linked_groups() finds the components of "similar enough" among ids that share keys, without making all pairs of a group:
-first each id is checked with the two leaders (smallest and largest id of a key) it shares most keys with; then only pairs that are still in different components
-are made and checked: by key where few ids share it, else by their rarest members. Nothing that is similar stays
-unconnected: a pair that shares enough keys is in one component already, or shares them all with few others, or both have a
-key that many share, and then its rare members bring it together.
+linked_groups() finds the components of "similar enough" among ids that share keys, without making all pairs of a group. Each
+similar pair shares at least met(n) keys, so ids with fewer shared keys go first. Then each id is checked with the two leaders
+(smallest and largest id of a key) it shares most keys with. Only keys whose ids are still in different components go on, and of
+their ids only those with enough such keys. Pairs are then made and checked by key where few ids share it, else by the rarest
+members. Nothing that is similar stays unconnected: a pair that shares enough keys is in one component already, or shares them
+all with few others, or both have a key that many share, and then its rare members bring it together.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlift.llm.common import arrow_rows, release, stage, unstage
@@ -92,52 +93,63 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.hint("broadcast" if few else "merge"), "id", "left_semi")
 
 
-def linked_groups(postings: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, least_met: int = 1) -> DataFrame:
-    """postings: key, id, n (size of the id's set), each (key, id) once. load_sets: from a table of ids to (id, members).
-    A similar pair shares at least least_met keys, or as many as `percent` of the smaller set where that is less.
-    Returns (id, component) of linked ids."""
+def _able(rows: DataFrame, met: Callable[[Column], Column] | None, label: str) -> DataFrame:
+    """Rows (key, id, n, ...) of the ids with as many keys as any similar partner would need.
+
+    A pair shares met() of the smaller set's size at least; seen from the larger set that is two less at most."""
+    if met is None:
+        return rows
+    able = rows.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= met(F.col("n")) - 2).select("id")
+    return rows.join(stage(able, label).hint("merge"), "id")
+
+
+def shared_postings(postings: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """key, id, n, lo, hi (smallest and largest id of the key) of the keys that several ids have. Postings of keys known to
+    be common (hot) are counted before they are shuffled and joined with the counts, so that a hot key can be split."""
+    per = Window.partitionBy("key")
+    out = postings.select("key", "id", "n", F.min("id").over(per).alias("lo"), F.max("id").over(per).alias("hi")).where("lo < hi")
+    if hot is not None:
+        ends = hot.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+        out = out.unionByName(hot.join(ends.hint("merge"), "key").select("key", "id", "n", "lo", "hi"))
+    return out
+
+
+def linked_groups(postings: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, met: Callable[[Column], Column] | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """postings, hot: key, id, n (size of the id's set), each (key, id) once. load_sets: from a table of ids to (id, members).
+    A similar pair shares at least met(n of the smaller) keys (one, where met is None). Returns (id, component) of linked ids."""
     spark = postings.sparkSession
-    often = stage(postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared_keys")
+    found = stage(shared_postings(postings, hot), "shared_postings")
     release(spark)
-    shared = stage(postings.join(often.hint("merge"), "key"), "shared_postings")
-    unstage(often)
+    shared = stage(_able(found, met, "able"), "able_postings") if met else found
+    with arrow_rows(spark, 500):
+        sets = stage(load_sets(stage(shared.select("id").distinct(), "shared_ids")), "sets")
+    if met:
+        unstage(found)
     release(spark)
-    if least_met > 1:  # whoever has fewer shared keys than any partner would need has none; a partner may be smaller
-        fewest = F.least(F.lit(least_met), F.ceil(F.col("n") * percent * percent / 10_000))
-        able = shared.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= fewest).select("id")
-        able = stage(shared.join(stage(able, "able").hint("merge"), "id"), "able_postings")
-        unstage(shared)
-        shared = able
-        release(spark)
-    ends = stage(shared.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "ends")
-    with_ends = shared.join(ends.hint("merge"), "key")
-    need = F.least(F.lit(least_met), F.ceil(F.col("n") * percent / 100))
+    need = met(F.col("n")) if met else F.lit(1)
     first = []
     for end in ("lo", "hi"):  # the leader that shares most keys
-        met = with_ends.where(F.col("id") != F.col(end)).groupBy("id", F.col(end).alias("b")).agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= need)
-        first.append(met.groupBy("id").agg(F.max(F.struct("met", -F.col("b"))).alias("x")).select(F.col("id").alias("a"), (-F.col("x.col2")).alias("b")))
-    first = stage(first[0].unionByName(first[1]).distinct(), "first_pairs")
-    unstage(ends)
-    release(spark)
-    links = _check(first, load_sets, percent, "links_first")
+        most = shared.where(F.col("id") != F.col(end)).groupBy("id", F.col(end).alias("b")).agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= need - 2)
+        first.append(most.groupBy("id").agg(F.max(F.struct("met", -F.col("b"))).alias("x")).select(F.col("id").alias("a"), (-F.col("x.col2")).alias("b")))
+    links = _check(stage(first[0].unionByName(first[1]).distinct(), "first_pairs"), sets, percent, "links_first")
     comp = stage(components(links), "components_first")
-    own = shared.join(comp.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    own = stage(own, "own")
+    own = stage(shared.select("key", "id", "n").join(comp.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "own")
+    unstage(shared, comp)
     release(spark)
     # keys whose ids are in one component already have nothing to add
     mixed = stage(own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "mixed")
-    own = stage(own.join(mixed.hint("merge"), "key"), "mixed_own")
-    unstage(shared, mixed, comp)
+    left = stage(_able(own.join(mixed.hint("merge"), "key"), met, "mixed_able"), "mixed_own")
+    unstage(own, mixed)
     release(spark)
     # keys with a few ids: their pairs. Whoever has a key with many is compared by rare members instead
-    many = stage(own.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > SHORT_KEY).select("key"), "long_keys")
-    few = own.join(many.hint("merge"), "key", "left_anti")
+    many = stage(left.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > SHORT_KEY).select("key"), "long_keys")
+    few = left.join(many.hint("merge"), "key", "left_anti")
     pairs = stage(_pairs(few, percent).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= need).select("a", "b"), "pairs")
-    crowd = stage(own.join(many.hint("merge"), "key", "left_semi").select("id", "n", "component").distinct(), "crowd")
+    crowd = stage(left.join(many.hint("merge"), "key", "left_semi").select("id", "n", "component").distinct(), "crowd")
     release(spark)
-    more = _check(pairs, load_sets, percent, "links_more")
-    rare = _check(stage(_rare_pairs(crowd, load_sets, percent), "rare_pairs"), load_sets, percent, "links_rare")
-    unstage(own, many, crowd)
+    more = _check(pairs, sets, percent, "links_more")
+    rare = _check(stage(_rare_pairs(crowd, sets, percent), "rare_pairs"), sets, percent, "links_rare")
+    unstage(left, many, crowd, sets)
     return components(links.unionByName(more).unionByName(rare))
 
 
@@ -154,14 +166,13 @@ def _pairs(rows: DataFrame, percent: int, places: bool = False) -> DataFrame:
     return x.hint("merge").join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b", F.least("na", "nb").alias("n"))
 
 
-def _rare_pairs(crowd: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _rare_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest members; crowd: id, n, component.
 
     With members ordered by how often they occur among these ids, a pair that is similar enough shares one of each set's
     first n - ceil(percent * n) + 1. Versions of a text have their own edits there, so a group of versions that aren't
     similar makes hardly any pairs, however large it is."""
-    with arrow_rows(crowd.sparkSession, 500):
-        sets = stage(load_sets(crowd.select("id")).join(crowd.hint("merge"), "id"), "crowd_sets")
+    sets = stage(sets.join(crowd.hint("merge"), "id"), "crowd_sets")
     rows = sets.select("id", F.explode("members").alias("key"))
     often = stage(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "crowd_counts")
     shared = rows.join(often.hint("merge"), "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared"))
@@ -174,12 +185,11 @@ def _rare_pairs(crowd: DataFrame, load_sets: Callable[[DataFrame], DataFrame], p
     return _pairs(keys.join(mixed.hint("merge"), "key"), percent, places=True).select("a", "b").distinct()
 
 
-def _check(pairs: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, label: str) -> DataFrame:
-    """The pairs that are similar; sets are loaded for their ids only and deleted afterwards."""
+def _check(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """The pairs that are similar; of sets, those of their ids are moved only."""
     ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = stage(load_sets(ids), "sets")
     with arrow_rows(pairs.sparkSession, 500):
-        links = stage(verified(pairs, sets, percent), label)
-    unstage(ids, sets, pairs)
+        links = stage(verified(pairs, only(sets, ids), percent), label)
+    unstage(ids, pairs)
     release(pairs.sparkSession)
     return links

@@ -4,7 +4,8 @@ A document's set has its distinct shingles of five lower-cased words. Two docume
 overlap is at least T = ceil(0.8 / 1.8 * (s + t)), which for any partner is at least ceil(0.8 * s). DivideSkip splits a
 document's inverted lists by length: of its s lists, the T - 1 longest are only probed, and each partner must occur in one
 of the s - T + 1 shorter ones; with T - 10 probed lists, a partner must occur in 10 of the s - T + 10 shorter ones, which keeps
-chance meetings out. Lists are ordered by how often a shingle occurs (frequent ones last, others by hash), the
+chance meetings out; of large sets it is T - s / 10 probed lists and s / 10 meetings, so documents that share a passage only
+drop out by their counts alone. Lists are ordered by how often a shingle occurs (frequent ones last, others by hash), the
 same for all documents, so the short lists are each set's first entries. The short lists are merged by Spark's sort-merge
 joins and counts of (document, partner); the long ones are probed by binary search in the partner's sorted set, which gives
 the exact overlap.
@@ -25,130 +26,118 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import release, stage, unstage, utf8
-from memlift.llm.components import linked_groups, only
+from memlift.llm.common import release, stage, unstage
+from memlift.llm.components import BROADCAST_IDS, linked_groups, only
+from memlift.llm.wordhash import shingle_sets
 from memlift.shipping import ship
 
 SHINGLE = 5
 PERCENT = 80
 #: So many shingles at most are known as frequent: 6.4 MB that goes to each task.
 FREQUENT = 400_000
-#: A partner must occur in so many short lists (in all that an overlap needs, where that is fewer).
+#: A partner must occur in so many short lists and in a tenth of the set's size (in all that an overlap needs, where that is fewer).
 LEAST_MET = 10
-_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    words = utf8(text).lower().split()  # bytes: A-Z only
-    if not words:
-        return np.empty(0, np.int64)
-    if len(cache) > 400_000:
-        cache.clear()
-    hashes = []
-    for w in words:
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(h)
-    h = np.array(hashes, np.uint64)
-    k = min(SHINGLE, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = (out ^ h[i : len(h) - k + 1 + i]) * _MULTIPLY
-        out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return np.unique(out.view(np.int64))
-
-
-def short_lists(members: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The s - T + LEAST_MET members that come first in the order of lists."""
+#: Counts of shingles in a split are taken over so many at a time.
+AT_ONCE = 4_000_000
+LONGS = pa.list_(pa.int64())
+
+
+def lists_met(n: int, percent: int = PERCENT) -> int:
+    """How many of a set's short lists each partner occurs in."""
+    return min(-(-percent * n // 100), max(LEAST_MET, n // 10))
+
+
+def lists_met_column(n: Column, percent: int = PERCENT) -> Column:
+    return F.least(F.ceil(n * percent / 100), F.greatest(F.lit(LEAST_MET), F.floor(n / 10)))
+
+
+def short_lists(members: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The s - T + lists_met(s) members that come first in the order of lists: those that aren't known as frequent, by hash,
+    and after them those that are, from the rarest on. members and frequent are sorted."""
     s = len(members)
-    need = -(-percent * s // 100)
-    n = s - need + min(LEAST_MET, need)
-    if not s:
-        return members
-    order = np.zeros(s, np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
-        hit = frequent[at] == members
-        order[hit] = rank[at[hit]] + 1
-    return members[np.lexsort((members, order))[:n]]
+    n = s - -(-percent * s // 100) + lists_met(s, percent)
+    if not s or not len(frequent):
+        return members[:n], members[:0]
+    at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
+    hit = frequent[at] == members
+    rare = members[~hit][:n]
+    known = members[hit]
+    return rare, known[np.argsort(rank[at[hit]], kind="stable")][: n - len(rare)]
+
+
+def _sets_of(batch: pa.RecordBatch, column: int):
+    """(first row, sets) of a batch in pieces of bounded size."""
+    for at in range(0, batch.num_rows, 500):
+        yield at, shingle_sets(batch.column(column).slice(at, 500).to_pylist(), SHINGLE)
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The shingles with the largest sums of counts in splits, sorted, each with its place from the rarest on."""
     target = pa.schema([("key", pa.int64()), ("c", pa.int64())])
 
+    def counts(held):
+        keys = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        c = np.diff(np.append(first, len(keys)))
+        hit = c >= 3
+        return pa.RecordBatch.from_arrays([pa.array(keys[first[hit]]), pa.array(c[hit])], schema=target)
+
     def run(batches):
-        cache: dict[bytes, int] = {}
         held, total, seen = [], 0, (set(), set())
-
-        def counts():
-            keys, c = np.unique(np.concatenate(held), return_counts=True)
-            hit = c >= 3
-            return pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(c[hit])], schema=target)
-
         for batch in batches:
-            for text in batch.column(0):
-                m = shingles(text.as_py(), cache)
-                if not len(m) or m[0] in seen[0] or m[-1] in seen[1]:  # copies, near ones too, don't make a shingle frequent
-                    continue
-                seen[0].add(m[0])
-                seen[1].add(m[-1])
-                held.append(m)
-                total += len(m)
-                if total > 4_000_000:
-                    yield counts()
-                    held, total, seen = [], 0, (set(), set())
+            for _, sets in _sets_of(batch, 0):
+                for m in sets:
+                    if not len(m) or m[0] in seen[0] or m[-1] in seen[1]:  # copies, near ones too, don't make a shingle frequent
+                        continue
+                    seen[0].add(m[0])
+                    seen[1].add(m[-1])
+                    held.append(m)
+                    total += len(m)
+                    if total > AT_ONCE:
+                        yield counts(held)
+                        held, total, seen = [], 0, (set(), set())
         if total:
-            yield counts()
+            yield counts(held)
 
     ship(docs.sparkSession)
     seen = docs.select("text").mapInArrow(run, "key long, c long")
-    top = seen.groupBy("key").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "key").limit(FREQUENT).collect()
-    keys = np.array([r["key"] for r in top], np.int64)
-    place = np.arange(len(top), 0, -1, dtype=np.int64)
+    top = seen.groupBy("key").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "key").limit(FREQUENT).toArrow()
+    keys = top.column("key").to_numpy()
+    place = np.arange(len(keys), 0, -1, dtype=np.int64)
     order = np.argsort(keys)
     return keys[order], place[order]
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, sign (16 bytes of the set) and short, the set's short lists; docs: id, text."""
+    """id, n_shingles, sign (16 bytes of the set) and its short lists, in short those not known as frequent and in hot the
+    rest; docs: id, text."""
     frequent, rank = _frequent(docs)
     sent = docs.sparkSession.sparkContext.broadcast((frequent, rank))
-    target = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("sign", pa.binary()), ("short", pa.list_(pa.int64()))])
+    target = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("sign", pa.binary()), ("short", LONGS), ("hot", LONGS)])
 
     def run(batches):
-        cache: dict[bytes, int] = {}
         known, place = sent.value
         for batch in batches:
-            n, sign, short = [], [], []
-            for text in batch.column(1):
-                m = shingles(text.as_py(), cache)
-                n.append(len(m))
-                sign.append(xxhash.xxh3_128_digest(m.tobytes()))
-                short.append(short_lists(m, known, place, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sign, pa.binary()), pa.array(short, pa.list_(pa.int64()))], schema=target)
+            for at, sets in _sets_of(batch, 1):
+                both = [short_lists(m, known, place, percent) for m in sets]
+                cols = [[len(m) for m in sets], [xxhash.xxh3_128_digest(m.tobytes()) for m in sets], [x[0] for x in both], [x[1] for x in both]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), *(pa.array(c, f.type) for c, f in zip(cols, list(target)[1:]))], schema=target)
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, "id long, n_shingles long, sign binary, short array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, sign binary, short array<long>, hot array<long>")
 
 
 def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, members) of the documents in ids."""
-    target = pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))])
+    target = pa.schema([("id", pa.int64()), ("members", LONGS)])
 
     def run(batches):
-        cache: dict[bytes, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), cache) for t in part.column(1)], pa.list_(pa.int64()))], schema=target)
+            for at, sets in _sets_of(batch, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(sets, LONGS)], schema=target)
 
     return only(docs, ids).select("id", "text").mapInArrow(run, "id long, members array<long>")
 
@@ -158,17 +147,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     full = stage(classes(own, percent), "classes")
-    # one row for each set; the short lists are the set's, so any copy's will do
-    kept = full.where("n_shingles > 0 and id is not null").groupBy("sign").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
-    kept = stage(kept, "representatives")
-    found = stage(full.drop("short"), "signs")
-    unstage(full)
+    # one id stands for each set; the others' lists are left out
+    known = full.where("n_shingles > 0 and id is not null")
+    copied = stage(known.groupBy("sign").agg(F.min("id").alias("class_id"), F.count("*").alias("c")).where("c > 1").select("sign", "class_id"), "copied")
+    others = stage(known.select("id", "sign").join(copied.hint("merge"), "sign").where("id != class_id").select("id", "sign").distinct(), "others")
+    lists = known.join(others.hint("broadcast" if others.count() <= BROADCAST_IDS else "merge"), ["id", "sign"], "left_anti")
+    n = F.col("n_shingles").cast("int").alias("n")
+    postings, hot = (lists.select(F.explode(c).alias("key"), "id", n) for c in ("short", "hot"))
+    linked = linked_groups(postings, lambda ids: member_sets(own, ids), percent, lambda n: lists_met_column(n, percent), hot)
+    linked = stage(linked.withColumnRenamed("id", "class_id"), "linked")
+    found = stage(full.select("id", "n_shingles", "sign"), "signs")
+    unstage(full, others)
     release(spark)
-    postings = kept.select(F.explode("short").alias("key"), "id", F.col("n").cast("int").alias("n"))
-    linked = linked_groups(postings, lambda ids: member_sets(own, ids), percent, LEAST_MET)
-    group = kept.select("sign", F.col("id").alias("class_id")).join(linked.withColumnRenamed("id", "class_id").hint("merge"), "class_id", "left")
-    group = stage(group.select("sign", "class_id", F.coalesce("component", "class_id").alias("component_id")), "groups")
-    unstage(kept)
-    out = found.join(group.hint("merge"), "sign", "left")
-    lone = F.col("n_shingles") == 0
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(lone, F.col("id")).otherwise(F.coalesce("class_id", "id")).alias("class_id"), F.when(lone, F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
+    out = found.join(copied.hint("merge"), "sign", "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "id")).otherwise(F.col("id")))
+    out = out.join(linked.hint("merge"), "class_id", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from memlift.llm.common import arrow_map, release, stage, unstage, utf8
 from memlift.llm.components import BROADCAST_IDS, linked_groups
-from memlift.llm.ngram_join import shingles
+from memlift.llm.wordhash import lower_words, shingle_set, word_hashes
 from memlift.shipping import ship
 
 MIN_WORDS = 5
@@ -153,7 +153,7 @@ def find_parts(docs: DataFrame) -> DataFrame:
                 cols: list[list] = [[] for _ in target]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     for i, start, end, word, words, own in paragraphs(text):
-                        m = shingles(own, cache)
+                        m = shingle_set(word_hashes(lower_words(own)), 5)
                         for c, value in zip(cols, (doc * LINES + i, start, end, word, words, xxhash.xxh3_128_digest(normal(own)), None, len(m), bands(m))):
                             c.append(value)
                     for start, end, clean, words, word in units(text):
@@ -179,7 +179,7 @@ def paragraph_sets(docs: DataFrame, pids: DataFrame) -> DataFrame:
                 for i, *_, own in paragraphs(text):
                     if doc * LINES + i in wanted:
                         ids.append(doc * LINES + i)
-                        sets.append(shingles(own, cache))
+                        sets.append(shingle_set(word_hashes(lower_words(own)), 5))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=target)
 
     ship(docs.sparkSession)
