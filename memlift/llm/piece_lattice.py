@@ -3,18 +3,21 @@
 The lattice of a string has an edge for each piece of the vocabulary that occurs in it, with the piece's score. A forward
 Viterbi pass gives the best score from the start to each place. A backward A-star search from the end then uses these as
 exact estimates of what is left: it never expands a place that doesn't lie on one of the N best paths, and complete paths
-leave its queue from the best on.
+leave its queue from the best on. As the estimates are exact, the N first visits of a place are by the N best ways from there
+to the end, so no place is left more than N times, however many ways have one score.
 
-No piece reaches across two characters that stand together in no piece, so a text falls into independent parts there. Each
-part is solved once and kept, and the N best of the text are the N best sums over its parts; only the parts with the
-smallest steps down from their best can be in them.
+Pieces begin at spaces only or go on without one, so a text falls into words that are independent; inside a word, nothing
+reaches across two characters that stand together in no piece. The forward pass runs for many words at once by numpy: places
+of all words advance together, one character at a time, and each keeps its two best scores. The N best of the text are the
+N best sums over its words; only the words with the smallest steps down from their best can be in them, and A-star runs for these.
 
 The model file here is of the merging (BPE) kind: its library segments by merges in order of score, which need not be the
-path of the best sum. `ids` are that library's, word by word; the N best are by sums of scores, and equal the library's own N best when
-the same pieces are loaded as a unigram model. Characters without a piece become byte pieces.
+path of the best sum. `ids`, `ids_sha256` and `n_pieces` are that library's encoding, word by word, for use with models trained on
+it. The columns named best and n_best are the lattice's own: by sums of scores, equal to the library's own N best when
+the same pieces are loaded as a unigram model. Decoding is our own; `decoded` says whether `ids` give the text back. Characters without a piece become byte pieces.
 
-A null text counts as empty: no pieces, one empty segmentation. Very long texts are read whole. Ties between paths of one
-score go to the path found first, the same on each run. Repeated rows and further columns don't matter, and an empty table
+A null text counts as empty: no pieces, one empty segmentation. Very long texts and words are read whole. Ties between paths of
+one score go to the path with the longest last pieces in the forward pass and to the smallest place in the search, the same on each run. Repeated rows and further columns don't matter, and an empty table
 gives an empty result.
 """
 
@@ -24,7 +27,10 @@ import hashlib
 import heapq
 import re
 from array import array
+from functools import lru_cache
+from operator import itemgetter
 
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -33,13 +39,55 @@ from memlift.llm.common import arrow_map
 SPACE = "▁"
 N_BEST = 4
 #: At most twice so many words, and so many parts, keep their segmentations in a Python worker.
-CACHE, PARTS = 180_000, 80_000
+CACHE, PARTS = 180_000, 20_000
+#: Words of up to so many characters are solved together; parts of longer ones by themselves.
+TOGETHER = 48
+#: Texts whose new words are solved together.
+AT_ONCE = 100
 #: In place of a score: pieces begin so, and none does. Scores are never above 0.
 BEGINS, ABSENT = 2.0, 1.0
 #: What the library takes off the lowest score for a character without a piece.
 UNKNOWN = 10.0
 
 
+class PieceTrie:
+    """The pieces as a trie in arrays: the child of a node by a character comes from a hash table with open places."""
+
+    def __init__(self, starts: dict[str, float], ids: dict[str, int]):
+        number = {"": 0} | {p: i + 1 for i, p in enumerate(sorted(starts))}
+        self.score, self.piece = np.full(len(number), np.nan), np.full(len(number), -1, np.int64)
+        bits = max(10, (len(number) * 5).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.child = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        for p, i in number.items():
+            if p:
+                if starts[p] <= 0:
+                    self.score[i], self.piece[i] = starts[p], ids[p]
+                key = number[p[:-1]] << 21 | ord(p[-1])
+                at = int(self._slot(np.array([key]))[0])
+                while self.key[at] >= 0:
+                    at = at + 1 & self.mask
+                self.key[at], self.child[at] = key, i
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The children, -1 where there is none."""
+        key = node << 21 | char
+        at = self._slot(key)
+        found = self.key[at]
+        out = np.where(found == key, self.child[at], -1)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & self.mask
+            found = self.key[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.child[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
 class PieceModel:
     def __init__(self, path: str, n_best: int = N_BEST):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -59,11 +107,13 @@ class PieceModel:
         #: what pieces begin with, each with the piece's score or BEGINS
         self.starts: dict[str, float] = {p[:n]: BEGINS for p in self.ids for n in range(1, len(p))} | self.score
         self.library = sp
+        self.trie = PieceTrie(self.starts, self.ids)
         self.together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.n_best = n_best
         self.words: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
         self.parts: dict[str, tuple] = {}
+        self.several: dict[str, list] = {}
         # words may be cut before a space only if no piece has one behind another character
         self.word = re.compile(f"{SPACE}.*" if any(SPACE in p.lstrip(SPACE) for p in self.ids) else f"{SPACE}+[^{SPACE}]*", re.S)
 
@@ -134,9 +184,9 @@ class PieceModel:
         to: list[list[tuple[int, float]]] = [[] for _ in range(end + 1)]
         for start, stop, s in edges:
             to[stop].append((start, s))
-        queue, found, turn = [(-ahead[end], 0, end, 0.0, None)], [], 0
+        queue, found, turn, left = [(-ahead[end], end, 0, 0.0, None)], [], 0, [n] * (end + 1)
         while queue and len(found) < n:
-            _, _, at, after, path = heapq.heappop(queue)
+            _, at, _, after, path = heapq.heappop(queue)
             if at == 0:
                 out: list[int] = []
                 start = 0
@@ -146,11 +196,72 @@ class PieceModel:
                     start = stop
                 found.append((after, out))
                 continue
+            if not left[at]:
+                continue
+            left[at] -= 1
             for start, s in to[at]:
                 turn += 1
-                heapq.heappush(queue, (-(ahead[start] + s + after), turn, start, after + s, (at, path)))
+                heapq.heappush(queue, (-(ahead[start] + s + after), start, turn, after + s, (at, path)))
         return found
 
+    def solve_together(self, words: list[str]) -> list[tuple[float, bytes, float]]:
+        """viterbi() of many words at once, with the ids as bytes."""
+        lengths = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        offset = np.cumsum(lengths + 1) - lengths - 1  # a place before each character, and one after the last
+        owner = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(chars)) + owner
+        rest = np.repeat(offset + lengths, lengths) - place  # characters up to the end of the word
+        starts, stops, scores, pieces, sizes = [], [], [], [], []
+        at, node, size = np.arange(len(chars)), np.zeros(len(chars), np.int64), 1
+        while len(at):
+            node = self.trie.step(node, chars[at + size - 1])
+            on = node >= 0
+            score, piece = np.where(on, self.trie.score[node], np.nan), np.where(on, self.trie.piece[node], -1)
+            if size == 1:  # a character without a piece
+                score = np.where(np.isnan(score), self.unknown_score, score)
+            own = ~np.isnan(score)
+            starts.append(place[at[own]])
+            stops.append(starts[-1] + size)
+            scores.append(score[own])
+            pieces.append(piece[own])
+            sizes.append(np.full(int(own.sum()), size))
+            go = on & (rest[at] > size)
+            at, node, size = at[go], node[go], size + 1
+        start, stop, score, piece, size_ = map(np.concatenate, (starts, stops, scores, pieces, sizes))
+        depth = stop - np.repeat(offset, lengths + 1)[stop]
+        # edges that end at one depth and have one size end at different places; longer pieces first
+        order = np.argsort((depth * 256 - np.minimum(size_, 255)).astype(np.int32), kind="stable")
+        start, stop, score, piece, group = start[order], stop[order], score[order], piece[order], (depth * 256 - np.minimum(size_, 255))[order]
+        cuts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]))
+        n = len(chars) + len(words)
+        best, second, came, by = np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        best[offset] = 0.0
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            st, sp, s = start[a:b], stop[a:b], score[a:b]
+            v, old = best[st] + s, best[sp]
+            better = v > old
+            second[sp] = np.where(better, np.maximum(second[st] + s, old), np.maximum(second[sp], v))
+            best[sp] = np.where(better, v, old)
+            hit = sp[better]
+            came[hit], by[hit] = st[better], piece[a:b][better]
+        end = offset + lengths
+        at, live, on = end.copy(), np.flatnonzero(lengths), np.zeros(n, bool)
+        while len(live):
+            on[at[live]] = True
+            at[live] = came[at[live]]
+            live = live[at[live] > offset[live]]
+        on = np.flatnonzero(on)  # where pieces end, word by word
+        cut = (np.searchsorted(on, offset) * 4).tolist() + [len(on) * 4]
+        raw = by[on].astype(np.int32).tobytes()
+        paths = [raw[a:b] for a, b in zip(cut, cut[1:])]
+        for i in np.unique(np.searchsorted(offset, on[by[on] < 0], side="right") - 1).tolist():  # characters without a piece
+            ids = array("i")
+            for k, piece in zip(on[cut[i] // 4 : cut[i + 1] // 4].tolist(), array("i", paths[i])):
+                ids.extend([piece] if piece >= 0 else self.fallback(words[i][k - 1 - int(offset[i])]))
+            paths[i] = ids.tobytes()
+        return list(zip(best[end].tolist(), paths, (best[end] - second[end]).tolist()))
+
     def solve(self, part: str) -> tuple[float, list[int], float]:
         known = self.parts.get(part)
         if known is None:
@@ -178,12 +289,16 @@ class PieceModel:
 
     def words_of(self, full: str) -> list[tuple]:
         """For each word of a normal text: (word, bytes of its ids by merges, bytes of its best path's ids, score of that,
-        step to the second best, decoded)."""
+        step to the second best, whether the first ids decode to the word)."""
+        return self.words_of_all([full])[0]
+
+    def words_of_all(self, texts: list[str]) -> list[list[tuple]]:
+        """words_of() for each text; words that are new are solved together."""
         if len(self.words) >= CACHE:  # what was used since the last turn stays, so frequent words are never solved again
             self.older, self.words = self.words, {}
-        found = self.word.findall(full)
+        found = [self.word.findall(t) for t in texts]
         known, older, new = self.words, self.older, []
-        for w in dict.fromkeys(found):
+        for w in dict.fromkeys([w for ws in found for w in ws]):
             if w not in known:
                 if w in older:
                     known[w] = older[w]
@@ -192,24 +307,31 @@ class PieceModel:
         if new:
             # the library puts the first space before each word itself, but not before an empty one
             given = self.library.encode([w[1:].replace(SPACE, " ") for w in new], num_threads=1)
+            short = [w for w in new if len(w) <= TOGETHER]
+            solved = dict(zip(short, self.solve_together(short))) if short else {}
             for word, ids in zip(new, given):
                 ids = ids or self.piece_ids(word)
-                parts = self.cut(word)
-                if len(parts) == 1:
-                    score, path, step = self.solve(word)
-                else:
-                    solved = [self.solve(p) for p in parts]
-                    score, path, step = sum(x[0] for x in solved), [i for x in solved for i in x[1]], min(x[2] for x in solved)
-                known[word] = (word, array("i", ids).tobytes(), array("i", path).tobytes(), score, step, self.decoded(ids))
-        return [known[w] for w in found]
+                raw = array("i", ids).tobytes()
+                score, path, step = solved[word] if word in solved else self.solve_long(word)
+                known[word] = (word, raw, path, score, step, self.decoded(ids) == word)
+        return [[known[w] for w in ws] for ws in found]
+
+    def solve_long(self, word: str) -> tuple[float, bytes, float]:
+        solved = [self.solve(p) for p in self.cut(word)]
+        return sum(x[0] for x in solved), array("i", [i for x in solved for i in x[1]]).tobytes(), min(x[2] for x in solved)
 
     def n_best_word(self, word: str) -> list[tuple[float, list[int]]]:
-        return self.add_up([self.best(p, self.n_best) for p in self.cut(word)])
+        found = self.several.get(word)
+        if found is None:
+            if len(self.several) >= PARTS:
+                self.several.clear()
+            found = self.several[word] = self.add_up([self.best(p, self.n_best) for p in self.cut(word)])
+        return found
 
-    def decoded(self, ids: list[int]) -> str:
+    def decoded(self, ids: list[int] | array) -> str:
         """Pieces as text, with bytes put together; spaces are still marked."""
         if self.of_byte.keys().isdisjoint(ids):
-            return "".join([self.names[i] for i in ids])
+            return "".join(map(self.names.__getitem__, ids))
         out, held = [], bytearray()
         for i in ids:
             if i in self.of_byte:
@@ -235,12 +357,17 @@ class PieceModel:
         """The N best segmentations of a whole text."""
         return self._n_best(self.words_of(self.normal(text or "")), with_ids)
 
-    def _n_best(self, words: list[tuple], with_ids: bool) -> list[tuple[float, list[int]]]:
-        # other than by their best, only the words with the smallest steps can take part in the N best
-        near = sorted(heapq.nsmallest(self.n_best - 1, range(len(words)), key=lambda i: words[i][4]))
+    def near_best(self, words: list[tuple]):
+        """The words that can differ in the N best, the N best of each, the score of all others, and the N best sums as
+        (score of those words, which of the N best of each)."""
+        near = sorted(heapq.nsmallest(self.n_best - 1, range(len(words)), key=list(map(itemgetter(4), words)).__getitem__))
         lists = [self.n_best_word(words[i][0]) for i in near]
-        base = sum(w[3] for w in words) - sum(words[i][3] for i in near)
-        picked = self.add_up([[(s, [j]) for j, (s, _) in enumerate(x)] for x in lists])
+        base = sum(map(itemgetter(3), words)) - sum(words[i][3] for i in near)
+        return near, lists, base, self.add_up([[(s, [j]) for j, (s, _) in enumerate(x)] for x in lists])
+
+    def _n_best(self, words: list[tuple], with_ids: bool) -> list[tuple[float, list[int]]]:
+        # other than by their best, only the words with the smallest steps can take part
+        near, lists, base, picked = self.near_best(words)
         if not with_ids:
             return [(base + s, []) for s, _ in picked]
         out = []
@@ -256,40 +383,48 @@ class PieceModel:
         return out
 
 
+@lru_cache(2)
+def model_of(path: str, n_best: int) -> PieceModel:
+    """Kept by a Python worker from task to task."""
+    return PieceModel(path, n_best)
+
+
 def encode_documents(docs: DataFrame, path: str, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: its id, n_pieces and ids_sha256 of the encoding, best_pieces, best_sha256 and best_score of the
-    best path, n_best_scores, and decoded, whether decoding the ids gives the text back; ids and the columns in `carry`
-    where asked for. No shuffle."""
+    """One row a document: its id, n_pieces and ids_sha256 of the library's encoding, best_pieces, best_sha256 and best_score of
+    the best path, n_best_scores and n_best_pieces (how many each of the N best has), and decoded, whether the library's ids
+    give the text back; ids and the columns in `carry` where asked for. No shuffle."""
+    names = ("n_pieces", "ids_sha256", "best_pieces", "best_sha256", "best_score", "n_best_scores", "n_best_pieces", "decoded", "ids")
 
     def make():
-        model = PieceModel(path, n_best)
+        model = model_of(path, n_best)
 
         def step(batch):
-            out: dict[str, list] = {n: [] for n in ("n_pieces", "ids_sha256", "best_pieces", "best_sha256", "best_score", "n_best_scores", "decoded", "ids")}
-            for text in batch["text"]:
-                text = text or ""
-                full = model.normal(text)
-                words = model.words_of(full)
-                raw = b"".join([w[1] for w in words])
-                best = b"".join([w[2] for w in words])
-                scores = [s for s, _ in model._n_best(words, False)]
-                out["n_pieces"].append(len(raw) // 4)
-                out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-                out["best_pieces"].append(len(best) // 4)
-                out["best_sha256"].append(hashlib.sha256(best).hexdigest())
-                out["best_score"].append(scores[0])
-                out["n_best_scores"].append(scores)
-                out["decoded"].append("".join([w[5] for w in words]) == full)
-                if with_ids:
-                    own = array("i")
-                    own.frombytes(raw)
-                    out["ids"].append(own.tolist())
+            out: dict[str, list] = {n: [] for n in names}
+            texts = [model.normal(t or "") for t in batch["text"]]
+            for at in range(0, len(texts), AT_ONCE):
+                for words in model.words_of_all(texts[at : at + AT_ONCE]):
+                    raw = b"".join(map(itemgetter(1), words))
+                    best = b"".join(map(itemgetter(2), words))
+                    near, lists, base, picked = model.near_best(words)
+                    rest = len(best) // 4 - sum(len(words[i][2]) // 4 for i in near)
+                    out["n_pieces"].append(len(raw) // 4)
+                    out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
+                    out["best_pieces"].append(len(best) // 4)
+                    out["best_sha256"].append(hashlib.sha256(best).hexdigest())
+                    out["best_score"].append(base + picked[0][0])
+                    out["n_best_scores"].append([base + s for s, _ in picked])
+                    out["n_best_pieces"].append([rest + sum(len(x[j][1]) for x, j in zip(lists, chosen)) for _, chosen in picked])
+                    out["decoded"].append(all(map(itemgetter(5), words)))
+                    if with_ids:
+                        own = array("i")
+                        own.frombytes(raw)
+                        out["ids"].append(own.tolist())
             return out | {"id": batch["id"]} | {f"carry_{c}": batch[f"carry_{c}"] for c in carry}
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
     kept = "".join(f"carry_{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    schema = f"id {kind}, {kept}n_pieces long, ids_sha256 string, best_pieces long, best_sha256 string, best_score double, n_best_scores array<double>, decoded boolean" + (", ids array<int>" if with_ids else "")
+    schema = f"id {kind}, {kept}n_pieces long, ids_sha256 string, best_pieces long, best_sha256 string, best_score double, n_best_scores array<double>, n_best_pieces array<int>, decoded boolean" + (", ids array<int>" if with_ids else "")
     taken = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"carry_{c}") for c in carry))
     return arrow_map(taken, make, schema).withColumnsRenamed({"id": id_col} | {f"carry_{c}": c for c in carry})

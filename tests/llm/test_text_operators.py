@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+from array import array
 
 import public_tokenizers
 import pytest
@@ -75,7 +76,7 @@ class TestPieces:
         return u, [p.score for p in m.pieces]
 
     def test_encode_and_decode_equal_the_library(self, spark, texts):
-        all_ = [t for t in ODD if t is None or len(t) < 30000] + ["▁▁ a"] + texts
+        all_ = ODD + ["▁▁ a", "-" * 5000, "ab" * 3000 + " " * 70, "\u2603☃ naïve \x00"] + texts
         lib = sentencepiece.SentencePieceProcessor(model_file=self.path)
         got = {r["doc_id"]: r for r in piece_lattice.encode_documents(docs(spark, all_), self.path, with_ids=True).collect()}
         model = piece_lattice.PieceModel(self.path)
@@ -106,12 +107,26 @@ class TestPieces:
                     for score, rest in paths(s[n:]):
                         yield model.score[s[:n]] + score, [model.ids[s[:n]], *rest]
 
-        for s in ("thnterble", "▁thing", "aaaa", "ab"):
+        for s in ("thnterble", "▁thing", "aaaa", "ab", "------", "xxxxxxx"):
             every = sorted((x[0] for x in paths(s)), reverse=True)
             assert [x[0] for x in model.best(s, 6)] == every[:6]
             score, _, step = model.viterbi(s)
             assert score == every[0] and step == pytest.approx(every[0] - every[1])
 
+    def test_words_together_equal_one_by_one(self, texts):
+        model = piece_lattice.PieceModel(self.path)
+        words = list(dict.fromkeys(w for t in texts[:60] for w in model.word.findall(model.normal(t)))) + ["▁na\u2603ïve\U0001f600", "▁----", "▁▁▁", "☃"]
+        for w, (score, ids, step) in zip(words, model.solve_together(words)):
+            assert (score, list(array("i", ids)), step) == model.viterbi(w)
+
+    def test_ties_and_long_words_end(self):
+        model = piece_lattice.PieceModel(self.path)
+        for t in ("-" * 5000, "x" * 30000, "ab" * 3000):
+            found = model.n_best_of(t)
+            scores = [s for s, _ in found]
+            assert len({tuple(ids) for _, ids in found}) == 4 and scores == sorted(scores, reverse=True)
+            assert all(model.decode(ids) == t for _, ids in found) and scores[0] == model.viterbi(model.normal(t))[0]
+
 
 class TestQuality:
     def plain(self, text):
