@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, one of our own, in local mode only: elsewhere
+    each executor would write to a disk of its own."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not given:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         given = f"file://{tempfile.mkdtemp(prefix='memlift-')}"
         sc.setCheckpointDir(given)
     return given
@@ -56,6 +59,15 @@ def unstage(*frames: DataFrame) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Up to so many rows a table of ids or hashes goes to each task (10 MB at 32 bytes); beyond, both sides are dealt out.
+BROADCAST_IDS = 300_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """keys (a written table of ids or hashes), hinted to be sent to each task where it is small and to be merged else."""
+    return keys.hint("broadcast" if keys.count() <= BROADCAST_IDS else "merge")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int):
     """For what runs inside: at most so many rows in a batch that goes to Python, for rows that hold whole sets."""

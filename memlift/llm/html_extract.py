@@ -1,17 +1,19 @@
 """Main text of web pages by a vote of each host's pages on where the text is.
 
 Each page is cut into blocks, each with the path of elements around it. A path is generalised to tags with their first
-class, without positions and ids. A page scores its containers by the text in them less the text of links, and gives its
+class, without positions and ids, and known by a hash. A page scores its containers by the text in them less the text of links, and gives its
 best one, and every container near it, a vote. Spark sums the votes by host and path; the winning path of the host then
 says, on every page of it, which blocks are the text. A page of which that path holds clearly less
 than its own best container uses that one.
 
 Parts that are never text (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles,
-comments of readers) are left out by tag, role or class, inside the winning container too.
+comments of readers) are left out by tag, role, class or id, inside the winning container too. A class or id counts by its first or
+last part ("ad-box", "site-footer", but not "has-sidebar" or "page-header-fixed"), and an element that holds the page's article or
+main part, or on a page without these most of its text, is never left out by such a name.
 
 A null html counts as empty; a page without text gives an empty string. A null or odd url belongs to the host "". Pages
-are never cut or capped. Ties between paths go to the deeper, then the smaller by code point. Repeated rows are
-handled one by one, further columns don't matter, and an empty table gives an empty result.
+are never cut or capped, and the time is in proportion to their length. Ties between paths go to the deeper, then the smaller
+hash. Repeated rows are handled one by one, further columns don't matter, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import arrow_map, stage
+from memlift.llm.common import arrow_map, sized, stage
 
 #: One part of the markup: comment, doctype, raw-text element, or tag.
 PART = re.compile(
@@ -35,49 +39,120 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a block; all others end the block before them.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br ruby rt rp".split())
-NEVER = frozenset("nav footer aside form button select menu dialog head fieldset".split())
+NEVER = frozenset("nav footer aside button select menu dialog head".split())
+#: Left out too, unless they hold the page's article.
+UNLESS_TEXT = frozenset("form fieldset header".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-NEVER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|nav|navbar|navigation"
-    r"|menu|breadcrumbs?|sidebar|side|widget|footer|foot|masthead|header|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social"
-    r"|related|recommended|login|signup|search|toolbar|pager|pagination|skip)(?:$|[\s_-])",
-    re.I,
+NAME = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|nav|navbar|navigation"
+    r"|menu|breadcrumbs?|sidebar|widget|footer|foot|masthead|header|share|sharing|social|related|recommended|login|signup|search|toolbar|pager"
+    r"|pagination|skip|(comments?|commentlist|disqus|replies|reply|respond)"
 )
+#: A class that begins so says something about an element that is around or beside the part.
+ABOUT = frozenset("has no with without not is hide show".split())
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)|display\s*:\s*none", re.I)
+PARTS = re.compile(r"[-_]+")
 #: Closing one of these in the page closes what is still open inside it.
 CLOSES_SELF = frozenset("p li dt dd tr td th option".split())
+#: Containers are above these.
+TEXT_TAGS = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr blockquote pre dd dt".split())
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url or "")
-    return m[1].lower().rstrip(".") if m else ""
-
-
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block of text in page order, without the parts that are never text."""
-    page = page or ""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, generalised name, left out
+def named(names: list[str], inside: bool) -> str:
+    """"comment", "other" or "" for an element with these classes and ids; inside: within the article."""
+    for token in names:
+        parts = [x for x in PARTS.split(token.lower()) if x]
+        if not parts or parts[0] in ABOUT:
+            continue
+        for x in (parts[0], parts[-1]):
+            m = NAME.fullmatch(x)
+            if m and not (inside and x == "header"):
+                return "comment" if m[1] else "other"
+    return ""
+
+
+@dataclass
+class Page:
+    """Blocks as (node, text, characters in links); nodes are generalised paths, a parent before its children."""
+
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [0])
+    name: list[str] = field(default_factory=lambda: [""])
+    hash: list[int] = field(default_factory=lambda: [0])
+    depth: list[int] = field(default_factory=lambda: [0])
+    #: The innermost container around the node, itself included.
+    container: list[int] = field(default_factory=lambda: [0])
+
+    def scores(self) -> dict[int, float]:
+        """Score of each container: its text that is not in links."""
+        own: dict[int, float] = defaultdict(float)
+        for node, text, link in self.blocks:
+            own[self.container[node]] += max(0.0, len(text) - 3.0 * link)
+        for node in range(len(self.parent) - 1, 0, -1):
+            if node in own and self.parent[node]:
+                own[self.parent[node]] += own[node]
+        own.pop(0, None)
+        return dict(own)
+
+    def best(self, scores: dict[int, float]) -> int:
+        """The narrowest of the containers that hold most: one that leaves out scored text never wins. 0: no container."""
+        return min(scores, key=lambda n: (-scores[n], -self.depth[n], self.hash[n]), default=0)
+
+    def score_under(self, want: int, scores: dict[int, float]) -> float:
+        """The scores of all containers with that path."""
+        return sum(s for n, s in scores.items() if self.hash[n] == want)
+
+    def text_under(self, want: int) -> str:
+        """The blocks under the path with that hash, 0 for all."""
+        under = [want == 0] * len(self.parent)
+        for node in range(1, len(self.parent)):
+            under[node] = under[self.parent[node]] or self.hash[node] == want
+        return "\n\n".join(text for node, text, _ in self.blocks if under[node])
+
+    def path(self, node: int) -> str:
+        out = []
+        while node:
+            out.append(self.name[node])
+            node = self.parent[node]
+        return "/".join(reversed(out))
+
+
+def read_page(page: str | None) -> Page:
+    """The page's blocks in order, without the parts that are never text."""
+    page, out = page or "", Page()
+    child: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, int, bool, int, bool]] = []  # tag, node, left out, element that may be left out, inside the article
+    open_: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open
+    # elements that are left out unless they hold the article: the one around, comments or not, characters, article inside
+    soft: list[list] = [[0, "", 0, False]]
+    found: list[tuple[int, int, str, int]] = []
     text: list[str] = []
-    state = {"link": 0, "where": ()}
+    state = {"link": 0, "any": False, "where": (0, 0), "links": 0, "main": False, "block": -1}
     at = 0
 
-    def path() -> tuple[str, ...]:
-        return tuple(name for tag, name, _ in stack if tag not in INLINE)
-
     def flush() -> None:
-        joined = " ".join(entities.unescape("".join(text)).split())
+        joined = " ".join(entities.unescape("".join(text)).split()) if text else ""
         if joined:
-            out.append((state["where"], joined, state["link"]))
+            found.append((*state["where"], joined, state["link"]))
+            soft[state["where"][1]][2] += len(joined)
         text.clear()
-        state["link"] = 0
+        state["link"], state["any"] = 0, False
 
     def add(piece: str) -> None:
-        if piece and not (stack and stack[-1][2]):
-            if not text or not "".join(text).strip():
-                state["where"] = path()
-            text.append(piece)
-            if any(tag == "a" for tag, _, _ in stack):
-                state["link"] += len(piece.strip())
+        if stack and stack[-1][2]:
+            return
+        if not state["any"]:
+            state["where"] = (stack[-1][1], stack[-1][3]) if stack else (0, 0)
+            state["any"] = not piece.isspace()
+        text.append(piece)
+        if state["links"]:
+            state["link"] += len(piece.strip())
+
+    def pop() -> None:
+        tag = stack.pop()[0]
+        if tag:
+            open_[tag].pop()
+            state["links"] -= tag == "a"
 
     for m in PART.finditer(page):
         if m.start() > at:
@@ -86,129 +161,157 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         tag = (m[3] or "").lower()
         if not tag:
             continue
-        if tag in INLINE:
-            if tag in ("br", "wbr", "img"):
-                if tag == "br":
-                    add(" ")
-                continue
-        else:
+        inline = tag in INLINE
+        if not inline:
             flush()
+        elif tag in ("br", "wbr", "img"):
+            if tag == "br":
+                add(" ")
+            continue
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in INLINE and any(t not in INLINE for t, _, _ in stack[i:]):
-                        stack[i] = ("span", *stack[i][1:])  # closed late: no longer a link, say
-                    else:
-                        del stack[i:]
-                    break
+            if open_[tag]:
+                i = open_[tag][-1]
+                if inline and state["block"] > i:  # closed late: no longer a link, say
+                    stack[i] = ("", *stack[i][1:])
+                    open_[tag].pop()
+                    state["links"] -= tag == "a"
+                else:
+                    while len(stack) > i:
+                        pop()
+                    state["block"] = _last_block(stack)
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE:
-            while stack and stack[-1][0] in INLINE:  # inline elements left open end with their block
-                stack.pop()
-        if tag in CLOSES_SELF or tag not in INLINE and stack and stack[-1][0] == "p":
-            same = {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag} if tag in CLOSES_SELF and tag != "p" else {"p"}
-            if stack and stack[-1][0] in same:
-                stack.pop()
+        if not inline:
+            while stack and (not stack[-1][0] or stack[-1][0] in INLINE):  # inline elements left open end with their block
+                pop()
+            top = stack[-1][0] if stack else ""
+            if tag in CLOSES_SELF or top == "p":
+                same = {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag} if tag in CLOSES_SELF and tag != "p" else {"p"}
+                if top in same:
+                    pop()
+        _, node, gone, around, inside = stack[-1] if stack else ("", 0, False, 0, False)
         given = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(m[4])} if m[4] else {}
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        names = f"{given.get('class', '')} {given.get('id', '')}".strip()
-        gone = bool(stack and stack[-1][2])
-        if not gone and tag not in ("html", "body", "article", "main", "h1"):
-            gone = tag in NEVER or tag == "header" and not inside or given.get("role", "").lower() in NEVER_ROLES or bool(names and NEVER_NAMES.search(names) and not (inside and tag == "header"))
-            gone = gone or given.get("aria-hidden", "").lower() == "true" or bool(m[4] and re.search(r"(?:^|\s)hidden(?:\s|$)|display\s*:\s*none", m[4], re.I))
-        first = given.get("class", "").split()
-        stack.append((tag, tag + ("." + re.sub(r"\d+", "0", first[0]).lower() if first else ""), gone))
-        if m[4].rstrip().endswith("/") and tag not in INLINE:
-            stack.pop()
+        classes = given.get("class", "").split()
+        if not gone and tag not in ("html", "body", "main", "h1"):
+            gone = tag in NEVER or given.get("role", "").lower() in NEVER_ROLES or given.get("aria-hidden", "").lower() == "true" or bool(m[4] and HIDDEN.search(m[4]))
+            names = [*classes, *given.get("id", "").split()]
+            kind = named(names, inside) if names and not gone and not (inside and tag == "header") else ""
+            if tag in UNLESS_TEXT and not (inside and tag == "header"):
+                kind = kind or "other"
+            if kind and not gone and not (tag == "article" and kind == "other"):
+                soft.append([around, kind, 0, False])
+                around = len(soft) - 1
+            elif tag == "article" and not gone:
+                inside = state["main"] = soft[around][3] = True
+        elif tag == "main" and not gone:
+            inside = state["main"] = soft[around][3] = True
+        if not inline:
+            name = tag + ("." + re.sub(r"\d+", "0", classes[0]).lower() if classes else "")
+            key, above = (node, name), node
+            node = child.get(key, 0)
+            if not node:
+                node = child[key] = len(out.parent)
+                out.parent.append(above)
+                out.name.append(name)
+                out.hash.append(_hash(out.hash[above], name))
+                out.depth.append(out.depth[above] + 1)
+                out.container.append(node if out.container[above] == above and tag not in TEXT_TAGS else out.container[above])
+        open_[tag].append(len(stack))
+        stack.append((tag, node, gone, around, inside))
+        state["links"] += tag == "a"
+        if not inline:
+            state["block"] = len(stack) - 1
+        if not inline and m[4].rstrip().endswith("/"):
+            pop()
+            state["block"] = _last_block(stack)
     if at < len(page):
         add(page[at:])
     flush()
+    total = sum(x[2] for x in soft)
+    for x in reversed(soft[1:]):
+        soft[x[0]][2] += x[2]
+        soft[x[0]][3] |= x[3]
+    left_out = [False]
+    for around, kind, size, holds in soft[1:]:
+        kept = holds or not state["main"] and kind != "comment" and 2 * size > total
+        left_out.append(left_out[around] or not kept)
+    out.blocks = [(node, said, link) for node, s, said, link in found if not left_out[s]]
     return out
 
 
-def container_scores(parts: list[tuple[tuple[str, ...], str, int]]) -> dict[str, float]:
-    """Score of each container: its text that is not in links."""
-    own: dict[str, float] = defaultdict(float)
-    for path, text, link in parts:
-        value = max(0.0, len(text) - 3.0 * link)
-        for depth in range(1, len(path) + 1):
-            if path[depth - 1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "blockquote", "pre", "dd", "dt"):
-                break
-            own["/".join(path[:depth])] += value
-    return dict(own)
+def _last_block(stack: list[tuple]) -> int:
+    """Where in the stack the last element stands that isn't inline; -1 without one."""
+    i = len(stack) - 1
+    while i >= 0 and (not stack[i][0] or stack[i][0] in INLINE):
+        i -= 1
+    return i
 
 
-def best(scores: dict[str, float]) -> str:
-    """The narrowest of the containers that hold most: one that leaves out scored text never wins."""
-    return min(scores, key=lambda p: (-scores[p], -p.count("/"), p), default="")
+def _hash(above: int, name: str) -> int:
+    h = xxhash.xxh3_64_intdigest(name, seed=above & (1 << 64) - 1)
+    return (h or 1) - (1 << 64) if h >= 1 << 63 else h or 1
 
 
-def text_under(parts: list[tuple[tuple[str, ...], str, int]], path: str) -> str:
-    want = path.split("/") if path else []
-    n = len(want)
-    return "\n\n".join(text for own, text, _ in parts if list(own[:n]) == want)
-
-
-#: Up to this many hosts the winning paths go to every task; beyond, pages are joined with them by host.
-BROADCAST_HOSTS = 50_000
 #: A page's full vote; so fine that leaving out one character of a page shows.
 VOTE = 10**9
 #: A page whose text under its host's path scores less than this share of its best container uses its own.
 COVERED = 0.9
 
 
-def host_paths(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path: the container path with the most votes. Votes are summed before and after the shuffle."""
+def host_key(url: Column) -> Column:
+    """A hash of the url's host, in lower case and without a dot at its end; of "" where there is none."""
+    host = F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    return F.xxhash64(F.regexp_replace(host, r"\.+$", ""))
+
+
+def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, path (both as hashes): the container path with the most votes. Votes are summed before and after the shuffle."""
 
     def make():
         def step(batch):
-            sums: dict[tuple[str, str], float] = defaultdict(float)
-            for url, page in zip(batch["url"], batch["html"]):
-                scores = container_scores(blocks(page))
-                if scores:
-                    top = max(scores.values())
-                    if top > 0:
-                        for p, s in scores.items():
-                            if s >= 0.5 * top:
-                                sums[host_of(url), p] += int(VOTE * s / top)
+            sums: dict[tuple[int, int, int], int] = defaultdict(int)
+            for host, html in zip(batch["host"], batch["html"]):
+                page = read_page(html)
+                scores = page.scores()
+                top = max(scores.values(), default=0)
+                if top > 0:
+                    for n, s in scores.items():
+                        if s >= 0.5 * top:
+                            sums[host, page.hash[n], page.depth[n]] += int(VOTE * s / top)
             keys = sorted(sums)
-            return {"host": [k[0] for k in keys], "path": [k[1] for k in keys], "votes": [int(sums[k]) for k in keys]}
+            return {"host": [k[0] for k in keys], "path": [k[1] for k in keys], "depth": [k[2] for k in keys], "votes": [sums[k] for k in keys]}
 
         return step
 
-    votes = arrow_map(pages.select(pages[url_col].alias("url"), pages[html_col].alias("html")), make, "host string, path string, votes long")
-    total = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    depth = F.size(F.split("path", "/"))
-    # the largest vote wins; ties go to the deeper path, then to the smaller one
-    return total.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -depth, F.col("path"))).alias("path"))
+    votes = arrow_map(pages.select(host_key(pages[url_col]).alias("host"), pages[html_col].alias("html")), make, "host long, path long, depth int, votes long")
+    total = votes.groupBy("host", "path", "depth").agg(F.sum("votes").alias("votes"))
+    # the largest vote wins; ties go to the deeper path, then to the smaller hash
+    return total.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("depth"), F.col("path"))).alias("path"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: its id, url, text, n_chars, and the path that was used. Pages are read twice; only votes are
-    shuffled, unless there are more hosts than BROADCAST_HOSTS."""
-    winners = stage(host_paths(pages, id_col, url_col, html_col), "host_paths")
-    few = winners.count() <= BROADCAST_HOSTS
+    shuffled, unless there are more hosts than a table of hashes may have to be sent to each task."""
+    winners = stage(host_paths(pages, url_col, html_col), "host_paths")
     id_kind = pages.schema[id_col].dataType.simpleString()
-    own = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    own = own.withColumn("host", F.regexp_replace(host, r"\.+$", ""))
-    joined = own.join(winners.hint("broadcast" if few else "merge"), "host", "left").select("id", "url", "html", "path")
+    own = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host_key(pages[url_col]).alias("host"))
+    joined = own.join(sized(winners), "host", "left").select("id", "url", "html", "path")
 
     def make():
         def step(batch):
             texts, used = [], []
-            for page, path in zip(batch["html"], batch["path"]):
-                parts = blocks(page)
-                scores = container_scores(parts)
-                own = best(scores)
-                text = text_under(parts, path) if path else ""
-                if not text or scores.get(path, 0.0) < COVERED * scores.get(own, 0.0):
-                    path = own
-                    text = text_under(parts, path)
+            for html, path in zip(batch["html"], batch["path"]):
+                page = read_page(html)
+                scores = page.scores()
+                top = page.best(scores)
+                text = page.text_under(path) if path else ""
+                if text and page.score_under(path, scores) >= COVERED * scores.get(top, 0.0):
+                    top = page.hash.index(path)
+                else:
+                    text = page.text_under(page.hash[top])
                 texts.append(text)
-                used.append(path)
+                used.append(page.path(top))
             return {"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts], "path": used}
 
         return step

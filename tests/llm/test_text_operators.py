@@ -238,6 +238,33 @@ class TestPages:
         assert got[1] == got[2] == "Title & more\n\nFirst bold text.\n\none\n\ntwo\n\nLast one. a link"
         assert (got[3], got[4], got[5], got[6]) == ("", "", "plain text only", "deep")
 
+    def best(self, html):
+        p = html_extract.read_page(html)
+        return p.text_under(p.hash[p.best(p.scores())])
+
+    def test_class_names_never_lose_the_article(self):
+        inner = "<article><h1>T</h1><p>text here</p><div class=comments>no</div><div class=ad-box>no</div></article>"
+        for w in ('div class="content has-sidebar"', "div class=page-header-fixed", "div class=no-comments", "div class=side-by-side", "form id=aspnetForm", "div class=header-fixed", "div id=widget-area", "div class=sidebar"):
+            assert self.best(f"<body><nav>m</nav><{w}>{inner}</body>") == "T\n\ntext here", w
+        plain = "<div class=%s><p>most of the text of this page stands here</p></div>"
+        assert self.best(f"<body>{plain % 'widget'}<p>few</p></body>") == "most of the text of this page stands here\n\nfew"
+        assert self.best(f"<body>{plain % 'comments'}<p>few</p></body>") == "few"
+        assert self.best("<main><p>text</p></main><ol class=commentlist><li><article class=comment-body><p>reader</p></article></ol>") == "text"
+
+    def test_linear_time(self):
+        import time
+
+        for html in ("<p>" + "<b>x</b>" * 40000, "<div>" * 40000 + "x", "<div>" * 3000 + "<p>a</p>" * 3000, "<a><div>" * 20000 + "t" + "</a>" * 20000, "<div>" * 20000 + "</b>" * 20000 + "t"):
+            began = time.process_time()
+            assert self.best(html)
+            assert time.process_time() - began < 5
+
+    def test_odd_urls_and_repeated_ids(self, spark):
+        page = "<body><div class=a><p>text %d</p></div></body>"
+        rows = [(1, "http://A.example./x", page % 1), (1, "//user@a.example:80/y", page % 2), (None, None, page % 3), (4, "mailto:x", page % 4)]
+        got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert sorted(r["text"] for r in got) == [f"text {i}" for i in (1, 2, 3, 4)] and {r["path"] for r in got} == {"body/div.a"}
+
     def test_empty_table(self, spark):
         assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
