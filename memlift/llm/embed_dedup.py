@@ -7,9 +7,9 @@ blocks, without trying all of them. Two vectors at cosine 0.98 share most of the
 joined on (label, direction), candidates are counted once and verified by cosine in double precision.
 
 The code grows with the number of vectors (directions in proportion to it) and the threshold keeps about CAPS caps a
-vector, so candidates grow in proportion to the vectors. As the angles are small, a vector in few caps (there are always
-some) isn't missed: at its expected overlap of more than half a cap, 24 caps miss a pair in less than one of 10^7 cases;
-vectors in fewer than MIN_CAPS caps get the MIN_CAPS best directions, and each gets its best one with those one step away.
+vector, so candidates grow in proportion to the vectors. At the threshold that N vectors need, a vector at cosine 0.98 is in
+more than half of another's caps for any N up to 10^9 and beyond, so 24 caps rarely miss; vectors in fewer than MIN_CAPS caps
+get theirs at a lower threshold. README has the recall that was measured.
 
 Equal vectors with a label collapse into one class before the join, so a vector that a third of all rows repeat costs one
 row; links count its copies. Vectors that are null, zero, or hold null or non-finite components link with nothing, neither
@@ -19,18 +19,22 @@ count as copies. Extra columns don't matter, and an empty table gives an empty r
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import release, stage
+from memlift.llm.common import release, stage, unstage
 from memlift.llm.components import components
 from memlift.shipping import ship
 
 COSINE = 0.98
-CAPS, MIN_CAPS = 24, 6
+CAPS, MIN_CAPS = 24, 10
 BLOCKS = 4
+#: Sums of halves that are held to set the threshold.
+PROBE_SUMS = 600_000
 
 
 class ProductCode:
@@ -38,40 +42,43 @@ class ProductCode:
 
     def __init__(self, dim: int, n: int, seed: int = 11):
         rng = np.random.default_rng(seed + dim)
-        self.dim, self.width = dim, -(-max(dim, BLOCKS) // BLOCKS)
+        self.dim, self.width = dim, max(4, -(-dim // BLOCKS))  # short vectors are turned into a longer space
         # directions in proportion to the vectors: words ** 4 is about 4 * n
-        self.words = int(min(64, max(6, round((4 * max(n, 1)) ** 0.25))))
+        self.words = int(max(6, round((4 * max(n, 1)) ** 0.25)))
         q, _ = np.linalg.qr(rng.standard_normal((self.width * BLOCKS,) * 2))
         self.turn = q[:dim]
         code = rng.standard_normal((BLOCKS, self.words, self.width))
         self.code = code / np.linalg.norm(code, axis=2, keepdims=True) / np.sqrt(BLOCKS)
-        probe = rng.standard_normal((400, dim))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        sums = np.sort(np.concatenate([self._halves(x)[2].ravel() for x in self._inner(probe)]))
-        share = min(0.5, CAPS / self.words**BLOCKS)
-        self.threshold = float(sums[max(0, int(len(sums) * (1 - share)) - 1)])
+        probe = rng.standard_normal((max(8, min(200, PROBE_SUMS // self.words**2)), dim))
+        self.threshold = self._threshold(probe / np.linalg.norm(probe, axis=1, keepdims=True))
+
+    def _threshold(self, probe: np.ndarray) -> float:
+        """Where the probes are in CAPS caps on average. The caps are counted from sorted sums of halves, never made."""
+        halves = [(np.sort(low), np.sort(high)) for low, high in map(self._halves, self._inner(probe))]
+        target, lo, hi = min(CAPS, self.words**BLOCKS // 2) * len(halves), -2.0, 2.0
+        for _ in range(30):
+            mid = (lo + hi) / 2
+            n = sum(int((len(high) - np.searchsorted(high, mid - low)).sum()) for low, high in halves)
+            lo, hi = (mid, hi) if n > target else (lo, mid)
+        return hi
 
     def _inner(self, x: np.ndarray) -> np.ndarray:
         y = (x @ self.turn).reshape(len(x), BLOCKS, self.width)
         return np.einsum("nbw,bkw->nbk", y, self.code)
 
-    def _halves(self, inner: np.ndarray):
-        low = (inner[0][:, None] + inner[1]).ravel()
-        high = (inner[2][:, None] + inner[3]).ravel()
-        return low, high, low[:, None] + high if len(low) <= 1024 else None
+    def _halves(self, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (inner[0][:, None] + inner[1]).ravel(), (inner[2][:, None] + inner[3]).ravel()
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """Numbers of all directions whose caps hold each row of x (unit vectors)."""
         out, k2 = [], self.words**2
         for inner in self._inner(x):
-            low = (inner[0][:, None] + inner[1]).ravel()
-            high = (inner[2][:, None] + inner[3]).ravel()
-            order = np.argsort(-high)
-            ranked = high[order]
-            t = self.threshold
-            while True:
-                rows = np.flatnonzero(low + ranked[0] >= t)
-                n = np.searchsorted(-ranked, low[rows] - t, side="right")
+            low, high = self._halves(inner)
+            most, t = (low.max(), high.max()), self.threshold
+            while True:  # only halves that the other half's best can lift over the threshold
+                rows, order = np.flatnonzero(low >= t - most[1]), np.flatnonzero(high >= t - most[0])
+                order = order[np.argsort(-high[order])]
+                n = np.searchsorted(-high[order], low[rows] - t, side="right")
                 if n.sum() >= MIN_CAPS or t < -4:
                     break
                 t -= 0.02
@@ -81,6 +88,12 @@ class ProductCode:
         return out
 
 
+@lru_cache(64)
+def code_of(dim: int, n: int) -> ProductCode:
+    """The code for vectors of one length, kept by a Python worker."""
+    return ProductCode(dim, n)
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """One row a vector: its id, n_links, class_id (smallest id of its copies), component_id and kept."""
     spark = vectors.sparkSession
@@ -93,11 +106,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     kept = whole.groupBy("label", "v").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     kept = stage(kept, "classes")
     n = kept.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    dims = [r[0] for r in kept.select(F.size("v")).distinct().limit(64).collect()]
-    if len(dims) == 64:
-        raise ValueError("vectors of 64 or more different lengths")
-    codes = {d: ProductCode(d, n) for d in dims}
-    sent = spark.sparkContext.broadcast(codes)
     target = pa.schema([("key", pa.int64()), ("dim", pa.int32()), ("label", pa.string()), ("id", pa.int64())])
 
     def caps(batches):
@@ -108,7 +116,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             for i in range(batch.num_rows):
                 x = values[at[i] : at[i + 1]]
                 x = x / np.abs(x).max()
-                (hit,) = sent.value[len(x)].decode((x / np.linalg.norm(x))[None, :])
+                (hit,) = code_of(len(x), n).decode((x / np.linalg.norm(x))[None, :])
                 keys.append(hit)
                 dim += [len(x)] * len(hit)
                 lab += [labels[i]] * len(hit)
@@ -119,8 +127,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     classes = kept.select(F.col("class_id").alias("id"), "v", F.col("label").cast("string").alias("label"))
     filed = stage(classes.mapInArrow(caps, "key long, dim int, label string, id long"), "caps")
     a, b = filed.withColumnRenamed("id", "a"), filed.withColumnRenamed("id", "b")
-    pairs = a.hint("merge").join(b, ["key", "dim", "label"]).where("a < b").select("a", "b").distinct()
-    links = stage(_verified(stage(pairs, "pairs"), classes, cosine), "links")
+    pairs = stage(a.hint("merge").join(b, ["key", "dim", "label"]).where("a < b").select("a", "b").distinct(), "pairs")
+    links = stage(_verified(pairs, classes, cosine), "links")
+    unstage(filed, pairs)
     release(spark)
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
     size = kept.select("class_id", "copies")
