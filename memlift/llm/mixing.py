@@ -53,7 +53,8 @@ def targets(sizes: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: its id, size, source_size, target (of its source), copies, taken (size times copies)."""
+    """One row a document: its id, size, source_size, target (of its source), copies, taken (size times copies), source.
+    Rows with one id, source and size have the same copies."""
     d = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"))
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")), 1, 12), 16, 10).cast("long")
     d = stage(d.withColumn("u", (u + 0.5) / float(1 << 48)), "sizes")
@@ -100,4 +101,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     r = r.join(mend.hint(hint), F.col("source").eqNullSafe(F.col("own")) & (F.col("rank") == F.col("rank_")) & F.col("id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_")), "left")
     changed = F.when(F.col("rank_").isNull(), F.col("taken_")).otherwise(1 - F.col("taken_"))
     r = r.withColumn("copies", F.col("whole") + changed)
-    return r.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return r.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.col("source").alias(source_col))
