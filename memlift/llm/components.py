@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlift.llm.common import arrow_rows, release, stage, unstage
+from memlift.llm.common import arrow_rows, release, sized, stage, unstage
 from memlift.shipping import ship
 
 
@@ -83,14 +83,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 #: A key with more ids than this makes no pairs by itself.
 SHORT_KEY = 6
-#: Up to so many ids a table of ids goes to each task; beyond, both sides are dealt out by id.
-BROADCAST_IDS = 300_000
 
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows (with an id) whose id is in ids. Few ids are sent to the rows; else both are dealt out by id."""
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(ids.hint("broadcast" if few else "merge"), "id", "left_semi")
+    return rows.join(sized(ids), "id", "left_semi")
 
 
 def _able(rows: DataFrame, met: Callable[[Column], Column] | None, label: str) -> DataFrame:

@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import release, stage, unstage
-from memlift.llm.components import BROADCAST_IDS, linked_groups, only
+from memlift.llm.common import release, sized, stage, unstage
+from memlift.llm.components import linked_groups, only
 from memlift.llm.wordhash import shingle_sets
 from memlift.shipping import ship
 
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = full.where("n_shingles > 0 and id is not null")
     copied = stage(known.groupBy("sign").agg(F.min("id").alias("class_id"), F.count("*").alias("c")).where("c > 1").select("sign", "class_id"), "copied")
     others = stage(known.select("id", "sign").join(copied.hint("merge"), "sign").where("id != class_id").select("id", "sign").distinct(), "others")
-    lists = known.join(others.hint("broadcast" if others.count() <= BROADCAST_IDS else "merge"), ["id", "sign"], "left_anti")
+    lists = known.join(sized(others), ["id", "sign"], "left_anti")
     n = F.col("n_shingles").cast("int").alias("n")
     postings, hot = (lists.select(F.explode(c).alias("key"), "id", n) for c in ("short", "hot"))
     linked = linked_groups(postings, lambda ids: member_sets(own, ids), percent, lambda n: lists_met_column(n, percent), hot)

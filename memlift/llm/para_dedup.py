@@ -1,11 +1,11 @@
 """Passages that repeat across documents: paragraphs by MinHash banding, and what stands inside them by equal sentences.
 
-A paragraph is a line with at least MIN_WORDS words, or a block of several lines between blank ones, lower-cased, with any
-white space as one blank. Equal paragraphs collapse into one class by a hash of 128 bits. Each class has BANDS bands of ROWS
+A paragraph is a line with at least MIN_WORDS words, or a block of several lines between blank ones, as its words in lower
+case. Equal paragraphs collapse into one class by two hashes of 64 bits. Each class has BANDS bands of ROWS
 minimum hashes over its five-word shingles; bands are tuned for recall: at a Jaccard of 0.8 a pair shares a band with
-probability 1 - (1 - 0.8^4)^14 = 0.9994. A set of up to WHOLE_SET shingles is near to its equals only, so it has one band.
-Colliding paragraphs are joined by band and checked: they are near when the exact Jaccard of their shingles is 0.8 or more.
-Near classes form components.
+probability 1 - (1 - 0.8^2)^7 = 0.9992, and paragraphs without common shingles never meet. A set of up to WHOLE_SET shingles is
+near to its equals only, so it has one band. Colliding paragraphs are joined by band and checked: they are near when the
+exact Jaccard of their shingles is 0.8 or more. Near classes form components.
 
 A passage can also stand in the middle of a longer paragraph, or be wrapped otherwise. So blocks are cut into units at the
 ends of sentences, whatever their lines, and long sentences at words whose hash is the smallest among their neighbours, which
@@ -14,179 +14,226 @@ other documents hold too are repeated.
 
 Of each component and each repeated unit the document with the smallest id keeps its text, whatever surrounds it there; the
 others' is removed, but for what the document keeps of others. Components and units that stand nowhere but inside repeated
-paragraphs go or stay with these. Neighbours with the same verdict and no word between them make one passage.
+paragraphs go or stay with these. Neighbours with the same verdict and no word between them make one passage. Sentences of
+everyday words recur by chance, so units count from MIN_RUN words in a row on; whole paragraphs count from MIN_WORDS words on.
 
-Nulls and empty texts have no paragraphs. Very long texts are read whole. Repeated rows are copies like others; rows with
-one id count as one document, and repeats inside one document don't count. Rows with a null id have no passages. Ties can't
-occur: places are unique. Further columns don't matter, and an empty table gives an empty result.
+Texts are cut and hashed by numpy, many at a time. Nulls and empty texts have no paragraphs. Very long texts are read whole.
+Repeated rows are copies like others; rows with one id count as one document, and repeats inside one document don't count. Rows
+with a null id have no passages. Ties can't occur: places are unique. Further columns don't matter, and an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import arrow_map, release, stage, unstage, utf8
-from memlift.llm.components import BROADCAST_IDS, linked_groups
-from memlift.llm.wordhash import lower_words, shingle_set, word_hashes
+from memlift.llm.common import arrow_map, release, sized, stage, unstage, utf8
+from memlift.llm.components import linked_groups
+from memlift.llm.wordhash import distinct, mixed, sequence_hashes, spans_and_hashes
 from memlift.shipping import ship
 
-MIN_WORDS = 5
+MIN_WORDS, SHINGLE = 5, 5
 UNIT_WORDS, LONG_SENTENCE = 5, 24
-#: Words of a passage, where the caller asks for no others.
+#: Words of a passage without a whole paragraph, where the caller asks for no others.
 MIN_RUN = 25
 #: A long sentence is cut after words with the smallest hash among so many on both sides.
 NEAR_WORDS = 4
 #: With so few shingles, a Jaccard of 0.8 takes equal sets.
 WHOLE_SET = 3
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 7, 2
 PERCENT = 80
-#: A paragraph's number is its document's times LINES, plus its first line, plus BLOCK for a block; a unit's is its document's times LINES.
-LINES, BLOCK = 1 << 21, 1 << 20
-PLACE = ("pid", "first_char", "last_char", "first_word", "words")
+#: Bytes of texts that are cut together.
+TOGETHER = 1 << 18
+PLACE = ("id", "first_char", "last_char", "first_word", "words")
 _rng = np.random.default_rng(5)
-_A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-
-
-SENTENCE = re.compile(r".+?(?:[.!?]+(?=[\x20\x09-\x0D])|\Z)", re.S)
-SPACED_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SPACES = " \t\n\v\f\r"
-
-
-def blocks(text: str | None):
-    """(line, start, first word, lines with their words) of each run of lines with words; start in code points."""
-    at = word = 0
-    first, held = None, []
-    for i, line in enumerate((text or "").split("\n")):
-        n = len(utf8(line).split())
-        if n:
-            first = first or (i, at, word)
-            held.append((line, n))
-        elif held:
-            yield *first, held
-            first, held = None, []
-        at, word = at + len(line) + 1, word + n
-    if held:
-        yield *first, held
-
-
-def paragraphs(text: str | None):
-    """(number, start, end, first word, words, text) of each line of MIN_WORDS words and each block of several lines."""
-    for i, start, word, lines in blocks(text):
-        at, n = start, word
-        for k, (line, words) in enumerate(lines):
-            if words >= MIN_WORDS:
-                yield i + k, at, at + len(line), n, words, line
-            at, n = at + len(line) + 1, n + words
-        if len(lines) > 1 and n - word >= MIN_WORDS:
-            yield BLOCK + i, start, at - 1, word, n - word, "\n".join(line for line, _ in lines)
-
-
-def cuts(words: list[bytes]) -> list[int]:
-    """Where a long sentence is cut: ends of its parts, in words. Each depends on the words next to it only."""
-    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+_A = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?")] = True
+
+
+@dataclass
+class Parts:
+    """Paragraphs and units of some texts: text (its number), first and end (words, counted over all texts), first_char,
+    last_char and first_word (within the text), and two hashes; of paragraphs also the number of shingles and the bands."""
+
+    paragraphs: dict[str, np.ndarray]
+    units: dict[str, np.ndarray]
+    shingles: np.ndarray
+    bands: np.ndarray
+    n_bands: np.ndarray
+
+    def members(self, i: int) -> np.ndarray:
+        """The sorted distinct shingles of paragraph i."""
+        return distinct(self.shingles[self.paragraphs["first"][i] : self.paragraphs["end"][i] - SHINGLE + 1])
+
+
+def cut_texts(texts: list[str | None]) -> Parts:
+    """Cuts texts into paragraphs and units."""
+    raws = [utf8(t) for t in texts]
+    joined = b"\n\n".join(raws)  # a blank line ends a block, so nothing reaches from one text into the next
+    base = np.cumsum([0, *(len(r) + 2 for r in raws)])[:-1]
+    a = np.frombuffer(joined, np.uint8)
+    start, stop, h = spans_and_hashes(joined)
     n = len(h)
-    ends = [i + 1 for i in range(UNIT_WORDS - 1, n - UNIT_WORDS) if h[i] < min(h[max(0, i - NEAR_WORDS) : i]) and h[i] < min(h[i + 1 : i + 1 + NEAR_WORDS])]
-    return [*ends, n]
-
-
-def units(text: str | None):
-    """(start, end, normal bytes, words, first word) of each unit, in order."""
-    for _, start, word, lines in blocks(text):
-        block = "\n".join(line for line, _ in lines)
-        first, held = None, []
-        for m in SENTENCE.finditer(block):
-            own = utf8(m[0]).lower().split()
-            if not own:
-                continue
-            if first is None:
-                first = m.end() - len(m[0].lstrip(SPACES))
-            held += own
-            if len(held) < UNIT_WORDS:
-                continue
-            end = m.start() + len(m[0].rstrip(SPACES))
-            if len(held) <= LONG_SENTENCE:
-                yield start + first, start + end, b" ".join(held), len(held), word
-            else:
-                places, a = [w.span() for w in SPACED_WORD.finditer(block, first, end)], 0
-                for b in cuts(held):
-                    yield start + places[a][0], start + places[b - 1][1], b" ".join(held[a:b]), b - a, word + a
-                    a = b
-            word += len(held)
-            first, held = None, []
-
-
-def normal(line: str) -> bytes:
-    return b" ".join(utf8(line).lower().split())
-
-
-def bands(members: np.ndarray) -> np.ndarray:
-    """One hash for each band of a set's minimum hashes; of a small set, one hash of the whole."""
-    if len(members) <= WHOLE_SET:
-        return np.array([xxhash.xxh3_64_intdigest(members.tobytes())], np.uint64).view(np.int64)
-    h = members.view(np.uint64)[:, None] * _A + _B
-    h ^= h >> np.uint64(31)
-    least = h.min(0).reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        out = (out ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+    line = np.searchsorted(np.flatnonzero(a == 10), start)
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if n else np.empty(0, np.int64)
+    end = np.append(first[1:], n) if n else first
+    opens = np.concatenate(([True], np.diff(line[first]) > 1)) if n else np.empty(0, bool)
+    block, lines = first[opens], np.diff(np.append(np.flatnonzero(opens), len(first)))
+    block_end = np.append(block[1:], n) if n else block
+    several = (lines > 1) & (block_end - block >= MIN_WORDS)
+    long_ = end - first >= MIN_WORDS
+    p_first, p_end = np.concatenate((first[long_], block[several])), np.concatenate((end[long_], block_end[several]))
+    u_first, u_end = _unit_spans(_ENDS[a[stop - 1]] if n else np.empty(0, bool), block_end, mixed(h, 1))
+    chars = None if joined.isascii() else np.concatenate(([0], np.cumsum((a & 0xC0) != 0x80)))
+    word_base = np.searchsorted(start, base)
+
+    def places(f: np.ndarray, e: np.ndarray) -> dict[str, np.ndarray]:
+        text = np.searchsorted(base, start[f], side="right") - 1
+        where = [start[f], stop[e - 1], base[text]] if chars is None else [chars[x] for x in (start[f], stop[e - 1], base[text])]
+        one, two = sequence_hashes(h, f, e)
+        return {"text": text, "first": f, "end": e, "first_char": where[0] - where[2], "last_char": where[1] - where[2], "first_word": f - word_base[text], "words": e - f, "k1": one, "k2": two}
+
+    paragraphs = places(p_first, p_end)
+    shingles = mixed(h, SHINGLE).view(np.int64)
+    paragraphs["n"], bands, n_bands = _minhash(shingles, p_first, p_end - SHINGLE + 1, int(long_.sum()), paragraphs["k1"])
+    return Parts(paragraphs, places(u_first, u_end), shingles, bands, n_bands)
+
+
+def _unit_spans(ends: np.ndarray, block_end: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of each unit. ends: whether a word ends a sentence; order: words' hashes, for cutting long ones."""
+    n = len(ends)
+    last = np.zeros(n + 1, bool)
+    last[block_end] = True
+    stops = np.flatnonzero(np.concatenate(([False], ends)) | last)
+    least = np.ones(n, bool)
+    for d in range(1, NEAR_WORDS + 1):
+        least[d:] &= order[d:] < order[:-d]
+        least[:-d] &= order[:-d] < order[d:]
+    cuts = np.flatnonzero(least)
+    firsts, found, at = [], [], 0
+    for e, final in zip(stops.tolist(), last[stops].tolist()):
+        if e - at >= UNIT_WORDS:
+            firsts.append(at)
+            if e - at > LONG_SENTENCE:
+                inner = cuts[np.searchsorted(cuts, at + UNIT_WORDS - 1) : np.searchsorted(cuts, e - UNIT_WORDS)] + 1
+                firsts += inner.tolist()
+                found += inner.tolist()
+            found.append(e)
+            at = e
+        elif final:
+            at = e
+    return np.array(firsts, np.int64), np.array(found, np.int64)
+
+
+def _minhash(shingles: np.ndarray, first: np.ndarray, end: np.ndarray, n_lines: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each paragraph, all bands one after the other, and how many each has; the first n_lines
+    paragraphs are lines, the rest blocks, each kind in order. whole: a hash of the paragraph, the band of small sets."""
+    n, k = end - first, len(first)
+    if not k:
+        return n, np.empty(0, np.int64), np.empty(0, np.int64)
+    v = np.sort(shingles)
+    twice = distinct(v[1:][v[1:] == v[:-1]])
+    if len(twice):  # shingles that a paragraph holds again
+        at = np.minimum(np.searchsorted(twice, shingles), len(twice) - 1)
+        where = np.flatnonzero(twice[at] == shingles)
+        where = where[np.argsort(shingles[where], kind="stable")]
+        same = shingles[where[1:]] == shingles[where[:-1]]
+        n = n.copy()
+        for part in (slice(0, n_lines), slice(n_lines, k)):
+            f, e = first[part], end[part]
+            if len(f):
+                own = np.maximum(np.searchsorted(f, where, side="right") - 1, 0)
+                own = np.where((where >= f[own]) & (where < e[own]), own, -1)
+                again = own[1:][same & (own[1:] == own[:-1]) & (own[1:] >= 0)]
+                n[part] -= np.bincount(again, minlength=len(f))
+    x = np.append((shingles.view(np.uint64) >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    least = np.empty((BANDS * ROWS, k), np.uint64)
+    kinds = [np.stack([first[p], end[p]], 1).ravel() for p in (slice(0, n_lines), slice(n_lines, k))]
+    for r in range(BANDS * ROWS):
+        y = (x ^ _B[r]) * _A[r]
+        y ^= y >> np.uint32(16)
+        y *= np.uint32(0x85EBCA6B)
+        least[r] = np.concatenate([np.minimum.reduceat(y, i)[::2] if len(i) else y[:0] for i in kinds])
+    bands = np.empty((k, BANDS), np.uint64)
+    for b in range(BANDS):
+        z = (least[b * ROWS] << np.uint64(32) | least[b * ROWS + 1]) + np.uint64(b)
+        z = (z ^ z >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        bands[:, b] = (z ^ z >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    small = n <= WHOLE_SET
+    bands[small, 0] = whole[small].view(np.uint64)
+    use = np.ones((k, BANDS), bool)
+    use[small, 1:] = False
+    return n, bands.view(np.int64)[use], use.sum(1)
+
+
+def _pieces(texts: pa.Array):
+    """(first row, texts) in pieces of bounded size."""
+    held, at, size = [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size > TOGETHER:
+            yield at, held
+            held, at, size = [], i + 1, 0
+    if held:
+        yield at, held
 
 
 def find_parts(docs: DataFrame) -> DataFrame:
-    """Paragraphs and units: pid, first_char, last_char, first_word, words, sign (of a paragraph), key (of a unit), n (shingles), bands."""
-    target = pa.schema([("pid", pa.int64()), *((c, pa.int32()) for c in PLACE[1:]), ("sign", pa.binary()), ("key", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    """Paragraphs and units: id, first_char, last_char, first_word, words, k1, k2 (hashes), n (shingles) and bands (of a paragraph)."""
+    target = pa.schema([("id", pa.int64()), *((c, pa.int32()) for c in PLACE[1:]), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        cache: dict[bytes, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                cols: list[list] = [[] for _ in target]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for i, start, end, word, words, own in paragraphs(text):
-                        m = shingle_set(word_hashes(lower_words(own)), 5)
-                        for c, value in zip(cols, (doc * LINES + i, start, end, word, words, xxhash.xxh3_128_digest(normal(own)), None, len(m), bands(m))):
-                            c.append(value)
-                    for start, end, clean, words, word in units(text):
-                        for c, value in zip(cols, (doc * LINES, start, end, word, words, None, xxhash.xxh3_64_intdigest(clean) - (1 << 63), None, None)):
-                            c.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
+            ids = batch.column(0).to_numpy()
+            for at, texts in _pieces(batch.column(1)):
+                parts = cut_texts(texts)
+                for p, whole in ((parts.paragraphs, True), (parts.units, False)):
+                    k = len(p["text"])
+                    cols = [pa.array(ids[at + p["text"]]), *(pa.array(p[c].astype(np.int32)) for c in PLACE[1:]), pa.array(p["k1"]), pa.array(p["k2"])]
+                    if whole:
+                        offsets = np.concatenate(([0], np.cumsum(parts.n_bands))).astype(np.int32)
+                        cols += [pa.array(p["n"].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(parts.bands))]
+                    else:
+                        cols += [pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))]
+                    for x in range(0, k, 5000):  # a batch for Spark stays small
+                        yield pa.RecordBatch.from_arrays([c.slice(x, 5000) for c in cols], schema=target)
 
     ship(docs.sparkSession)
-    return docs.where("id is not null").mapInArrow(run, "pid long, first_char int, last_char int, first_word int, words int, sign binary, key long, n int, bands array<long>")
+    return docs.where("id is not null").mapInArrow(run, "id long, first_char int, last_char int, first_word int, words int, k1 long, k2 long, n int, bands array<long>")
 
 
-def paragraph_sets(docs: DataFrame, pids: DataFrame) -> DataFrame:
-    """(id, members) of the paragraphs in pids; texts are cut again, of the documents that hold them only."""
-    wanted = pids.select(F.floor(F.col("id") / LINES).cast("long").alias("doc"), "id").groupBy("doc").agg(F.collect_list("id").alias("lines"))
+def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, members) of the paragraphs in wanted (doc, keys: their first hashes); texts are cut again, of the documents
+    that hold them only. The table of documents is sent to the texts where it is small; else both are dealt out by id."""
     target = pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches):
-        cache: dict[bytes, int] = {}
         for batch in batches:
-            ids, sets = [], []
-            for doc, text, lines in zip(*(c.to_pylist() for c in batch.columns)):
-                wanted = set(lines)
-                for i, *_, own in paragraphs(text):
-                    if doc * LINES + i in wanted:
-                        ids.append(doc * LINES + i)
-                        sets.append(shingle_set(word_hashes(lower_words(own)), 5))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=target)
+            keys = batch.column(1)
+            for at, texts in _pieces(batch.column(0)):
+                parts = cut_texts(texts)
+                k1, text = parts.paragraphs["k1"], parts.paragraphs["text"]
+                ids, sets, seen = [], [], set()
+                asked = [set(keys[at + i].as_py()) for i in range(len(texts))]
+                for i, (t, k) in enumerate(zip(text.tolist(), k1.tolist())):
+                    if k in asked[t] and (t, k) not in seen:
+                        seen.add((t, k))
+                        ids.append(k)
+                        sets.append(parts.members(i))
+                for x in range(0, len(ids), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x : x + 1000], pa.int64()), pa.array(sets[x : x + 1000], pa.list_(pa.int64()))], schema=target)
 
     ship(docs.sparkSession)
-    wanted = stage(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    joined = docs.join(wanted.hint("broadcast" if few else "merge"), docs["id"] == wanted["doc"]).select("id", "text", "lines")
-    return joined.mapInArrow(run, "id long, members array<long>")
+    return docs.join(sized(wanted), docs["id"] == wanted["doc"]).select("text", "keys").mapInArrow(run, "id long, members array<long>")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,28 +241,30 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     too, with the smallest id that holds them, whether it is a unit, and its component or the unit's key."""
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    doc_of = lambda c: F.floor(F.col(c) / LINES).cast("long")
     full = stage(find_parts(own), "parts")
-    kept = full.where("sign is not null").groupBy("sign").agg(F.min("pid").alias("id"), F.max("pid").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # the first hash stands for the class; the chance that two classes share it is that of any two of them, over 2^64
+    kept = full.where("n is not null").groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     kept = stage(kept, "classes")
-    found = stage(full.where("sign is not null").select(*PLACE, "sign"), "paragraphs")
-    loose = stage(full.where("key is not null").select(*PLACE, "key"), "units")
-    unstage(full)
     release(spark)
-    postings = kept.select(F.explode("bands").alias("key"), "id", "n")
-    linked = linked_groups(postings, lambda ids: paragraph_sets(own, ids), PERCENT)
-    group = stage(kept.select("sign", "id", "last").join(linked.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "groups")
-    spread = group.groupBy("component").agg(F.min("id").alias("lo"), F.max("last").alias("hi"))
-    spread = stage(spread.where(doc_of("lo") < doc_of("hi")).select("component", doc_of("lo").alias("first_doc")), "spread")
-    group = stage(group.join(spread.hint("merge"), "component").select("sign", "component", "first_doc"), "repeated_signs")
+    postings = kept.select(F.explode("bands").alias("key"), F.col("k1").alias("id"), "n")
+
+    def load_sets(ids: DataFrame) -> DataFrame:
+        wanted = kept.select(F.col("k1").alias("id"), F.col("lo").alias("doc")).join(sized(ids), "id")
+        # a document's own paragraphs: bounded by its text
+        return paragraph_sets(own, stage(wanted.groupBy("doc").agg(F.collect_list("id").alias("keys")), "wanted"))
+
+    linked = linked_groups(postings, load_sets, PERCENT)
+    group = kept.select("k1", "k2", "lo", "hi").join(linked.withColumnRenamed("id", "k1").hint("merge"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+    group = stage(group, "groups")
+    spread = group.groupBy("component").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last_doc")).where("first_doc < last_doc").select("component", "first_doc")
+    group = stage(group.join(stage(spread, "spread").hint("merge"), "component").select("k1", "k2", "component", "first_doc"), "repeated_classes")
     unstage(kept)
     release(spark)
-    lines = found.join(group.hint("merge"), "sign").select(*PLACE, "first_doc", F.lit(False).alias("unit"), F.col("component").alias("part"))
-    often = loose.groupBy("key").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi")
-    often = stage(often.select("key", doc_of("lo").alias("first_doc")), "repeated_units")
+    lines = full.where("n is not null").select(*PLACE, "k1", "k2").join(sized(group), ["k1", "k2"]).select(*PLACE, "first_doc", F.lit(False).alias("unit"), F.col("component").alias("part"))
+    units = full.where("n is null").select(*PLACE, F.col("k1").alias("part"))
+    often = stage(units.groupBy("part").agg(F.min("id").alias("first_doc"), F.max("id").alias("hi")).where("first_doc < hi").select("part", "first_doc"), "repeated_units")
     release(spark)
-    inside = loose.join(often.hint("merge"), "key").select(*PLACE, "first_doc", F.lit(True).alias("unit"), F.col("key").alias("part"))
-    return lines.unionByName(inside).withColumn("id", doc_of("pid")).drop("pid")
+    return lines.unionByName(units.join(sized(often), "part").select(*PLACE, "first_doc", F.lit(True).alias("unit"), "part"))
 
 
 def inside(parts: list[tuple]) -> list[bool]:
@@ -256,9 +305,10 @@ def without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[t
     return out
 
 
-def runs(doc: int, parts: list[tuple[int, int, int, int, int]], least_words: int = MIN_RUN) -> list[tuple[int, int, int, int, bool]]:
+def runs(doc: int, parts: list[tuple[int, int, int, int, int, bool]], least_words: int = MIN_RUN) -> list[tuple[int, int, int, int, bool]]:
     """(start, end, words, first document, removed) of a document's passages; parts: (start, end, first word, words, first
-    document). A part is kept where this document is its first, and removed elsewhere but for what is kept."""
+    document, unit). A part is kept where this document is its first, and removed elsewhere but for what is kept. Passages
+    of fewer than least_words words count where they touch a paragraph."""
     word = {p[0]: p[2] for p in parts} | {p[1]: p[2] + p[3] for p in parts}
     kept = union([(p[0], p[1]) for p in parts if p[4] == doc])
     gone = without(union([(p[0], p[1]) for p in parts if p[4] != doc]), kept)
@@ -270,19 +320,22 @@ def runs(doc: int, parts: list[tuple[int, int, int, int, int]], least_words: int
             out.append([start, end, 0, doc, removed])
     starts = [r[0] for r in out]
     firsts: list[list[int]] = [[] for _ in out]
-    for start, end, _, _, first in parts:
+    whole = [False] * len(out)
+    for start, end, _, _, first, unit in parts:
         k = max(0, bisect_right(starts, start) - 1)
         while k < len(out) and out[k][0] < end:
-            if first != doc and out[k][4] and start < out[k][1]:
-                firsts[k].append(first)
+            if start < out[k][1]:
+                whole[k] |= not unit and (first == doc) != out[k][4]
+                if first != doc and out[k][4]:
+                    firsts[k].append(first)
             k += 1
     for r, found in zip(out, firsts):
         r[2], r[3] = word[r[1]] - word[r[0]], min(found, default=doc)
-    return [tuple(r) for r in out if r[2] >= least_words]
+    return [tuple(r) for r, w in zip(out, whole) if w or r[2] >= least_words]
 
 
 def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = MIN_RUN) -> DataFrame:
-    """One row for each passage of at least least_words words of a document that another document holds too: the document's id,
+    """One row for each passage of at least least_words words, or with a paragraph, that another document holds too: the document's id,
     first_doc_id (its own id where it keeps the passage, else the smallest id that keeps a part of it), first_char and
     last_char (code points, end exclusive), n_words, removed (others keep it). Documents without such passages have no row."""
     rows = repeated(docs, id_col, text_col)
@@ -306,14 +359,14 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = stage(arrow_map(per, mark, "id long, nested boolean, first_char int, last_char int, unit boolean, first_word int, words int, first_doc long, part long"), "marked")
     free = marked.where("not nested")
     deep = marked.where("nested").join(free.select("unit", "part").distinct().hint("merge"), ["unit", "part"], "left_semi")
-    own = free.unionByName(deep).groupBy("id").agg(F.collect_list(F.struct("first_char", "last_char", "first_word", "words", "first_doc")).alias("parts"))
+    own = free.unionByName(deep).groupBy("id").agg(F.collect_list(F.struct("first_char", "last_char", "first_word", "words", "first_doc", "unit")).alias("parts"))
     own = stage(own, "by_document")
 
     def make():
         def step(batch):
             out: dict[str, list] = {n: [] for n in ("id", "first_doc_id", "first_char", "last_char", "n_words", "removed")}
             for i, parts in zip(batch["id"], batch["parts"]):
-                for start, end, words, first, removed in runs(i, [(p["first_char"], p["last_char"], p["first_word"], p["words"], p["first_doc"]) for p in parts], least_words):
+                for start, end, words, first, removed in runs(i, [(p["first_char"], p["last_char"], p["first_word"], p["words"], p["first_doc"], p["unit"]) for p in parts], least_words):
                     for n, v in zip(out, (i, first, start, end, words, removed)):
                         out[n].append(v)
             return out

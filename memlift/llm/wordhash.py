@@ -6,6 +6,8 @@ the text's start give all words at once. Shingle hashes mix those of their words
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from memlift.llm.common import utf8
@@ -16,6 +18,12 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 _STEP, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The same with A-Z standing for a-z.
+_LOWER = _BYTE.copy()
+_LOWER[65:91] = _BYTE[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_A_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _power: dict[str, np.ndarray] = {}
 
 
@@ -112,3 +120,39 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
             size = 0
     flush()
     return out
+
+
+def spans_and_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and hash (in lower case) of each word of a text."""
+    found, at = [], 0
+    while at < len(raw):
+        cut = _A_BLANK.search(raw, at + PIECE) if len(raw) - at > PIECE else None
+        end = cut.start() if cut else len(raw)
+        a = np.frombuffer(raw, np.uint8, end - at, at)
+        blank = np.ones(len(a) + 2, bool)
+        blank[1:-1] = _BLANK[a]
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
+        up, down = _powers(len(a) + 1)
+        sums = np.empty(len(a) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_LOWER[a] * up[: len(a)], out=sums[1:])
+        start, stop = edge[::2], edge[1::2]
+        found.append((start + at, stop + at, (sums[stop] - sums[start]) * down[start]))
+        at = end
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def sequence_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each sequence of words from first to end."""
+    up, down = _powers(len(h) + 1)
+    out, word = [], mixed(h, 1)
+    for turn in (np.uint64(31), np.uint64(33)):
+        word = (word ^ (word >> turn) ^ turn) * _LAST
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(word * up[: len(h)], out=sums[1:])
+        x = (sums[end] - sums[first]) * down[first] ^ (end - first).astype(np.uint64) * _STEP
+        x = (x ^ x >> np.uint64(29)) * _LAST
+        out.append((x ^ x >> np.uint64(32)).view(np.int64))
+    return out[0], out[1]
