@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlift.llm.common import arrow_rows, release, sized, stage, unstage
+from memlift.llm.common import BROADCAST_IDS, arrow_rows, release, sized, stage, unstage
 from memlift.shipping import ship
 
 
@@ -185,8 +185,9 @@ def _rare_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _check(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
     """The pairs that are similar; of sets, those of their ids are moved only."""
     ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
     with arrow_rows(pairs.sparkSession, 500):
-        links = stage(verified(pairs, only(sets, ids), percent), label)
+        links = stage(verified(pairs, only(sets, ids) if few else sets, percent), label)
     unstage(ids, pairs)
     release(pairs.sparkSession)
     return links

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import arrow_map, release, sized, stage, unstage, utf8
+from memlift.llm.common import arrow_map, arrow_schema, release, sized, stage, unstage, utf8
 from memlift.llm.components import linked_groups
 from memlift.llm.wordhash import distinct, mixed, sequence_hashes, spans_and_hashes
 from memlift.shipping import ship
@@ -70,12 +70,12 @@ class Parts:
     n_bands: np.ndarray
 
     def members(self, i: int) -> np.ndarray:
-        """The sorted distinct shingles of paragraph i."""
-        return distinct(self.shingles[self.paragraphs["first"][i] : self.paragraphs["end"][i] - SHINGLE + 1])
+        """The sorted distinct shingles of paragraph i, as 32 bits."""
+        return distinct(self.shingles[self.paragraphs["first"][i] : self.paragraphs["end"][i] - SHINGLE + 1].view(np.int32))
 
 
-def cut_texts(texts: list[str | None]) -> Parts:
-    """Cuts texts into paragraphs and units."""
+def cut_texts(texts: list[str | None], with_bands: bool = True) -> Parts:
+    """Cuts texts into paragraphs and units; without bands, the paragraphs have none and no n."""
     raws = [utf8(t) for t in texts]
     joined = b"\n\n".join(raws)  # a blank line ends a block, so nothing reaches from one text into the next
     base = np.cumsum([0, *(len(r) + 2 for r in raws)])[:-1]
@@ -102,7 +102,9 @@ def cut_texts(texts: list[str | None]) -> Parts:
         return {"text": text, "first": f, "end": e, "first_char": where[0] - where[2], "last_char": where[1] - where[2], "first_word": f - word_base[text], "words": e - f, "k1": one, "k2": two}
 
     paragraphs = places(p_first, p_end)
-    shingles = mixed(h, SHINGLE).view(np.int64)
+    shingles = (mixed(h, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+    if not with_bands:
+        return Parts(paragraphs, places(u_first, u_end), shingles, shingles[:0], shingles[:0])
     paragraphs["n"], bands, n_bands = _minhash(shingles, p_first, p_end - SHINGLE + 1, int(long_.sum()), paragraphs["k1"])
     return Parts(paragraphs, places(u_first, u_end), shingles, bands, n_bands)
 
@@ -154,7 +156,7 @@ def _minhash(shingles: np.ndarray, first: np.ndarray, end: np.ndarray, n_lines:
                 own = np.where((where >= f[own]) & (where < e[own]), own, -1)
                 again = own[1:][same & (own[1:] == own[:-1]) & (own[1:] >= 0)]
                 n[part] -= np.bincount(again, minlength=len(f))
-    x = np.append((shingles.view(np.uint64) >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    x = np.append(shingles, np.uint32(0))
     least = np.empty((BANDS * ROWS, k), np.uint64)
     kinds = [np.stack([first[p], end[p]], 1).ravel() for p in (slice(0, n_lines), slice(n_lines, k))]
     for r in range(BANDS * ROWS):
@@ -187,40 +189,59 @@ def _pieces(texts: pa.Array):
         yield at, held
 
 
-def find_parts(docs: DataFrame) -> DataFrame:
-    """Paragraphs and units: id, first_char, last_char, first_word, words, k1, k2 (hashes), n (shingles) and bands (of a paragraph)."""
-    target = pa.schema([("id", pa.int64()), *((c, pa.int32()) for c in PLACE[1:]), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+def _rows(docs: DataFrame, schema: str, with_bands: bool, columns) -> DataFrame:
+    """docs (id, text) cut into parts; columns: from (ids by text, Parts) to lists of columns in the schema's order."""
+    target = arrow_schema(docs.sparkSession, schema)
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, texts in _pieces(batch.column(1)):
-                parts = cut_texts(texts)
-                for p, whole in ((parts.paragraphs, True), (parts.units, False)):
-                    k = len(p["text"])
-                    cols = [pa.array(ids[at + p["text"]]), *(pa.array(p[c].astype(np.int32)) for c in PLACE[1:]), pa.array(p["k1"]), pa.array(p["k2"])]
-                    if whole:
-                        offsets = np.concatenate(([0], np.cumsum(parts.n_bands))).astype(np.int32)
-                        cols += [pa.array(p["n"].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(parts.bands))]
-                    else:
-                        cols += [pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))]
-                    for x in range(0, k, 5000):  # a batch for Spark stays small
+                for cols in columns(ids[at : at + len(texts)], cut_texts(texts, with_bands)):
+                    for x in range(0, len(cols[0]), 5000):  # a batch for Spark stays small
                         yield pa.RecordBatch.from_arrays([c.slice(x, 5000) for c in cols], schema=target)
 
     ship(docs.sparkSession)
-    return docs.where("id is not null").mapInArrow(run, "id long, first_char int, last_char int, first_word int, words int, k1 long, k2 long, n int, bands array<long>")
+    return docs.where("id is not null").select("id", "text").mapInArrow(run, schema)
+
+
+def find_paragraphs(docs: DataFrame) -> DataFrame:
+    """id, k1, k2 (hashes), n (shingles) and bands of each paragraph."""
+
+    def columns(ids, parts):
+        p = parts.paragraphs
+        offsets = np.concatenate(([0], np.cumsum(parts.n_bands))).astype(np.int32)
+        yield [pa.array(ids[p["text"]]), pa.array(p["k1"]), pa.array(p["k2"]), pa.array(p["n"].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(parts.bands))]
+
+    return _rows(docs, "id long, k1 long, k2 long, n int, bands array<long>", True, columns)
+
+
+def find_units(docs: DataFrame) -> DataFrame:
+    """id and part (hash) of each unit."""
+    return _rows(docs, "id long, part long", False, lambda ids, parts: [[pa.array(ids[parts.units["text"]]), pa.array(parts.units["k1"])]])
+
+
+def find_places(docs: DataFrame) -> DataFrame:
+    """Where paragraphs and units stand: id, first_char, last_char, first_word, words, unit, k1 and k2 (0 of a unit)."""
+
+    def columns(ids, parts):
+        for p, unit in ((parts.paragraphs, False), (parts.units, True)):
+            k = len(p["text"])
+            yield [pa.array(ids[p["text"]]), *(pa.array(p[c].astype(np.int32)) for c in PLACE[1:]), pa.array(np.full(k, unit)), pa.array(p["k1"]), pa.array(np.zeros(k, np.int64) if unit else p["k2"])]
+
+    return _rows(docs, "id long, first_char int, last_char int, first_word int, words int, unit boolean, k1 long, k2 long", False, columns)
 
 
 def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, members) of the paragraphs in wanted (doc, keys: their first hashes); texts are cut again, of the documents
+    """(id, members) of the paragraphs in wanted (doc, keys: their first hashes), members as 32 bits; texts are cut again, of the documents
     that hold them only. The table of documents is sent to the texts where it is small; else both are dealt out by id."""
-    target = pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))])
+    target = pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
             keys = batch.column(1)
             for at, texts in _pieces(batch.column(0)):
-                parts = cut_texts(texts)
+                parts = cut_texts(texts, False)
                 k1, text = parts.paragraphs["k1"], parts.paragraphs["text"]
                 ids, sets, seen = [], [], set()
                 asked = [set(keys[at + i].as_py()) for i in range(len(texts))]
@@ -230,10 +251,10 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         ids.append(k)
                         sets.append(parts.members(i))
                 for x in range(0, len(ids), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x : x + 1000], pa.int64()), pa.array(sets[x : x + 1000], pa.list_(pa.int64()))], schema=target)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x : x + 1000], pa.int64()), pa.array(sets[x : x + 1000], pa.list_(pa.int32()))], schema=target)
 
     ship(docs.sparkSession)
-    return docs.join(sized(wanted), docs["id"] == wanted["doc"]).select("text", "keys").mapInArrow(run, "id long, members array<long>")
+    return docs.join(sized(wanted), docs["id"] == wanted["doc"]).select("text", "keys").mapInArrow(run, "id long, members array<int>")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,9 +262,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     too, with the smallest id that holds them, whether it is a unit, and its component or the unit's key."""
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    full = stage(find_parts(own), "parts")
     # the first hash stands for the class; the chance that two classes share it is that of any two of them, over 2^64
-    kept = full.where("n is not null").groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    kept = find_paragraphs(own).groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     kept = stage(kept, "classes")
     release(spark)
     postings = kept.select(F.explode("bands").alias("key"), F.col("k1").alias("id"), "n")
@@ -260,11 +280,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     group = stage(group.join(stage(spread, "spread").hint("merge"), "component").select("k1", "k2", "component", "first_doc"), "repeated_classes")
     unstage(kept)
     release(spark)
-    lines = full.where("n is not null").select(*PLACE, "k1", "k2").join(sized(group), ["k1", "k2"]).select(*PLACE, "first_doc", F.lit(False).alias("unit"), F.col("component").alias("part"))
-    units = full.where("n is null").select(*PLACE, F.col("k1").alias("part"))
-    often = stage(units.groupBy("part").agg(F.min("id").alias("first_doc"), F.max("id").alias("hi")).where("first_doc < hi").select("part", "first_doc"), "repeated_units")
+    often = find_units(own).groupBy("part").agg(F.min("id").alias("first_doc"), F.max("id").alias("hi")).where("first_doc < hi")
+    often = often.select(F.col("part").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("part").alias("component"), "first_doc", F.lit(True).alias("unit"))
+    both = stage(often.unionByName(group.withColumn("unit", F.lit(False))), "repeated_keys")
+    unstage(group)
     release(spark)
-    return lines.unionByName(units.join(sized(often), "part").select(*PLACE, "first_doc", F.lit(True).alias("unit"), "part"))
+    found = find_places(own).join(sized(both), ["k1", "k2", "unit"])
+    return found.select(*PLACE, "first_doc", "unit", F.col("component").alias("part"))
 
 
 def inside(parts: list[tuple]) -> list[bool]:
