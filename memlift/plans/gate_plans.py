@@ -8,8 +8,34 @@ from memlift.functions import policy as P
 from memlift.functions import text as T
 from memlift.operators import attribution as A
 from memlift.operators import gates as G
-from memlift.plans.attribution_plans import BASE, _COUNTS, _RATES, verdicts
+from memlift.plans.attribution_plans import BASE, _COUNTS, _RATES, segments, served, verdicts
 from memlift.plans.registry import query, table
+from memlift.plans.source_plans import folder
+
+
+# what a submitter states by ability, beside what the rows give; a few statements are wrong on purpose, so each check can fail
+_CLAIMS = f"""r as (select ability, tier, {_RATES}, n from (select ability, tier, {_COUNTS} from v group by ability, tier)),
+d as (select ability, max(completion) filter (tier = 'T1') as baseline, max(completion) filter (tier = 'T4') as treatment, max(n) as clusters from r group by ability),
+claim as (select *, treatment - baseline as derived, treatment - baseline + case when ability = 3 then 0.5 else 0 end as score, case when ability = 4 then 'naive' else 'paired-cluster' end as method,
+  case when ability = 1 then clusters + 1 else clusters end as stated, treatment - baseline + 98 / sqrt(clusters) * case when ability = 2 then 1 else -1 end as lower, treatment - baseline + 98 / sqrt(clusters) * case when ability = 2 then -1 else 1 end as upper,
+  case when ability = 0 then 'no hash' else md5(ability::varchar) end as artifact from d)"""
+
+
+def claims(spark, sf_dir):
+    """ability, baseline, treatment, clusters and derived (from the rows), and as stated: score, method, stated, lower, upper, artifact."""
+    at = lambda t: F.max(F.when(F.col("tier") == t, F.col("completion")))
+    d = A.rates(A.count_outcomes(verdicts(spark, sf_dir), [["ability", "tier"]])).groupBy("ability").agg(at("T1").alias("baseline"), at("T4").alias("treatment"), F.max("n").alias("clusters"))
+    d = d.withColumn("derived", F.col("treatment") - F.col("baseline"))
+    margin, turned = 98 / F.sqrt("clusters"), F.when(F.col("ability") == 2, -1).otherwise(1)
+    return d.select(
+        "*",
+        (F.col("derived") + F.when(F.col("ability") == 3, 0.5).otherwise(0.0)).alias("score"),
+        F.when(F.col("ability") == 4, "naive").otherwise("paired-cluster").alias("method"),
+        F.when(F.col("ability") == 1, F.col("clusters") + 1).otherwise(F.col("clusters")).alias("stated"),
+        (F.col("derived") - margin * turned).alias("lower"),
+        (F.col("derived") + margin * turned).alias("upper"),
+        F.when(F.col("ability") == 0, "no hash").otherwise(F.md5(F.col("ability").cast("string").cast("binary"))).alias("artifact"),
+    )
 
 
 def checks(*pairs: tuple[str, str]) -> str:
@@ -30,9 +56,41 @@ def gt2_envelope(spark, sf_dir):
     return G.report(table(spark, sf_dir, "customer"), {"name form": ~F.col("c_name").rlike("^Customer#[0-9]+$"), "name length": ~F.length("c_name").between(3, 40), "segment form": ~F.col("c_mktsegment").rlike("^[A-Z]+$")})
 
 
-@query(checks(("no error events", "select count(*) from events where event_type = 'error'"), ("values in range", "select count(*) from events where value < 0 or value > 1000")))
+_MANIFESTS = """run as (select conv_id % 5 as ability, 4 * count(*) as expected, md5('reader|' || count(distinct conv_id)::varchar) as fingerprint, conv_id % 5 = 3 as mock from segs group by ability, mock),
+judge as (select ability, count(*) - case when ability = 2 then 1 else 0 end as judged, count(*) filter (verdict = 'gullible' and tier = 'T1') as errors, any_value(case when ability = 1 then 'drifted' else f end) as fingerprint
+  from v join (select conv_id % 5 as ability, md5('reader|' || count(distinct conv_id)::varchar) as f from segs group by 1) using (ability) group by ability)"""
+
+
+@query(
+    f"with {BASE}, {_MANIFESTS} "
+    + checks(
+        ("every cell is judged", "select count(*) from run join judge using (ability) where expected <> judged"),
+        ("one fingerprint", "select count(*) from run r join judge j using (ability) where r.fingerprint <> j.fingerprint"),
+        ("no mock reader", "select count(*) from run where mock"),
+        ("no backend error", "select count(*) from judge where errors > 0"),
+        ("every run has a judge", "select count(*) from run where ability not in (select ability from judge)"),
+    )
+)
 def gt3_manifest_agreement(spark, sf_dir):
-    return G.report(table(spark, sf_dir, "events"), {"no error events": F.col("event_type") == "error", "values in range": (F.col("value") < 0) | (F.col("value") > 1000)})
+    """Manifests of runs (one an ability) against those of their judges: cells, pinned fingerprints, mocks and errors. One
+    manifest misses a cell, one has another fingerprint and one is a mock's, and must be found."""
+    s = segments(spark, sf_dir).withColumn("ability", F.col("conv_id") % 5)
+    print_ = F.md5(F.concat(F.lit("reader|"), F.countDistinct("conv_id").cast("string")).cast("binary"))
+    run = s.groupBy("ability").agg((4 * F.count("*")).alias("expected"), print_.alias("fingerprint")).withColumn("mock", F.col("ability") == 3)
+    judge = verdicts(spark, sf_dir).groupBy("ability").agg(F.count("*").alias("n"), F.count_if((F.col("verdict") == "gullible") & (F.col("tier") == "T1")).alias("errors"))
+    judge = judge.join(run.select("ability", F.col("fingerprint").alias("seen")), "ability").select("ability", (F.col("n") - F.when(F.col("ability") == 2, 1).otherwise(0)).alias("judged"), "errors", F.when(F.col("ability") == 1, "drifted").otherwise(F.col("seen")).alias("seen"))
+    both = run.join(judge, "ability", "left")
+    there = F.col("judged").isNotNull()
+    return G.report(
+        both,
+        {
+            "every cell is judged": there & (F.col("expected") != F.col("judged")),
+            "one fingerprint": there & (F.col("fingerprint") != F.col("seen")),
+            "no mock reader": F.col("mock"),
+            "no backend error": there & (F.coalesce("errors", F.lit(0)) > 0),
+            "every run has a judge": ~there,
+        },
+    )
 
 
 @query(
@@ -50,13 +108,28 @@ def gt4_transcript_structure(spark, sf_dir):
     return G.transcript_structure(verdicts(spark, sf_dir))
 
 
-@query(f"with {BASE}, r as (select *, {_RATES} from (select tier, {_COUNTS} from v group by tier)) select 'score is the difference' as \"check\", abs(a.completion - b.completion - (a.completion - b.completion)) < 1e-9 as passed, a.completion - b.completion as score from r a, r b where a.tier = 'T4' and b.tier = 'T1'")
+@query(
+    f"with {BASE}, {_CLAIMS} "
+    + checks(
+        ("method is paired", "select count(*) from claim where method <> 'paired-cluster'"),
+        ("clusters agree", "select count(*) from claim where stated <> clusters"),
+        ("score is derived", "select count(*) from claim where not abs(score - derived) < 1e-9"),
+        ("interval in order", "select count(*) from claim where lower > upper"),
+        ("interval holds the score", "select count(*) from claim where score not between lower and upper"),
+    )
+)
 def gt5_statistics(spark, sf_dir):
-    """A claimed score must be the difference of the rates that the rows give."""
-    r = A.rates(A.count_outcomes(verdicts(spark, sf_dir), [["tier"]]))
-    at = lambda t: F.max(F.when(F.col("tier") == t, F.col("completion")))
-    one = r.agg((at("T4") - at("T1")).alias("score"), at("T4").alias("t4"), at("T1").alias("t1"))
-    return one.select(F.lit("score is the difference").alias("check"), (F.abs(F.col("score") - (F.col("t4") - F.col("t1"))) < 1e-9).alias("passed"), "score")
+    """Stated statistics by ability against those that the rows give."""
+    return G.report(
+        claims(spark, sf_dir),
+        {
+            "method is paired": F.col("method") != "paired-cluster",
+            "clusters agree": F.col("stated") != F.col("clusters"),
+            "score is derived": ~(F.abs(F.col("score") - F.col("derived")) < 1e-9),
+            "interval in order": F.col("lower") > F.col("upper"),
+            "interval holds the score": ~F.col("score").between(F.col("lower"), F.col("upper")),
+        },
+    )
 
 
 @query(f"with {BASE} " + checks(("at least 30 segments an ability", "select count(*) from (select ability from v group by ability having count(distinct seg_id) < 30)"), ("balanced tiers", "select count(*) from (select ability from (select ability, tier, count(*) as n from v group by all) group by ability having count(distinct n) > 1)")))
@@ -67,37 +140,96 @@ def gt6_architecture(spark, sf_dir):
     return G.together(G.report(per, {"at least 30 segments an ability": F.col("segments") < 30}), G.report(even, {"balanced tiers": F.col("sizes") > 1}))
 
 
-@query()
+@query("""select o_orderstatus, o_orderpriority, substr(sha256('{"n":' || count(*)::varchar || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'), 1, 12) as control_key from orders group by o_orderstatus, o_orderpriority""")
 def gt7_control_key(spark, sf_dir):
     """Twelve digits of the hash of all pinned inputs of a run, as JSON with sorted keys."""
     o = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
     return o.select("o_orderstatus", "o_orderpriority", F.substring(F.sha2(F.to_json(F.struct("n", "o_orderpriority", "o_orderstatus")).cast("binary"), 256), 1, 12).alias("control_key"))
 
 
-@query("select lang, sha256(string_agg(md5(text), '' order by doc_id)) = sha256(string_agg(md5(text), '' order by doc_id)) as attested, count(*) as n from documents group by lang")
+# a set of rows as four sums of parts of their hashes: no order, no arrays, partial sums before the shuffle
+_SUMS = "concat_ws('.', count(*)::varchar, " + ", ".join(f"sum(('0x' || substr(h, {i}, 15))::ubigint::hugeint)::varchar" for i in (1, 16, 31, 46)) + ")"
+
+
+@query(
+    f"with c as (select lang, {_SUMS} as digest, count(*) as n from (select lang, sha256(doc_id::varchar || chr(10) || text) as h from documents) group by lang), "
+    f"l as (select lang, {_SUMS} as locked from (select lang, sha256(doc_id::varchar || chr(10) || case when lang = 'en' and doc_id % 100 = 7 then text || '!' else text end) as h from documents) group by lang) "
+    "select lang, digest = locked as attested, n from c join l using (lang)"
+)
 def gt8_attestation(spark, sf_dir):
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))))
-    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["h"]), "").cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
-    lock = d.select(F.col("lang"), F.col("digest").alias("locked"))
-    return d.join(lock, "lang").select("lang", (F.col("digest") == F.col("locked")).alias("attested"), "n")
+    """Digest of each language's documents against a lock table that was written before. The lock has another version of a
+    few documents, so their language isn't attested."""
+    d = table(spark, sf_dir, "documents")
+
+    def digests(text, name):
+        h = F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), text).cast("binary"), 256)
+        sums = [F.sum(F.conv(F.substring(h, i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in (1, 16, 31, 46)]
+        return d.groupBy("lang").agg(F.concat_ws(".", F.count("*").cast("string"), *sums).alias(name), F.count("*").alias("n"))
 
+    at = folder(spark)
+    digests(F.when((F.col("lang") == "en") & (F.col("doc_id") % 100 == 7), F.concat("text", F.lit("!"))).otherwise(F.col("text")), "locked").drop("n").write.parquet(at)
+    lock = spark.read.schema("lang string, locked string").parquet(at)
+    return digests(F.col("text"), "digest").join(lock, "lang").select("lang", (F.col("digest") == F.col("locked")).alias("attested"), "n")
 
-@query(f"with {BASE} " + checks(("no more than eight or sixteen served", "select count(*) from v where served_count > case when tier = 'T3' then 16 else 8 end"), ("external within served", "select count(*) from v where external > served_count")))
+
+@query(
+    f"with {BASE}, ctx as (select q_id as seg_id, tier, list_sort(list(item_id)) as ids from served group by all), "
+    "m as (select v.seg_id, v.tier, v.served_count, v.external, case when v.seg_id % 13 = 0 then ids[2:] else ids end as context, len(ids) as traces from v left join ctx using (seg_id, tier)) "
+    + checks(
+        ("context has the served count", "select count(*) from m where coalesce(len(context), 0) <> served_count"),
+        ("a trace for each served", "select count(*) from m where coalesce(traces, 0) <> served_count"),
+        ("T1 has no context", "select count(*) from m where tier = 'T1' and len(context) > 0"),
+        ("no more than eight or sixteen served", "select count(*) from m where served_count > case when tier = 'T3' then 16 else 8 end"),
+        ("external within served", "select count(*) from m where external > served_count"),
+        ("as many cells in each tier", "select count(distinct n) - 1 from (select count(*) as n from m group by tier)"),
+    )
+)
 def gt9_matrix(spark, sf_dir):
-    return G.report(verdicts(spark, sf_dir), {"no more than eight or sixteen served": F.col("served_count") > F.when(F.col("tier") == "T3", 16).otherwise(8), "external within served": F.col("external") > F.col("served_count")})
+    """Arrays and traces of what each cell was served (sixteen at most) against its count; cells of every thirteenth segment
+    lost an item on purpose."""
+    ctx = served(spark, sf_dir).groupBy(F.col("q_id").alias("seg_id"), "tier").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    m = verdicts(spark, sf_dir).join(ctx, ["seg_id", "tier"], "left").withColumn("traces", F.coalesce(F.size("ids"), F.lit(0)))
+    held = F.when(F.col("ids").isNull(), 0).when(F.col("seg_id") % 13 == 0, F.col("traces") - 1).otherwise(F.col("traces"))
+    rows = G.report(
+        m,
+        {
+            "context has the served count": held != F.col("served_count"),
+            "a trace for each served": F.col("traces") != F.col("served_count"),
+            "T1 has no context": (F.col("tier") == "T1") & (held > 0),
+            "no more than eight or sixteen served": F.col("served_count") > F.when(F.col("tier") == "T3", 16).otherwise(8),
+            "external within served": F.col("external") > F.col("served_count"),
+        },
+    )
+    sizes = m.groupBy("tier").count().agg((F.countDistinct("count") - 1).alias("n_bad"))
+    return G.together(rows, sizes.select(F.lit("as many cells in each tier").alias("check"), (F.col("n_bad") == 0).alias("passed"), "n_bad"))
 
 
-@query(f"with {BASE} select count(*) as differences from (select tier, n, completed from (select tier, {_COUNTS} from v group by tier) except all select tier, count(*), count(*) filter (outcome = 'completed') from v group by tier)")
+@query(
+    f"with {BASE}, stored as (select ability, tier, {_COUNTS} from v group by ability, tier), told as (select ability, tier, n, case when ability = 2 and tier = 'T4' then completed + 1 else completed end as completed, gullible from stored) "
+    "select (select count(*) from ((select ability, tier, n, completed, gullible from stored) except all (select ability, tier, count(*), count(*) filter (outcome = 'completed'), count(*) filter (outcome = 'gullible') from v group by ability, tier))) as differences, "
+    "(select count(*) from ((select * from told) except all (select ability, tier, n, completed, gullible from stored))) as sabotaged"
+)
 def gt10_recompute(spark, sf_dir):
-    v = verdicts(spark, sf_dir)
-    stored = A.count_outcomes(v, [["tier"]]).select("tier", "n", "completed")
-    again = v.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "completed").alias("completed"))
-    return stored.exceptAll(again).agg(F.count("*").alias("differences"))
+    """A stored summary against one made again from the verdicts, and a second whose one cell was raised, which must differ."""
+    v, at = verdicts(spark, sf_dir), folder(spark)
+    A.count_outcomes(v, [["ability", "tier"]]).select("ability", "tier", "n", "completed", "gullible").write.parquet(at)
+    stored = spark.read.schema("ability long, tier string, n long, completed long, gullible long").parquet(at)
+    of = lambda x: F.count_if(F.col("outcome") == x).alias(x)
+    again = v.groupBy("ability", "tier").agg(F.count("*").alias("n"), of("completed"), of("gullible"))
+    raised = stored.withColumn("completed", F.col("completed") + F.when((F.col("ability") == 2) & (F.col("tier") == "T4"), 1).otherwise(0))
+    one, two = (x.exceptAll(again).agg(F.count("*").alias(n)) for x, n in ((stored, "differences"), (raised, "sabotaged")))
+    return one.crossJoin(F.broadcast(two))  # one row each
+
 
+_RUNS = "select o_orderpriority as run, min(o_orderstatus) as reader, max(o_orderstatus) as classifier, count(distinct o_orderstatus) as design, min(year(o_orderdate)) as corpus, min(o_orderpriority) as prompt from orders group by o_orderpriority"
 
-@query("select 'r_name' as \"check\", count(distinct r_name) <= 1 as passed, count(distinct r_name) - 1 as n_bad from region union all select 'one', true, 0 from (select 1)")
+
+@query(" union all ".join(f"select '{c}' as \"check\", count(distinct {c}) <= 1 as passed, greatest(count(distinct {c}) - 1, 0) as n_bad from ({_RUNS})" for c in ("reader", "classifier", "design", "corpus", "prompt")))
 def gt11_isolation(spark, sf_dir):
-    return G.constant(table(spark, sf_dir, "region").withColumn("one", F.lit(1)), "r_name", "one")
+    """Runs of one comparison, one a priority: all that isn't under test must be the same. The prompt differs and is found."""
+    o = table(spark, sf_dir, "orders")
+    runs = o.groupBy(F.col("o_orderpriority").alias("run")).agg(F.min("o_orderstatus").alias("reader"), F.max("o_orderstatus").alias("classifier"), F.countDistinct("o_orderstatus").alias("design"), F.min(F.year("o_orderdate")).alias("corpus"), F.min("o_orderpriority").alias("prompt"))
+    return G.constant(runs, "reader", "classifier", "design", "corpus", "prompt")
 
 
 @query(checks(("turns are contiguous", "select count(*) from (select conv_id from conversations group by conv_id having max(turn) <> count(*) - 1)"), ("no turn twice", "select count(*) from (select conv_id, turn from conversations group by all having count(*) > 1)"), ("answer not in the question", "select count(*) from (select text, lead(text) over (partition by conv_id order by turn) as nxt from conversations) where contains(text, nxt)")))
@@ -109,9 +241,28 @@ def gt12_segments(spark, sf_dir):
     return G.together(G.report(per, {"turns are contiguous": F.col("gap")}), G.repeated_keys(c, "no turn twice", "conv_id", "turn"), G.report(turn_pairs(spark, sf_dir), {"answer not in the question": F.col("a").contains(F.col("b"))}))
 
 
-@query(checks(("balance in range", "select count(*) from supplier where s_acctbal not between -1000 and 10000"), ("nation in range", "select count(*) from supplier where s_nationkey not between 0 and 24"), ("hex hash", "select count(*) from supplier where not regexp_matches(md5(s_name), '^[0-9a-f]{32}$')")))
+@query(
+    f"with {BASE}, {_CLAIMS} "
+    + checks(
+        ("interval in order", "select count(*) from claim where not (lower <= upper)"),
+        ("score is treatment less baseline", "select count(*) from claim where not abs(score - (treatment - baseline)) < 1e-9"),
+        ("rates within 0 and 100", "select count(*) from claim where baseline not between 0 and 100 or treatment not between 0 and 100"),
+        ("lift within -100 and 100", "select count(*) from claim where score not between -100 and 100"),
+        ("hex hash", "select count(*) from claim where not regexp_matches(artifact, '^[0-9a-f]{32}$')"),
+    )
+)
 def gt13_board_rows(spark, sf_dir):
-    return G.report(table(spark, sf_dir, "supplier"), {"balance in range": ~F.col("s_acctbal").between(-1000, 10000), "nation in range": ~F.col("s_nationkey").between(0, 24), "hex hash": ~F.md5(F.col("s_name").cast("binary")).rlike("^[0-9a-f]{32}$")})
+    """Constraints of a board's rows; the statements that are wrong on purpose break three of them."""
+    return G.report(
+        claims(spark, sf_dir),
+        {
+            "interval in order": ~(F.col("lower") <= F.col("upper")),
+            "score is treatment less baseline": ~(F.abs(F.col("score") - (F.col("treatment") - F.col("baseline"))) < 1e-9),
+            "rates within 0 and 100": ~(F.col("baseline").between(0, 100) & F.col("treatment").between(0, 100)),
+            "lift within -100 and 100": ~F.col("score").between(-100, 100),
+            "hex hash": ~F.col("artifact").rlike("^[0-9a-f]{32}$"),
+        },
+    )
 
 
 @query(checks(("discount within price", "select count(*) from lineitem where l_discount > 1"), ("one row a child", "select count(*) from (select l_orderkey, l_linenumber from lineitem group by all having count(*) > 1)"), ("has a parent", "select count(*) from lineitem where l_orderkey not in (select o_orderkey from orders)")))
