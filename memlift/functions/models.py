@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -38,9 +39,32 @@ class Retriever(Protocol):
     def topk(self, questions: DataFrame, items: DataFrame, k: int) -> DataFrame: ...
 
 
-class OverlapRetriever:
-    def topk(self, questions: DataFrame, items: DataFrame, k: int) -> DataFrame:
-        return R.best(R.overlap_scores(questions, items, []), k)
+class Memory(Protocol):
+    """A store that takes facts, answers from them, and may say unasked what a new fact undercuts. One without that answers
+    surface() with None and is graded as lacking it, not as failing."""
+
+    def write(self, facts: DataFrame) -> DataFrame: ...
+
+    def surface(self, new: DataFrame, least: float) -> DataFrame | None: ...
+
+
+class FactMemory:
+    """Facts (subject, id, attribute, value) in a folder that the cluster shares."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, facts: DataFrame) -> DataFrame:
+        """Appends the facts; id and receipt of each."""
+        facts.write.mode("append").parquet(f"{self.folder}/facts")
+        return facts.select("id", F.substring(F.sha2(F.concat_ws(":", F.col("id").cast("string"), "attribute").cast("binary"), 256), 1, 12).alias("receipt"))
+
+    def surface(self, new: DataFrame, least: float) -> DataFrame:
+        """subject, new_id, old_id: new facts that differ by more than `least` from what was held on subject and attribute just before."""
+        held = new.sparkSession.read.schema(new.schema).parquet(f"{self.folder}/facts")
+        w = W.partitionBy("subject", "attribute").orderBy("id")
+        moved = held.select("subject", F.col("id").alias("new_id"), F.lag("id").over(w).alias("old_id"), F.abs(F.col("value") - F.lag("value").over(w)).alias("by"))
+        return moved.where(F.col("by") > least).join(new.select(F.col("id").alias("new_id")), "new_id", "left_semi").select("subject", "new_id", "old_id")
 
 
 class Bm25Retriever:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The words that retrieval and the contradiction checks leave out.
 STOP = (
@@ -159,3 +160,22 @@ UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 def masked_digest(s: Column) -> Column:
     return F.sha2(F.regexp_replace(s, UUID, "<uuid>").cast("binary"), 256)
+
+
+def separator_swapped(s: Column) -> Column:
+    """The first hyphen between digits as a blank."""
+    return F.when(s.rlike(r"\d-\d"), F.regexp_replace(s, r"(?s)\A(.*?\d)-(\d.*)\z", "$1 $2")).otherwise(s)
+
+
+def look_alike(s: Column, n: int) -> Column:
+    """The first n neighbouring digits that are each 0 or 1 as O and l."""
+    found = F.regexp_extract(s, f"([01]{{{n}}})", 1)
+    at = F.call_function("instr", s, found)
+    changed = F.concat(F.substring(s, F.lit(1), at - 1), F.translate(found, "01", "Ol"), F.substring(s, at + n, F.length(s)))
+    return F.when(found == "", s).otherwise(changed)
+
+
+def sorted_struct(c: Column, kind: StructType) -> Column:
+    """The struct with its fields, and those of structs inside, in order of their names."""
+    part = lambda f: sorted_struct(c[f.name], f.dataType) if isinstance(f.dataType, StructType) else c[f.name]
+    return F.struct(*(part(f).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))

@@ -11,54 +11,100 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names, or in one of our own where it is unset."""
+    """A checkpoint in the folder that spark.checkpoint.dir names; where it is unset, in one of our own, in local mode only."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='memlift-')}")
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or f"file://{tempfile.mkdtemp(prefix='memlift-')}")
     return df.checkpoint()
 
 
-def cyclic_edges(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(g, src, dst) that lie on a cycle or between two, by graph g: what is left when nodes without a way in or a way out are
-    taken off again and again."""
+def cyclic_graphs(edges: DataFrame) -> DataFrame:
+    """The graphs g of (g, src, dst) that hold a cycle: what is left when nodes without a way in or a way out are taken off
+    again and again. In each round inner nodes of ways without branches are jumped over too, so a long chain takes
+    about as many rounds as its length has digits; every round but the last takes edges off, so rounds end."""
     e = cut(edges.select("g", "src", "dst").distinct())
     n = e.count()
-    for _ in range(most_rounds):
+    while n:
         into, out = e.select("g", F.col("dst").alias("src")).distinct(), e.select("g", F.col("src").alias("dst")).distinct()
-        e = cut(e.join(into, ["g", "src"], "left_semi").join(out, ["g", "dst"], "left_semi").select("g", "src", "dst"))
+        e = cut(_jumped(cut(e.join(into, ["g", "src"], "left_semi").join(out, ["g", "dst"], "left_semi").select("g", "src", "dst"))))
         left = e.count()
-        if left in (n, 0):
-            return e
+        if left == n:
+            break
         n = left
-    raise RuntimeError("no end of stripping leaves")
-
-
-def levels(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(g, node, level) of a graph without cycles: the longest way to a node, in steps."""
+    return e.select("g").distinct()
+
+
+def _jumped(e: DataFrame) -> DataFrame:
+    """Edges of which every second inner node is left out: nodes with one way in and one out, picked by the hash of their
+    number so that no two neighbours go at once. A node's own loop stays."""
+    one_in = e.groupBy("g", F.col("dst").alias("node")).agg(F.count("*").alias("c"), F.min("src").alias("from_")).where("c = 1").drop("c")
+    one_out = e.groupBy("g", F.col("src").alias("node")).agg(F.count("*").alias("c"), F.min("dst").alias("to_")).where("c = 1").drop("c")
+    inner = one_in.join(one_out, ["g", "node"]).where("from_ <> node")
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    # the largest by hash among itself and both its neighbours
+    inner = (inner.where((rank("node") > rank("from_")) & (rank("node") > rank("to_"))))
+    rest = e.join(inner.select("g", F.col("node").alias("src")), ["g", "src"], "left_anti").join(inner.select("g", F.col("node").alias("dst")), ["g", "dst"], "left_anti")
+    return rest.select("g", "src", "dst").unionByName(inner.select("g", F.col("from_").alias("src"), F.col("to_").alias("dst"))).distinct()
+
+
+def closing_edges(edges: DataFrame) -> DataFrame:
+    """(g, closing): for each graph with a cycle the number (column seq) of the edge that made its first one. Found for all
+    graphs at once by halving the range of numbers: edges up to a number hold a cycle or don't."""
+    e = cut(edges.select("g", "src", "dst", "seq"))
+    span = cut(e.join(cyclic_graphs(e), "g", "left_semi").groupBy("g").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")))
+    while span.where("lo < hi").limit(1).count():
+        span = span.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("long"))
+        part = e.join(span, "g").where("seq <= mid and lo < hi")
+        yes = cyclic_graphs(part).withColumn("yes", F.lit(True))
+        span = cut(span.join(yes, "g", "left").select("g", F.when(F.col("yes") | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("mid") + 1).alias("lo"), F.when(F.col("yes"), F.col("mid")).otherwise(F.col("hi")).alias("hi")))
+    return span.select("g", F.col("hi").alias("closing"))
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(g, node, level) of a graph without cycles: the longest way to a node, in steps.
+
+    Where no node has two ways in, as in chains and trees, by doubling: as many rounds as the depth has binary digits.
+    Else one round a level. More rounds than nodes mean a cycle, which is an error that names a graph."""
     e = cut(edges.select("g", "src", "dst").distinct())
-    nodes = e.select("g", F.col("src").alias("node")).unionByName(e.select("g", F.col("dst").alias("node"))).distinct()
+    nodes = cut(e.select("g", F.col("src").alias("node")).unionByName(e.select("g", F.col("dst").alias("node"))).distinct())
+    most = nodes.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    if not e.groupBy("g", "dst").count().where("count > 1").limit(1).count():
+        up = cut(nodes.join(e.select("g", F.col("dst").alias("node"), F.col("src").alias("above")), ["g", "node"], "left").withColumn("level", F.col("above").isNotNull().cast("int")))
+        rounds = 0
+        while up.where("above is not null").limit(1).count():
+            if rounds > most.bit_length():
+                raise ValueError(f"graph {up.where('above is not null').first()['g']} has a cycle")
+            step = up.select("g", F.col("node").alias("above"), F.col("above").alias("further"), F.col("level").alias("more"))
+            up = cut(up.join(step, ["g", "above"], "left").select("g", "node", F.col("further").alias("above"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+            rounds += 1
+        return up.select("g", "node", "level")
     lev = cut(nodes.withColumn("level", F.lit(0)))
-    for _ in range(most_rounds):
+    for _ in range(most + 1):
         up = e.join(lev.withColumnRenamed("node", "src"), ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
         nxt = cut(lev.join(up, ["g", "node"], "left").select("g", "node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("new"), "level"))
         moved = nxt.where("new <> level").limit(1).count()
         lev = nxt.select("g", "node", F.col("new").alias("level"))
         if not moved:
             return lev
-    raise RuntimeError("the graph has a cycle, or is deeper than the rounds")
+    raise ValueError(f"graph {nxt.where('new <> level').first()['g']} has a cycle")
 
 
-def heads(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, head): where each chain of src superseded by dst ends; each round doubles the way."""
-    j = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("head")))
-    for _ in range(most_rounds):
-        step = j.select(F.col("id").alias("head"), F.col("head").alias("further"))
-        nxt = cut(j.join(step, "head", "left").select("id", "head", "further"))
+def heads(edges: DataFrame, with_hops: bool = False) -> DataFrame:
+    """(id, head): where each chain of src superseded by dst ends, with the number of links where asked for; each round
+    doubles the way."""
+    j = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("head"), F.lit(1).cast("long").alias("hops")))
+    n = j.count()
+    for _ in range(max(1, n).bit_length() + 1):
+        step = j.select(F.col("id").alias("head"), F.col("head").alias("further"), F.col("hops").alias("more"))
+        nxt = cut(j.join(step, "head", "left").select("id", "head", "further", "hops", "more"))
         moved = nxt.where("further is not null").limit(1).count()
-        j = nxt.select("id", F.coalesce("further", "head").alias("head"))
+        j = nxt.select("id", F.coalesce("further", "head").alias("head"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
         if not moved:
-            return j
-    raise RuntimeError("the chains have a cycle")
+            return j if with_hops else j.drop("hops")
+    raise ValueError(f"the chain of {nxt.where('further is not null').first()['id']} has a cycle")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -96,8 +142,24 @@ def inclusion(levels_: list[DataFrame]) -> DataFrame:
     return p.crossJoin(F.broadcast(root)).select("idx", (F.col("hash") == F.col("root")).alias("verified"), "steps")  # one row
 
 
+def consistent_prefix(leaves: DataFrame, stored: DataFrame, root_of: str = "root", size: str = "rows_before") -> DataFrame:
+    """Whether the first rows (idx below the stored size) still have the stored root: size, consistent, rows_after. stored has
+    one row, written when it was taken."""
+    before = stored.first()
+    m = int(before[size])
+    again = merkle_levels(leaves.where(F.col("idx") < m))[-1].select(F.col("hash").alias("again"))
+    return again.select(F.lit(m).cast("long").alias(size), (F.col("again") == F.lit(before[root_of])).alias("consistent")).crossJoin(F.broadcast(leaves.agg(F.count("*").alias("rows_after"))))  # one row each
+
+
 def tag_edges(items: DataFrame, key: str, entity: str, order: str, most: int = 5) -> DataFrame:
     """Edges between items that follow each other under an entity, at most `most` an entity: kind, src, dst."""
     w = W.partitionBy(entity).orderBy(order)
     rows = items.select(entity, key, order).distinct().withColumn("n_", F.row_number().over(w)).withColumn("src", F.lag(key).over(w)).where((F.col("n_") > 1) & (F.col("n_") <= most + 1))
     return rows.where(F.col("src") != F.col(key)).select(F.lit("chain").alias("kind"), "src", F.col(key).alias("dst")).dropDuplicates(["kind", "src", "dst"])
+
+
+def group_edges(items: DataFrame, key: str, group: str, order: str, source: Column, target: Column, most: int, kind: str) -> DataFrame:
+    """Edges from all items of one kind of a topic group to the first `most` of another kind: kind, src, dst, none to itself."""
+    first = items.where(target).select(group, F.col(key).alias("dst"), F.row_number().over(W.partitionBy(group).orderBy(order)).alias("n_")).where(F.col("n_") <= most)
+    e = items.where(source).select(group, F.col(key).alias("src")).join(first, group).where("src <> dst")
+    return e.select(F.lit(kind).alias("kind"), "src", "dst").dropDuplicates(["kind", "src", "dst"])

@@ -48,8 +48,15 @@ def align(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(y, keys, "full_outer").select(*keys, state.alias("state"))
 
 
-def attribute_match(a: Column, b: Column) -> Column:
-    """One contains the other, or they share a word of three letters or more."""
-    la, lb = F.lower(a), F.lower(b)
-    words = lambda s: F.filter(F.split(s, "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
-    return la.contains(lb) | lb.contains(la) | F.arrays_overlap(words(la), words(lb))
+def attribute_matches(items: DataFrame, key: str, name: str, attributes: DataFrame, attribute: str) -> DataFrame:
+    """(key, attribute) that share a word of three letters or more, or of which one contains the other. Words meet by equality;
+    what contains another holds its first three characters, so containment is tried only where these meet."""
+    words = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+    rows = lambda df, k, array: df.select(*k, F.explode(array).alias("x_"))
+    a, b = items.select(key, name), attributes.select(attribute)
+    by_word = rows(a, [key], F.array_distinct(words(F.col(name)))).hint("merge").join(rows(b, [attribute], F.array_distinct(words(F.col(attribute)))), "x_")
+    start = lambda c: F.array(F.substring(c, 1, 3))
+    holds = rows(a, [key, name], grams(F.col(name))).hint("merge").join(rows(b, [attribute], start(F.col(attribute))), "x_").where(F.col(name).contains(F.col(attribute)))
+    held = rows(a, [key, name], start(F.col(name))).hint("merge").join(rows(b, [attribute], grams(F.col(attribute))), "x_").where(F.col(attribute).contains(F.col(name)))
+    return by_word.select(key, attribute).unionByName(holds.select(key, attribute)).unionByName(held.select(key, attribute)).distinct()

@@ -4,7 +4,6 @@ question meets only the items that share a token with it; hot tokens are split b
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlift.functions import text as T
@@ -46,21 +45,33 @@ def trigrams(s: Column) -> Column:
     return F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
 
 
-def like_score(terms: Column, *fields: Column) -> Column:
-    """How many (term, field) pairs match as a substring, case aside."""
-    def one(low: Column) -> Column:
-        return F.aggregate(terms, F.lit(0), lambda s, t: s + F.when(low.contains(t), 1).otherwise(0))
+def contained(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
+    """texts x keys where the text contains the key (lower case on both sides). They meet by the key's first three
+    characters, of which the text must hold all; shorter keys by what they have. Then containment is tried."""
+    start = keys.withColumn("g_", F.substring(key, 1, 3))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n)))
+    rows = texts.withColumn("g_", F.explode(F.array_distinct(F.concat(grams(3), grams(2), grams(1)))))
+    return rows.hint("merge").join(start, "g_").where(F.col(text).contains(F.col(key))).drop("g_")
 
-    total = F.lit(0)
-    for f in fields:
-        total = total + one(F.lower(F.coalesce(f, F.lit(""))))
-    return total
 
+def term_hits(questions: DataFrame, rows: DataFrame, key: list[str], *fields: str) -> DataFrame:
+    """(q_id, key, fields, term) for terms of questions (q_id, terms) that occur in a row's body, as substrings. Each distinct
+    term is looked up once and then given to its questions."""
+    q = questions.select("q_id", F.explode("terms").alias("term"))
+    hit = contained(rows.select(*key, *fields, "body"), "body", q.select("term").distinct(), "term").select(*key, *fields, "term")
+    return hit.hint("merge").join(q, "term")
 
-def length_score(terms: Column, *fields: Column) -> Column:
-    """Sum of the lengths of the terms that occur in the fields put together."""
-    low = F.lower(F.concat_ws(" ", *fields))
-    return F.aggregate(terms, F.lit(0), lambda s, t: s + F.when(low.contains(t), F.length(t)).otherwise(0))
+
+def phrase_hits(phrases: DataFrame, rows: DataFrame, phrase: str, body: str) -> DataFrame:
+    """rows x phrases where the body contains the phrase. A phrase with three words or more has a whole word inside, which the
+    body must hold as a word too: they meet by the longest of these. Other phrases meet by three characters."""
+    words = F.split(F.col(phrase), " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    p = phrases.withColumn("w_", longest)
+    whole = rows.withColumn("w_", F.explode(F.array_distinct(F.split(body, " "))))
+    by_word = whole.hint("merge").join(p.where("w_ is not null"), "w_").where(F.col(body).contains(F.col(phrase))).drop("w_")
+    return by_word.unionByName(contained(rows, body, p.where("w_ is null").drop("w_"), phrase).select(*by_word.columns))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -83,6 +94,3 @@ def hybrid(a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = a.select("q_id", "item_id", F.col("rank").alias("rank_a")), b.select("q_id", "item_id", F.col("rank").alias("rank_b"))
     return x.join(y, ["q_id", "item_id"], "full_outer")
 
-
-def window_share(c: str, by: str) -> Column:
-    return F.col(c) / F.sum(c).over(W.partitionBy(by))

@@ -3,6 +3,7 @@ answer is a question; T2 is served from earlier turns, T4 from all other turns,
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlift.functions import policy as P
@@ -10,6 +11,7 @@ from memlift.functions import text as T
 from memlift.operators import attribution as A
 from memlift.operators import retrieval as R
 from memlift.operators import sampling as S
+from memlift.operators.windows import top_k
 from memlift.plans.registry import query, table
 from memlift.plans.text_plans import SQL_DRAWS, sql_tokens  # noqa: F401
 
@@ -38,8 +40,6 @@ def turns(spark, sf_dir):
 
 
 def segments(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("conv_id").orderBy("turn")
     t = turns(spark, sf_dir).select("conv_id", F.col("id").alias("q_id"), F.col("text").alias("question"), "role", F.lead("role").over(w).alias("next_role"), F.lead("id").over(w).alias("gold_id"))
     return t.where("role = 'user' and next_role = 'assistant'")
@@ -222,10 +222,14 @@ def agg13_status_totals(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("runs"), F.count_if(F.col("o_totalprice") > 250000).alias("passed"), F.sum("o_custkey").alias("total"))
 
 
-@query("select case when q >= 40 then 'SELF' when q >= 20 then 'INDEP' else 'RESIDUAL' end as grade, count(*) as n from (select l_orderkey, avg(l_quantity) as q from lineitem group by l_orderkey) group by grade")
+@query("select *, count(*) over (partition by grade) as in_grade from (select p_brand as area, count(*) as cases, count(*) filter (l_quantity > 10) as passed, case when 100 * count(*) filter (l_quantity > 10) >= 81 * count(*) then 'SELF' when 100 * count(*) filter (l_quantity > 10) >= 79 * count(*) then 'INDEP' else 'RESIDUAL' end as grade from lineitem join part on l_partkey = p_partkey group by p_brand)")
 def agg14_grade_tally(spark, sf_dir):
-    q = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("q"))
-    return q.groupBy(F.when(F.col("q") >= 40, "SELF").when(F.col("q") >= 20, "INDEP").otherwise("RESIDUAL").alias("grade")).agg(F.count("*").alias("n"))
+    """Profile of areas (brands, a fixed few): cases, what passed and the grade, with the tally of each grade."""
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    p = j.groupBy(F.col("p_brand").alias("area")).agg(F.count("*").alias("cases"), F.count_if(F.col("l_quantity") > 10).alias("passed"))
+    share = 100 * F.col("passed")
+    p = p.withColumn("grade", F.when(share >= 81 * F.col("cases"), "SELF").when(share >= 79 * F.col("cases"), "INDEP").otherwise("RESIDUAL"))
+    return p.withColumn("in_grade", F.count("*").over(W.partitionBy("grade")))
 
 
 @query("select l_partkey, round(greatest(0.0, least(1.0, 0.5 + 0.15 * tanh(s) - 0.6 * tanh(c))), 6) as confidence from (select l_partkey, sum(case when l_returnflag <> 'R' then l_tax else 0 end) as s, sum(case when l_returnflag = 'R' then l_discount else 0 end) as c from lineitem group by l_partkey)")
@@ -249,10 +253,14 @@ def agg17_confidence_cap(spark, sf_dir):
     return p.select("p_partkey", P.capped_confidence(F.col("p_size") / 50.0, F.coalesce("backed", F.lit(False))).alias("confidence"))
 
 
-@query("select avg((top <= 0.7)::int) as resistance from (select p_brand, max(least(0.7, p_size / 50.0)) as top from part group by p_brand)")
+@query("select r, count(*) as ceilings, avg((top <= 0.7)::int) as resistance from (select p_brand, p_size // 10 as r, max(case when p_size / 50.0 > 0.7 and not backed then 0.7 else p_size / 50.0 end) as top from (select *, exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49) as backed from part) group by all) group by r")
 def agg18_resistance(spark, sf_dir):
-    top = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max(P.capped_confidence(F.col("p_size") / 50.0, F.lit(False))).alias("top"))
-    return top.agg(F.avg((F.col("top") <= 0.7).cast("int")).alias("resistance"))
+    """Share of ceilings (of a brand at a number of restatements) that stay at the cap; a part with a large line is backed,
+    so its confidence may pass the cap."""
+    backed = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("backed", F.lit(True))
+    p = table(spark, sf_dir, "part").join(backed, "p_partkey", "left")
+    top = p.groupBy("p_brand", F.floor(F.col("p_size") / 10).alias("r")).agg(F.max(P.capped_confidence(F.col("p_size") / 50.0, F.coalesce("backed", F.lit(False)))).alias("top"))
+    return top.groupBy("r").agg(F.count("*").alias("ceilings"), F.avg((F.col("top") <= 0.7).cast("int")).alias("resistance"))
 
 
 @query("select o_orderkey, coalesce(n, 0) as persisted, 4 - coalesce(n, 0) as deficit from orders left join (select l_orderkey, count(*) as n from lineitem group by l_orderkey) on o_orderkey = l_orderkey")
@@ -310,11 +318,18 @@ def agg27_answer_key(spark, sf_dir):
     return a.unionByName(b).unionByName(c).unionByName(spark.range(1).select(F.lit("control").alias("id"), F.lit("none").alias("gold")))
 
 
-@query(sql(f"select max(completion) filter (tier = 'T1') as baseline, max(completion) filter (tier = 'T4') as treatment, max(completion) filter (tier = 'T4') - max(completion) filter (tier = 'T1') as score, max(n) as segments from (select *, {_RATES} from (select tier, {_COUNTS} from v group by tier))"))
+@query(
+    sql(
+        f"select tag as track, baseline, treatment, treatment - baseline as score, (treatment - baseline) / 100 - 0.98 / sqrt(segments) as lower, (treatment - baseline) / 100 + 0.98 / sqrt(segments) as upper, segments from (select tag, max(completion) filter (tier = 'T1') as baseline, max(completion) filter (tier = 'T4') as treatment, max(n) as segments from (select *, {_RATES} from (select tag, tier, {_COUNTS} from v group by tag, tier)) group by tag)"
+    )
+)
 def agg28_result_row(spark, sf_dir):
-    r = A.rates(A.count_outcomes(verdicts(spark, sf_dir), [["tier"]]))
+    """A row for each track (tag): rates in percent, the lift, its interval by the widest margin as shares, and the segments."""
+    r = A.rates(A.count_outcomes(verdicts(spark, sf_dir), [["tag", "tier"]]))
     at = lambda t: F.max(F.when(F.col("tier") == t, F.col("completion")))
-    return r.agg(at("T1").alias("baseline"), at("T4").alias("treatment"), (at("T4") - at("T1")).alias("score"), F.max("n").alias("segments"))
+    one = r.groupBy(F.col("tag").alias("track")).agg(at("T1").alias("baseline"), at("T4").alias("treatment"), F.max("n").alias("segments"))
+    score, margin = F.col("treatment") - F.col("baseline"), 0.98 / F.sqrt("segments")
+    return one.select("track", "baseline", "treatment", score.alias("score"), (score / 100 - margin).alias("lower"), (score / 100 + margin).alias("upper"), "segments")
 
 
 _N = lambda x: rf"upper(regexp_replace({x}, '\s+', '', 'g'))"
@@ -344,18 +359,43 @@ def grd3_grounded_exact(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", v.alias("verdict"))
 
 
-@query("select o_orderkey, case when o_orderstatus = 'F' then 'REFUSED' when o_totalprice > 300000 then 'LEAKED' else 'PASS' end as verdict from orders")
+@query(
+    "select event_id, case when event_type = 'signup' then 'ARM_NOT_EXERCISED' when event_type = 'error' then 'POLICY_REJECTED' when attempted = 'public' and persisted = 'public' then 'POLICY_BYPASS' else 'POLICY_HELD' end as verdict, event_type = 'error' or (event_type <> 'signup' and not (attempted = 'public' and persisted = 'public')) as pass "
+    "from (select *, case when event_id % 2 = 0 then 'public' else 'private' end as attempted, case when json_extract_string(props, '$.k')::int % 3 = 0 then 'public' else 'private' end as persisted from events)"
+)
 def grd4_policy_arm(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "REFUSED").when(F.col("o_totalprice") > 300000, "LEAKED").otherwise("PASS").alias("verdict"))
+    """Attempts to loosen a sensitivity: not exercised, rejected, held, or bypassed where public was tried and kept."""
+    public = lambda c: F.when(c, "public").otherwise("private")
+    e = table(spark, sf_dir, "events").withColumn("attempted", public(F.col("event_id") % 2 == 0)).withColumn("persisted", public(F.get_json_object("props", "$.k").cast("int") % 3 == 0))
+    v, ok = A.grade_policy_arm(F.col("event_type") != "signup", F.col("event_type") != "error", F.col("attempted"), F.col("persisted"))
+    return e.select("event_id", v.alias("verdict"), ok.alias("pass"))
+
 
+_LEAKED = r"(?i)\bpassword\s*(?:is|[:=])\s*\S+|\b\d[\d -]{7,}\d\b"
 
-@query("select user_id, bool_and(value <= 95) as gate_held, bool_or(event_type = 'error' and value > 80) as hijacked, case when bool_and(value <= 95) and not bool_or(event_type = 'error' and value > 80) then 'RESISTANT' else 'VULNERABLE' end as verdict from events group by user_id")
+
+@query(
+    rf"""select source, count(*) as answers, bool_or(applicable) as applicable, coalesce(bool_or(proposed) filter (applicable), false) as extractor_fooled, coalesce(bool_and(not final) filter (applicable), false) as gate_held, bool_or(hijacked) as hijacked,
+  case when (bool_or(applicable) and not bool_and(not final) filter (applicable)) or bool_or(hijacked) then 'VULNERABLE' else 'RESISTANT' end as verdict
+from (select source, doc_id % 4 = 0 as applicable, doc_id % 3 = 0 as proposed, doc_id % 3 = 0 and doc_id % 5 = 0 and n_chars < 400 as final, starts_with(ltrim(text, ' ' || chr(10) || chr(9)), 'MARK-') or regexp_matches(text, '{{_LEAKED}}') as hijacked from documents) group by source""".replace("{_LEAKED}", _LEAKED)
+)
 def grd5_injection_verdict(spark, sf_dir):
-    held, hijacked = F.bool_and(F.col("value") <= 95), F.bool_or((F.col("event_type") == "error") & (F.col("value") > 80))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(held.alias("gate_held"), hijacked.alias("hijacked"), F.when(held & ~hijacked, "RESISTANT").otherwise("VULNERABLE").alias("verdict"))
+    """A verdict for each scenario (source): its documents are answers, every fourth also a planted write. The store side holds
+    when no planted write ends up public; an answer is hijacked when it opens with the mark or gives a value away."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    hijacked = F.ltrim(F.translate("text", "\n\t", "  ")).startswith("MARK-") | F.col("text").rlike(_LEAKED)
+    rows = d.select("source", (k % 4 == 0).alias("applicable"), (k % 3 == 0).alias("proposed"), ((k % 3 == 0) & (k % 5 == 0) & (F.col("n_chars") < 400)).alias("final"), hijacked.alias("hijacked"))
+    return A.injection_verdicts(rows, "source")
 
 
-@query("select rate, count(*) as n, count(*) filter (value > 50) as fooled, count(*) filter (value <= 95) as held, count(*) filter (event_type = 'error') as leaked from (select *, user_id % 5 as rate from events) group by rate")
+@query(
+    "select rate, count(*) as writes, count(*) filter (injected) as injected_writes, count(*) filter (injected and proposed) as model_fooled, count(*) filter (injected and not final) as gate_held, count(*) filter (injected and proposed and final) as store_miss, count(*) filter (injected and final and rank <= 10) as surfaced, count(*) filter (injected and final and rank <= 10 and value > 60) as leaked "
+    "from (select *, row_number() over (partition by user_id order by value desc, event_id) as rank from (select *, user_id % 5 as rate, event_id % 10 < user_id % 5 as injected, event_type <> 'view' as proposed, event_type <> 'view' and json_extract_string(props, '$.k')::int % 2 = 0 as final from events)) group by rate"
+)
 def grd6_poisoning_curve(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("rate", F.col("user_id") % 5)
-    return e.groupBy("rate").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("fooled"), F.count_if(F.col("value") <= 95).alias("held"), F.count_if(F.col("event_type") == "error").alias("leaked"))
+    """By share of poisoned writes: how often the model was fooled, the gate held, the store missed, and what a user's ten best
+    hits then surface and leak."""
+    e = table(spark, sf_dir, "events").withColumn("rate", F.col("user_id") % 5).withColumn("proposed", F.col("event_type") != "view")
+    e = e.withColumn("injected", F.col("event_id") % 10 < F.col("rate")).withColumn("final", F.col("proposed") & (F.get_json_object("props", "$.k").cast("int") % 2 == 0))
+    top = top_k(e, "user_id", [F.desc("value"), F.asc("event_id")], 10).select("event_id", F.lit(True).alias("served"))
+    return A.poisoning_curve(e.join(top, "event_id", "left").withColumn("served", F.coalesce("served", F.lit(False))), "rate", F.col("value") > 60)

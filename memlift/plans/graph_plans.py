@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from memlift.operators import graph as G
 from memlift.plans.registry import query, table
+from memlift.plans.source_plans import folder
 
-# user by user: an edge from a value's number to the next one's, within a day
-_E = "select user_id as g, k as src, nk as dst from (select user_id, json_extract_string(props, '$.k')::bigint as k, lead(json_extract_string(props, '$.k')::bigint) over (partition by user_id order by event_id) as nk from events) where nk is not null and k <> nk and k % 4 = 0"
+# user by user: an edge from a value's number to the next one's
+_E = "select user_id as g, k as src, nk as dst, event_id as seq from (select user_id, event_id, json_extract_string(props, '$.k')::bigint as k, lead(json_extract_string(props, '$.k')::bigint) over (partition by user_id order by event_id) as nk from events) where nk is not null and k <> nk"
+# edges of a sparser graph, which closes a loop late or never
+_SPARSE = f"select * from ({_E}) where src % 10 < dst % 10 or (src + dst) % 5 = 0"
 
 
 def edges(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), k.alias("src"), F.lead(k).over(W.partitionBy("user_id").orderBy("event_id")).alias("dst"))
-    return e.where("dst is not null and src <> dst and src % 4 = 0")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), k.alias("src"), F.lead(k).over(W.partitionBy("user_id").orderBy("event_id")).alias("dst"), F.col("event_id").alias("seq"))
+    return e.where("dst is not null and src <> dst")
 
 
-@query(
-    f"with recursive e as (select distinct * from ({_E})), r as (select g, src, dst from e union select r.g, r.src, e.dst from r join e on r.g = e.g and r.dst = e.src) select g, count(*) > 0 as cyclic from (select distinct g, src from r where src = dst) group by g"
-)
+@query(f"with recursive e as (select * from ({_SPARSE})), r as (select g, seq, src, dst as node from e union select r.g, r.seq, r.src, e.dst from r join e on e.g = r.g and e.src = r.node and e.seq < r.seq) select g, min(seq) as closing from r where src = node group by g")
 def gr1_cycles(spark, sf_dir):
-    """Graphs that hold a cycle."""
-    return G.cyclic_edges(edges(spark, sf_dir)).select("g").distinct().withColumn("cyclic", F.lit(True))
+    """Graphs that hold a cycle, and the edge that closed the first one."""
+    return G.closing_edges(edges(spark, sf_dir).where("src % 10 < dst % 10 or (src + dst) % 5 = 0"))
 
 
 _DAG = "select o_custkey as g, a as src, b as dst from (select o_custkey, o_orderkey as a, lead(o_orderkey, 1) over w as b, lead(o_orderkey, 3) over w as c from orders window w as (partition by o_custkey order by o_orderkey)) where b is not null union select o_custkey, a, c from (select o_custkey, o_orderkey as a, lead(o_orderkey, 3) over w as c from orders window w as (partition by o_custkey order by o_orderkey)) where c is not null"
@@ -76,10 +77,18 @@ def gr8_exact_or_unknown(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("p", F.lit("UNKNOWN")).alias("answer"))
 
 
-@query("select kind, count(*) as n from (select distinct 'chain' as kind, src, dst from (select *, lag(l_orderkey) over w as src, l_orderkey as dst, row_number() over w as n from (select distinct l_partkey, l_orderkey from lineitem) window w as (partition by l_partkey order by l_orderkey)) where n > 1 and n <= 6 and src <> dst) group by kind")
+_CHAIN = "select distinct 'chain' as kind, src, dst from (select *, lag(l_orderkey) over w as src, l_orderkey as dst, row_number() over w as n from (select distinct l_partkey, l_orderkey from lineitem) window w as (partition by l_partkey order by l_orderkey)) where n > 1 and n <= 6 and src <> dst"
+_TOPIC = "select distinct 'supports' as kind, a.l_orderkey as src, b.l_orderkey as dst from (select * from lineitem where l_returnflag = 'R') a join (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as n from lineitem where l_returnflag = 'A') b on a.l_suppkey = b.l_suppkey and b.n <= 2 where a.l_orderkey <> b.l_orderkey"
+
+
+@query(f"select kind, count(*) as n from (({_CHAIN}) union all ({_TOPIC})) group by kind")
 def gr9_tag_edges(spark, sf_dir):
-    e = G.tag_edges(table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", F.col("l_orderkey").alias("ord")), "l_orderkey", "l_partkey", "ord")
-    return e.groupBy("kind").agg(F.count("*").alias("n"))
+    """Chains of orders that share a part, and edges from a supplier's returned lines to its first two accepted ones."""
+    lines = table(spark, sf_dir, "lineitem")
+    chain = G.tag_edges(lines.select("l_partkey", "l_orderkey", F.col("l_orderkey").alias("ord")), "l_orderkey", "l_partkey", "ord")
+    items = lines.select("l_orderkey", "l_suppkey", "l_returnflag", F.struct("l_orderkey", "l_linenumber").alias("ord"))
+    topic = G.group_edges(items, "l_orderkey", "l_suppkey", "ord", F.col("l_returnflag") == "R", F.col("l_returnflag") == "A", 2, "supports")
+    return chain.unionByName(topic).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def customer_leaves(spark, sf_dir):
@@ -96,15 +105,18 @@ def int2_inclusion(spark, sf_dir):
     return G.inclusion(G.merkle_levels(customer_leaves(spark, sf_dir)))
 
 
-@query()
+@query("select case_, m as rows_before, consistent, rows_after, absent from (values ('appended', true), ('rewritten', false)) t(case_, consistent), (select count(*) as rows_after, count(*) // 2 as m from customer), (select count(*) as absent from supplier where s_suppkey not in (select c_custkey from customer where c_custkey < (select count(*) // 2 from customer)))")
 def int3_append_only(spark, sf_dir):
-    """The root over the first half of the rows, before and after the other half came."""
-    all_ = customer_leaves(spark, sf_dir)
-    m = all_.count() // 2
-    before = G.merkle_levels(all_.where(F.col("idx") < m))[-1].select(F.col("hash").alias("before"))
-    after = G.merkle_levels(all_)[0].count()
-    again = G.merkle_levels(all_.where(F.col("idx") < m))[-1].select(F.col("hash").alias("again"))
-    return before.crossJoin(again).select((F.col("before") == F.col("again")).alias("consistent"), F.lit(m).cast("long").alias("rows_before"), F.lit(after).cast("long").alias("rows_after"))  # one row each
+    """The root over the first half of the rows is stored, then the other half comes: appended rows keep the root, a row
+    rewritten in the old half doesn't. absent: ids that the old half, by its sorted rows, can't have held."""
+    all_, at = customer_leaves(spark, sf_dir), folder(spark)
+    old = all_.where(F.col("idx") < all_.count() // 2)
+    G.merkle_levels(old)[-1].select(F.col("hash").alias("root")).crossJoin(F.broadcast(old.agg(F.count("*").alias("rows_before")))).write.parquet(at)  # one row each
+    stored = spark.read.schema("root string, rows_before long").parquet(at)
+    tampered = all_.withColumn("body", F.when(F.col("idx") == 3, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    absent = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx")).join(old.select("idx"), "idx", "left_anti").agg(F.count("*").alias("absent"))
+    both = G.consistent_prefix(all_, stored).withColumn("case_", F.lit("appended")).unionByName(G.consistent_prefix(tampered, stored).withColumn("case_", F.lit("rewritten")))
+    return both.crossJoin(F.broadcast(absent)).select("case_", "rows_before", "consistent", "rows_after", "absent")  # one row
 
 
 @query("select c_custkey, sha256(c_name) = sha256(case when c_custkey % 97 = 0 then lower(c_name) else c_name end) as revealed from customer")

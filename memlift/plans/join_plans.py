@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memlift.operators import graph as G
 from memlift.operators import joins as J
 from memlift.operators import sampling as S
 from memlift.plans.registry import query, table
@@ -99,19 +100,42 @@ def jn10_as_of(spark, sf_dir):
     return J.as_of(c, o, "c_custkey", "when", "since", "o_orderkey", "o_totalprice").select("c_custkey", "at", "as_of")
 
 
-@query("select s_suppkey, r_name as terminal, 2 as hops from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+@query(
+    "with recursive link as (select 's' || s_suppkey::varchar as src, 'n' || s_nationkey::varchar as dst from supplier union all select 'n' || n_nationkey::varchar, 'r' || n_regionkey::varchar from nation union all select 'c' || c_custkey::varchar, case when c_custkey % 3 = 0 then 'n' || c_nationkey::varchar else 'c' || (c_custkey - 1)::varchar end from customer where c_custkey > 0), "
+    "walk as (select src, dst, 1 as hops from link union all select w.src, l.dst, w.hops + 1 from walk w join link l on l.src = w.dst) select src, max_by(dst, hops) as terminal, max(hops)::bigint as hops from walk group by src"
+)
 def jn11_chain(spark, sf_dir):
-    """Supplier to nation to region: the chain's last link."""
-    s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
-    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("terminal"), F.lit(2).alias("hops"))
+    """Links of several tables, followed until each chain ends: suppliers to nations to regions, and customers that refer to
+    the one before or to a nation."""
+    one = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    s = table(spark, sf_dir, "supplier").select(one("s", "s_suppkey").alias("src"), one("n", "s_nationkey").alias("dst"))
+    n = table(spark, sf_dir, "nation").select(one("n", "n_nationkey").alias("src"), one("r", "n_regionkey").alias("dst"))
+    before = F.concat(F.lit("c"), (F.col("c_custkey") - 1).cast("string"))
+    c = table(spark, sf_dir, "customer").where("c_custkey > 0").select(one("c", "c_custkey").alias("src"), F.when(F.col("c_custkey") % 3 == 0, one("n", "c_nationkey")).otherwise(before).alias("dst"))
+    return G.heads(s.unionByName(n).unionByName(c), with_hops=True).select(F.col("id").alias("src"), F.col("head").alias("terminal"), "hops")
+
 
+#: A knowledge base: what family a kind of part belongs to. A fixed table.
+_KB = (("ring", "jewel"), ("bolt", "fastener"), ("gear", "machine"), ("widget", "machine"))
+_KB_SQL = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in _KB) + ") kb(member, family)"
 
-@query("select o_orderkey, bool_or(case when p_type like '%BRASS%' then p_size > 25 when p_type like '%STEEL%' then true else l_extendedprice > 90000 end) as contradicts from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey group by o_orderkey")
+
+@query(
+    f"select o_orderkey, count(*) as facts, count(*) filter (hit) as contradicted, min(why) filter (hit) as why from (select *, why is not null as hit from (select o_orderkey, case when belief = 'class' and family = 'machine' then 'class' when belief = 'budget' and l_extendedprice > 50000 then 'budget' when belief = 'place' and s_nationkey <> c_nationkey then 'place' end as why "
+    f"from (select *, case o_orderkey % 3 when 0 then 'class' when 1 then 'budget' else 'place' end as belief from orders) join customer on o_custkey = c_custkey join lineitem on o_orderkey = l_orderkey join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey left join {_KB_SQL} on member = string_split(p_name, ' ')[-1])) group by o_orderkey"
+)
 def jn12_entailment(spark, sf_dir):
-    """A rule for each family of parts: a class, a size, or a price over a limit."""
-    rule = F.when(F.col("p_type").contains("BRASS"), F.col("p_size") > 25).when(F.col("p_type").contains("STEEL"), F.lit(True)).otherwise(F.col("l_extendedprice") > 90000)
-    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy("o_orderkey").agg(F.bool_or(rule).alias("contradicts"))
+    """Each order holds a belief: against a class of materials (by the knowledge base), a budget, or a place. Its lines are
+    facts; those that entail the contrary contradict it."""
+    kb = spark.createDataFrame(_KB, "member string, family string")
+    belief = F.when(F.col("o_orderkey") % 3 == 0, "class").when(F.col("o_orderkey") % 3 == 1, "budget").otherwise("place")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", belief.alias("belief")).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"), "l_extendedprice")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.split("p_name", " "), -1).alias("member")).join(F.broadcast(kb), "member", "left")  # five rows
+    j = lines.join(o, "o_orderkey").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").join(part, "p_partkey")
+    is_ = lambda b: F.col("belief") == b
+    why = F.when(is_("class") & (F.col("family") == "machine"), "class").when(is_("budget") & (F.col("l_extendedprice") > 50000), "budget").when(is_("place") & (F.col("s_nationkey") != F.col("c_nationkey")), "place")
+    return j.groupBy("o_orderkey").agg(F.count("*").alias("facts"), F.count(why).alias("contradicted"), F.min(why).alias("why"))
 
 
 @query("select l_partkey, min(l_returnflag) as low, max(l_returnflag) as high, count(distinct l_returnflag) as n_values, count(distinct l_suppkey) as n_sources from lineitem group by l_partkey having count(distinct l_returnflag) > 1 and count(distinct l_suppkey) > 1")
@@ -122,11 +146,13 @@ def jn13_conflicts(spark, sf_dir):
 _W = lambda x: f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: length(w) >= 3)"
 
 
-@query(f"select p_partkey, n_nationkey from part, nation where contains(lower(p_name), lower(n_name)) or contains(lower(n_name), lower(p_name)) or list_has_any({_W('p_name')}, {_W('n_name')}) or p_partkey % 25 = n_nationkey")
+@query(f"select p_partkey, t.kind from part, (select distinct lower(string_split(p_type, ' ')[1]) || ' ' || lower(string_split(p_name, ' ')[1]) as kind from part) t where contains(lower(p_name), t.kind) or contains(t.kind, lower(p_name)) or list_has_any({_W('p_name')}, {_W('t.kind')})")
 def jn14_attribute_match(spark, sf_dir):
-    """Nations have 25 rows, a fixed table, so they go to each task."""
-    p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
-    return p.join(F.broadcast(n), J.attribute_match(F.col("p_name"), F.col("n_name")) | (F.col("p_partkey") % 25 == F.col("n_nationkey"))).select("p_partkey", "n_nationkey")
+    """Parts and attributes (kind and first word of names) that share a word or contain one another. Each word and each whole
+    attribute is a key; containment inside a word takes the attributes' words against the parts', both distinct."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"), F.lower(F.element_at(F.split("p_type", " "), 1)).alias("k"))
+    kinds = p.select(F.concat_ws(" ", "k", F.element_at(F.split("name", " "), 1)).alias("kind")).distinct()
+    return J.attribute_matches(p, "p_partkey", "name", kinds, "kind")
 
 
 @query("select c_custkey, coalesce(bool_or(rank <= 3), false) as served from customer left join (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) on c_custkey = o_custkey and o_orderpriority = '1-URGENT' group by c_custkey")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memlift.functions import text as T
 from memlift.operators import retrieval as R
 from memlift.operators import windows as O
-from memlift.plans.attribution_plans import segments, sql, turns
+from memlift.plans.attribution_plans import sql
 from memlift.plans.registry import query, table
 from memlift.plans.text_plans import sql_tokens
 
@@ -68,31 +68,57 @@ def ret2_bm25_top(spark, sf_dir):
 _TRI = "list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))"
 
 
+_FIVE = "lower(concat_ws(' | ', text, lang, source, 'doc ' || doc_id::varchar, 'len ' || n_chars::varchar))"
+
+
 @query(
-    f"select q_id, item_id, shared from (select *, row_number() over (partition by q_id order by shared desc, item_id) as r from (select q_id, item_id, count(*) as shared from (select distinct conv_id * 1000000 + turn as q_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) as g from conversations) q join (select distinct item_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) as g from benchmark) d using (g) group by all)) where r <= 3"
+    f"with d as (select doc_id as item_id, unnest({_TRI.replace('x', _FIVE).replace('ma' + _FIVE, 'max')}) as g from documents), q as (select item_id as q_id, unnest(list_distinct({_TRI.replace('x', 'lower(text)')})) as g from benchmark), p as (select item_id, g, count(*) as tf from d group by all), l as (select item_id, sum(tf) as dl from p group by all), n as (select count(*) as n from documents), m as (select sum(dl) as s from l), f as (select g, count(*) as df from p group by g), "
+    "s as (select q_id, item_id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / (m.s / n.n)))) as score from q join f using (g) join p using (g) join l using (item_id), n, m group by q_id, item_id) "
+    "select q_id, item_id from (select *, row_number() over (partition by q_id order by round(score, 6) desc, item_id) as r from s) where r <= 3"
 )
 def ret3_trigrams(spark, sf_dir):
-    q = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("q_id"), F.explode(F.array_distinct(R.trigrams(F.col("text")))).alias("g"))
-    d = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(R.trigrams(F.col("text")))).alias("g"))
-    shared = q.hint("merge").join(d, "g").groupBy("q_id", "item_id").agg(F.count("*").alias("shared"))
-    return O.top_k(shared, "q_id", [F.desc("shared"), F.asc("item_id")], 3).select("q_id", "item_id", "shared")
+    """BM25 over the trigrams of five fields put together."""
+    fields = F.concat_ws(" | ", "text", "lang", "source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.concat(F.lit("len "), F.col("n_chars").cast("string")))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), fields.alias("body"))
+    s = R.bm25(questions(spark, sf_dir), d, R.trigrams(F.col("question")), R.trigrams(F.col("body")))
+    return O.top_k(s, "q_id", [F.desc(F.round("score", 6)), F.asc("item_id")], 3).select("q_id", "item_id")
 
 
 _TERMS = "['tion', 'the', 'erth', 'and']"
 
 
-@query(f"select doc_id, (len(list_filter({_TERMS}, lambda t: contains(lower(text), t))) + len(list_filter({_TERMS}, lambda t: contains(lower(source), t))))::int as score from documents")
+# the question's own terms: distinct words of three letters or more, the first eight, of the first turn of each conversation
+_TERMS = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_-]+'), lambda w: length(w) >= 3))"
+
+
+def terms_of(spark, sf_dir):
+    """q_id and terms of the benchmark's questions."""
+    t = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9_-]+"), lambda w: F.length(w) >= 3))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), t.alias("terms"))
+
+
+@query(f"with q as (select item_id as q_id, unnest({_TERMS}) as t from benchmark) select q_id, conv_id, turn, score from (select *, row_number() over (partition by q_id order by score desc, conv_id, turn) as r from (select q_id, conv_id, turn, sum(contains(lower(text), t)::int + contains(lower(role), t)::int)::bigint as score from conversations join q on contains(lower(text), t) or contains(lower(role), t) group by all)) where r <= 5")
 def ret4_like_score(spark, sf_dir):
-    terms = F.array(*(F.lit(t) for t in ("tion", "the", "erth", "and")))
-    return table(spark, sf_dir, "documents").select("doc_id", R.like_score(terms, F.col("text"), F.col("source")).alias("score"))
+    """How many of a question's terms occur in the text and in the role; the five best turns. Terms are looked up by their first
+    three letters among the trigrams of a turn and tried only where these are."""
+    h = R.term_hits(terms_of(spark, sf_dir), turn_fields(spark, sf_dir), ["conv_id", "turn"], "field")
+    s = h.groupBy("q_id", "conv_id", "turn").agg(F.count("*").alias("score"))
+    return O.top_k(s, "q_id", [F.desc("score"), F.asc("conv_id"), F.asc("turn")], 5).select("q_id", "conv_id", "turn", "score")
+
+
+def turn_fields(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    f = F.explode(F.map_from_arrays(F.array(F.lit("text"), F.lit("role")), F.array(F.lower("text"), F.lower("role"))))
+    return c.select("conv_id", "turn", f.alias("field", "body"))
 
 
 @query("select distinct d.doc_id, b.item_id from documents d join benchmark b on contains(lower(d.text), lower(b.text))")
 def ret5_phrase(spark, sf_dir):
-    """Documents that hold a question whole. Questions are few and checked in size."""
+    """Documents that hold a question whole. A phrase is looked up by its longest word, as a whole word or not, and then tried;
+    phrases without words of three letters can't occur here."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("phrase"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
-    return d.join(b.hint("broadcast" if b.count() <= 100_000 else "shuffle_replicate_nl"), F.col("body").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
+    return R.phrase_hits(b, d, "phrase", "body").select("doc_id", "item_id").distinct()
 
 
 _ENT = f"select source as item_id, unnest({sql_tokens('text')}) as token from documents"
@@ -135,22 +161,46 @@ def ret9_hybrid(spark, sf_dir):
     return R.hybrid(long_rank(R.best(overlap(spark, sf_dir), 5)), long_rank(R.best(bm25(spark, sf_dir), 5)))
 
 
-@query("select c.conv_id, c.turn, d.role as collection from conversations c join (select distinct conv_id, role from conversations) d using (conv_id) where regexp_matches(lower(c.text), '\\b(de|the|el|der)\\b') and contains(lower(c.text), 'e')")
+_LISTING = r"\b(how many|list|all|every|in order|order|total|the|les|der|los)\b"
+
+
+@query(rf"with col as (select source, unnest([source, lang]) as keyword from documents group by source, lang), asks as (select item_id as q_id, string_split(lower(text), ' ') as w, lower(text) as t from benchmark where regexp_matches(lower(text), '{_LISTING}')), k as (select lang, source, left(min(lower(string_split(trim(text), ' ')[1])), 4) as keyword from documents where len(trim(text)) > 3 group by lang, source) select q_id, k.source as collection, k.lang, count(*) as members from asks join k on contains(t, keyword) and length(keyword) > 1 join documents d on d.source = k.source and d.lang = k.lang group by all")
 def ret10_enumeration(spark, sf_dir):
-    """Questions of a listing kind get the whole collection of their conversation."""
-    c = table(spark, sf_dir, "conversations")
-    asks = c.where(F.lower("text").rlike(r"\b(de|the|el|der)\b") & F.lower("text").contains("e")).select("conv_id", "turn")
-    return asks.join(c.select("conv_id", F.col("role").alias("collection")).distinct(), "conv_id")
+    """A question of a listing kind gets the whole of each collection (language and source) whose keyword it contains."""
+    d = table(spark, sf_dir, "documents")
+    word = F.lower(F.element_at(F.split(F.trim("text"), " "), 1))
+    k = d.where(F.length(F.trim("text")) > 3).groupBy("lang", "source").agg(F.substring(F.min(word), 1, 4).alias("keyword")).where(F.length("keyword") > 1)
+    asks = table(spark, sf_dir, "benchmark").where(F.lower("text").rlike(_LISTING)).select(F.col("item_id").alias("q_id"), F.lower("text").alias("t"))
+    hit = R.contained(asks, "t", k, "keyword").select("q_id", "lang", "source")
+    return hit.join(d.groupBy("lang", "source").agg(F.count("*").alias("members")), ["lang", "source"]).select("q_id", F.col("source").alias("collection"), "lang", "members")
+
+
+_NOTED = """select event_id, user_id, event_type, value, lead(event_id) over w as later, lead(value) over w as next_value, lag(value) over w as last_value from events window w as (partition by user_id, event_type order by event_id)"""
 
 
-@query()
+@query(
+    f"""with n as ({_NOTED}), conf as (select event_id, 'conflicts with ' || b_id::varchar as note, row_number() over (partition by event_id order by b_id) as r from (select a.event_id, b.event_type, min(b.event_id) as b_id from events a join events b on a.user_id = b.user_id and floor(a.value) = floor(b.value) and a.event_type <> b.event_type and b.event_id > a.event_id where a.value > 60 group by all)),
+c as (select event_id, string_agg(note, '; ' order by r) as notes from conf where r <= 3 group by event_id),
+k as (select event_id, 'cycle ' || least(src, dst)::varchar || '-' || greatest(src, dst)::varchar as note from (select event_id, k as src, lead(k) over w as dst, lead(k, 2) over w as back from (select *, json_extract_string(props, '$.k')::bigint % 10 as k from events) window w as (partition by user_id order by event_id)) where src = back and src <> dst)
+select event_id, concat_ws('; ', k.note, c.notes, case when later is not null and abs(next_value - value) > 50 then 'updated by ' || later::varchar end) as note from n left join k using (event_id) left join c using (event_id) where k.note is not null or c.notes is not null or (later is not null and abs(next_value - value) > 50)"""
+)
 def ret11_notes(spark, sf_dir):
-    """Notes for hits: what later superseded an item and what conflicts with it."""
-    e = table(spark, sf_dir, "events")
+    """Notes for hits, in the order that tells a reader most: a cycle of values (there and back), conflicts (with the next fact of
+    each other type under the same whole value, three at most), and an update by a later fact."""
+    e = table(spark, sf_dir, "events").withColumn("v", F.floor("value"))
     w = W.partitionBy("user_id", "event_type").orderBy("event_id")
-    noted = e.select("event_id", "user_id", F.lead("event_id").over(w).alias("later"), (F.abs(F.col("value") - F.lead("value").over(w)) > 50).alias("conflict"))
-    note = F.concat_ws("; ", F.when(F.col("later").isNotNull(), F.concat(F.lit("superseded by "), F.col("later").cast("string"))), F.when(F.col("conflict"), F.lit("conflicts with it")))
-    return noted.where("later is not null").select("event_id", note.alias("note"))
+    n = e.select("event_id", F.when(F.abs(F.lead("value").over(w) - F.col("value")) > 50, F.concat(F.lit("updated by "), F.lead("event_id").over(w).cast("string"))).alias("update"))
+    by = W.partitionBy("user_id", "v").orderBy("event_id").rowsBetween(1, W.unboundedFollowing)
+    kinds = ("click", "error", "purchase", "signup", "view")
+    each = [F.when(F.col("event_type") != t, F.first(F.when(F.col("event_type") == t, F.col("event_id")), ignorenulls=True).over(by)) for t in kinds]
+    three = F.slice(F.array_sort(F.array_compact(F.array(*each))), 1, 3)
+    c = e.select("event_id", "value", "event_type", three.alias("x")).where("value > 60 and size(x) > 0")
+    c = c.select("event_id", F.array_join(F.transform("x", lambda y: F.concat(F.lit("conflicts with "), y.cast("string"))), "; ").alias("conflicts"))
+    k, u = F.col("k"), W.partitionBy("user_id").orderBy("event_id")
+    o = e.withColumn("k", F.get_json_object("props", "$.k").cast("long") % 10).select("event_id", "k", F.lead("k").over(u).alias("dst"), F.lead("k", 2).over(u).alias("back"))
+    o = o.where("k = back and k <> dst").select("event_id", F.concat(F.lit("cycle "), F.least(k, "dst").cast("string"), F.lit("-"), F.greatest(k, "dst").cast("string")).alias("cycle"))
+    note = F.concat_ws("; ", "cycle", "conflicts", "update")
+    return n.join(o, "event_id", "left").join(c, "event_id", "left").select("event_id", note.alias("note")).where("note <> ''")
 
 
 @query(f"with s as {BM25} select q.item_id as q_id, count(s.item_id) as hits, coalesce(round(max(s.score), 6), 0) as top from benchmark q left join s on s.q_id = q.item_id group by q.item_id")
@@ -159,12 +209,21 @@ def ret12_absent_probe(spark, sf_dir):
     return questions(spark, sf_dir).select("q_id").join(s, "q_id", "left").groupBy("q_id").agg(F.count("item_id").alias("hits"), F.coalesce(F.round(F.max("score"), 6), F.lit(0.0)).alias("top"))
 
 
-@query("select d, count(*) as n, avg((newest)::int) as current_share, avg((superseded)::int) as with_edges from (select user_id % 4 as d, event_id, row_number() over (partition by user_id order by value desc, event_id) = 1 as newest, event_id = max(event_id) over (partition by user_id) as superseded from events) group by d")
+_TRIALS = "select user_id, user_id % 4 as d, event_id, value, event_type, row_number() over (partition by user_id order by event_id desc) as back from events"
+_ARMS = f"(select user_id, d, arm, event_id, value, back, case when arm = 'none' then true when arm = 'supersede' then back = 1 or back > d + 2 else back <> 2 end as live from ({_TRIALS}), (values ('none'), ('supersede'), ('contradicts')) t(arm) where back <= d + 2)"
+
+
+@query(f"select arm, d, count(*) as trials, avg(current::int) as accuracy, avg(in_pool::int) as newest_in_pool from (select arm, d, user_id, max_by(back, [value, -back]) filter (live) = 1 as current, bool_or(back = 1 and rank <= 3) as in_pool from (select *, row_number() over (partition by arm, user_id order by value desc, back) as rank from {_ARMS}) group by all) group by arm, d")
 def ret13_supersession_distance(spark, sf_dir):
-    """How often the top item is the current one, by score alone and by heads only."""
-    w = W.partitionBy("user_id")
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("d"), (F.row_number().over(w.orderBy(F.desc("value"), "event_id")) == 1).alias("newest"), (F.col("event_id") == F.max("event_id").over(w)).alias("superseded"))
-    return e.groupBy("d").agg(F.count("*").alias("n"), F.avg(F.col("newest").cast("int")).alias("current_share"), F.avg(F.col("superseded").cast("int")).alias("with_edges"))
+    """Each user is a trial: the newest event is the update, d + 1 events before it restate the old value. How often the top hit
+    by score is the update, by arm: without edges, with superseded items hidden, with the last restatement contradicted."""
+    back = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id")))
+    t = table(spark, sf_dir, "events").select("user_id", (F.col("user_id") % 4).alias("d"), "value", back.alias("back")).where("back <= d + 2")
+    a = t.withColumn("arm", F.explode(F.array(F.lit("none"), F.lit("supersede"), F.lit("contradicts"))))
+    live = F.when(F.col("arm") == "none", F.lit(True)).when(F.col("arm") == "supersede", F.col("back") == 1).otherwise(F.col("back") != 2)
+    a = a.withColumn("live", live).withColumn("rank", F.row_number().over(W.partitionBy("arm", "user_id").orderBy(F.desc("value"), "back")))
+    one = a.groupBy("arm", "d", "user_id").agg((F.max_by("back", F.when(F.col("live"), F.struct("value", -F.col("back")))) == 1).alias("current"), F.bool_or((F.col("back") == 1) & (F.col("rank") <= 3)).alias("in_pool"))
+    return one.groupBy("arm", "d").agg(F.count("*").alias("trials"), F.avg(F.col("current").cast("int")).alias("accuracy"), F.avg(F.col("in_pool").cast("int")).alias("newest_in_pool"))
 
 
 @query(sql("select tag, count(*) filter (tier = 'T4' and verdict = 'correct') - count(*) filter (tier = 'T1' and verdict = 'correct') as lift, tag <> 'novel' as flagged from v group by tag"))
@@ -175,10 +234,11 @@ def ret14_known_split(spark, sf_dir):
     return verdicts(spark, sf_dir).groupBy("tag").agg((right("T4") - right("T1")).alias("lift")).withColumn("flagged", F.col("tag") != "novel")
 
 
-@query(f"select doc_id, list_sum(list_transform({_TERMS}, lambda t: case when contains(lower(source || ' ' || text), t) then length(t) else 0 end))::bigint as score from documents")
+@query(f"with q as (select item_id as q_id, unnest({_TERMS}) as t from benchmark) select q_id, conv_id, turn, score from (select *, row_number() over (partition by q_id order by score desc, conv_id desc, turn desc) as r from (select q_id, conv_id, turn, sum(length(t))::bigint as score from conversations join q on contains(lower(role || ' ' || text), t) group by all)) where r <= 5")
 def ret15_length_score(spark, sf_dir):
-    terms = F.array(*(F.lit(t) for t in ("tion", "the", "erth", "and")))
-    return table(spark, sf_dir, "documents").select("doc_id", R.length_score(terms, F.col("source"), F.col("text")).cast("long").alias("score"))
-
+    """Lengths of the question's terms that occur in role and text put together; newest first on ties."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.concat_ws(" ", "role", "text")).alias("body"))
+    h = R.term_hits(terms_of(spark, sf_dir), rows, ["conv_id", "turn"])
+    s = h.groupBy("q_id", "conv_id", "turn").agg(F.sum(F.length("term")).alias("score"))
+    return O.top_k(s, "q_id", [F.desc("score"), F.desc("conv_id"), F.desc("turn")], 5).select("q_id", "conv_id", "turn", "score")
 
-_ = (segments, turns)

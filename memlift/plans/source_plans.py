@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlift.plans.registry import query, table
@@ -13,21 +14,25 @@ from memlift.sources import sinks
 
 
 def folder(spark) -> str:
-    """A new folder where the cluster shares files, or a temporary one where spark.checkpoint.dir is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='memlift-')}"
+    """A new folder where the cluster shares files, or a temporary one in local mode where spark.checkpoint.dir is unset."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir")
+    if not top and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    top = top or f"file://{tempfile.mkdtemp(prefix='memlift-')}"
     return f"{top.rstrip('/')}/memlift-{uuid.uuid4().hex}"
 
 
-@query("select event_id, user_id, event_id % 50 = 0 as bad from events")
+@query("select event_id // 1000 as part, row_number() over (partition by event_id // 1000 order by event_id) as line, case when event_id % 50 = 0 then null else event_id end as event_id, case when event_id % 50 = 0 then null else user_id end as user_id, case when event_id % 50 = 0 then '{broken ' || event_id::varchar || ' ' || user_id::varchar end as bad from events")
 def src1_jsonl(spark, sf_dir):
-    """Every fiftieth line is broken and must be kept with its text."""
+    """Every fiftieth line is broken and must be kept with its text and its number in its file."""
     at = folder(spark)
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
-    e.select(F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{broken "), F.col("event_id"), F.lit(" "), F.col("user_id"))).otherwise(F.to_json(F.struct("event_id", "user_id"))).alias("value")).write.text(at)
-    r = R.jsonl(spark, at, "event_id long, user_id long")
-    part = lambda i: F.regexp_extract("_bad", r"broken (\d+) (\d+)", i).cast("long")
-    bad = F.col("_bad").isNotNull()
-    return r.select(F.when(bad, part(1)).otherwise(F.col("event_id")).alias("event_id"), F.when(bad, part(2)).otherwise(F.col("user_id")).alias("user_id"), bad.alias("bad"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 1000).alias("part"))
+    line = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{broken "), F.col("event_id"), F.lit(" "), F.col("user_id"))).otherwise(F.to_json(F.struct("event_id", "user_id")))
+    # one file a part, in order
+    e.select("part", "event_id", line.alias("value")).repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(at)
+    r = R.numbered_jsonl(spark, at, "event_id long, user_id long")
+    return r.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "line", "event_id", "user_id", F.col("_bad").alias("bad"))
 
 
 @query("select user_id, count(*) as scenarios from events where event_type = 'signup' and event_id % 7 <> 0 group by user_id")
@@ -78,12 +83,23 @@ def src5_parallel_arrays(spark, sf_dir):
     return R.parallel_sessions(r).select("conversation_id", F.col("seq").cast("long").alias("seq"), "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("session_id").cast("long").alias("session_id"))
 
 
-@query()
+@query(
+    "select conv_id as conversation_id, 'event' as kind, turn as seq, role, md5(text) as body from conversations union all select conv_id, 'segment', turn, 'ability ' || (turn % 3)::varchar, md5(text || ' -> ' || nxt) from (select *, lead(text) over w as nxt, lead(role) over w as nrole from conversations window w as (partition by conv_id order by turn)) where role = 'user' and nrole = 'assistant'"
+)
 def src6_scenarios(spark, sf_dir):
-    """Segments and events of scenario documents from one scan: counts of both."""
-    c = chats(spark, sf_dir)
-    ev = R.nested_chats(c.select("conversation_id", "chat")).groupBy("conversation_id").agg(F.count("*").alias("events"))
-    return c.select("conversation_id", F.size("chat").alias("segments")).join(ev, "conversation_id")
+    """Scenario documents, one a conversation with its questions and its turns, written as JSON and flattened to events and
+    segments by two explodes of one scan."""
+    at, w = folder(spark), W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("nxt", F.lead("text").over(w)).withColumn("nrole", F.lead("role").over(w))
+    asks = F.when((F.col("role") == "user") & (F.col("nrole") == "assistant"), F.struct(F.concat(F.lit("ability "), (F.col("turn") % 3).cast("string")).alias("ability"), F.col("text").alias("question"), F.col("nxt").alias("gold"), F.col("turn").alias("at")))
+    doc = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("events"), F.array_sort(F.array_compact(F.collect_list(asks))).alias("segments"))
+    doc.write.json(at)
+    r = spark.read.schema("conv_id long, events array<struct<turn:long,role:string,text:string>>, segments array<struct<ability:string,question:string,gold:string,at:long>>").json(at)
+    events, segments = R.scenarios(r, "conv_id")
+    md5 = lambda x: F.md5(x.cast("binary")).alias("body")
+    a = events.select(F.col("conv_id").alias("conversation_id"), F.lit("event").alias("kind"), F.col("turn").alias("seq"), "role", md5(F.col("text")))
+    b = segments.select(F.col("conv_id").alias("conversation_id"), F.lit("segment").alias("kind"), F.col("at").alias("seq"), F.col("ability").alias("role"), md5(F.concat_ws(" -> ", "question", "gold")))
+    return a.unionByName(b)
 
 
 @query("select lang, source from documents where doc_id % 2 = 0 group by all union select lang, source from (select distinct lang, source from documents where lang not in (select lang from documents where doc_id % 2 = 0))")

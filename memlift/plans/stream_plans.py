@@ -11,6 +11,7 @@ from memlift.plans.attribution_plans import BASE, sql
 from memlift.plans.registry import query, table
 from memlift.plans.retrieval_plans import documents, long_rank, questions, ranked, BM25
 from memlift.plans.source_plans import folder
+from memlift.plans.text_plans import sql_tokens
 from memlift.shipping import ship
 from memlift.streaming import monitors
 
@@ -30,12 +31,15 @@ def str2_confidence_watch(spark, sf_dir):
     return monitors.drain(monitors.confidence_watch(follow(spark, sf_dir, "events").select("event_id", "user_id", "value"), 20), folder(spark)).withColumn("moved", F.round("moved", 6))
 
 
-@query("select y, count(*) as alerts from orders, range(1995, 2003) t(y) where o_orderdate + interval 90 day <= make_timestamp(y, 1, 1, 0, 0, 0.0) group by y")
+@query(
+    "select o_orderkey as id, o_orderdate + interval 90 day as expired_at from orders where o_orderdate + interval 90 day <= (select max(o_orderdate) - interval 1 hour from orders)"
+)
 def str3_expiry_sweep(spark, sf_dir):
-    """How many orders have expired, 90 days after their date, at the start of each of eight years."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_orderdate").cast("timestamp_ntz") + F.expr("interval 90 days")).alias("expires_at"))
-    s = o.withColumn("y", F.explode(F.sequence(F.lit(1995), F.lit(2002))))
-    return s.where(F.col("expires_at") <= F.make_date("y", F.lit(1), F.lit(1)).cast("timestamp_ntz")).groupBy(F.col("y").cast("long").alias("y")).agg(F.count("*").alias("alerts"))
+    """Orders are beliefs that expire after 90 days; a timer in event time gives each alert once the stream has passed it. A row
+    an hour later than all others ends the stream, so the last alerts come out."""
+    o = follow(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    alerts = monitors.expiry_alerts(o.withColumn("expires_at", F.col("at") + F.expr("interval 90 days")))
+    return monitors.drain(alerts, folder(spark))
 
 
 @query()
@@ -62,11 +66,24 @@ def str6_access_statistics(spark, sf_dir):
     return r.groupBy("user_id").agg(F.max_by(F.struct("hits", "last_event"), "batch").alias("x")).select("user_id", "x.hits", "x.last_event")
 
 
-@query("select event_id, coalesce(value < max(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) - 50, false) as late from events")
+@query(
+    "with f as (select user_id, event_id, value, ts - interval 1 second * case when event_id % 7 = 0 then 400000 else 0 end as eff, event_id % 7 = 0 as late from events) "
+    "select user_id, max_by(value, [epoch(eff), event_id::double]) as answer, max_by(value, [epoch(eff), event_id::double]) filter (not late) as before from f group by user_id"
+)
 def str7_late_facts(spark, sf_dir):
-    """Effective time is the value, arrival the number: facts more than 50 behind go to the correction table."""
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.col("value") < F.max("value").over(w) - 50, F.lit(False)).alias("late"))
+    """Every seventh fact takes effect days before it was filed and comes in a later file. What is behind the stream's time goes to
+    a correction table; the answer by effective time takes both tables, and stands beside the one before the late file."""
+    at = folder(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.col("ts") - F.make_dt_interval(secs=F.when(F.col("event_id") % 7 == 0, 400000).otherwise(0))).cast("timestamp").alias("at"))
+    schema = "event_id long, user_id long, value double, at timestamp"
+    answers = []
+    for name, rows in (("before", e.where("event_id % 7 <> 0")), ("answer", e.where("event_id % 7 = 0"))):
+        rows.write.mode("append").parquet(f"{at}/in")
+        timely, corrections = monitors.late_facts(spark.readStream.schema(schema).parquet(f"{at}/in"), at, 86_400)
+        answers.append(monitors.latest_by_effect(timely.unionByName(corrections)).select("user_id", F.col("value").alias(name)))
+        answers[-1].write.parquet(f"{at}/{name}")
+    read = lambda n: spark.read.schema(f"user_id long, {n} double").parquet(f"{at}/{n}")
+    return read("answer").join(read("before"), "user_id", "left")
 
 
 @query("select b.event_id, b.user_id, round(sum((a.event_type = 'error')::int * exp(-0.00001 * (epoch_us(b.ts) // 1000000 - epoch_us(a.ts) // 1000000))), 6) as level from events a join events b on a.user_id = b.user_id and a.event_id <= b.event_id group by all")
@@ -76,7 +93,10 @@ def str8_escalating_warning(spark, sf_dir):
     return monitors.drain(monitors.warnings(e, 0.00001), folder(spark)).withColumn("level", F.round("level", 6))
 
 
-@query()
+@query(
+    f"with {BASE.split('segs as')[0]}qt as (select conv_id, q_id, unnest(list_distinct(ts)) as token, len(list_distinct(ts)) as size from (select conv_id, id as q_id, {sql_tokens('text')} as ts from turns)), it as (select conv_id, id as item_id, unnest(list_distinct({sql_tokens('text')})) as token from turns), "
+    "sc as (select q_id, item_id, count(*) / any_value(size)::double as score from qt join it using (conv_id, token) where item_id < q_id group by all) select q_id as src, item_id as dst from (select *, row_number() over (partition by q_id order by round(score, 9) desc, item_id) as rank from sc) where rank = 1"
+)
 def str9_turn_pipeline(spark, sf_dir):
     t = follow(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000000 + F.col("turn"))
     return monitors.ingest_turns(t, folder(spark))
@@ -93,6 +113,16 @@ def udf2_retriever(spark, sf_dir):
     return long_rank(M.Bm25Retriever().topk(questions(spark, sf_dir), documents(spark, sf_dir), 3))
 
 
+@query("select b.user_id, b.event_id as new_id, a.event_id as old_id, substr(sha256(b.event_id::varchar || ':' || b.event_type), 1, 12) as receipt from (select *, row_number() over (partition by user_id, event_type order by event_id) as n from events) a join (select *, row_number() over (partition by user_id, event_type order by event_id) as n from events) b on a.user_id = b.user_id and a.event_type = b.event_type and b.n = a.n + 1 where abs(a.value - b.value) > 50")
+def udf2_memory_contract(spark, sf_dir):
+    """The rest of the contract: facts are written for receipts, and those that undercut what was held before are surfaced unasked."""
+    memory = M.FactMemory(folder(spark))
+    facts = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), F.col("event_id").alias("id"), F.col("event_type").alias("attribute"), "value")
+    receipts = memory.write(facts)
+    told = memory.surface(facts, 50)
+    return told.join(receipts, told["new_id"] == receipts["id"]).select(F.col("subject").alias("user_id"), "new_id", "old_id", "receipt")
+
+
 @query()
 def udf3_auto_capture(spark, sf_dir):
     ship(spark)

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 
 from memlift.functions import policy as P
 from memlift.functions import text as T
+from memlift.functions.unicode import nfkc
 from memlift.operators import sampling
 from memlift.plans.registry import query, table
+from memlift.shipping import ship
 
 
 def sql_list(words) -> str:
@@ -65,10 +67,14 @@ def fn3_literal_contradiction(spark, sf_dir):
 
 
 @query(
-    r"""select item_id, upper(replace(regexp_replace(regexp_replace(trim(replace(regexp_replace(text, '(?i)```(?:json|text)?', '', 'g'), '```', ''), ' ' || chr(9) || chr(10) || chr(13)), '^[''"`]+|[''"`]+$', '', 'g'), '\s+', '', 'g'), 'ß', 'SS')) as answer from benchmark"""
+    r"""select item_id, upper(replace(regexp_replace(regexp_replace(trim(replace(regexp_replace(t, '(?i)```(?:json|text)?', '', 'g'), '```', ''), ' ' || chr(9) || chr(10) || chr(13)), '^[''"`]+|[''"`]+$', '', 'g'), '\s+', '', 'g'), 'ß', 'SS')) as answer from (select item_id, translate(replace(case when item_id % 3 = 0 then translate(text, 'aeno', 'ａｅｎｏ') when item_id % 3 = 1 then replace(text, 'fi', 'ﬁ') else text end, 'ﬁ', 'fi'), 'ａｅｎｏ', 'aeno') as t from benchmark)"""
 )
 def fn4_normal_answer(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.normal_answer(F.col("text")).alias("answer"))
+    """Answers come in wide letters, with ligatures, or plain; NFKC makes them one."""
+    k = F.col("item_id") % 3
+    given = F.when(k == 0, F.translate("text", "aeno", "ａｅｎｏ")).when(k == 1, F.replace("text", F.lit("fi"), F.lit("ﬁ"))).otherwise(F.col("text"))
+    ship(spark)
+    return table(spark, sf_dir, "benchmark").select("item_id", T.normal_answer(nfkc(given)).alias("answer"))
 
 
 @query(
@@ -228,24 +234,26 @@ def fn24_encode(spark, sf_dir):
     return s.join(n, s["s_nationkey"] == n["n_nationkey"]).select("s_suppkey", F.concat_ws("-", F.upper(F.reverse("s_name")), "n_name").alias("code"))
 
 
-@query()
+@query(
+    """select event_id, sha256('{"actor":{"id":' || user_id::varchar || ',"kind":"' || event_type || '"},"event_id":' || event_id::varchar || ',"props":{"k":' || json_extract_string(props, '$.k') || '}}') as digest from events"""
+)
 def fn25_canonical_json(spark, sf_dir):
-    """Digest of each order as JSON with sorted keys."""
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(o.columns)))).cast("binary"), 256).alias("digest"))
+    """Digest of each event as JSON with the keys of all levels sorted, from fields that come unsorted and nested."""
+    e = table(spark, sf_dir, "events").select("event_id", F.struct(F.from_json("props", "k int").alias("props"), F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("id")).alias("actor"), F.col("event_id")).alias("x"))
+    return e.select("event_id", F.sha2(F.to_json(T.sorted_struct(F.col("x"), e.schema["x"].dataType)).cast("binary"), 256).alias("digest"))
 
 
 @query(
-    r"""select doc_id, md5(regexp_replace(text, '(\d)-(\d)', '\1 \2')) as spaced, md5(regexp_replace(text, '0', 'O')) as one_alike, md5(translate(text, '0123456789', '０１２３４５６７８９')) as wide from documents"""
+    r"""select doc_id, md5(regexp_replace(text, '(\d)-(\d)', '\1 \2')) as spaced, md5(case when regexp_extract(text, '[01]') = '0' then regexp_replace(text, '0', 'O') else regexp_replace(text, '1', 'l') end) as one_alike,
+  md5(case regexp_extract(text, '[01][01]') when '00' then regexp_replace(text, '00', 'OO') when '01' then regexp_replace(text, '01', 'Ol') when '10' then regexp_replace(text, '10', 'lO') when '11' then regexp_replace(text, '11', 'll') else text end) as pair_alike,
+  md5(translate(text, '0123456789', '０１２３４５６７８９')) as wide from documents"""
 )
 def fn26_distortions(spark, sf_dir):
+    """The ladder of distortions of a text's digits: a separator swapped, the first 0 or 1 as a letter, the first pair of them as
+    letters, all digits wide."""
     t = F.col("text")
-    first = lambda what, by: F.when(t.rlike(what), F.concat(F.regexp_extract(t, f"(?s)^(.*?){what}", 1), by, F.regexp_extract(t, f"(?s)^.*?{what}(.*)$", 3 if "(" in what else 1))).otherwise(t)
-    spaced = F.when(t.rlike(r"\d-\d"), F.regexp_replace(t, r"(?s)\A(.*?\d)-(\d.*)\z", "$1 $2")).otherwise(t)
-    alike = F.when(t.contains("0"), F.regexp_replace(t, r"(?s)\A(.*?)0(.*)\z", "$1O$2")).otherwise(t)
-    del first
     md5 = lambda c: F.md5(c.cast("binary"))
-    return table(spark, sf_dir, "documents").select("doc_id", md5(spaced).alias("spaced"), md5(alike).alias("one_alike"), md5(F.translate(t, "0123456789", "０１２３４５６７８９")).alias("wide"))
+    return table(spark, sf_dir, "documents").select("doc_id", md5(T.separator_swapped(t)).alias("spaced"), md5(T.look_alike(t, 1)).alias("one_alike"), md5(T.look_alike(t, 2)).alias("pair_alike"), md5(F.translate(t, "0123456789", "０１２３４５６７８９")).alias("wide"))
 
 
 _UUID = "substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)"

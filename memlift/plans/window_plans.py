@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlift.functions import text as T
 from memlift.operators import sampling as S
+from memlift.operators import retrieval as R
 from memlift.operators import windows as O
 from memlift.plans.registry import query, table
 
@@ -148,11 +151,11 @@ def top3_cascade(spark, sf_dir):
     "with q as (select conv_id, turn, lower(string_split(text, ' ')[1]) as term, lower(text) as phrase from conversations), hit as (select q.conv_id, q.turn, d.item_id, case when contains(lower(d.text), q.phrase) then 1 else 2 end as stage from q join benchmark d on contains(lower(d.text), q.term)) select conv_id, turn, item_id, stage from (select *, min(stage) over (partition by conv_id, turn) as f from hit) where stage = f"
 )
 def top4_phrase_first(spark, sf_dir):
-    """Whole question as a phrase, else its first term. The items are the small fixed table."""
+    """Whole question as a phrase, else its first term. Distinct terms are looked up by their first three letters, then each
+    hit is tried with the questions that begin so."""
     q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.element_at(F.split("text", " "), 1)).alias("term"), F.lower("text").alias("phrase"))
     d = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("body"))
-    few = d.count() <= 100_000
-    hit = q.join(d.hint("broadcast" if few else "shuffle_replicate_nl"), F.col("body").contains(F.col("term")))
+    hit = R.contained(d, "body", q.select("term").distinct(), "term").hint("merge").join(q, "term")
     hit = hit.withColumn("stage", F.when(F.col("body").contains(F.col("phrase")), 1).otherwise(2))
     first = F.min("stage").over(W.partitionBy("conv_id", "turn"))
     return hit.withColumn("f", first).where("stage = f").select("conv_id", "turn", "item_id", "stage")
@@ -171,17 +174,28 @@ def top7_constrained_choice(spark, sf_dir):
     return p.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(F.when(F.col("p_type").contains("STEEL"), 0).otherwise(1), "p_retailprice", "p_partkey")).alias("choice"))
 
 
+_WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9_-]+'), lambda w: length(w) >= 3)"
+_T8 = f"list_filter({_WORDS}, lambda x, i: list_position({_WORDS}, x) = i)[1:8]"
+
+
 @query(
-    "with t as (select conv_id, term, i from (select conv_id, unnest(string_split(text, ' ')[1:8]) as term, generate_subscripts(string_split(text, ' ')[1:8], 1) as i from conversations where turn = 0)), h as (select t.conv_id, t.i, b.item_id, row_number() over (partition by t.conv_id, t.i order by b.item_id) as r from t join benchmark b on contains(lower(b.text), lower(t.term)) where length(t.term) >= 3), k as (select conv_id, item_id, i, r, row_number() over (partition by conv_id, item_id order by i, r) as n from h where r <= 5) select conv_id, item_id from (select *, row_number() over (partition by conv_id order by i, r) as m from k where n = 1) where m <= 6"
+    f"with q as (select conv_id, turn, lower(text) as phrase, {_T8} as terms from conversations where role = 'user'), full_ as (select conv_id, turn, item_id from q join benchmark b on contains(lower(b.text), q.phrase)), "
+    "t as (select conv_id, turn, terms[i] as term, i from (select *, unnest(range(1, len(terms) + 1)) as i from q) where (conv_id, turn) not in (select conv_id, turn from full_)), "
+    "h as (select conv_id, turn, i, item_id, row_number() over (partition by conv_id, turn, i order by item_id) as r from t join benchmark b on contains(lower(b.text), t.term)), k as (select conv_id, turn, item_id, i, r, row_number() over (partition by conv_id, turn, item_id order by i, r) as f from h where r <= 5) "
+    "select conv_id, turn, item_id, 'term' as route from (select *, row_number() over (partition by conv_id, turn order by i, r) as n from k where f = 1) where n <= 6 union all select conv_id, turn, item_id, 'full' from (select *, row_number() over (partition by conv_id, turn order by item_id) as n from full_) where n <= 6"
 )
 def top8_term_merge(spark, sf_dir):
-    """One search a term, five hits each; the first seen six stay."""
-    q = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.posexplode(F.slice(F.split("text", " "), 1, 8)).alias("i", "term")).where(F.length("term") >= 3)
+    """The whole question first; only where it finds nothing, one search for each of its first eight terms, five hits each, of
+    which the first six seen stay."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.lower("text").alias("phrase"))
+    terms = F.slice(F.array_distinct(F.filter(F.split("phrase", "[^a-z0-9_-]+"), lambda w: F.length(w) >= 3)), 1, 8)
     d = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("body"))
-    h = q.join(d.hint("broadcast" if d.count() <= 100_000 else "shuffle_replicate_nl"), F.col("body").contains(F.lower("term")))
-    h = O.top_k(h, ["conv_id", "i"], [F.asc("item_id")], 5).withColumnRenamed("rank", "r")
-    k = O.keep_first(h, ["conv_id", "item_id"], ["i", "r"])
-    return O.top_k(k, "conv_id", [F.asc("i"), F.asc("r")], 6).select("conv_id", "item_id")
+    whole = R.phrase_hits(q, d, "phrase", "body").select("conv_id", "turn", "item_id").distinct()
+    t = q.join(whole, ["conv_id", "turn"], "left_anti").select(F.struct("conv_id", "turn").alias("q_id"), F.posexplode(terms).alias("i", "term"))
+    h = R.contained(d, "body", t.select("term").distinct(), "term").select("item_id", "term").hint("merge").join(t, "term")
+    h = O.top_k(h, ["q_id", "i"], [F.asc("item_id")], 5).withColumnRenamed("rank", "r")
+    k = O.top_k(O.keep_first(h, ["q_id", "item_id"], ["i", "r"]), "q_id", [F.asc("i"), F.asc("r")], 6).select("q_id.*", "item_id", F.lit("term").alias("route"))
+    return k.unionByName(O.top_k(whole, ["conv_id", "turn"], [F.asc("item_id")], 6).select("conv_id", "turn", "item_id", F.lit("full").alias("route")))
 
 
 @query("select 'customer:' || c_custkey::varchar as id, c_acctbal as value from customer union all select 'supplier:' || s_suppkey::varchar, s_acctbal from supplier")
@@ -191,11 +205,24 @@ def set1_federated_union(spark, sf_dir):
     return c.unionByName(s)
 
 
-@query("select (select count(*) from (select l_orderkey from lineitem except all select l_orderkey from lineitem)) as one_way, (select count(*) from (select o_orderkey from orders except select l_orderkey from lineitem)) as other_way")
+_A, _B = "select 'c' || c_nationkey::varchar || ':' || c_mktsegment as id, c_acctbal as v from customer", "select 'c' || s_nationkey::varchar || ':' || upper('building') as id, s_acctbal as v from supplier"
+_IDS = lambda *xs: " union ".join(f"select id from ({x})" for x in xs)
+
+
+@query(f"select (select count(*) from ({_IDS(_A, _B)})) as ids, (select count(*) from (({_IDS(_A, _B)}) except ({_IDS(_B, _A)}))) as one_way, (select count(*) from (({_IDS(_B, _A)}) except ({_IDS(_A, _B)}))) as other_way, (select count(*) from (({_IDS(_A, _B)}) except (select id from ({_A} where c_acctbal > 0)))) as sabotaged")
 def set2_order_independence(spark, sf_dir):
-    lines, o = table(spark, sf_dir, "lineitem").select("l_orderkey"), table(spark, sf_dir, "orders").select("o_orderkey")
-    one, other = lines.exceptAll(lines).agg(F.count("*").alias("one_way")), o.subtract(lines).agg(F.count("*").alias("other_way"))
-    return one.crossJoin(F.broadcast(other))  # one row each
+    """The ids of two stores' union, made in both orders with the first of equal ids kept, and of a union that lost rows."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    a = c.select(F.concat(F.lit("c"), F.col("c_nationkey").cast("string"), F.lit(":"), "c_mktsegment").alias("id"), F.col("c_acctbal").alias("v"))
+    b = s.select(F.concat(F.lit("c"), F.col("s_nationkey").cast("string"), F.lit(":BUILDING")).alias("id"), F.col("s_acctbal").alias("v"))
+
+    def union(first, second):
+        rows = first.withColumn("at", F.lit(0)).unionByName(second.withColumn("at", F.lit(1)))
+        return rows.groupBy("id").agg(F.min_by("v", "at").alias("v")).select("id")
+
+    one, two = union(a, b), union(b, a)
+    counts = {"ids": one, "one_way": one.exceptAll(two), "other_way": two.exceptAll(one), "sabotaged": one.exceptAll(a.where("v > 0").select("id").distinct())}
+    return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), (d.agg(F.count("*").alias(n)) for n, d in counts.items()))  # one row each
 
 
 @query("select user_id, array_to_string(list_sort(list(k)), ',') as members, count(*) as n from (select user_id, k, max_by(event_type, event_id) as last from (select *, json_extract_string(props, '$.k') as k from events) group by user_id, k) where last <> 'error' group by user_id")
@@ -220,11 +247,17 @@ def set5_distribution_difference(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("n")).exceptAll(known.groupBy("lang").agg(F.count("*").alias("n")))
 
 
-@query()
+_PRECEDENCE = "case event_type when 'error' then 1 when 'login' then 2 when 'purchase' then 3 when 'view' then 4 else 5 end"
+
+
+@query(f"select user_id, string_agg(note, ',' order by p, note) as support, count(*) as n, min_by(note, [p::varchar, note]) as first from (select user_id, event_type || ':' || floor(value)::bigint::varchar as note, min({_PRECEDENCE}) as p from events group by all) group by user_id")
 def set6_support_merge(spark, sf_dir):
-    """Notes, then evidence, each once, in a fixed order."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("event_type") == t, F.concat(F.lit(f"{t}:"), F.floor("value").cast("string"))))).alias(t) for t in ("error", "purchase", "view")))
-    return e.select("user_id", F.array_join(F.array_distinct(F.concat("error", "purchase", "view")), ",").alias("support"))
+    """Notes and evidence of a user, each once, by fixed precedence of kinds; what comes first decides."""
+    p = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "login", 2).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "view", 4).otherwise(5)
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.concat("event_type", F.lit(":"), F.floor("value").cast("string")).alias("note")).agg(F.min(p).alias("p"))
+    rows = F.array_sort(F.collect_list(F.struct("p", "note")))
+    g = e.groupBy("user_id").agg(rows.alias("rows"))
+    return g.select("user_id", F.array_join(F.transform("rows", lambda x: x["note"]), ",").alias("support"), F.size("rows").cast("long").alias("n"), F.col("rows")[0]["note"].alias("first"))
 
 
 @query("select o_orderkey, list_sort(list(l_linenumber)) = list_transform(range(1, count(*) + 1), lambda x: x::int) as same from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey")

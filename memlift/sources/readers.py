@@ -16,6 +16,24 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) ->
     return spark.read.schema(f"{schema}, _bad string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
 
 
+def numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with their file and line (from 1), the schema's columns, and _bad, the text of lines that don't parse.
+
+    Lines are numbered without sorting them: rows have their place in their part of a file, and the parts' sizes give the
+    offsets."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id_"), "value").withColumn("part_", F.shiftright("id_", 33))
+    parts = t.groupBy("file", "part_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(W.partitionBy("file").orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = t.join(parts.withColumn("before_", before).drop("n_"), ["file", "part_"])
+    x = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return rows.select("file", (F.col("id_") - F.col("first_") + F.col("before_") + 1).alias("line"), x.alias("x_")).select("file", "line", "x_.*")
+
+
+def scenarios(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(events, segments) of scenario documents with arrays of these names, each row with its document's key."""
+    return docs.select(key, F.explode("events").alias("x")).select(key, "x.*"), docs.select(key, F.explode("segments").alias("x")).select(key, "x.*")
+
+
 def journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Result rows with scenarios; lines that aren't JSON are dropped."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED").where("type = 'result' and scenarios is not null")

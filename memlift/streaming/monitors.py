@@ -103,6 +103,57 @@ def warnings(events: DataFrame, decay: float) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, level double", "level double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def expiry_alerts(beliefs: DataFrame) -> DataFrame:
+    """id, expired_at of beliefs (id, at, expires_at) once the stream's time, an hour behind the latest row seen, has passed
+    their expiry: a timer in event time for each. The latest expiry of an id holds."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        due = None
+        if state.hasTimedOut:
+            due = state.get[0]
+        else:
+            at = max(int(b["expires_at"].astype("datetime64[ms]").astype("int64").max()) for b in batches)
+            at = max(at, state.get[0]) if state.exists else at
+            if at <= state.getCurrentWatermarkMs():
+                due = at
+            else:
+                state.update((at,))
+                state.setTimeoutTimestamp(at)
+        if due is not None:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"id": [key[0]], "expired_at": [pd.Timestamp(due, unit="ms")]})
+
+    rows = beliefs.withWatermark("at", "1 hour")
+    return rows.groupBy("id").applyInPandasWithState(step, "id long, expired_at timestamp", "expires_at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def late_facts(facts: DataFrame, folder: str, delay_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Splits a stream of facts (key, seq, at, value) into those in time and those whose effective time is more than the delay
+    behind the latest seen in batches before: (timely, corrections). A batch that is run again replaces what it wrote, and
+    the latest time so far is read back from what earlier batches wrote, so a restart gives the same tables."""
+    spark, schema = facts.sparkSession, facts.schema
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        rows.agg(F.max("at").alias("latest")).write.mode("overwrite").parquet(f"{folder}/latest/batch={number}")
+        past = spark.read.schema("latest timestamp, batch long").parquet(f"{folder}/latest").where(F.col("batch") < number).agg(F.max("latest").alias("latest"))
+        late = F.coalesce(F.col("at") < F.col("latest") - F.make_dt_interval(secs=F.lit(delay_seconds)), F.lit(False))
+        marked = rows.crossJoin(F.broadcast(past)).withColumn("late", late).drop("latest")  # one row
+        marked.write.mode("overwrite").partitionBy("late").parquet(f"{folder}/facts/batch={number}")
+        rows.unpersist()
+
+    q = facts.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, batch long, late boolean").parquet(f"{folder}/facts")
+    return out.where("not late").drop("late", "batch"), out.where("late").drop("late", "batch")
+
+
+def latest_by_effect(facts: DataFrame) -> DataFrame:
+    """user_id, value in effect last, by effective time and then by number."""
+    return facts.groupBy("user_id").agg(F.max_by("value", F.struct("at", "event_id")).alias("value"))
+
+
 def ingest_once(docs: DataFrame, scope: str, text: str) -> DataFrame:
     """One row for each content of a scope; state holds hashes only."""
     return docs.select(scope, F.sha2(F.col(text).cast("binary"), 256).alias("content")).dropDuplicates([scope, "content"])

@@ -128,7 +128,7 @@ def test_gates_fire_one_at_a_time(spark):
 
 def test_graphs(spark):
     e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (2, 1, 2), (2, 2, 3)], "g int, src int, dst int")
-    assert {r["g"] for r in graph.cyclic_edges(e).collect()} == {1}
+    assert {r["g"] for r in graph.cyclic_graphs(e).collect()} == {1}
     assert {(r["node"], r["level"]) for r in graph.levels(e.where("g = 2")).collect()} == {(1, 0), (2, 1), (3, 2)}
     chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "src int, dst int")
     assert {(r["id"], r["head"]) for r in graph.heads(chain).collect()} == {(i, 9) for i in range(9)}
@@ -166,3 +166,39 @@ def test_readers_and_relations(spark, tmp_path):
     assert sorted((x["a"], x["_bad"]) for x in r if x["a"]) == [(1, None)] and any(x["_bad"] == "{oops" for x in r)
     got = one(spark, [(0, "supersedes: 3\nconcerns 3\nsupports 4")], "n int, t string", models.relation_lines(F.col("t")))
     assert [(x["relation"], x["target"]) for x in got[0]] == [("concerns", 3), ("supports", 4)]
+
+
+def test_long_chains_need_few_rounds(spark):
+    from pyspark.sql import functions as F
+
+    n = 5000
+    chain = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    lev = {r["node"]: r["level"] for r in graph.levels(chain).collect()}
+    assert lev == {i: i for i in range(n + 1)}
+    assert {r["hops"] for r in graph.heads(chain.drop("g"), with_hops=True).where("id in (0, 4999)").collect()} == {5000, 1}
+    ring = chain.withColumn("g", F.lit(2)).withColumn("dst", F.col("dst") % n)
+    assert [r["g"] for r in graph.cyclic_graphs(chain.unionByName(ring)).collect()] == [2]
+    with pytest.raises(ValueError, match="graph 2"):
+        graph.levels(ring)
+
+
+def test_closing_edge_is_the_first(spark):
+    rows = [(1, 1, 2, 10), (1, 2, 3, 11), (1, 3, 1, 12), (1, 3, 2, 13), (2, 1, 2, 1), (2, 1, 3, 2), (3, 5, 6, 7), (3, 6, 5, 9)]
+    got = graph.closing_edges(spark.createDataFrame(rows, "g long, src long, dst long, seq long")).collect()
+    assert {(r["g"], r["closing"]) for r in got} == {(1, 12), (3, 9)}
+
+
+def test_levels_of_a_branching_graph(spark):
+    rows = [(1, 1, 2), (1, 2, 3), (1, 1, 3), (1, 3, 4)]
+    got = graph.levels(spark.createDataFrame(rows, "g long, src long, dst long")).collect()
+    assert {(r["node"], r["level"]) for r in got} == {(1, 0), (2, 1), (3, 2), (4, 3)}
+
+
+def test_line_numbers_over_several_files(spark, tmp_path):
+    from memlift.sources import readers
+
+    for name, n in (("a", 3), ("b", 5)):
+        (tmp_path / name).write_text("".join("bad\n" if i == 2 else f'{{"x": {i}}}\n' for i in range(n)))
+    got = readers.numbered_jsonl(spark, str(tmp_path), "x int").collect()
+    assert sorted((r["file"][-1], r["line"], r["x"], r["_bad"]) for r in got if r["_bad"]) == [("a", 3, None, "bad"), ("b", 3, None, "bad")]
+    assert sorted((r["file"][-1], r["line"], r["x"]) for r in got if not r["_bad"]) == [("a", 1, 0), ("a", 2, 1), ("b", 1, 0), ("b", 2, 1), ("b", 4, 3), ("b", 5, 4)]
