@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlift.functions import text as T
+from memlift.operators.graph import cut
 
 # Fixed values of the seeded generator: its start and its step for each draw.
 SEED, STEP = 0x414D4249, 0x6D2B79F5
@@ -52,36 +53,56 @@ def cluster_means(verdicts: DataFrame, tiers: tuple[str, ...] = ("T1", "T2", "T3
     return per.withColumn("whole", whole).groupBy("seg_id").agg(F.bool_and("whole").alias("whole"), *(F.avg(t).alias(t) for t in tiers)).where("whole").drop("whole")
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """df with place, 0 on by order, without one task for all rows: ranges are sorted by themselves and their sizes give the
+    offsets. Only the table of ranges, one row a task, is in one window."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("id_", F.monotonically_increasing_id())
+    ranged = cut(ranged)  # written once: ranges come from a sample, which another run may draw otherwise
+    ranged = ranged.withColumn("part_", F.shiftright("id_", 33)).withColumn("at_", F.col("id_").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = ranged.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(sizes.select("part_", before.alias("before_")).hint("broadcast"), "part_").withColumn("place", F.col("before_") + F.col("at_")).drop("id_", "part_", "at_", "before_")  # one row a task
+
+
 def paired_bootstrap(means: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """Intervals of completion by tier and of the deltas to T1, from resampled segments: metric, lower, upper.
 
     Iteration b picks cluster floor(u * n) with draw b * n + i + 1. One row a pick, joined with the clusters by number;
-    sums are by iteration, and only 2000 sums a metric are sorted."""
+    sums are by iteration. The picks are iterations times clusters rows, which is what the method costs."""
     spark = means.sparkSession
-    numbered = means.withColumn("place", F.row_number().over(W.orderBy("seg_id")) - 1)  # one row a cluster
-    n = numbered.count()
+    means = cut(means)
+    n = means.count()
     if n < 2:
         return spark.createDataFrame([], "metric string, lower double, upper double")
-    k = spark.range(iterations * n).select(F.floor(F.col("id") / n).alias("b"), F.floor(draw(F.col("id") + 1) * n).cast("int").alias("place"))
-    picks = k.groupBy("b", "place").agg(F.count("*").alias("times"))
-    sums = picks.join(numbered.hint("broadcast" if n <= 100_000 else "merge"), "place")
+    clusters = cut(numbered(means, "seg_id"))
+    k = spark.range(iterations * n).select(F.floor(F.col("id") / n).alias("b"), F.floor(draw(F.col("id") + 1) * n).cast("long").alias("place"))
+    sums = k.join(clusters.hint("broadcast" if n <= 100_000 else "merge"), "place")
     tiers = [c for c in means.columns if c != "seg_id"]
-    b = sums.groupBy("b").agg(*(F.try_divide(F.sum(F.col(t) * F.col("times")), F.lit(n)).alias(t) for t in tiers))
+    b = sums.groupBy("b").agg(*(F.try_divide(F.sum(t), F.lit(n)).alias(t) for t in tiers))
     metrics = {t: F.col(t) for t in tiers} | {f"{t}-T1": F.col(t) - F.col("T1") for t in tiers if t != "T1"}
     metrics["interaction"] = (F.col("T3") - F.col("T1")) - ((F.col("T2") - F.col("T1")) + (F.col("T4") - F.col("T1")))
-    rows = b.select(F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in metrics)), F.array(*metrics.values()))).alias("metric", "value"))
-    return rows.groupBy("metric").agg(pick_share("value", 0.025).alias("lower"), pick_share("value", 0.975).alias("upper"))
+    rows = cut(b.select(F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in metrics)), F.array(*metrics.values()))).alias("metric", "value")))
+    lower, upper = (at_share(rows, ["metric"], "value", p, name) for p, name in ((0.025, "lower"), (0.975, "upper")))
+    return lower.join(upper, "metric")
+
+
+def at_place(df: DataFrame, by: list[str], c: str, place: Column, name: str) -> DataFrame:
+    """by, name: the value at a place (0 on, from the group's size n_) of a group's sorted values; no value between two is made up.
+    Counts by distinct value and running sums of these take the place of sorted arrays, so no group is held whole."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("c_"))
+    w = W.partitionBy(*by)
+    run = counts.withColumn("n_", F.sum("c_").over(w)).withColumn("upto_", F.sum("c_").over(w.orderBy(c).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return run.where(F.col("upto_") > place).groupBy(*by).agg(F.min(c).alias(name))
 
 
-def pick_share(c: str, p: float) -> Column:
-    """The value at floor(p * (n - 1)) of the sorted values: no value between two is made up."""
-    s = F.array_sort(F.collect_list(c))
-    return F.element_at(s, (F.floor(F.lit(p) * (F.size(s) - 1)) + 1).cast("int"))
+def at_share(df: DataFrame, by: list[str], c: str, p: float, name: str) -> DataFrame:
+    """The value at floor(p * (n - 1)) of a group's sorted values."""
+    return at_place(df, by, c, F.floor(F.lit(p) * (F.col("n_") - 1)), name)
 
 
-def upper_median(c: str) -> Column:
-    s = F.array_sort(F.collect_list(c))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(df: DataFrame, by: list[str], c: str, name: str) -> DataFrame:
+    """The value at floor(n / 2) of a group's sorted values."""
+    return at_place(df, by, c, F.floor(F.col("n_") / 2), name)
 
 
 def keep_flagged_stride(df: DataFrame, key: str, order: str, flag: str, most: int) -> DataFrame:

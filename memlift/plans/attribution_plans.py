@@ -290,7 +290,7 @@ def agg22_with_without(spark, sf_dir):
 
 @query("select event_type, list_sort(list(value))[(count(*) // 2)::bigint + 1] as median from events group by event_type")
 def agg23_upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(S.upper_median("value").alias("median"))
+    return S.upper_median(table(spark, sf_dir, "events"), ["event_type"], "value", "median")
 
 
 @query("select conv_id, role, string_agg(turn::varchar, ',' order by turn) as members from conversations group by conv_id, role")

@@ -161,9 +161,8 @@ def fn22_tolerant_facts(spark, sf_dir):
 
 @query("select source, list_sort(list(n_chars))[floor(0.9 * (count(*) - 1))::bigint + 1] as p90 from documents group by source")
 def udaf1_percentile_by_index(spark, sf_dir):
-    from memlift.operators.sampling import pick_share
+    from memlift.operators.sampling import at_share
 
-    return table(spark, sf_dir, "documents").groupBy("source").agg(pick_share("n_chars", 0.9).alias("p90"))
+    return at_share(table(spark, sf_dir, "documents"), ["source"], "n_chars", 0.9, "p90")
 
 
-_ = (BASE, sql)
