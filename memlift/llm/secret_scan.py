@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import arrow_map, sample_about
+from memlift.llm.common import arrow_map, stage, unstage
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -31,6 +31,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9_-]{7,}")
 #: Fitting looks at no more than about so many documents with, and without, a span of a fixed kind.
 SAMPLE_WITH, SAMPLE_WITHOUT = 1500, 1500
+#: Of the identifiers in that sample, so many with the smallest hashes are learnt from.
+MOST_IDENTIFIERS = 200_000
 ALPHABET = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")}
 WIDTH = len(ALPHABET) + 1
 
@@ -89,22 +91,29 @@ def train(random_strings: list[str], identifiers: list[str], most_wrong: float =
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Markov:
-    """The labelled samples: values of the fixed kinds are random strings; long words of documents without any are identifiers."""
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    """The labelled samples: values of the fixed kinds are random strings; long words of documents without any are identifiers.
+
+    One pass marks the documents that have a fixed kind's beginning; samples of both kinds are drawn by the hash of id and
+    text, and words by their own hash, so the model doesn't depend on the order or the layout of the rows."""
+    d = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("h"), docs[text_col].alias("text"))
     has = F.coalesce(d["text"].rlike(r"[0-9a-f]{16}|AKIA[A-Z0-9]{14}|(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]"), F.lit(False))
-    flagged = d.withColumn("has", has)
-    rnd, own = [], []
-    for with_span, most in ((True, SAMPLE_WITH), (False, SAMPLE_WITHOUT)):
-        part = sample_about(flagged.where(F.col("has") == with_span).select("id", "text"), most, F.col("id"))
-        for (text,) in part.select("text").collect():
-            text = text or ""
-            for start, kind, end in base_spans(text):
-                value = text[start:end]
-                rnd.append(ASSIGN.fullmatch(value)[2] if kind == 0 else value)
-            if not with_span:
-                own += IDENTIFIER.findall(text)
+    marks = stage(d.select("h", has.alias("has")), "marks")
+    n = {r["has"]: r["count"] for r in marks.groupBy("has").count().collect()}
+    share = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rate = F.when(F.col("has"), F.lit(SAMPLE_WITH / max(1, n.get(True, 0)))).otherwise(F.lit(SAMPLE_WITHOUT / max(1, n.get(False, 0))))
+    picked = marks.where(share < rate).distinct()  # about SAMPLE_WITH and SAMPLE_WITHOUT rows: a known bound
+    rows = d.join(F.broadcast(picked), "h").select("h", "has", "text").distinct().collect()
+    unstage(marks)
+    rnd, own = set(), set()
+    for r in rows:
+        text = r["text"] or ""
+        for start, kind, end in base_spans(text):
+            value = text[start:end]
+            rnd.add(ASSIGN.fullmatch(value)[2] if kind == 0 else value)
+        if not r["has"]:
+            own.update(IDENTIFIER.findall(text))
     # digits only, as in card numbers, say nothing about keys
-    return train([w for w in rnd if not w.isdigit()], own[:: len(own) // 200_000 + 1])
+    return train([w for w in rnd if not w.isdigit()], sorted(own, key=lambda w: (hashlib.md5(w.encode()).digest(), w))[:MOST_IDENTIFIERS])
 
 
 def all_spans(text: str, model: Markov) -> list[tuple[int, int, int]]:

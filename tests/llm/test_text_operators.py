@@ -206,6 +206,23 @@ class TestSecrets:
         kinds = [k for _, k, _ in secret_scan.all_spans(text, model)]
         assert kinds[0] == 3 and {0, 2} <= set(kinds)
 
+    def test_model_does_not_depend_on_the_layout(self, spark):
+        d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+        one, two = secret_scan.fit(d), secret_scan.fit(d.repartition(7, "text").sortWithinPartitions("text"))
+        assert one.threshold == two.threshold and (one.ratio == two.ratio).all()
+
+    def test_markov_recall_on_planted_keys(self, spark):
+        rng = random.Random(3)
+        chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+        d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+        keys = {r["doc_id"]: "".join(rng.choice(chars) for _ in range(40)) for r in d.select("doc_id").collect()}
+        planted = spark.createDataFrame(list(keys.items()), "doc_id long, planted string").join(d, "doc_id").selectExpr("doc_id", "concat('a value ', planted, ' here. ', text) as text")
+        got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(planted, secret_scan.fit(d)).collect()}
+        assert sum("markov:8:48" in s for s in got.values()) >= 0.9 * len(keys)
+
+    def test_empty_table(self, spark):
+        assert secret_scan.scan(docs(spark, [])).count() == 0
+
     def test_fit_on_the_table(self, spark, sf_dir):
         d = spark.read.parquet(f"{sf_dir}/documents.parquet")
         r = secret_scan.scan(d).selectExpr("sum(n_markov) as m", "count(*) as n").first()
