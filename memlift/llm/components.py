@@ -101,18 +101,23 @@ def _able(rows: DataFrame, met: Callable[[Column], Column] | None, label: str) -
 
 
 def shared_postings(postings: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """key, id, n, lo, hi (smallest and largest id of the key) of the keys that several ids have. Postings of keys known to
-    be common (hot) are counted before they are shuffled and joined with the counts, so that a hot key can be split."""
+    """key, id, n, lo, hi (the two leaders of the key: its smallest id, by rank where there is one, and its largest) of the keys
+    that several ids have. Postings of keys known to be common (hot) are counted before they are shuffled and joined with
+    the counts, so that a hot key can be split."""
+
+    first = F.struct("rank", "id") if "rank" in postings.columns else F.struct("id")
     per = Window.partitionBy("key")
-    out = postings.select("key", "id", "n", F.min("id").over(per).alias("lo"), F.max("id").over(per).alias("hi")).where("lo < hi")
+    lo = F.min(first).over(per)["id"]
+    more = F.min("id").over(per) < F.max("id").over(per)
+    out = postings.select("key", "id", "n", lo.alias("lo"), F.max("id").over(per).alias("hi"), more.alias("more")).where("more").drop("more")
     if hot is not None:
-        ends = hot.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+        ends = hot.groupBy("key").agg(F.min(first)["id"].alias("lo"), F.max("id").alias("hi"), (F.min("id") < F.max("id")).alias("more")).where("more").drop("more")
         out = out.unionByName(hot.join(ends.hint("merge"), "key").select("key", "id", "n", "lo", "hi"))
     return out
 
 
 def linked_groups(postings: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, met: Callable[[Column], Column] | None = None, hot: DataFrame | None = None) -> DataFrame:
-    """postings, hot: key, id, n (size of the id's set), each (key, id) once. load_sets: from a table of ids to (id, members).
+    """postings, hot: key, id, n (size of the id's set) and, if wanted, rank (smallest: first leader), each (key, id) once. load_sets: from a table of ids to (id, members).
     A similar pair shares at least met(n of the smaller) keys (one, where met is None). Returns (id, component) of linked ids."""
     spark = postings.sparkSession
     found = stage(shared_postings(postings, hot), "shared_postings")

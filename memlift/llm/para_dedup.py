@@ -263,10 +263,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     # the first hash stands for the class; the chance that two classes share it is that of any two of them, over 2^64
-    kept = find_paragraphs(own).groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    kept = find_paragraphs(own).groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     kept = stage(kept, "classes")
     release(spark)
-    postings = kept.select(F.explode("bands").alias("key"), F.col("k1").alias("id"), "n")
+    # what most documents hold leads: edited copies are nearer to it than to one another
+    postings = kept.select(F.explode("bands").alias("key"), F.col("k1").alias("id"), "n", (-F.col("copies")).alias("rank"))
 
     def load_sets(ids: DataFrame) -> DataFrame:
         wanted = kept.select(F.col("k1").alias("id"), F.col("lo").alias("doc")).join(sized(ids), "id")
