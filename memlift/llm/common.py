@@ -80,8 +80,9 @@ def arrow_rows(spark: SparkSession, most: int):
         spark.conf.set(key, before)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow with columns as Python lists. make() is called once in a task and returns what turns a batch into a batch."""
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, rows: int = 2000) -> DataFrame:
+    """mapInArrow with columns as Python lists. make() is called once in a task and returns what turns a batch, of so many
+    rows at most, into a batch."""
     ship(df.sparkSession)
     target = arrow_schema(df.sparkSession, schema)
 
@@ -89,8 +90,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
         step = make()
         for batch in batches:
             # pieces of bounded size, so that a batch of long texts stays small in memory
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 out = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 

@@ -39,7 +39,7 @@ from memlift.llm.common import arrow_map
 SPACE = "▁"
 N_BEST = 4
 #: At most twice so many words, and so many parts, keep their segmentations in a Python worker.
-CACHE, PARTS = 180_000, 20_000
+CACHE, PARTS = 90_000, 20_000
 #: Words of up to so many characters are solved together; parts of longer ones by themselves.
 TOGETHER = 48
 #: Texts whose new words are solved together.
@@ -416,9 +416,7 @@ def encode_documents(docs: DataFrame, path: str, n_best: int = N_BEST, id_col: s
                     out["n_best_pieces"].append([rest + sum(len(x[j][1]) for x, j in zip(lists, chosen)) for _, chosen in picked])
                     out["decoded"].append(all(map(itemgetter(5), words)))
                     if with_ids:
-                        own = array("i")
-                        own.frombytes(raw)
-                        out["ids"].append(own.tolist())
+                        out["ids"].append(np.frombuffer(raw, np.int32))
             return out | {"id": batch["id"]} | {f"carry_{c}": batch[f"carry_{c}"] for c in carry}
 
         return step
@@ -427,4 +425,4 @@ def encode_documents(docs: DataFrame, path: str, n_best: int = N_BEST, id_col: s
     kept = "".join(f"carry_{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
     schema = f"id {kind}, {kept}n_pieces long, ids_sha256 string, best_pieces long, best_sha256 string, best_score double, n_best_scores array<double>, n_best_pieces array<int>, decoded boolean" + (", ids array<int>" if with_ids else "")
     taken = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"carry_{c}") for c in carry))
-    return arrow_map(taken, make, schema).withColumnsRenamed({"id": id_col} | {f"carry_{c}": c for c in carry})
+    return arrow_map(taken, make, schema, 500).withColumnsRenamed({"id": id_col} | {f"carry_{c}": c for c in carry})

@@ -1,12 +1,14 @@
 """Toxicity by compression distance: windows of a text against two zstandard dictionaries.
 
-One dictionary is trained on ordinary text. The other is trained on toxic text and then stands in front of the ordinary
-content, so that ordinary windows compress alike with both and a window gets shorter only by toxic matches. To keep
-frequent ordinary strings from crowding them out, the toxic samples are what the toxic texts have and the ordinary ones
-lack: words in at least a few different contexts. (A copy repeats its context, so copies don't count twice.) Each window of
+One dictionary is trained on windows of ordinary text. The other is trained on what stands out in toxic text and then stands in
+front of the ordinary content, so that ordinary windows compress alike with both and a window gets shorter only by toxic matches.
+Most of a toxic text is ordinary, so its samples are cut down to the words that toxic texts use STANDS_OUT times as often as
+ordinary ones, in several contexts (a copy repeats its context, so copies don't count twice), as often as they occur there; a
+wrong label more or less changes a frequency a little and nothing else. Each window of
 six words gets a gain: its compressed length with the ordinary dictionary less that with the toxic one. How many windows
-pass each of a row of gain thresholds, and the largest gain, are calibrated to a probability by logistic regression on
-labelled training rows.
+pass each of a row of gain thresholds, and the largest gain, are calibrated to a probability by logistic regression. Its rows
+are never scored by dictionaries that have seen them: two pairs of dictionaries, each made from half of the rows, score
+the other half; the pair in use is then made from all.
 
 Nulls and empty texts have one empty window. Very long texts are read whole. Ties, repeated rows and further columns don't
 matter: each row is scored by itself. Without labelled rows of both classes each score is 0. An empty table gives an
@@ -15,6 +17,7 @@ empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,10 @@ from memlift.llm.common import arrow_map, sample_about, utf8
 
 #: Fitting looks at no more than about so many labelled documents of each class, whole.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 2500, 7500
+#: Of the ordinary ones so many whole texts, and of each class so many windows, go into its dictionary.
+MOST_TEXTS, MOST_WINDOWS = 1500, 100_000
+#: How much more often toxic texts use a word that stands out.
+STANDS_OUT = 25
 WINDOW = 6
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 8_192
 THRESHOLDS = (2, 3, 4, 5, 6, 7, 8)
@@ -83,39 +90,51 @@ def features(gains: list[int]) -> np.ndarray:
     return np.array([1.0, min(int(g.max()), 12), *(np.log1p((g >= t).sum()) for t in THRESHOLDS), np.log(len(g))])
 
 
+def standing_out(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The words that stand out in the toxic texts, once for each context."""
+    contexts: dict[bytes, set[tuple[bytes, bytes]]] = {}
+    usual: Counter[bytes] = Counter()
+    for t in ordinary:
+        usual.update({w.strip(EDGE) for w in words_of(t)})
+    for t in toxic:
+        ws = words_of(t)
+        for before, w, after in zip([b"", *ws], ws, [*ws[1:], b""]):
+            w = w.strip(EDGE)
+            if len(w) > 2:
+                contexts.setdefault(w, set()).add((before, after))
+    least, share = max(3, 0.005 * len(toxic)), len(toxic) / max(1, len(ordinary))
+    return [w for w in sorted(contexts) if len(contexts[w]) >= least and len(contexts[w]) >= STANDS_OUT * share * (usual[w] + 0.5) for _ in contexts[w]]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str], rng: np.random.Generator) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary; the toxic one is empty where nothing stands out."""
+    samples = sorted({w for t in ordinary[:MOST_TEXTS] for w in windows(words_of(t))})
+    found = standing_out(toxic, ordinary)
+    found = [found[i] for i in rng.permutation(len(found))]
+    found = [b" " + b" ".join(found[i : i + 4]) + b" " for i in range(0, len(found), 4)]
+    pick = lambda x: [x[i] for i in rng.permutation(len(x))[:MOST_WINDOWS]]
+    return train_dictionary(pick(samples), ORDINARY_BYTES), train_dictionary(pick(found), TOXIC_BYTES) if found else b""
+
+
 def train(rows: list[tuple[str | None, int]], seed: int = 7) -> ToxicModel:
-    """From (text, toxic 0 or 1). Dictionaries come from half of the ordinary texts; both halves calibrate."""
+    """From (text, toxic 0 or 1). The weights come from two pairs of dictionaries, each made from half of the texts and tried
+    on the other half; the model's own pair is then made from all."""
     rng = np.random.default_rng(seed)
     texts = {label: list(dict.fromkeys(t or "" for t, y in rows if y == label)) for label in (0, 1)}
     if not texts[0] or not texts[1]:
         return ToxicModel()
-    known: set[bytes] = set()
-    for t in texts[0]:
-        known.update(w.strip(EDGE) for w in words_of(t))
-    half = texts[0][: max(1, min(1500, len(texts[0]) // 2))]
-    samples = list(dict.fromkeys(w for t in half for w in windows(words_of(t))))
-    ordinary = train_dictionary([samples[i] for i in rng.permutation(len(samples))[:100_000]], ORDINARY_BYTES)
-    contexts: dict[bytes, set[tuple[bytes, bytes]]] = {}
-    for t in texts[1]:
-        ws = [w.strip(EDGE) for w in words_of(t)]
-        for before, w, after in zip([b"", *ws], ws, [*ws[1:], b""]):
-            if len(w) > 2 and w not in known:
-                contexts.setdefault(w, set()).add((before, after))
-    least = max(3, 0.005 * len(texts[1]))
-    fresh = [w for w in sorted(contexts) if len(contexts[w]) >= least for _ in contexts[w]]
-    if not fresh:
-        return ToxicModel()
-    fresh = [fresh[i] for i in rng.permutation(len(fresh))]
-    toxic = train_dictionary([b" " + b" ".join(fresh[i : i + 4]) + b" " for i in range(0, len(fresh), 4)], TOXIC_BYTES)
-    model = ToxicModel(ordinary, toxic)
-    plain, both = compressor(ordinary).compress, compressor(toxic + ordinary).compress
+    mixed = {y: [t[i] for i in rng.permutation(len(t))] for y, t in texts.items()}
     x, y = [], []
-    for label in (0, 1):
-        for t in texts[label]:
-            x.append(features([len(plain(w)) - len(both(w)) for w in windows(words_of(t))]))
-            y.append(label)
-    model.weights = logistic(np.array(x), np.array(y, float))
-    return model
+    for turn in (0, 1):
+        seen, unseen = ({y: t[at::2] or t for y, t in mixed.items()} for at in (turn, 1 - turn))  # a single text does for both
+        ordinary, toxic = dictionaries(seen[1], seen[0], rng)
+        plain, both = compressor(ordinary).compress, compressor(toxic + ordinary).compress
+        for label in (0, 1):
+            for t in unseen[label]:
+                x.append(features([len(plain(w)) - len(both(w)) for w in windows(words_of(t))]))
+                y.append(label)
+    ordinary, toxic = dictionaries(mixed[1], mixed[0], rng)
+    return ToxicModel(ordinary, toxic, logistic(np.array(x), np.array(y, float))) if toxic else ToxicModel()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
