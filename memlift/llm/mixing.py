@@ -5,7 +5,8 @@ documents; no target is above three times its source's words, and what is over g
 is one level for the ratio of target to weight at which the targets use up all words.
 
 Whole copies: with ratio = target / source words, each document is taken floor(ratio) times for certain. The rest of the
-target is a fixed-size sample with unequal probabilities: a document's inclusion probability is in proportion to its words,
+target is a fixed-size sample with unequal probabilities: a document's inclusion probability is in proportion to its words
+(documents so large that it would reach 1 are certain, and the others share what these leave),
 its rank is random odds divided by inclusion odds, and documents are taken in order of rank until the words are there.
 Random numbers come from the hash of the document's id, so reruns agree.
 
@@ -52,6 +53,19 @@ def targets(sizes: DataFrame, total: DataFrame) -> DataFrame:
     return w.select("source", "source_size", F.least(capped, F.coalesce(F.col("final") * F.col("w"), capped)).alias("target"))
 
 
+def _shares(d: DataFrame, goal: DataFrame) -> DataFrame:
+    """source, rate, certain_above: a document of a source is in its sample with probability rate * size, and for certain where
+    its size is above certain_above, so that the expected words are the rest of the target. From counts by source and size."""
+    sizes = d.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    words, squares = F.col("size") * F.col("n"), F.col("size").cast("double") * F.col("size") * F.col("n")
+    x = sizes.withColumn("above", F.coalesce(F.sum(words).over(by), F.lit(0))).withColumn("left", F.sum(squares).over(Window.partitionBy("source")) - F.coalesce(F.sum(squares).over(by), F.lit(0.0)))
+    g = goal.select(F.col("source").alias("own"), "rest")
+    x = x.join(g.hint("merge"), F.col("source").eqNullSafe(F.col("own"))).withColumn("rate", (F.col("rest") - F.col("above")) / F.col("left"))
+    # the largest size that isn't certain when all above it are
+    return x.where(F.col("rate") * F.col("size") < 1).groupBy("source").agg(F.max_by("rate", "size").alias("rate"), F.max("size").alias("certain_above"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a document: its id, size, source_size, target (of its source), copies, taken (size times copies), source.
     Rows with one id, source and size have the same copies."""
@@ -64,14 +78,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = goal.alias("g").join(sums.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))).select("g.*", "s.squares")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = stage(goal, "targets").withColumnRenamed("source", "own")
+    goal = stage(goal, "targets")
+    share = stage(_shares(d, goal), "shares")
+    goal = goal.alias("g").join(share.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")), "left").select("g.*", "s.rate", "s.certain_above")
+    goal = stage(goal, "rates").withColumnRenamed("source", "own")
     # one row a source; the table is sent whole only where it is small, else both sides are dealt by source
     hint = "broadcast" if goal.count() <= 10_000 else "merge"
     r = d.join(goal.hint(hint), F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
-    p = F.least(F.lit(0.999), F.when(F.col("squares") > 0, F.col("rest") * F.col("size") / F.col("squares")).otherwise(0.0))
+    p = F.when(F.col("rest") <= 0, 0.0).when(F.col("size") > F.col("certain_above"), 1.0).otherwise(F.coalesce(F.col("rate") * F.col("size"), F.lit(0.0)))
     odds, inclusion = F.col("u") / (1 - F.col("u")), p / (1 - p)
-    # the rank on a scale from 0 to 1; no inclusion odds come last
-    r = r.withColumn("rank", F.when(p > 0, odds / (odds + inclusion)).otherwise(1.0)).withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int"))
+    # the rank on a scale from 0 to 1; what is certain comes first, no inclusion odds last
+    r = r.withColumn("rank", F.when(p >= 1, 0.0).when(p > 0, odds / (odds + inclusion)).otherwise(1.0)).withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int"))
     r = r.withColumn("room", F.col("rest"))
     bins = r.where("rank < 1").groupBy("source", "bin", "rest").agg(F.sum("size").alias("words"))
     bins = bins.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -56,6 +56,31 @@ class TestMixing:
     def test_empty_table(self, spark):
         assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
+    def test_inclusion_follows_size_over_many_draws(self, spark):
+        sizes = {i: (400, 60, 60, 20)[i % 4] for i in range(24)}
+        taken, runs = Counter(), 6
+        for seed in range(runs):  # other ids are other draws
+            rows = [(1000 * seed + i, "w " * n, "a") for i, n in sizes.items()] + [(1000 * seed + 500 + i, "w " * 300, "b") for i in range(6)]
+            for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+                if r["doc_id"] % 1000 < 500:
+                    taken[sizes[r["doc_id"] % 1000]] += r["copies"]
+        words, rest = sum(sizes.values()), (sum(sizes.values()) + 1800) / 3
+        assert rest < words
+        square = sum(n * n for n in sizes.values())
+        for n, count in ((400, 6), (60, 12), (20, 6)):
+            want = runs * count * min(1, rest * n / square)
+            assert abs(taken[n] - want) <= 4 * (want + 4) ** 0.5, (n, taken[n], want)
+
+    def test_very_large_documents_are_certain(self, spark):
+        rows = [(i, "w " * (20 if i else 900), "b") for i in range(40)] + [(100 + i, "w " * 50, "a") for i in range(10)]
+        got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert got[0]["copies"] == 1 and sum(r["taken"] for i, r in got.items() if i < 100) == pytest.approx(got[0]["target"], abs=20)
+
+    def test_repeated_and_null_ids(self, spark):
+        rows = [(None, "a b c", "x"), (None, "a b c", "x"), (5, "d e", "x"), (5, "f g", "y"), (5, "d e", "x")]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert len(got) == 5 and len({(r["doc_id"], r["source"], r["size"], r["copies"]) for r in got}) == 3
+
     def test_larger_documents_are_likelier(self, spark):
         rows = [(i, "w " * (5 if i % 2 else 50), "a") for i in range(800)] + [(1000 + i, "w " * 50, "b") for i in range(400)]
         got = {r[0]: r[4] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
