@@ -1,7 +1,7 @@
 """Line-first cleaning: rules on each line, then a verdict on the document by what the lines lost.
 
-A line fails when it is a row of menu entries, is mostly symbols or shouting, repeats one word, or is a short notice of
-the licence or copyright kind. A document is kept when it has enough words that are not repetition and its lines kept
+A line fails when it is a row of menu entries, is mostly symbols or shouting, is long and has no mark at all, repeats one word, or is a notice of
+the licence or copyright kind: by its phrases, or, where its words are ordinary ones, by its place at the text's start or end. A document is kept when it has enough words that are not repetition and its lines kept
 at least half of its words.
 
 A null text counts as empty: no words, base_failed, not kept. Very long texts are read whole. Ties, repeated rows and
@@ -21,21 +21,27 @@ from memlift.llm.common import arrow_map, utf8
 SYMBOLS = b"#*$%&|<>"
 #: A document may lose at most this share of its words.
 MOST_LOST = 0.5
-#: Short notices; such a line of at most 25 words is boilerplate.
+#: Phrases of notices; a line of at most 25 words with one is boilerplate.
 NOTICE = re.compile(
-    rb"all rights reserved|licensed under|released under|\blicen[sc]e\b|copyright|\(c\) |\xc2\xa9|cookie|privacy policy"
-    rb"|terms of (use|service)|subscribe|sign up|log in|click here|read more|share this|newsletter|javascript"
+    rb"all rights reserved|licensed under|released under|copyright (?:\(c\)|\xc2\xa9|(?:19|20)\d\d)|\(c\) (?:19|20)\d\d|\xc2\xa9"
+    rb"|privacy policy|terms of (?:use|service)|cookie (?:policy|settings|notice)|accept (?:all )?cookies|javascript (?:is|must|to)"
 )
+#: Words that notices use and ordinary text as well: such a line is boilerplate where it has two of them, or is short and among
+#: the first or last EDGE_LINES lines of the text.
+WEAK = re.compile(rb"\blicen[sc]e\b|\bcopyright\b|\bcookies?\b|\bsubscribe\b|\bsign up\b|\blog ?in\b|\bclick here\b|\bread more\b|\bshare this\b|\bnewsletter\b|\bjavascript\b")
+SHORT_NOTICE, EDGE_LINES = 12, 2
+#: Marks that some sentence of a long line ends or is cut by.
+MARKS = re.compile(rb"[.,;:!?]|\xe2\x80\xa6|\xe3\x80\x82|\xef\xbc\x8c")
 ENDS = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", "…".encode(), "”".encode(), "»".encode())
 
 
-def line_fails(line: bytes, words: list[bytes]) -> str:
-    """The first rule that a line with words fails, or an empty string."""
+def line_fails(line: bytes, words: list[bytes], at_edge: bool = True) -> str:
+    """The first rule that a line with words fails, or an empty string. at_edge: among the first or last lines of its text."""
     n = len(words)
     low = line.lower()
     if sum(line.count(s) for s in (b"|", "»".encode(), "›".encode(), "·".encode())) * 5 >= n >= 2 and (b"|" in line or b"\xc2\xbb" in line or b"\xe2\x80\xba" in line or b"\xc2\xb7" in line):
         return "navigation"
-    if n <= 25 and NOTICE.search(low):
+    if n <= 25 and (NOTICE.search(low) or (weak := set(WEAK.findall(low))) and (len(weak) > 1 or at_edge and n <= SHORT_NOTICE)):
         return "boilerplate"
     if sum(line.count(bytes([s])) for s in SYMBOLS) * 2 >= n:
         return "symbols"
@@ -43,6 +49,8 @@ def line_fails(line: bytes, words: list[bytes]) -> str:
         return "punctuation"
     if n >= 5 and line.isascii() and line.upper() == line and line.lower() != line:
         return "punctuation"
+    if n >= 30 and not MARKS.search(line):
+        return "punctuation"
     if n >= 8:
         most = Counter(words).most_common(1)[0][1]
         if sum(a == b for a, b in zip(words, words[1:])) * 3 >= n or most * 2 >= n:
@@ -52,6 +60,15 @@ def line_fails(line: bytes, words: list[bytes]) -> str:
     return ""
 
 
+def lines_of(raw: bytes):
+    """(line, words, whether it is among the first or last lines with words) of each line."""
+    lines = [(x, x.split()) for x in raw.split(b"\n")]
+    full = [i for i, (_, own) in enumerate(lines) if own]
+    edge = {*full[:EDGE_LINES], *full[-EDGE_LINES:]}
+    for i, (line, own) in enumerate(lines):
+        yield line, own, i in edge
+
+
 def repeated_words(words: list[bytes]) -> int:
     """How many words lie in a window of three words that the text holds twice or more."""
     n = len(words)
@@ -87,14 +104,13 @@ def judge(text: str | None) -> tuple:
     chars = len(joined) - len(joined.translate(None, bytes(range(0x80)) + bytes(range(0xC0, 0x100))))
     symbols = len(joined) - len(joined.translate(None, SYMBOLS))
     seen, dups, gone_lines, gone = set(), 0, 0, 0
-    for line in raw.split(b"\n"):
-        own = line.split()
+    for line, own, at_edge in lines_of(raw):
         if not own:
             continue
         if line in seen:
             dups += 1
         seen.add(line)
-        if line_fails(line, own):
+        if line_fails(line, own, at_edge):
             gone_lines, gone = gone_lines + 1, gone + len(own)
     n, rep = len(words), repeated_words(words)
     failed = n < 50 or 100 * rep > 50 * n
@@ -106,8 +122,7 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def clean_text(text: str | None) -> str:
     """The text without the lines that fail."""
-    lines = utf8(text).split(b"\n")
-    return b"\n".join(x for x in lines if not (own := x.split()) or not line_fails(x, own)).decode("utf-8", "surrogatepass")
+    return b"\n".join(x for x, own, at_edge in lines_of(utf8(text)) if not own or not line_fails(x, own, at_edge)).decode("utf-8", "surrogatepass")
 
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

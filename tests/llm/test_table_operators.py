@@ -186,6 +186,40 @@ class TestParagraphs:
         got = para_dedup.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted((r["doc_id"], r["first_doc_id"], r["removed"]) for r in got) == [(-(10**15), -(10**15), False), (10**13, -(10**15), True)]
 
+    def test_against_all_pairs_of_paragraphs(self, spark):
+        """Verdicts of whole paragraphs against comparing all pairs by exact Jaccard, one line a document."""
+        rng = random.Random(14)
+        texts = []
+        for _ in range(12):
+            base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((6, 9, 20, 60)))]
+            for _ in range(8):
+                w = list(base)
+                for _ in range(rng.choice((0, 0, 1, 2))):
+                    w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+                texts.append(" ".join(w))
+        rng.shuffle(texts)
+        sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+        up = list(range(len(texts)))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a in range(len(texts)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = top(a), top(b)
+                    up[max(x, y)] = min(x, y)
+        size = Counter(top(i) for i in range(len(texts)))
+        want = {i: (top(i), top(i) != i) for i in range(len(texts)) if size[top(i)] > 1}
+        got = {}
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for r in para_dedup.repeated(d).where("not unit").collect():
+            got[r["id"]] = (r["first_doc"], r["first_doc"] != r["id"])
+        assert got == want
+
     def line(self, rng, n, every=12):
         return " ".join(f"w{rng.randrange(5000)}" + ("." if k % every == every - 1 else "") for k in range(n))
 

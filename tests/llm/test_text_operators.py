@@ -156,6 +156,18 @@ class TestQuality:
         assert fails("An ordinary sentence, with a few words in it.") == ""
         assert quality_rules.clean_text("Good line of text here.\nHome | About | Help\n\nEnd of it all.") == "Good line of text here.\n\nEnd of it all."
 
+    def test_ordinary_words_of_notices_stay(self):
+        text = "\n".join(f"My driving license number {i} came after a long test, on a day in the city." for i in range(12))
+        assert quality_rules.judge(text)[-3:-1] == (0, 0) and quality_rules.clean_text(text) == text
+        inner = "\n".join(["A first line that is fine.", "And a second one.", "We renewed the license.", "A line near the end.", "The last line of all."])
+        assert quality_rules.clean_text(inner) == inner
+        assert "license" not in quality_rules.clean_text("See the license file.\n" + inner.replace("license", "thing"))
+        assert quality_rules.line_fails(b"word " * 40, [b"word"] * 40) == "punctuation"
+
+    def test_empty_table_and_very_long_text(self, spark):
+        assert quality_rules.judge_documents(docs(spark, [])).count() == 0
+        assert quality_rules.judge("An ordinary line of some words here.\n" * 30_000)[0] == 210_000
+
     def test_labels(self, spark, sf_dir):
         d = spark.read.parquet(f"{sf_dir}/documents.parquet")
         q = quality_rules.judge_documents(d).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
@@ -329,6 +341,22 @@ class TestToxicity:
         secret_scan.fit(d)
         assert "blorghsnarkfistdunglepot" in seen
 
+    def test_held_out_rows_of_the_table(self, spark):
+        d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+        got = toxicity.score(d.join(y.select("doc_id"), "doc_id", "left_semi"), toxicity.fit(d, y)).where("held_out").join(y, "doc_id").select("score", "predicted", "toxic").collect()
+        toxic, clean = ([r for r in got if r["toxic"] == k] for k in (1, 0))
+        assert sum(r["predicted"] for r in toxic) >= 0.6 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.03 * len(clean)
+
+    def test_wrong_labels_do_not_undo_it(self):
+        rows = self.rows(1500, 1)
+        flipped = [(t, 0 if i % 60 == 0 else y) for i, (t, y) in enumerate(rows)]  # a twelfth of the toxic texts
+        score = toxicity.train(flipped).scorer()
+        got = [(score(t) >= 0.5, y) for t, y in self.rows(400, 2)]
+        assert sum(a and y for a, y in got) >= 0.6 * sum(y for _, y in got)
+
+    def test_empty_table(self, spark):
+        assert toxicity.score(docs(spark, []), toxicity.train(self.rows(200, 3))).count() == 0
+
     def test_no_labels_and_odd_texts(self, spark):
         empty = spark.createDataFrame([], "doc_id long, toxic int")
         d = docs(spark, ODD)
