@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 # The words that retrieval and the contradiction checks leave out.
 STOP = (
-    "the a an of to in on at is are was were and or for with as it its this that i you my your me we they them he she his her their our from by be been being have has had do does did does not no yes will would can could should if then so out up about into over than"
+    "the a an of to in on at is are was were and or for with as it its this that i you my your me we they them he she his her their our from by be been being have has had do does did not no yes will would can could should if then so out up about into over than"
 ).split()
 QUERY_STOP = "a an and are before can did does for from have how i in is it me my of on or the this to what when where which with".split()
 CONTRADICTION_STOP = (
@@ -16,10 +16,6 @@ CONTRADICTION_STOP = (
 ).split()
 
 
-def words_array(values) -> Column:
-    return F.array(*(F.lit(v) for v in dict.fromkeys(values)))
-
-
 def tokens(s: Column, stop=STOP) -> Column:
     """Lower-cased runs of letters and digits longer than two, without stop-words; in order, repeats kept."""
     parts = F.split(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9 ]", " "), " +")
@@ -57,7 +53,7 @@ def strict_contradiction(a: Column, b: Column) -> Column:
 def loose_contradiction(a: Column, b: Column) -> Column:
     """Alike (0.3 or more), or with first numbers that differ."""
     na, nb = F.regexp_replace(first_number(a), ",", ""), F.regexp_replace(first_number(b), ",", "")
-    differ = (na != "") & (nb != "") & (F.expr("1") == 1) & (na.try_cast("decimal(38,0)") != nb.try_cast("decimal(38,0)"))
+    differ = (na != "") & (nb != "") & (na.try_cast("decimal(38,0)") != nb.try_cast("decimal(38,0)"))
     return (jaccard(tokens(a, CONTRADICTION_STOP), tokens(b, CONTRADICTION_STOP)) >= 0.3) | F.coalesce(differ, F.lit(False))
 
 

@@ -142,7 +142,7 @@ def replicated(spark, sf_dir):
     return v.withColumn("hit", (F.col("outcome") == "completed") & ((F.col("replicate") == 0) | (F.col("seg_id") % 3 != 0)))
 
 
-@query(sql("").replace(" where tier", " where tier").rstrip() + ", " + _REPS + " select * from means")
+@query(sql("").rstrip() + ", " + _REPS + " select * from means")
 def agg4_replicate_means(spark, sf_dir):
     return S.cluster_means(replicated(spark, sf_dir))
 

@@ -88,12 +88,12 @@ def fn5_normal_exact_leak(spark, sf_dir):
 @query(
     r"""select conv_id, turn, len(hits) as n_hits, array_to_string(hits, '|') as hits from (
   select conv_id, turn, list_filter(p, lambda v: v <> '' and (contains(lower(b), lower(v)) or (length(regexp_replace(lower(v), '[\s\p{P}\p{S}]+', '', 'g')) >= 8 and contains(regexp_replace(lower(b), '[\s\p{P}\p{S}]+', '', 'g'), regexp_replace(lower(v), '[\s\p{P}\p{S}]+', '', 'g'))))) as hits
-  from (select conv_id, turn, b, list_slice(string_split(a, ' '), 1, 6) as p from """
+  from (select conv_id, turn, b, string_split(a, ' ') as p from """
     + PAIRS
     + """ where b is not null))"""
 )
 def fn6_literal_leak(spark, sf_dir):
-    d = turn_pairs(spark, sf_dir).withColumn("p", F.slice(F.split("a", " "), 1, 6))
+    d = turn_pairs(spark, sf_dir).withColumn("p", F.split("a", " "))
     hits = T.leaked(F.col("b"), F.col("p"))
     return d.select("conv_id", "turn", F.size(hits).cast("long").alias("n_hits"), F.array_join(hits, "|").alias("hits"))
 
@@ -217,14 +217,14 @@ def fn21_transcript(spark, sf_dir):
 
 @query(
     """select conv_id, turn, len(list_filter(g, lambda x: contains(h, x))) > 0 as any_gold, len(list_filter(g, lambda x: contains(h, x))) = len(g) as all_gold
-from (select conv_id, turn, regexp_replace(lower(b), '\\s+', '', 'g') as h, list_transform(list_slice(string_split(a, ' '), 1, 3), lambda x: regexp_replace(lower(x), '\\s+', '', 'g')) as g from """
+from (select conv_id, turn, regexp_replace(lower(b), '\\s+', '', 'g') as h, list_transform(string_split(a, ' '), lambda x: regexp_replace(lower(x), '\\s+', '', 'g')) as g from """
     + PAIRS
     + " where b is not null)"
 )
 def fn23_containment(spark, sf_dir):
     d = turn_pairs(spark, sf_dir)
     bare = lambda x: F.regexp_replace(F.lower(x), r"\s+", "")
-    gold = F.transform(F.slice(F.split("a", " "), 1, 3), bare)
+    gold = F.transform(F.split("a", " "), bare)
     return d.select("conv_id", "turn", bare(F.col("b")).alias("h"), gold.alias("g")).select("conv_id", "turn", F.exists("g", lambda x: F.col("h").contains(x)).alias("any_gold"), F.forall("g", lambda x: F.col("h").contains(x)).alias("all_gold"))
 
 

@@ -124,10 +124,12 @@ def win16_spread_positions(spark, sf_dir):
     return k.where("turn < n").select("conv_id", "turn", F.col("k").cast("long").alias("k"))
 
 
-@query("select n, label, count(*) as seen, max(value) as best from events e, (values (100), (1000), (5000), (10000)) p(n), lateral (select event_type as label) where e.event_id < p.n group by n, label")
+@query("select t // f as n, event_type as label, count(*) as seen, max(value) as best from (select *, row_number() over (order by event_id) as place, count(*) over () as t from events), (values (8), (4), (2), (1)) p(f) where place <= t // f group by all")
 def win17_scaling_curve(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("n", F.explode(F.array(*(F.lit(n) for n in (100, 1000, 5000, 10000))))).where("event_id < n")
-    return e.groupBy("n", F.col("event_type").alias("label")).agg(F.count("*").alias("seen"), F.max("value").alias("best"))
+    """A metric at an eighth, a quarter, a half and all of the events in their order."""
+    e = S.numbered(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id")
+    sizes = e.agg(F.count("*").alias("t")).select("t", F.explode(F.array(*(F.lit(f) for f in (8, 4, 2, 1)))).alias("f")).select(F.floor(F.col("t") / F.col("f")).alias("n"))
+    return e.join(F.broadcast(sizes), F.col("place") < F.col("n")).groupBy("n", F.col("event_type").alias("label")).agg(F.count("*").alias("seen"), F.max("value").alias("best"))  # four rows
 
 
 @query("select user_id, event_id, rank from (select user_id, event_id, row_number() over (partition by user_id order by value desc, event_id) as rank from events where value > 0) where rank <= 8")
