@@ -18,7 +18,19 @@ from memlift.shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in a batch that goes to Python, where the session has Spark's default: texts are long, and a batch stands in memory on
+#: both sides.
+TEXT_ROWS, DEFAULT_ROWS = 1000, "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == DEFAULT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors and gives joins a true size."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/memlift-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -41,7 +41,7 @@ FREQUENT = 400_000
 #: A partner must occur in so many short lists and in a tenth of the set's size (in all that an overlap needs, where that is fewer).
 LEAST_MET = 10
 #: Counts of shingles in a split are taken over so many at a time.
-AT_ONCE = 3_000_000
+AT_ONCE = 1_500_000
 LONGS = pa.list_(pa.int64())
 
 
