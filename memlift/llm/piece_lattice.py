@@ -27,6 +27,7 @@ import hashlib
 import heapq
 import re
 from array import array
+from copy import copy
 from functools import lru_cache
 from operator import itemgetter
 
@@ -117,6 +118,12 @@ class PieceModel:
         # words may be cut before a space only if no piece has one behind another character
         self.word = re.compile(f"{SPACE}.*" if any(SPACE in p.lstrip(SPACE) for p in self.ids) else f"{SPACE}+[^{SPACE}]*", re.S)
 
+    def fresh(self) -> PieceModel:
+        """The same model with its own memory of words, which goes with it."""
+        out = copy(self)
+        out.words, out.older, out.parts, out.several = {}, {}, {}, {}
+        return out
+
     def normal(self, text: str) -> str:
         return (" " + text).replace(" ", SPACE) if text else ""
 
@@ -383,9 +390,9 @@ class PieceModel:
         return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def model_of(path: str, n_best: int) -> PieceModel:
-    """Kept by a Python worker from task to task."""
+    """Kept by a Python worker from task to task; tasks keep words in copies of it."""
     return PieceModel(path, n_best)
 
 
@@ -396,7 +403,7 @@ def encode_documents(docs: DataFrame, path: str, n_best: int = N_BEST, id_col: s
     names = ("n_pieces", "ids_sha256", "best_pieces", "best_sha256", "best_score", "n_best_scores", "n_best_pieces", "decoded", "ids")
 
     def make():
-        model = model_of(path, n_best)
+        model = model_of(path, n_best).fresh()
 
         def step(batch):
             out: dict[str, list] = {n: [] for n in names}
