@@ -129,6 +129,25 @@ class TestEmbeddings:
         assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+    @pytest.mark.parametrize("dim, n", [(64, 10**4), (64, 5 * 10**5), (64, 10**7), (3, 100), (1, 5)])
+    def test_pairs_at_the_limit_share_a_cap(self, dim, n):
+        """Two vectors at a cosine of exactly 0.98, whatever the number of vectors that the code is made for."""
+        rng = np.random.default_rng(1)
+        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        x = unit(rng.standard_normal((150, dim)))
+        z = rng.standard_normal((150, dim))
+        z = unit(z - (z * x).sum(1, keepdims=True) * x)
+        code = embed_dedup.ProductCode(dim, n)
+        a, b = code.decode(x), code.decode(unit(0.98 * x + np.sqrt(1 - 0.98**2) * z))
+        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) >= 0.97
+        assert np.mean([len(p) for p in a]) < 120
+
+    def test_repeated_and_null_ids(self, spark):
+        rows = [(None, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (3, [1.0, 2.0], 0), (3, [1.0, 2.0], 0), (4, [1.0, 2.001], 0), (5, [-1.0, 2.0], 0), (6, [1.0, 2.0], 1)]
+        got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+        assert [g[0] for g in got] == [-1, -1, 3, 3, 4, 5, 6] and got[2] == (3, 2, 3) and got[4] == (4, 2, 3) and got[5][1:] == (0, 5) and got[6][1:] == (0, 6)
+
+
 class TestParagraphs:
     def test_repeats_inside_and_near(self, spark):
         rng = random.Random(8)
