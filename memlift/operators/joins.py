@@ -30,7 +30,7 @@ def nearest_ancestor(rows: DataFrame, path: str, registry: DataFrame, prefix: st
     parts = F.split(path, "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     long = rows.select(key, F.explode(prefixes).alias("p_"))
-    hit = long.join(registry.select(F.col(prefix).alias("p_"), F.col(value).alias("v_")), "p_")
+    hit = long.join(registry.select(F.col(prefix).alias("p_"), F.col(value).alias("v_")).hint("merge"), "p_")
     best = hit.groupBy(key).agg(F.max_by("v_", F.length("p_")).alias("v_"))
     return rows.select(key).join(best, key, "left").select(key, F.coalesce("v_", F.lit(default)).alias(value))
 

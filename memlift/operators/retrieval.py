@@ -40,17 +40,24 @@ def bm25(questions: DataFrame, items: DataFrame, q_grams: Column, i_grams: Colum
     return hit.groupBy("q_id", "item_id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("score"))
 
 
+def grams(s: Column, n: int) -> Column:
+    """All runs of n characters in order, in time that grows with the text: neighbours in the array of characters are put together."""
+    chars = F.split(s, "")
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_compact(out)
+
+
 def trigrams(s: Column) -> Column:
-    low = F.lower(s)
-    return F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return grams(F.lower(s), 3)
 
 
 def contained(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
     """texts x keys where the text contains the key (lower case on both sides). They meet by the key's first three
     characters, of which the text must hold all; shorter keys by what they have. Then containment is tried."""
     start = keys.withColumn("g_", F.substring(key, 1, 3))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n)))
-    rows = texts.withColumn("g_", F.explode(F.array_distinct(F.concat(grams(3), grams(2), grams(1)))))
+    rows = texts.withColumn("g_", F.explode(F.array_distinct(F.concat(*(grams(F.col(text), n) for n in (3, 2, 1))))))
     return rows.hint("merge").join(start, "g_").where(F.col(text).contains(F.col(key))).drop("g_")
 
 

@@ -52,7 +52,7 @@ def served(spark, sf_dir):
     t4, t2 = R.best(score, 8).select("q_id", "item_id"), R.best(score.where("item_id < q_id"), 8).select("q_id", "item_id")
     both = t2.unionByName(t4).distinct()
     hits = t2.withColumn("tier", F.lit("T2")).unionByName(t4.withColumn("tier", F.lit("T4"))).unionByName(both.withColumn("tier", F.lit("T3")))
-    return hits.join(items.select("item_id", "role"), "item_id")
+    return hits.join(items.select("item_id", "role").hint("merge"), "item_id")
 
 
 def verdicts(spark, sf_dir):
@@ -60,7 +60,7 @@ def verdicts(spark, sf_dir):
     s = segments(spark, sf_dir).select(F.col("q_id").alias("seg_id"), "conv_id", "gold_id")
     per = served(spark, sf_dir).groupBy(F.col("q_id").alias("seg_id"), "tier").agg(F.count("*").alias("served_count"), F.count_if(F.col("role") != "assistant").alias("external"), F.collect_set("item_id").alias("ids"))
     cells = s.withColumn("tier", F.explode(F.array(*(F.lit(t) for t in A.TIERS))))
-    tr = cells.join(per, ["seg_id", "tier"], "left").select(
+    tr = cells.join(per.hint("merge"), ["seg_id", "tier"], "left").select(
         "seg_id",
         (F.col("conv_id") % 5).alias("ability"),
         F.when(F.col("conv_id") % 10 == 0, "abstention").when(F.col("conv_id") % 10 == 1, "known").otherwise("novel").alias("tag"),

@@ -188,7 +188,7 @@ def gt9_matrix(spark, sf_dir):
     """Arrays and traces of what each cell was served (sixteen at most) against its count; cells of every thirteenth segment
     lost an item on purpose."""
     ctx = served(spark, sf_dir).groupBy(F.col("q_id").alias("seg_id"), "tier").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
-    m = verdicts(spark, sf_dir).join(ctx, ["seg_id", "tier"], "left").withColumn("traces", F.coalesce(F.size("ids"), F.lit(0)))
+    m = verdicts(spark, sf_dir).join(ctx.hint("merge"), ["seg_id", "tier"], "left").withColumn("traces", F.coalesce(F.size("ids"), F.lit(0)))
     held = F.when(F.col("ids").isNull(), 0).when(F.col("seg_id") % 13 == 0, F.col("traces") - 1).otherwise(F.col("traces"))
     rows = G.report(
         m,

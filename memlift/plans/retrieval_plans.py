@@ -132,7 +132,7 @@ def ret6_entity_rank(spark, sf_dir):
     e = d.select(F.col("source").alias("item_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).distinct()
     s = q.hint("merge").join(e, "token").groupBy("q_id", "item_id").agg(F.count("*").alias("score"))
     best = O.top_k(s, "q_id", [F.desc("score"), F.asc("item_id")], 2).withColumnRenamed("rank", "r")
-    return O.top_k(best.join(d, F.col("source") == F.col("item_id")), "q_id", [F.asc("r"), F.asc("doc_id")], 6).select("q_id", "doc_id")
+    return O.top_k(best.hint("merge").join(d, F.col("source") == F.col("item_id")), "q_id", [F.asc("r"), F.asc("doc_id")], 6).select("q_id", "doc_id")
 
 
 @query(f"select q_id, item_id as source, count(*) as shared from (select distinct q_id, token from ({QT})) q join (select distinct * from ({_ENT})) d using (token) group by all")
@@ -206,7 +206,7 @@ def ret11_notes(spark, sf_dir):
 @query(f"with s as {BM25} select q.item_id as q_id, count(s.item_id) as hits, coalesce(round(max(s.score), 6), 0) as top from benchmark q left join s on s.q_id = q.item_id group by q.item_id")
 def ret12_absent_probe(spark, sf_dir):
     s = bm25(spark, sf_dir)
-    return questions(spark, sf_dir).select("q_id").join(s, "q_id", "left").groupBy("q_id").agg(F.count("item_id").alias("hits"), F.coalesce(F.round(F.max("score"), 6), F.lit(0.0)).alias("top"))
+    return questions(spark, sf_dir).select("q_id").join(s.hint("merge"), "q_id", "left").groupBy("q_id").agg(F.count("item_id").alias("hits"), F.coalesce(F.round(F.max("score"), 6), F.lit(0.0)).alias("top"))
 
 
 _TRIALS = "select user_id, user_id % 4 as d, event_id, value, event_type, row_number() over (partition by user_id order by event_id desc) as back from events"
