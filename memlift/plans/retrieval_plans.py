@@ -65,14 +65,14 @@ def ret2_bm25_top(spark, sf_dir):
     return long_rank(R.best(bm25(spark, sf_dir), 10))
 
 
-_TRI = "list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))"
+_GRAMS = "list_filter(list_transform(list_zip(c, c[2:], c[3:]), lambda z: z[1] || z[2] || z[3]), lambda g: g is not null)"
 
 
 _FIVE = "lower(concat_ws(' | ', text, lang, source, 'doc ' || doc_id::varchar, 'len ' || n_chars::varchar))"
 
 
 @query(
-    f"with d as (select doc_id as item_id, unnest({_TRI.replace('x', _FIVE).replace('ma' + _FIVE, 'max')}) as g from documents), q as (select item_id as q_id, unnest(list_distinct({_TRI.replace('x', 'lower(text)')})) as g from benchmark), p as (select item_id, g, count(*) as tf from d group by all), l as (select item_id, sum(tf) as dl from p group by all), n as (select count(*) as n from documents), m as (select sum(dl) as s from l), f as (select g, count(*) as df from p group by g), "
+    f"with d as (select item_id, unnest({_GRAMS}) as g from (select doc_id as item_id, string_split({_FIVE}, '') as c from documents)), q as (select item_id as q_id, unnest(list_distinct({_GRAMS})) as g from (select item_id, string_split(lower(text), '') as c from benchmark)), p as (select item_id, g, count(*) as tf from d group by all), l as (select item_id, sum(tf) as dl from p group by all), n as (select count(*) as n from documents), m as (select sum(dl) as s from l), f as (select g, count(*) as df from p group by g), "
     "s as (select q_id, item_id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / (m.s / n.n)))) as score from q join f using (g) join p using (g) join l using (item_id), n, m group by q_id, item_id) "
     "select q_id, item_id from (select *, row_number() over (partition by q_id order by round(score, 6) desc, item_id) as r from s) where r <= 3"
 )
