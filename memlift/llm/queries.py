@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlift.llm import embed_dedup, filter_audit, html_extract, mixing, ngram_join, para_dedup, piece_lattice, product_codes, quality_rules, secret_scan, token_counts, toxicity
+from memlift.llm import embed_dedup, filter_audit, html_extract, mixing, ngram_join, para_dedup, personal_data, piece_lattice, product_codes, quality_rules, secret_scan, token_counts, toxicity
 from memlift.llm.common import table
 
 
@@ -59,7 +59,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embed_dedup, op3_quality_rules, op4_secret_scan, op5_mixing, op6_para_dedup, op7_html_extract, op8_piece_lattice, op9_ngram_join, op10_token_counts, op11_product_codes, op12_filter_audit)}
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embed_dedup, op3_quality_rules, op4_secret_scan, op5_mixing, op6_para_dedup, op7_html_extract, op8_piece_lattice, op9_ngram_join, op10_token_counts, op11_product_codes, op12_filter_audit, op13_personal_data)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::double * z[2]::double))"
 
