@@ -50,8 +50,8 @@ LABELERS = ("form", "check", "gazetteer", "near", "against")
 PATTERNS = 3 ** len(LABELERS)
 BUCKETS = 4096
 BEFORE, AFTER = 40, 20
-#: Labelers start as right in so many of a hundred of their votes, with the weight of so many candidates.
-START_RIGHT, START_WEIGHT = 80, 20
+#: Labelers start as right in this share of their votes, with the weight of so many candidates.
+START_RIGHT, START_WEIGHT = (0.7, 0.8, 0.8, 0.85, 0.95), 20
 ROUNDS = 30
 AGAINST = r"(?i)\b(?:version|release|build|order|invoice|isbn|issn|article|section|chapter|page|item|sku|serial|ticket|bestellung|rechnung|commande|facture|pedido|factura)\b"
 
@@ -188,7 +188,7 @@ def _judged(at: int, kind: Kind, p: Column) -> Column:
         votes = (_vote(v.rlike(kind.form)), _vote(ok), _vote(known), _vote(_yes(before.rlike(kind.near))), F.when(before.rlike(AGAINST), 0).otherwise(1))
         shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), "[0-9]+", "9")
         word = F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1))
-        looks = (ok.cast("string"), known.cast("string"), F.left(shape, F.lit(24)), F.length(v).cast("string"), word, F.left(after, F.lit(1)), F.right(before, F.lit(1)))
+        looks = (ok.cast("string"), known.cast("string"), F.left(shape, F.lit(24)), F.length(v).cast("string"), word, F.left(after, F.lit(1)), F.right(before, F.lit(1)), before.rlike(AGAINST).cast("string"))
         features = F.array(*(F.pmod(F.xxhash64(F.lit(f"{kind.name}/{i}/"), F.coalesce(x, F.lit("-"))), F.lit(BUCKETS)).cast("int") for i, x in enumerate(looks)))
         base = F.coalesce(ok, F.lit(False)) if 0 < at < BASE else F.lit(at == 0)
         return F.struct(p["start"].alias("start"), F.lit(at).alias("kind"), p["end"].alias("end"), base.alias("base"), sum(x * 3**i for i, x in enumerate(votes)).cast("int").alias("votes"), features.alias("features")).cast(CANDIDATE)
@@ -250,11 +250,10 @@ def reliabilities(found: DataFrame) -> list[float]:
     """The probability of each kind and vote pattern, by expectation-maximisation over their counts."""
     votes = stage(found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n")), "votes")
     size = len(KINDS)
-    right, wrong = START_RIGHT / 100, 1 - START_RIGHT / 100
     # chances of no, nothing and yes for what isn't and what is personal data; to vote nothing says nothing at first
-    start = ([right / 2, 0.5, wrong / 2], [wrong / 2, 0.5, right / 2])
+    start = [([r / 2, 0.5, (1 - r) / 2], [(1 - r) / 2, 0.5, r / 2]) for r in START_RIGHT]
     prior = [0.5] * size
-    rate = [[[list(start[y]) for y in (0, 1)] for _ in LABELERS] for _ in KINDS]
+    rate = [start] * size
     digit = lambda i: F.floor(F.col("votes") / 3**i).cast("int") % 3
 
     def score() -> Column:
@@ -273,7 +272,7 @@ def reliabilities(found: DataFrame) -> list[float]:
         for k in range(size):
             n = [sum(total.get((k, 0, v), (0, 0))[y] for v in range(3)) for y in (0, 1)]
             prior.append(round((n[1] + START_WEIGHT / 2) / (n[0] + n[1] + START_WEIGHT), 6))
-            rate.append([[[round((total.get((k, i, v), (0, 0))[y] + START_WEIGHT * start[y][v]) / (n[y] + START_WEIGHT), 9) for v in range(3)] for y in (0, 1)] for i in range(len(LABELERS))])
+            rate.append([[[round((total.get((k, i, v), (0, 0))[y] + START_WEIGHT * start[i][y][v]) / (n[y] + START_WEIGHT), 9) for v in range(3)] for y in (0, 1)] for i in range(len(LABELERS))])
         if all(abs(a - b) < 1e-5 for a, b in zip(prior, before[0])):
             break
     pairs = found.sparkSession.range(size * PATTERNS).select((F.col("id") / PATTERNS).cast("int").alias("kind"), (F.col("id") % PATTERNS).cast("int").alias("votes"), "id")

@@ -5,7 +5,6 @@ import inspect
 import re
 
 import pyarrow.parquet as pq
-from pyspark.sql import functions as F
 
 from memlift.llm import personal_data
 
@@ -65,13 +64,23 @@ def test_tricky_texts(spark):
     check(rows, personal_data.find(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
 
 
-def test_long_texts_take_linear_time(spark):
-    """Runs that look like the beginning of a span for a million characters, and a hundred thousand spans in one text."""
-    long = ["a" * 1_000_000, "1" * 1_000_000, "1." * 300_000, "a." * 300_000 + "@", "1 " * 300_000, "a@" * 300_000, "+1" * 300_000, "1.1.1.1 " * 50_000 + "a@b.c " * 50_000, "Ab " * 200_000, "x at " * 150_000]
-    rows = [(i, t, "x", 1, 2) for i, t in enumerate(long)]
+def runs(n):
+    return ["a" * n, "1" * n, "1." * (n // 2), "a." * (n // 2) + "@", "1 " * (n // 2), "a@" * (n // 2), "+1" * (n // 2), "1.1.1.1 " * (n // 20) + "a@b.c " * (n // 20), "Ab " * (n // 3), "x at " * (n // 5)]
+
+
+def test_long_texts(spark):
+    """Runs that look like the beginning of a span, as far as the plain version, which tries each place anew, gets."""
+    rows = [(i, t, "x", 1, 2) for i, t in enumerate(runs(8_000))]
     check(rows, personal_data.find(spark.createDataFrame(rows, SCHEMA)).collect())
 
 
+def test_very_long_texts(spark):
+    """The same with half a million characters, where anything but linear time would not end."""
+    rows = [(i, t, "x", 1, 2) for i, t in enumerate(runs(500_000))]
+    got = {r.doc_id: r for r in personal_data.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[7].n_ip, got[7].n_email, got[2].n_ip, got[0].spans) == (25_000, 25_000, 62_500, "")
+
+
 PLANTED = [
     ("write to jo.lee (at) mail (dot) org or ask", "masked_email", "jo.lee (at) mail (dot) org"),
     ("contact: max [at] firma.de bitte", "masked_email", "max [at] firma.de"),
@@ -117,4 +126,3 @@ def test_native(spark, sf_dir):
     plan = personal_data.candidates(docs)._jdf.queryExecution().toString() + personal_data.find(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert not re.search(r"udf|pandas|Arrow\(|\.rdd", inspect.getsource(personal_data))
-    assert F.call_function
