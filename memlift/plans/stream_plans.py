@@ -13,7 +13,7 @@ from memlift.plans.retrieval_plans import documents, long_rank, questions, ranke
 from memlift.plans.source_plans import folder
 from memlift.plans.text_plans import sql_tokens
 from memlift.shipping import ship
-from memlift.streaming import monitors
+from memlift.streaming import monitors, ordered
 
 
 def follow(spark, sf_dir, name):
@@ -21,14 +21,28 @@ def follow(spark, sf_dir, name):
     return monitors.follow(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
 
 
-@query('select event_id, user_id, before, event_type as "now" from (select *, lag(event_type) over (partition by user_id order by event_id) as before from events) where before <> event_type')
+def events_in_order(spark, sf_dir, processor, *fields):
+    """The processor over the events of each user in order of time, drained, with the user's column back."""
+    e = follow(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("number"), "user_id", *fields)
+    with ordered.keyed_states(spark):
+        return monitors.drain(ordered.run(e, "user_id", processor), folder(spark)).withColumnRenamed("key", "user_id")
+
+
+@query('select event_id, user_id, before, event_type as "now" from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where before <> event_type')
 def str1_belief_monitor(spark, sf_dir):
-    return monitors.drain(monitors.belief_flips(follow(spark, sf_dir, "events").select("event_id", "user_id", "event_type")), folder(spark))
+    return events_in_order(spark, sf_dir, ordered.Flips(), F.col("event_type").alias("value"))
 
 
-@query("select event_id, user_id, round(value - last, 6) as moved from (select *, lag(value) over (partition by user_id order by event_id) as last from events) where abs(value - last) >= 20")
+@query(
+    "with m as (select *, sum(case when event_type <> 'error' then value / 100 else 0 end) over w as s, sum(case when event_type = 'error' then value / 100 else 0 end) over w as c from events window w as (partition by user_id order by ts, event_id)), "
+    "e as (select *, greatest(0.0, least(1.0, 0.5 + 0.15 * tanh(s) - 0.6 * tanh(c))) as conf from m), "
+    "d as (select *, lag(conf, 1, 0.5) over (partition by user_id order by ts, event_id) as past from e) "
+    'select event_id, user_id, round(past, 6) as before, round(conf, 6) as "now" from d where past - conf >= 0.05'
+)
 def str2_confidence_watch(spark, sf_dir):
-    return monitors.drain(monitors.confidence_watch(follow(spark, sf_dir, "events").select("event_id", "user_id", "value"), 20), folder(spark)).withColumn("moved", F.round("moved", 6))
+    """Each user is a belief, errors challenge it and other events support it by their value; drops of 0.05 or more."""
+    r = events_in_order(spark, sf_dir, ordered.Confidence(0.05), (F.col("value") / 100).alias("weight"), (F.col("event_type") == "error").alias("challenges"))
+    return r.select("event_id", "user_id", F.round("before", 6).alias("before"), F.round("now", 6).alias("now"))
 
 
 @query(
@@ -42,17 +56,26 @@ def str3_expiry_sweep(spark, sf_dir):
     return monitors.drain(alerts, folder(spark))
 
 
-@query()
+@query(
+    "with recursive e as (select event_id, user_id as g, row_number() over (partition by user_id order by ts, event_id) as i, (json_extract(props, '$.k')::bigint) % 10 as src, floor(value)::bigint % 10 as dst from events where (json_extract(props, '$.k')::bigint) % 10 <> floor(value)::bigint % 10), "
+    "r as (select g, 0::bigint as i, null::bigint as event_id, false as closes, list_transform(range(10), lambda n: 1::bigint << n) as reach from (select distinct g from e) union all "
+    "select e.g, e.i, e.event_id, (r.reach[e.dst + 1] & (1::bigint << e.src)) > 0, case when (r.reach[e.dst + 1] & (1::bigint << e.src)) > 0 then r.reach else list_transform(r.reach, lambda x: case when x & (1::bigint << e.src) > 0 then x | r.reach[e.dst + 1] else x end) end from r join e on e.g = r.g and e.i = r.i + 1) "
+    "select event_id, g from r where closes"
+)
 def str4_cycle_alarm(spark, sf_dir):
-    """An edge by event, from a user's number modulo 10 to the value's; which ones close a loop."""
+    """An edge by event, from a user's number modulo 10 to the value's; which ones close a loop. The SQL carries, edge by
+    edge, what each node reaches."""
     k = F.get_json_object("props", "$.k").cast("long")
-    e = follow(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("g"), (k % 10).alias("src"), (F.floor("value") % 10).alias("dst")).where("src <> dst")
-    return monitors.drain(monitors.cycle_alarm(e), folder(spark))
+    e = follow(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("number"), F.col("user_id").alias("g"), (k % 10).alias("src"), (F.floor("value") % 10).alias("dst")).where("src <> dst")
+    with ordered.keyed_states(spark):
+        return monitors.drain(ordered.run(e, "g", ordered.Loops()), folder(spark)).withColumnRenamed("key", "g")
 
 
-@query("select distinct source, sha256(text) as content from documents")
+@query("select doc_id as id, coalesce(source, '') as scope, sha256(coalesce(text, '')) as content, min(doc_id) over w as first_id, doc_id > min(doc_id) over w as repeat from documents window w as (partition by coalesce(source, ''), sha256(coalesce(text, '')))")
 def str5_ingest_once(spark, sf_dir):
-    return monitors.drain(monitors.ingest_once(follow(spark, sf_dir, "documents"), "source", "text"), folder(spark))
+    """Each document with the id under which its text is held in its source."""
+    with ordered.keyed_states(spark):
+        return monitors.drain(ordered.first_seen(follow(spark, sf_dir, "documents"), "source", "text", "doc_id"), folder(spark))
 
 
 @query("select user_id, count(*) as hits, max(event_id) as last_event from events group by user_id")
@@ -67,30 +90,27 @@ def str6_access_statistics(spark, sf_dir):
 
 
 @query(
-    "with f as (select user_id, event_id, value, ts - interval 1 second * case when event_id % 7 = 0 then 400000 else 0 end as eff, event_id % 7 = 0 as late from events) "
-    "select user_id, max_by(value, [epoch(eff), event_id::double]) as answer, max_by(value, [epoch(eff), event_id::double]) filter (not late) as before from f group by user_id"
+    "with e as (select *, event_id % 5 = 3 as asks, epoch_us(ts) // 1000 - case when event_id % 5 = 3 then 172800000 when event_id % 7 = 0 then 400000000 else 0 end as eff from events), "
+    "q as (select a.event_id as question, a.user_id, f.event_id as cause, f.eff as effect, f.value, f.event_id > a.event_id as late from e a join e f on a.user_id = f.user_id and a.asks and not f.asks and f.eff <= a.eff), "
+    "first as (select question, max_by(cause, [effect, cause]) as c from q where not late group by question), "
+    "m as (select *, max(struct_pack(e := effect, c := cause)) over (partition by question order by cause rows between unbounded preceding and 1 preceding) as past from q), "
+    "fix as (select question, user_id, cause, effect, value as answer, past.c as was from m where late and (past is null or struct_pack(e := effect, c := cause) > past)) "
+    "select event_id as question, user_id, null::bigint as cause, f.eff as effect, null::double as was, f.value as answer from (select * from e where asks) a left join first on question = event_id left join (select event_id as c, eff, value from e) f using (c) "
+    "union all select question, fix.user_id, cause, effect, e.value as was, answer from fix left join e on e.event_id = was"
 )
 def str7_late_facts(spark, sf_dir):
-    """Every seventh fact takes effect days before it was filed and comes in a later file. What is behind the stream's time goes to
-    a correction table; the answer by effective time takes both tables, and stands beside the one before the late file."""
-    at = folder(spark)
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.col("ts") - F.make_dt_interval(secs=F.when(F.col("event_id") % 7 == 0, 400000).otherwise(0))).cast("timestamp").alias("at"))
-    schema = "event_id long, user_id long, value double, at timestamp"
-    answers = []
-    for name, rows in (("before", e.where("event_id % 7 <> 0")), ("answer", e.where("event_id % 7 = 0"))):
-        rows.write.mode("append").parquet(f"{at}/in")
-        timely, corrections = monitors.late_facts(spark.readStream.schema(schema).parquet(f"{at}/in"), at, 86_400)
-        answers.append(monitors.latest_by_effect(timely.unionByName(corrections)).select("user_id", F.col("value").alias(name)))
-        answers[-1].write.parquet(f"{at}/{name}")
-    read = lambda n: spark.read.schema(f"user_id long, {n} double").parquet(f"{at}/{n}")
-    return read("answer").join(read("before"), "user_id", "left")
+    """Every fifth event of a user asks for the value of two days before. Of the others, every seventh takes effect days before it was
+    filed, so it corrects answers given since: all first answers, and all corrections with what they replace."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    asks = F.col("event_id") % 5 == 3
+    effect = ms - F.when(asks, 172_800_000).when(F.col("event_id") % 7 == 0, 400_000_000).otherwise(0)
+    return events_in_order(spark, sf_dir, ordered.AsOf(30 * 86_400_000), ms.alias("filed"), asks.alias("asks"), effect.alias("effect"), "value").where("question is not null")
 
 
 @query("select b.event_id, b.user_id, round(sum((a.event_type = 'error')::int * exp(-0.00001 * (epoch_us(b.ts) // 1000000 - epoch_us(a.ts) // 1000000))), 6) as level from events a join events b on a.user_id = b.user_id and a.event_id <= b.event_id group by all")
 def str8_escalating_warning(spark, sf_dir):
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = follow(spark, sf_dir, "events").select("event_id", "user_id", F.floor(at / 1_000_000).cast("double").alias("at"), (F.col("event_type") == "error").alias("hit"))
-    return monitors.drain(monitors.warnings(e, 0.00001), folder(spark)).withColumn("level", F.round("level", 6))
+    second = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("double")
+    return events_in_order(spark, sf_dir, ordered.Warnings(0.00001), second.alias("second"), (F.col("event_type") == "error").alias("hit")).withColumn("level", F.round("level", 6))
 
 
 @query(

@@ -1,8 +1,8 @@
-"""Standing jobs over streams. Each has a batch twin that gives the same rows; state is small and kept by key."""
+"""Standing jobs over streams. Each has a batch twin that gives the same rows; state is small and kept by key. What depends on
+the order of events is in ordered.py."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,85 +24,6 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def belief_flips(events: DataFrame) -> DataFrame:
-    """event_id, user_id, before, now: whenever a user's value differs from the one believed; it is believed from then on."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        believed = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        out = []
-        for event, value in zip(rows["event_id"], rows["event_type"]):
-            if believed is not None and value != believed:
-                out.append((event, key[0], believed, value))
-            believed = value
-        state.update((believed,))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "before", "now"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, before string, now string", "believed string", "append", GroupStateTimeout.NoTimeout)
-
-
-def confidence_watch(events: DataFrame, delta: float) -> DataFrame:
-    """event_id, user_id, moved: whenever a user's value moved by delta or more since the tick before."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        out = []
-        for event, value in zip(rows["event_id"], rows["value"]):
-            if last is not None and abs(value - last) >= delta:
-                out.append((event, key[0], float(value - last)))
-            last = float(value)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "moved"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, moved double", "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def cycle_alarm(edges: DataFrame) -> DataFrame:
-    """event_id, g: each edge (g, src, dst) that closes a loop with edges before it; such edges aren't taken up."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = set(zip(*state.get)) if state.exists else set()
-        out_of: dict[int, set[int]] = {}
-        for a, b in known:
-            out_of.setdefault(a, set()).add(b)
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        alarms = []
-        for event, a, b in zip(rows["event_id"], rows["src"], rows["dst"]):
-            seen, todo = {b}, [b]
-            while todo and a not in seen:
-                for c in out_of.get(todo.pop(), ()):
-                    if c not in seen:
-                        seen.add(c)
-                        todo.append(c)
-            if a in seen:
-                alarms.append((event, key[0]))
-            else:
-                out_of.setdefault(a, set()).add(b)
-        pairs = sorted((a, b) for a, bs in out_of.items() for b in bs)
-        state.update(([int(a) for a, _ in pairs], [int(b) for _, b in pairs]))
-        yield pd.DataFrame(alarms, columns=["event_id", "g"])
-
-    return edges.groupBy("g").applyInPandasWithState(step, "event_id long, g long", "src array<long>, dst array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def warnings(events: DataFrame, decay: float) -> DataFrame:
-    """event_id, user_id, level: hits of an actor summed with exponential decay by the seconds since; rows: at (seconds), hit."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, last = state.get if state.exists else (0.0, None)
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        out = []
-        for event, at, hit in zip(rows["event_id"], rows["at"], rows["hit"]):
-            level = level * math.exp(-decay * (at - last)) if last is not None else 0.0
-            level, last = level + float(hit), float(at)
-            out.append((event, key[0], level))
-        state.update((level, last))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "level"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, level double", "level double, last double", "append", GroupStateTimeout.NoTimeout)
-
-
 def expiry_alerts(beliefs: DataFrame) -> DataFrame:
     """id, expired_at of beliefs (id, at, expires_at) once the stream's time, an hour behind the latest row seen, has passed
     their expiry: a timer in event time for each. The latest expiry of an id holds."""
@@ -128,37 +49,6 @@ def expiry_alerts(beliefs: DataFrame) -> DataFrame:
     return rows.groupBy("id").applyInPandasWithState(step, "id long, expired_at timestamp", "expires_at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def late_facts(facts: DataFrame, folder: str, delay_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """Splits a stream of facts (key, seq, at, value) into those in time and those whose effective time is more than the delay
-    behind the latest seen in batches before: (timely, corrections). A batch that is run again replaces what it wrote, and
-    the latest time so far is read back from what earlier batches wrote, so a restart gives the same tables."""
-    spark, schema = facts.sparkSession, facts.schema
-
-    def step(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()
-        rows.agg(F.max("at").alias("latest")).write.mode("overwrite").parquet(f"{folder}/latest/batch={number}")
-        past = spark.read.schema("latest timestamp, batch long").parquet(f"{folder}/latest").where(F.col("batch") < number).agg(F.max("latest").alias("latest"))
-        late = F.coalesce(F.col("at") < F.col("latest") - F.make_dt_interval(secs=F.lit(delay_seconds)), F.lit(False))
-        marked = rows.crossJoin(F.broadcast(past)).withColumn("late", late).drop("latest")  # one row
-        marked.write.mode("overwrite").partitionBy("late").parquet(f"{folder}/facts/batch={number}")
-        rows.unpersist()
-
-    q = facts.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, batch long, late boolean").parquet(f"{folder}/facts")
-    return out.where("not late").drop("late", "batch"), out.where("late").drop("late", "batch")
-
-
-def latest_by_effect(facts: DataFrame) -> DataFrame:
-    """user_id, value in effect last, by effective time and then by number."""
-    return facts.groupBy("user_id").agg(F.max_by("value", F.struct("at", "event_id")).alias("value"))
-
-
-def ingest_once(docs: DataFrame, scope: str, text: str) -> DataFrame:
-    """One row for each content of a scope; state holds hashes only."""
-    return docs.select(scope, F.sha2(F.col(text).cast("binary"), 256).alias("content")).dropDuplicates([scope, "content"])
-
-
 def ingest_turns(stream: DataFrame, folder: str) -> DataFrame:
     """Each micro-batch of turns is compared with the items so far, gives edges to the best earlier item of its
     conversation, and then joins the items. Batches that are run again replace what they wrote."""
