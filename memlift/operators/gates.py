@@ -50,3 +50,16 @@ def transcript_structure(v: DataFrame) -> DataFrame:
     )
     per = v.groupBy("seg_id").agg(F.countDistinct("tier").alias("tiers"), F.countDistinct("ability").alias("abilities"))
     return together(rows, repeated_keys(v, "no cell twice", "seg_id", "tier"), report(per, {"all four tiers": F.col("tiers") != 4, "one ability": F.col("abilities") != 1}))
+
+
+def statistics() -> dict[str, Column]:
+    """What is wrong with a statement of statistics: method, stated (number of clusters), score, lower and upper as stated, beside
+    clusters, derived, low and high as worked out from the rows. A missing interval doesn't agree."""
+    near = lambda a, b, by: F.coalesce(F.abs(F.col(a) - F.col(b)) < by, F.lit(False))
+    return {
+        "method is paired": F.col("method") != "paired-cluster",
+        "clusters agree": F.col("stated") != F.col("clusters"),
+        "score is derived": ~near("score", "derived", 1e-9),
+        "interval in order": F.col("lower") > F.col("upper"),
+        "interval agrees": ~(near("lower", "low", 1e-6) & near("upper", "high", 1e-6)),
+    }

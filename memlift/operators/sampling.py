@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlift.functions import text as T
 from memlift.operators.graph import cut
+from memlift.shipping import ship
 
 # Fixed values of the seeded generator: its start and its step for each draw.
 SEED, STEP = 0x414D4249, 0x6D2B79F5
@@ -64,26 +67,56 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return ranged.join(sizes.select("part_", before.alias("before_")).hint("broadcast"), "part_").withColumn("place", F.col("before_") + F.col("at_")).drop("id_", "part_", "at_", "before_")  # one row a task
 
 
-def paired_bootstrap(means: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """Intervals of completion by tier and of the deltas to T1, from resampled segments: metric, lower, upper.
+#: Clusters whose means one task holds (4 MB at four tiers), and iterations it draws.
+CLUSTER_BLOCK, DRAW_BLOCK = 1 << 17, 50
 
-    Iteration b picks cluster floor(u * n) with draw b * n + i + 1. One row a pick, joined with the clusters by number;
-    sums are by iteration. The picks are iterations times clusters rows, which is what the method costs."""
+
+def _draws(k: np.ndarray) -> np.ndarray:
+    """draw() for an array of numbers."""
+    m32 = np.uint64(0xFFFFFFFF)
+    a = (np.uint64(SEED) + (k.astype(np.uint64) & m32) * np.uint64(STEP)) & m32
+    t = ((a ^ (a >> np.uint64(15))) * (a | np.uint64(1))) & m32
+    t ^= (t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & m32)) & m32
+    return ((t ^ (t >> np.uint64(14))) & m32) / 4294967296.0
+
+
+def paired_bootstrap(means: DataFrame, iterations: int = ITERATIONS, by: str | None = None) -> DataFrame:
+    """Intervals of completion by tier and of the deltas to T1, from resampled segments: (by,) metric, lower, upper.
+
+    Iteration b picks cluster floor(u * n) with draw b * n + i + 1, for i from 0 to n - 1. A task has the means of one block of
+    clusters and a block of iterations: it makes the draws by numpy, counts how often each cluster of its block is picked, and
+    multiplies counts by means. So no pick is a row: the clusters are shuffled once for every DRAW_BLOCK iterations, and
+    each task gives one row an iteration. With `by`, each group is resampled by itself; groups of fewer than two have none."""
     spark = means.sparkSession
-    means = cut(means)
-    n = means.count()
-    if n < 2:
-        return spark.createDataFrame([], "metric string, lower double, upper double")
-    clusters = cut(numbered(means, "seg_id"))
-    k = spark.range(iterations * n).select(F.floor(F.col("id") / n).alias("b"), F.floor(draw(F.col("id") + 1) * n).cast("long").alias("place"))
-    sums = k.join(clusters.hint("broadcast" if n <= 100_000 else "merge"), "place")
-    tiers = [c for c in means.columns if c != "seg_id"]
-    b = sums.groupBy("b").agg(*(F.try_divide(F.sum(t), F.lit(n)).alias(t) for t in tiers))
+    ship(spark)
+    tiers = [c for c in means.columns if c not in ("seg_id", by)]
+    group = F.col(by).cast("long") if by else F.lit(0).cast("long")
+    rows = cut(numbered(means.withColumn("group_", group).withColumn("order_", F.struct("group_", "seg_id")), "order_"))
+    sizes = cut(rows.groupBy("group_").agg(F.min("place").alias("first_"), F.count("*").alias("n")).where("n > 1"))
+    rows = rows.join(sizes.hint("broadcast" if sizes.count() <= 100_000 else "merge"), "group_").withColumn("place", F.col("place") - F.col("first_"))
+    blocks = rows.select("group_", "n", "place", F.floor(F.col("place") / CLUSTER_BLOCK).alias("block"), *(F.col(t).cast("double").alias(t) for t in tiers), F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // DRAW_BLOCK))).alias("turn"))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        group, n, block, turn = (int(x) for x in key)
+        low = block * CLUSTER_BLOCK
+        x = part.sort_values("place")[tiers].to_numpy()
+        out = []
+        for b in range(turn * DRAW_BLOCK, min(iterations, (turn + 1) * DRAW_BLOCK)):
+            counts = np.zeros(len(x), np.int64)
+            for at in range(0, n, 1 << 20):
+                place = np.floor(_draws(np.arange(b * n + at + 1, b * n + min(n, at + (1 << 20)) + 1)) * n).astype(np.int64) - low
+                counts += np.bincount(place[(place >= 0) & (place < len(x))], minlength=len(x))
+            out.append((group, n, b, *(counts[:, None] * x).sum(0)))
+        return pd.DataFrame(out, columns=["group_", "n", "b", *tiers])
+
+    sums = blocks.groupBy("group_", "n", "block", "turn").applyInPandas(run, f"group_ long, n long, b long, {', '.join(f'{t} double' for t in tiers)}")
+    b = sums.groupBy("group_", "n", "b").agg(*((F.sum(t) / F.col("n")).alias(t) for t in tiers))
     metrics = {t: F.col(t) for t in tiers} | {f"{t}-T1": F.col(t) - F.col("T1") for t in tiers if t != "T1"}
     metrics["interaction"] = (F.col("T3") - F.col("T1")) - ((F.col("T2") - F.col("T1")) + (F.col("T4") - F.col("T1")))
-    rows = cut(b.select(F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in metrics)), F.array(*metrics.values()))).alias("metric", "value")))
-    lower, upper = (at_share(rows, ["metric"], "value", p, name) for p, name in ((0.025, "lower"), (0.975, "upper")))
-    return lower.join(upper, "metric")
+    found = cut(b.select("group_", F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in metrics)), F.array(*metrics.values()))).alias("metric", "value")))
+    lower, upper = (at_share(found, ["group_", "metric"], "value", p, name) for p, name in ((0.025, "lower"), (0.975, "upper")))
+    out = lower.join(upper, ["group_", "metric"])
+    return out.withColumnRenamed("group_", by) if by else out.drop("group_")
 
 
 def at_place(df: DataFrame, by: list[str], c: str, place: Column, name: str) -> DataFrame:
