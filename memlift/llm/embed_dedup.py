@@ -13,8 +13,8 @@ get theirs at a lower threshold. README has the recall that was measured.
 
 Equal vectors with a label collapse into one class before the join, so a vector that a third of all rows repeat costs one
 row; links count its copies. Vectors that are null, zero, or hold null or non-finite components link with nothing, neither
-do those with a null label or of another length. Null and repeated ids: rows are kept one for one, and rows with one id
-count as copies. Extra columns don't matter, and an empty table gives an empty result.
+do those with a null label or of another length. Null and repeated ids: rows are kept one for one, and rows with one id and
+vector count as copies; rows with one id and other vectors are other vectors, each with its own links and component. Extra columns don't matter, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import release, stage, unstage
+from memlift.llm.common import release, sized, stage, unstage
 from memlift.llm.components import components
 from memlift.shipping import ship
 
@@ -103,8 +103,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     v = v.withColumn("sound", sound).withColumn("v", F.when(F.col("sound"), F.transform("v", lambda x: x + F.lit(0.0))))
     v = stage(v, "vectors")
     whole = v.where("sound")
-    kept = whole.groupBy("label", "v").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    kept = stage(kept, "classes")
+    kept = whole.groupBy("label", "v").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    # a class is known by a number of its own, written once: ids may repeat with other vectors
+    kept = stage(kept.withColumn("class", F.monotonically_increasing_id()), "classes")
     n = kept.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     target = pa.schema([("key", pa.int64()), ("dim", pa.int32()), ("label", pa.string()), ("id", pa.int64())])
 
@@ -124,7 +125,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(dim, pa.int32()), pa.array(lab, pa.string()), pa.array(own, pa.int64())], schema=target)
 
     ship(spark)
-    classes = kept.select(F.col("class_id").alias("id"), "v", F.col("label").cast("string").alias("label"))
+    classes = kept.select(F.col("class").alias("id"), "v", F.col("label").cast("string").alias("label"))
     filed = stage(classes.mapInArrow(caps, "key long, dim int, label string, id long"), "caps")
     a, b = filed.withColumnRenamed("id", "a"), filed.withColumnRenamed("id", "b")
     pairs = stage(a.hint("merge").join(b, ["key", "dim", "label"]).where("a < b").select("a", "b").distinct(), "pairs")
@@ -132,13 +133,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     unstage(filed, pairs)
     release(spark)
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    size = kept.select("class_id", "copies")
-    out = both.join(size.withColumnRenamed("class_id", "y").hint("merge"), "y").groupBy(F.col("x").alias("class_id")).agg(F.sum("copies").alias("others"))
-    group = size.join(stage(out, "others").hint("merge"), "class_id", "left").join(components(links).withColumnRenamed("id", "class_id").hint("merge"), "class_id", "left")
-    group = stage(group.select("class_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id")), "groups")
-    own = v.join(kept.select(F.col("label").alias("label_"), F.col("v").alias("v_"), "class_id").hint("merge"), (F.col("label") == F.col("label_")) & (F.col("v") == F.col("v_")), "left").select("id", "class_id")
-    own = own.join(group.hint("merge"), "class_id", "left")
-    return own.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
+    size = kept.select("class", "copies", "first_id")
+    out = both.join(size.select(F.col("class").alias("y"), "copies").hint("merge"), "y").groupBy(F.col("x").alias("class")).agg(F.sum("copies").alias("others"))
+    group = size.join(stage(out, "others").hint("merge"), "class", "left").join(components(links).withColumnRenamed("id", "class").hint("merge"), "class", "left")
+    group = stage(group.select("class", "first_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("component")), "groups")
+    least = stage(group.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    group = stage(group.join(sized(least), "component"), "named")
+    own = v.join(kept.select(F.col("label").alias("label_"), F.col("v").alias("v_"), "class").hint("merge"), (F.col("label") == F.col("label_")) & (F.col("v") == F.col("v_")), "left").select("id", "class")
+    own = own.join(group.hint("merge"), "class", "left")
+    return own.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:

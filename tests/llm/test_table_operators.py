@@ -147,6 +147,11 @@ class TestEmbeddings:
         got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
         assert [g[0] for g in got] == [-1, -1, 3, 3, 4, 5, 6] and got[2] == (3, 2, 3) and got[4] == (4, 2, 3) and got[5][1:] == (0, 5) and got[6][1:] == (0, 6)
 
+    def test_ids_that_repeat_with_other_vectors(self, spark):
+        rows = [(6, [1.0, 0.0, 0.0], 0), (6, [0.0, 1.0, 0.0], 0), (7, [1.0, 0.01, 0.0], 0), (8, [0.0, 1.0, 0.01], 0), (6, [0.0, 1.0, 0.0], 0), (2, [0.0, 1.0, 0.02], 0), (9, [0.0, 0.0, 1.0], 0)]
+        got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(2, 3, 2, True), (6, 1, 6, True), (6, 3, 2, False), (6, 3, 2, False), (7, 1, 6, False), (8, 3, 2, False), (9, 0, 9, True)]
+
 
 class TestParagraphs:
     def test_repeats_inside_and_near(self, spark):
