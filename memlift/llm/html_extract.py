@@ -7,8 +7,9 @@ says, on every page of it, which blocks are the text. A page of which that path
 than its own best container uses that one.
 
 Parts that are never text (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles,
-comments of readers) are left out by tag, role, class or id, inside the winning container too. A class or id counts by its first or
-last part ("ad-box", "site-footer", but not "has-sidebar" or "page-header-fixed"), and an element that holds the page's article or
+comments of readers) are left out by tag, role, class or id, inside the winning container too. Outside the article a class or id counts by its
+first or last part ("ad-box", "site-footer", but not "has-sidebar" or "page-header-fixed"); inside it only as a whole, if it is one of a
+few ("comments", "ad-box", "cookie-banner"), so a section "related-work" or "share-price" of an article stays. An element that holds the page's article or
 main part, or on a page without these most of its text, is never left out by such a name.
 
 A null html counts as empty; a page without text gives an empty string. A null or odd url belongs to the host "". Pages
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import xxhash
@@ -29,13 +31,12 @@ from pyspark.sql import functions as F
 
 from memlift.llm.common import arrow_map, sized, stage
 
-#: One part of the markup: comment, doctype, raw-text element, or tag.
-PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|textarea|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements whose inside isn't markup: passed over to their closing tag, or to the end of the page.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style noscript template textarea svg iframe title".split()}
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: One attribute's name and the beginning of its value, or the sign that ends the tag.
+ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*([\"']|[^\s>\"'][^\s>]*)?)?)")
+ASKED = frozenset("class id role hidden aria-hidden style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a block; all others end the block before them.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br ruby rt rp".split())
@@ -50,7 +51,12 @@ NAME = re.compile(
 )
 #: A class that begins so says something about an element that is around or beside the part.
 ABOUT = frozenset("has no with without not is hide show".split())
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)|display\s*:\s*none", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+#: Within the article a class or id counts only as a whole, and only if it is one of these.
+INSIDE = re.compile(
+    r"ads?|advert|advertisement|ad-?(?:box|slot|banner|container|wrapper|unit)|sponsored|promo|cookie-?(?:banner|notice|bar|consent)|newsletter(?:-signup)?|related(?:-(?:posts|articles|links))?"
+    r"|share(?:-buttons|-bar|-links)?|social-share|breadcrumbs?|pagination|pager|sidebar|navbar|nav|menu|(comments?|comment-?list|comments-area|disqus(?:_thread)?|replies|respond)"
+)
 PARTS = re.compile(r"[-_]+")
 #: Closing one of these in the page closes what is still open inside it.
 CLOSES_SELF = frozenset("p li dt dd tr td th option".split())
@@ -61,16 +67,74 @@ TEXT_TAGS = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr blockquote pre dd dt".spl
 def named(names: list[str], inside: bool) -> str:
     """"comment", "other" or "" for an element with these classes and ids; inside: within the article."""
     for token in names:
+        if inside:
+            m = INSIDE.fullmatch(token.lower())
+            if m:
+                return "comment" if m[1] else "other"
+            continue
         parts = [x for x in PARTS.split(token.lower()) if x]
         if not parts or parts[0] in ABOUT:
             continue
         for x in (parts[0], parts[-1]):
             m = NAME.fullmatch(x)
-            if m and not (inside and x == "header"):
+            if m:
                 return "comment" if m[1] else "other"
     return ""
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str], bool]]:
+    """Comments, declarations and tags in order: begin, end, tag ("" if it is none), closing, attributes asked for, closed in itself.
+
+    An attribute's value is in quotes only if a quote follows its equals sign, and a quote that is never closed ends with the
+    tag. Each sign is read once, and where something has no end on the page, that is known from its last place, so the
+    time is in proportion to the page. A tag without an end is text."""
+    last = {c: page.rfind(c) for c in (">", '"', "'")}
+    at = page.find("<")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, {}, False
+        elif at > last[">"]:
+            return
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            yield at, end, "", False, {}, False
+        elif m := TAG.match(page, at):
+            end, given, own = m.end(), {}, False
+            while True:
+                x = ATTRIBUTE.match(page, end)
+                if not x:  # the page ends inside the tag
+                    return
+                if x[1]:
+                    own = page[x.end() - 2] == "/"
+                    end = x.end()
+                    break
+                name, value, end = x[2].lower(), x[3] or "", x.end()
+                if value in ('"', "'"):
+                    if last[value] >= end:
+                        close = page.find(value, end)
+                        value, end = page[end:close], close + 1
+                    else:
+                        close = page.find(">", end)
+                        if close < 0:
+                            return
+                        value, end = page[end:close], close
+                if name in ASKED:
+                    given.setdefault(name, value)
+            tag = m[2].lower()
+            raw = RAW.get(tag) if not m[1] and not (own and tag == "svg") else None
+            if raw:
+                close = raw.search(page, end)
+                end = page.find(">", close.end()) + 1 if close else len(page)
+                end = end or len(page)
+                tag = ""
+            yield at, end, tag, bool(m[1]), given, own
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
 @dataclass
 class Page:
     """Blocks as (node, text, characters in links); nodes are generalised paths, a parent before its children."""
@@ -154,11 +218,10 @@ def read_page(page: str | None) -> Page:
             open_[tag].pop()
             state["links"] -= tag == "a"
 
-    for m in PART.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for begin, end, tag, closing, given, own in tags(page):
+        if begin > at:
+            add(page[at:begin])
+        at = end
         if not tag:
             continue
         inline = tag in INLINE
@@ -168,7 +231,7 @@ def read_page(page: str | None) -> Page:
             if tag == "br":
                 add(" ")
             continue
-        if m[2]:
+        if closing:
             if open_[tag]:
                 i = open_[tag][-1]
                 if inline and state["block"] > i:  # closed late: no longer a link, say
@@ -191,10 +254,9 @@ def read_page(page: str | None) -> Page:
                 if top in same:
                     pop()
         _, node, gone, around, inside = stack[-1] if stack else ("", 0, False, 0, False)
-        given = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(m[4])} if m[4] else {}
         classes = given.get("class", "").split()
         if not gone and tag not in ("html", "body", "main", "h1"):
-            gone = tag in NEVER or given.get("role", "").lower() in NEVER_ROLES or given.get("aria-hidden", "").lower() == "true" or bool(m[4] and HIDDEN.search(m[4]))
+            gone = tag in NEVER or given.get("role", "").lower() in NEVER_ROLES or given.get("aria-hidden", "").lower() == "true" or "hidden" in given or bool(UNSEEN.search(given.get("style", "")))
             names = [*classes, *given.get("id", "").split()]
             kind = named(names, inside) if names and not gone and not (inside and tag == "header") else ""
             if tag in UNLESS_TEXT and not (inside and tag == "header"):
@@ -222,7 +284,7 @@ def read_page(page: str | None) -> Page:
         state["links"] += tag == "a"
         if not inline:
             state["block"] = len(stack) - 1
-        if not inline and m[4].rstrip().endswith("/"):
+        if not inline and own:
             pop()
             state["block"] = _last_block(stack)
     if at < len(page):

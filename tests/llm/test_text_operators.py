@@ -257,6 +257,30 @@ class TestPages:
         got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
         assert all(got[i].startswith("A heading\n\n") for i in (0, 4, 9)) and "other text" in got[10]
 
+    def test_odd_markup_keeps_the_article(self):
+        for given in ("data-x=it's", 'title="x""', "title='a\"b'", 'title="a>b"', "hidden-x", 'x="never closed', "x='never closed", "= class=a", "class", 'a="1"b="2"/'):
+            assert self.best(f"<body><article><p {given}>some text</p><p>more</p></article></body>") == "some text\n\nmore", given
+        for name in "related-work search-tree share-price social-history menu-planning footer-design widget-theory notice header-files".split():
+            assert self.best(f"<article><p>text</p><section class={name}><p>part of it</p></section></article>") == "text\n\npart of it", name
+        for name in ("comments", "ad-box", "cookie-banner"):
+            assert self.best(f"<article><p>text</p><div class='{name} x'><p>not of it</p></div></article>") == "text", name
+        assert self.best("<article><p>1 < 2 and 3 > 2, <a but no tag</p></article>").startswith("1 < 2 and 3 > 2,")
+        assert self.best("<article><svg/><p>text</p><script>a</SCRIPT >b<style>p</article>") == "text\n\nb"
+        assert self.best("<p>text<p hidden>unseen<p style='display : none'>unseen<p>seen <!-- a > b --> on<!-- no end") == "text\n\nseen on"
+
+    def test_odd_markup_takes_linear_time(self):
+        import time
+
+        for piece in ("<a ", "<", "</", "<p x='", '<p x="', "<!--", "<p a=b ", "<script>", "<!", "<p>", "<div>", "</div>", "<p x= ", '"<a b="', "<b>", "</b ", "<p =", "&amp;", "<svg></svg"):
+            took = []
+            for n in (25_000, 100_000):
+                page = "<article><p>text</p></article>" + piece * (n // len(piece))
+                began = time.perf_counter()
+                html_extract.read_page(page)
+                html_extract.read_page(page + ">")
+                took.append(time.perf_counter() - began)
+            assert took[1] < 10 * took[0] + 0.5 and took[1] < 8, (piece, took)
+
     def test_parts_that_are_not_text(self, spark):
         page = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav>menu</nav><div id=main class="post c12">
         <h1>Title &amp; more</h1><p>First <b>bold</b>
