@@ -1,24 +1,43 @@
 """Graph and integrity work over edge tables, as rounds of joins. Each round is written to the checkpoint folder, so plans
-stay short and a lost executor costs one round. Rounds stop on counts; no rows come to the driver."""
+stay short and a lost executor costs one round. Rounds stop on counts; no rows come to the driver. Graphs of bounded size are
+solved inside tasks."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memlift.shipping import ship
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; where it is unset, in one of our own, in local mode only."""
-    sc = df.sparkSession.sparkContext
+    """df, written to the folder that spark.checkpoint.dir names and read back: plans of rounds stay short, with true sizes.
+    Where that is unset, a folder of our own, in local mode only."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         given = sc.getConf().get("spark.checkpoint.dir")
         if not given and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(given or f"file://{tempfile.mkdtemp(prefix='memlift-')}")
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes what cut() wrote for frames that nothing reads any more."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("cut-"):
+                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cyclic_graphs(edges: DataFrame) -> DataFrame:
@@ -29,7 +48,9 @@ def cyclic_graphs(edges: DataFrame) -> DataFrame:
     n = e.count()
     while n:
         into, out = e.select("g", F.col("dst").alias("src")).distinct(), e.select("g", F.col("src").alias("dst")).distinct()
-        e = cut(_jumped(cut(e.join(into, ["g", "src"], "left_semi").join(out, ["g", "dst"], "left_semi").select("g", "src", "dst"))))
+        trimmed = cut(e.join(into, ["g", "src"], "left_semi").join(out, ["g", "dst"], "left_semi").select("g", "src", "dst"))
+        old, e = e, cut(_jumped(trimmed))
+        drop(old, trimmed)
         left = e.count()
         if left == n:
             break
@@ -50,57 +71,156 @@ def _jumped(e: DataFrame) -> DataFrame:
     return rest.select("g", "src", "dst").unionByName(inner.select("g", F.col("from_").alias("src"), F.col("to_").alias("dst"))).distinct()
 
 
+#: A graph of at most so many edges is solved whole inside one task (a few MB); larger ones go through rounds of joins.
+WHOLE = 50_000
+
+
+def _frontiers(node_of: np.ndarray, src: np.ndarray, dst: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Longest way to each of len(node_of) nodes from their start levels, by taking off nodes without a way in; -1 on or behind a
+    cycle."""
+    n = len(node_of)
+    order = np.argsort(src, kind="stable")
+    out, at = dst[order], np.searchsorted(src[order], np.arange(n + 1))
+    waits = np.bincount(dst, minlength=n)
+    level = start.astype(np.int64).copy()
+    done = np.zeros(n, bool)
+    front = np.flatnonzero(waits == 0)
+    while len(front):
+        done[front] = True
+        size = at[front + 1] - at[front]
+        own = np.repeat(front, size)
+        to = out[np.repeat(at[front + 1] - np.cumsum(size), size) + np.arange(size.sum())] if len(own) else own
+        np.maximum.at(level, to, level[own] + 1)
+        np.subtract.at(waits, to, 1)
+        to = np.unique(to)
+        front = to[waits[to] == 0]
+    level[~done] = -1
+    return level
+
+
+def _indexed(part: pd.DataFrame) -> tuple[pd.MultiIndex, np.ndarray, np.ndarray]:
+    """The nodes of edges (g, src, dst), and both ends of each edge by their place among them."""
+    ends = pd.concat([part[["g", "src"]].rename(columns={"src": "node"}), part[["g", "dst"]].rename(columns={"dst": "node"})])
+    code, nodes = pd.MultiIndex.from_frame(ends).factorize()
+    return nodes, code[: len(part)], code[len(part) :]
+
+
+def _by_size(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of the graphs that a task can hold, with `bin_` for about a task's worth of them, and edges of the others."""
+    sizes = cut(e.groupBy("g").agg(F.count("*").alias("size_")))
+    total = sizes.where(F.col("size_") <= WHOLE).agg(F.sum("size_")).first()[0] or 0
+    e = e.hint("merge").join(sizes.hint("merge"), "g")
+    small = e.where(F.col("size_") <= WHOLE).withColumn("bin_", F.pmod(F.xxhash64("g"), F.lit(total // WHOLE + 1)))
+    return small.drop("size_"), e.where(F.col("size_") > WHOLE).drop("size_")
+
+
 def closing_edges(edges: DataFrame) -> DataFrame:
-    """(g, closing): for each graph with a cycle the number (column seq) of the edge that made its first one. Found for all
-    graphs at once by halving the range of numbers: edges up to a number hold a cycle or don't."""
-    e = cut(edges.select("g", "src", "dst", "seq"))
-    span = cut(e.join(cyclic_graphs(e), "g", "left_semi").groupBy("g").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")))
+    """(g, closing): for each graph with a cycle the number (column seq) of the edge that made its first one. Graphs that a task
+    can hold are searched there; for larger ones the range of numbers is halved, for all of them at once: edges up to a number
+    hold a cycle or don't."""
+    e = cut(edges.select("g", "src", "dst", "seq").where("src is not null and dst is not null"))
+    small, large = _by_size(e)
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for g, own in part.sort_values("seq").groupby("g"):
+            seqs = own["seq"].to_numpy()
+
+            def cyclic(upto: int) -> bool:
+                nodes, src, dst = _indexed(own[:upto])
+                return bool((_frontiers(nodes, src, dst, np.zeros(len(nodes))) < 0).any())
+
+            if cyclic(len(own)):
+                lo, hi = 1, len(own)
+                while lo < hi:
+                    lo, hi = (lo, (lo + hi) // 2) if cyclic((lo + hi) // 2) else ((lo + hi) // 2 + 1, hi)
+                out.append((g, seqs[lo - 1]))
+        return pd.DataFrame(out, columns=["g", "closing"])
+
+    ship(edges.sparkSession)
+    kind = dict(e.dtypes)
+    found = small.groupBy("bin_").applyInPandas(lambda part: search(part), f"g {kind['g']}, closing {kind['seq']}")
+    large = cut(large)
+    if not large.limit(1).count():
+        return found
+    span = cut(large.join(cyclic_graphs(large), "g", "left_semi").groupBy("g").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")))
     while span.where("lo < hi").limit(1).count():
         span = span.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("long"))
-        part = e.join(span, "g").where("seq <= mid and lo < hi")
+        part = large.join(span, "g").where("seq <= mid and lo < hi")
         yes = cyclic_graphs(part).withColumn("yes", F.lit(True))
         span = cut(span.join(yes, "g", "left").select("g", F.when(F.col("yes") | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("mid") + 1).alias("lo"), F.when(F.col("yes"), F.col("mid")).otherwise(F.col("hi")).alias("hi")))
-    return span.select("g", F.col("hi").alias("closing"))
+    return found.unionByName(span.select("g", F.col("hi").cast(kind["seq"]).alias("closing")))
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """(g, node, level) of a graph without cycles: the longest way to a node, in steps.
 
-    Where no node has two ways in, as in chains and trees, by doubling: as many rounds as the depth has binary digits.
-    Else one round a level. More rounds than nodes mean a cycle, which is an error that names a graph."""
-    e = cut(edges.select("g", "src", "dst").distinct())
-    nodes = cut(e.select("g", F.col("src").alias("node")).unionByName(e.select("g", F.col("dst").alias("node"))).distinct())
-    most = nodes.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    if not e.groupBy("g", "dst").count().where("count > 1").limit(1).count():
-        up = cut(nodes.join(e.select("g", F.col("dst").alias("node"), F.col("src").alias("above")), ["g", "node"], "left").withColumn("level", F.col("above").isNotNull().cast("int")))
-        rounds = 0
-        while up.where("above is not null").limit(1).count():
-            if rounds > most.bit_length():
-                raise ValueError(f"graph {up.where('above is not null').first()['g']} has a cycle")
-            step = up.select("g", F.col("node").alias("above"), F.col("above").alias("further"), F.col("level").alias("more"))
-            up = cut(up.join(step, ["g", "above"], "left").select("g", "node", F.col("further").alias("above"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
-            rounds += 1
-        return up.select("g", "node", "level")
-    lev = cut(nodes.withColumn("level", F.lit(0)))
-    for _ in range(most + 1):
-        up = e.join(lev.withColumnRenamed("node", "src"), ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
-        nxt = cut(lev.join(up, ["g", "node"], "left").select("g", "node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("new"), "level"))
-        moved = nxt.where("new <> level").limit(1).count()
-        lev = nxt.select("g", "node", F.col("new").alias("level"))
+    Graphs that a task can hold are solved there, many in a task. Larger ones go in rounds over blocks of nodes: nodes are dealt into
+    blocks by range of their level so far, each block settles what its own edges say in one task, and edges between
+    blocks then lift the levels for the next round. So a round is a step between blocks, not a level. A cycle is an error that
+    names a graph."""
+    ship(edges.sparkSession)
+    e = cut(edges.select("g", "src", "dst").where("src is not null and dst is not null").distinct())
+    small, large = _by_size(e)
+    kind = dict(e.dtypes)
+    schema = f"g {kind['g']}, node {kind['src']}, level int"
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        nodes, src, dst = _indexed(part)
+        return nodes.to_frame(index=False).set_axis(["g", "node"], axis=1).assign(level=_frontiers(nodes, src, dst, np.zeros(len(nodes))))
+
+    found = cut(small.groupBy("bin_").applyInPandas(lambda part: solve(part), schema))
+    _no_cycle(found)
+    large = cut(large)
+    return found.unionByName(_levels_by_blocks(large, schema)) if large.limit(1).count() else found
+
+
+def _no_cycle(found: DataFrame) -> None:
+    bad = found.where("level < 0").first()
+    if bad:
+        raise ValueError(f"graph {bad['g']} has a cycle")
+
+
+def _levels_by_blocks(e: DataFrame, schema: str) -> DataFrame:
+    lev = cut(e.select("g", F.col("src").alias("node")).unionByName(e.select("g", F.col("dst").alias("node"))).distinct().withColumn("level", F.lit(0)))
+    n = lev.count()
+    most = lev.groupBy("g").count().agg(F.max("count")).first()[0]
+
+    def settle(nodes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        place = pd.MultiIndex.from_frame(nodes[["g", "node"]])
+        src, dst = (place.get_indexer(pd.MultiIndex.from_frame(own[["g", c]])) for c in ("src", "dst"))
+        return nodes[["g", "node"]].assign(level=_frontiers(place, src, dst, nodes["level"].to_numpy()))
+
+    while True:
+        nodes = cut(lev.repartitionByRange(max(1, n // WHOLE), "g", "level", "node").withColumn("block", F.spark_partition_id()))
+        at = lambda c, b: nodes.select("g", F.col("node").alias(c), F.col("block").alias(b)).hint("merge")
+        placed = cut(e.join(at("src", "a"), ["g", "src"]).join(at("dst", "b"), ["g", "dst"]).select("g", "src", "dst", "a", "b"))
+        inner = placed.where("a = b").select("g", "src", "dst", F.col("a").alias("block"))
+        settled = cut(nodes.groupBy("block").cogroup(inner.groupBy("block")).applyInPandas(lambda x, y: settle(x, y), schema))
+        _no_cycle(settled)
+        between = placed.where("a <> b").join(settled.withColumnRenamed("node", "src").hint("merge"), ["g", "src"])
+        lift = between.groupBy("g", F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
+        lev = cut(settled.join(lift.hint("merge"), ["g", "node"], "left").select("g", "node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.col("up") > F.col("level")).alias("moved")))
+        moved, high = lev.agg(F.bool_or("moved"), F.max("level")).first()
         if not moved:
-            return lev
-    raise ValueError(f"graph {nxt.where('new <> level').first()['g']} has a cycle")
+            return lev.drop("moved")
+        if high > most:
+            raise ValueError(f"graph {lev.where(F.col('level') == high).first()['g']} has a cycle")
+        drop(nodes, placed, settled)
+        lev = lev.drop("moved")
 
 
 def heads(edges: DataFrame, with_hops: bool = False) -> DataFrame:
     """(id, head): where each chain of src superseded by dst ends, with the number of links where asked for; each round
     doubles the way."""
     j = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("head"), F.lit(1).cast("long").alias("hops")))
-    n = j.count()
+    n, old = j.count(), [j]
     for _ in range(max(1, n).bit_length() + 1):
         step = j.select(F.col("id").alias("head"), F.col("head").alias("further"), F.col("hops").alias("more"))
         nxt = cut(j.join(step, "head", "left").select("id", "head", "further", "hops", "more"))
         moved = nxt.where("further is not null").limit(1).count()
+        drop(*old)
+        old = [nxt]
         j = nxt.select("id", F.coalesce("further", "head").alias("head"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
         if not moved:
             return j if with_hops else j.drop("hops")
