@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlift.functions import text as T
+from memlift.operators.graph import cut
 from memlift.operators.windows import top_k
 
 
@@ -20,23 +21,24 @@ def overlap_scores(questions: DataFrame, items: DataFrame, scope: list[str], q_t
     return hit.groupBy(*scope, "q_id", "item_id").agg((F.count("*") / F.first("size_")).alias("score"))
 
 
-def postings(items: DataFrame, grams: Column) -> DataFrame:
-    """token, item_id, tf."""
-    return items.select("item_id", F.explode(grams).alias("token")).groupBy("token", "item_id").agg(F.count("*").alias("tf"))
+#: Up to so many distinct grams of questions are sent to the items (some MB); beyond, both are dealt out by gram.
+SENT_GRAMS = 300_000
 
 
 def bm25(questions: DataFrame, items: DataFrame, q_grams: Column, i_grams: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(q_id, item_id, score) by BM25 over the distinct grams of each question."""
-    p = postings(items, i_grams)
-    length = p.groupBy("item_id").agg(F.sum("tf").alias("dl"))
-    whole = items.agg(F.count("*").alias("n_items"))
-    mean = length.agg(F.sum("dl").alias("all_dl"))
-    df = p.groupBy("token").agg(F.count("*").alias("df"))
-    q = questions.select("q_id", F.explode(F.array_distinct(q_grams)).alias("token"))
-    terms = q.hint("merge").join(df, "token").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(mean))  # one row each
-    terms = terms.withColumn("idf", F.log(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    hit = terms.hint("merge").join(p, "token").hint("merge").join(length, "item_id")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("all_dl") / F.col("n_items")))
+    """(q_id, item_id, score) by BM25 over the distinct grams of each question; item ids are unique.
+
+    Only grams that some question has leave the items: lengths are counted in the row, and the exploded grams meet the
+    questions' grams before anything is shuffled, so what is moved is in proportion to the questions' postings."""
+    q = cut(questions.select("q_id", F.explode(F.array_distinct(q_grams)).alias("token")))
+    asked = cut(q.select("token").distinct())
+    sized = items.select("item_id", i_grams.alias("grams_")).withColumn("dl", F.coalesce(F.size("grams_"), F.lit(0)))
+    n_items, all_dl = items.agg(F.count("*")).first()[0], sized.agg(F.sum("dl")).first()[0] or 0
+    rows = sized.select("item_id", "dl", F.explode("grams_").alias("token")).join(asked.hint("broadcast" if asked.count() <= SENT_GRAMS else "merge"), "token", "left_semi")
+    p = cut(rows.groupBy("token", "item_id", "dl").agg(F.count("*").alias("tf")))
+    df = p.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (n_items - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    hit = p.hint("merge").join(q.join(df.hint("merge"), "token").hint("merge"), "token")
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(all_dl / n_items if all_dl else 1.0))
     return hit.groupBy("q_id", "item_id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("score"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlift.functions import text as T
 from memlift.operators import retrieval as R
+from memlift.operators import vectors as V
 from memlift.operators import windows as O
 from memlift.plans.attribution_plans import sql
 from memlift.plans.registry import query, table
@@ -148,12 +149,9 @@ _COS = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[
 @query(f"select q_id, item_id, rank from (select q_id, item_id, row_number() over (partition by q_id order by round(s, 6) desc, item_id) as rank from (select q.vec_id as q_id, d.vec_id as item_id, {_COS} as s from embeddings q join embeddings d on q.vec_id <> d.vec_id where q.vec_id % 100 = 0)) where rank <= 5")
 def ret8_vector_top(spark, sf_dir):
     """Nearest vectors of each vector whose number is divisible by 100, the stated set of questions, against all vectors."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    few = q.count() <= 20_000
-    s = e.join(q.hint("broadcast" if few else "shuffle_replicate_nl"), F.col("vec_id") != F.col("q_id"))
-    s = s.select("q_id", F.col("vec_id").alias("item_id"), F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return long_rank(O.top_k(s, "q_id", [F.desc("score"), F.asc("item_id")], 5))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
+    found = V.nearest(e, e.where("item_id % 100 = 0").withColumnRenamed("item_id", "q_id"), 5)
+    return long_rank(found.select("q_id", "item_id", "rank"))
 
 
 @query(f"select coalesce(a.q_id, b.q_id) as q_id, coalesce(a.item_id, b.item_id) as item_id, a.rank as rank_a, b.rank as rank_b from ({ranked(OVERLAP, 5)}) a full join ({ranked(BM25, 5)}) b using (q_id, item_id)")
