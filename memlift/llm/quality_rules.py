@@ -11,6 +11,7 @@ further columns don't matter: each row is judged by itself. An empty table gives
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -30,9 +31,26 @@ NOTICE = re.compile(
 #: the first or last EDGE_LINES lines of the text.
 WEAK = re.compile(rb"\blicen[sc]e\b|\bcopyright\b|\bcookies?\b|\bsubscribe\b|\bsign up\b|\blog ?in\b|\bclick here\b|\bread more\b|\bshare this\b|\bnewsletter\b|\bjavascript\b")
 SHORT_NOTICE, EDGE_LINES = 12, 2
-#: Marks that some sentence of a long line ends or is cut by.
-MARKS = re.compile(rb"[.,;:!?]|\xe2\x80\xa6|\xe3\x80\x82|\xef\xbc\x8c")
-ENDS = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", "…".encode(), "”".encode(), "»".encode())
+#: Marks that some sentence of a long line ends or is cut by; those of other scripts by their Unicode category.
+MARKS = re.compile(rb"[.,;:!?]")
+ENDS = (b".", b"!", b"?", b":", b";", b'"', b"'", b")")
+#: Scripts that are written without marks and cut by spaces.
+UNMARKED = range(0x0E00, 0x0F00)
+
+
+def has_mark(line: bytes) -> bool:
+    """Whether a mark of some script (a full stop, a comma, a danda) stands in the line, or its script has none."""
+    if MARKS.search(line):
+        return True
+    return not line.isascii() and any(ord(c) > 127 and (unicodedata.category(c) == "Po" or ord(c) in UNMARKED) for c in line.decode("utf-8", "replace"))
+
+
+def ends_with_mark(line: bytes) -> bool:
+    line = line.rstrip()
+    if line.endswith(ENDS):
+        return True
+    last = line[-4:].decode("utf-8", "ignore")[-1:]
+    return last > "\x7f" and unicodedata.category(last) in ("Po", "Pf", "Pi", "Pe")
 
 
 def line_fails(line: bytes, words: list[bytes], at_edge: bool = True) -> str:
@@ -49,13 +67,13 @@ def line_fails(line: bytes, words: list[bytes], at_edge: bool = True) -> str:
         return "punctuation"
     if n >= 5 and line.isascii() and line.upper() == line and line.lower() != line:
         return "punctuation"
-    if n >= 30 and not MARKS.search(line):
+    if n >= 30 and not has_mark(line):
         return "punctuation"
     if n >= 8:
         most = Counter(words).most_common(1)[0][1]
         if sum(a == b for a, b in zip(words, words[1:])) * 3 >= n or most * 2 >= n:
             return "repetition"
-    if n < 3 and not line.rstrip().endswith(ENDS):
+    if n < 3 and not ends_with_mark(line):
         return "navigation"
     return ""
 
