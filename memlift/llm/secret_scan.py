@@ -2,8 +2,9 @@
 
 Both models give the probability of a character after the two before it. One is fitted to random strings (the values of
 the fixed kinds), one to ordinary identifiers (other long words and names of the texts). A run of 16 or more characters of
-[A-Za-z0-9+/_=-] is a secret when the log-likelihood ratio a character passes a threshold that is set so that at most one
-in 2000 of the held-out identifiers passes.
+[A-Za-z0-9+/_=-] is cut at the signs that paths, slugs, dates and rulers are joined by (/ = _ -), and is a secret when one of its pieces
+that can be a key (ten characters or more, not digits only, six different ones) has a log-likelihood ratio a character over a
+threshold that at most one in 2000 of the held-out identifiers passes.
 
 A null text counts as empty. Very long texts are read whole. Ties, repeated rows and further columns don't matter: each
 row is scanned by itself. Without random strings to learn from, only the fixed kinds are found. An empty table gives an
@@ -28,6 +29,7 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 #: Runs are maximal, so a least length in the pattern finds the same spans as dropping short ones afterwards.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+JOINS, LEAST_PIECE, LEAST_DIFFERENT = re.compile(r"[/=_-]+"), 10, 6
 IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9_-]{7,}")
 #: Fitting looks at no more than about so many documents with, and without, a span of a fixed kind.
 SAMPLE_WITH, SAMPLE_WITHOUT = 1500, 1500
@@ -63,6 +65,11 @@ class Markov:
         return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean())
 
 
+def pieces(run: str) -> list[str]:
+    """The parts of a run that can be a key."""
+    return [x for x in JOINS.split(run) if len(x) >= LEAST_PIECE and not x.isdigit() and len(set(x)) >= LEAST_DIFFERENT]
+
+
 def _table(words: list[str]) -> np.ndarray:
     """Log-probabilities with two context characters, smoothed by one, and by none."""
     n3, n2 = np.zeros((WIDTH,) * 3), np.zeros((WIDTH,) * 2)
@@ -124,7 +131,7 @@ def all_spans(text: str, model: Markov) -> list[tuple[int, int, int]]:
         for m in RUN.finditer(text):
             if any(s < m.end() and m.start() < e for s, _, e in spans):
                 continue
-            if model.score(m[0]) > model.threshold:
+            if any(model.score(x) > model.threshold for x in pieces(m[0])):
                 free.append((m.start(), 3, m.end()))
         spans = sorted(spans + free)
     return spans

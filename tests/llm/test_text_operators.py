@@ -156,6 +156,16 @@ class TestQuality:
         assert fails("An ordinary sentence, with a few words in it.") == ""
         assert quality_rules.clean_text("Good line of text here.\nHome | About | Help\n\nEnd of it all.") == "Good line of text here.\n\nEnd of it all."
 
+    def test_marks_of_other_scripts_count(self):
+        for mark in ("।", "؟", "،", "。", "፣", "։"):
+            line = " ".join(["शब्द", "كلمة", "बात"] * 10 + [f"अंत{mark}"]).encode()
+            assert quality_rules.line_fails(line, line.split()) == "", mark
+        thai = " ".join("กขค งจ ฉชซ ญฐ".split() * 9).encode()
+        assert quality_rules.line_fails(thai, thai.split()) == ""
+        assert quality_rules.line_fails("ठीक है।".encode(), ["ठीक".encode(), "है।".encode()]) == ""
+        bare = " ".join(f"parol{i}é" for i in range(31)).encode()
+        assert quality_rules.line_fails(bare, bare.split()) == "punctuation"
+
     def test_ordinary_words_of_notices_stay(self):
         text = "\n".join(f"My driving license number {i} came after a long test, on a day in the city." for i in range(12))
         assert quality_rules.judge(text)[-3:-1] == (0, 0) and quality_rules.clean_text(text) == text
@@ -196,6 +206,21 @@ class TestSecrets:
         "ToKeN=deadbeefdeadbeefdeadbeef",
     ]
 
+    ordinary = ["-" * 22, "=" * 16, "/usr/local/lib/python3/site-packages/numpy", "2024-01-01/2024-12-31", "/en/articles/2023/11/28/12345678", "a-long-slug-of-a-blog-post-in-2024"]
+
+    def test_paths_slugs_dates_and_rulers_stay(self, spark):
+        """With the model of the table: strings of ordinary kinds aren't secrets, and random keys are."""
+        model = secret_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+        assert model.ratio is not None
+        for s in self.ordinary:
+            assert secret_scan.all_spans(f"see {s} here", model) == [], s
+        rng = random.Random(5)
+        key = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        for signs, least in ((letters + letters.upper() + "0123456789", 0.9), (letters + letters.upper() + "0123456789+/", 0.85), (letters + "0123456789", 0.85)):
+            found = sum(any(k == 3 for _, k, _ in secret_scan.all_spans(f"x {key(signs, 32)} y", model)) for _ in range(200))
+            assert found >= least * 200, (signs, found)
+
     def test_base_spans(self, spark, texts):
         all_ = ODD + self.made + texts
         got = {r["doc_id"]: r for r in secret_scan.scan(docs(spark, all_), secret_scan.Markov(None, 0.0), with_text=True).collect()}
