@@ -32,7 +32,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_para_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return para_dedup.dedup_paragraphs(table(spark, sf_dir, "documents"), least_words=para_dedup.MIN_WORDS)
+    return para_dedup.dedup_paragraphs(table(spark, sf_dir, "documents"), least_words=para_dedup.MIN_RUN)
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
