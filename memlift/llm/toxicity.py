@@ -48,11 +48,17 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)] or [b""]
 
 
+#: The last part of a trained dictionary's header, before the content: the three offsets that it starts with.
+OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
+
+
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
-    """The content of a zstandard dictionary trained on the samples; with too few to train on, the samples themselves."""
+    """The content of a zstandard dictionary trained on the samples, without its header; with too few to train on, the samples
+    themselves."""
     samples = [s for s in samples if len(s) >= 8]
     try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()[-size:]
+        made = zstandard.train_dictionary(size, samples, level=3).as_bytes()
+        return made[made.find(OFFSETS) + len(OFFSETS) :] if OFFSETS in made else made
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[:size]
 
@@ -160,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     y = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & ~held_out(labels[id_col])).select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).distinct()
     picked = sample_about(y.where("y = 1"), SAMPLE_TOXIC, F.col("id")).unionByName(sample_about(y.where("y = 0"), SAMPLE_ORDINARY, F.col("id")))
-    rows = d.join(F.broadcast(picked), "id").select("id", "text", "y").collect()  # about ten thousand keys: a known bound
+    # about ten thousand keys, a known bound; of rows with one id the least text
+    rows = d.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
     return train([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["id"], r["y"], r["text"] or ""))])
 
 
