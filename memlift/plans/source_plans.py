@@ -193,16 +193,25 @@ def snk3_verdicts(spark, sf_dir):
     return spark.read.schema("o_orderstatus string, count long").json(f"{at}/summary").select("o_orderstatus", F.col("count").alias("n"))
 
 
-@query("select count(*) as n, true as refused from customer")
+@query("select count(*) as n, (select count(*) from orders where o_custkey in (select c_custkey from customer where c_custkey % 2 = 0)) as children, true as refused, true as orphans_refused from customer")
 def snk4_publish(spark, sf_dir):
-    """Two inserts of halves succeed; a third with known ids is refused whole."""
+    """Customers are published in two halves, and orders as their children: those of the first half while only it is there, where all
+    orders are refused for parents that are missing. An insert with known ids is refused whole."""
     at = folder(spark)
-    c = table(spark, sf_dir, "customer")
-    sinks.publish(c.where("c_custkey % 2 = 0"), at, "c_custkey")
-    sinks.publish(c.where("c_custkey % 2 = 1"), at, "c_custkey")
-    refused = False
-    try:
-        sinks.publish(c.where("c_custkey % 3 = 0"), at, "c_custkey")
-    except ValueError:
-        refused = True
-    return spark.read.parquet(at).agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    parents, children = sinks.Publication(spark, f"{at}/customers"), sinks.Publication(spark, f"{at}/orders")
+
+    def refused(publication, *given) -> bool:
+        try:
+            publication.insert(*given)
+        except ValueError:
+            return True
+        return False
+
+    parents.insert(c.where("c_custkey % 2 = 0"), "c_custkey")
+    orphans = refused(children, o, "o_orderkey", parents, "c_custkey")
+    children.insert(o.where("c_custkey % 2 = 0"), "o_orderkey", parents, "c_custkey")
+    parents.insert(c.where("c_custkey % 2 = 1"), "c_custkey")
+    again = refused(parents, c.where("c_custkey % 3 = 0"), "c_custkey")
+    held = children.read(o.schema).count()
+    return parents.read(c.schema).agg(F.count("*").alias("n")).select("n", F.lit(held).cast("long").alias("children"), F.lit(again).alias("refused"), F.lit(orphans).alias("orphans_refused"))
