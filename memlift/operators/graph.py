@@ -210,6 +210,89 @@ def _levels_by_blocks(e: DataFrame, schema: str) -> DataFrame:
         lev = lev.drop("moved")
 
 
+def _tarjan(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The number of each node's strongly connected component, without recursion."""
+    order = np.argsort(src, kind="stable")
+    out, at = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    index, low, of, path, count = [-1] * n, [0] * n, [-1] * n, [], 0
+    for start in range(n):
+        if index[start] >= 0:
+            continue
+        todo = [(start, at[start])]
+        index[start] = low[start] = count
+        count += 1
+        path.append(start)
+        while todo:
+            node, i = todo.pop()
+            if i < at[node + 1]:
+                todo.append((node, i + 1))
+                to = out[i]
+                if index[to] < 0:
+                    index[to] = low[to] = count
+                    count += 1
+                    path.append(to)
+                    todo.append((to, at[to]))
+                elif of[to] < 0:
+                    low[node] = min(low[node], index[to])
+                continue
+            if low[node] == index[node]:
+                while True:
+                    member = path.pop()
+                    of[member] = node
+                    if member == node:
+                        break
+            if todo:
+                low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+    return np.array(of, np.int64)
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(g, node, component): the nodes that lie on a cycle of (g, src, dst), with the smallest node of their strongly connected
+    component. Graphs that a task can hold are solved there; in larger ones colours (the smallest node that reaches a node) are
+    spread forward, a component is what its colour's node is reached from inside the colour, and the rest goes on."""
+    ship(edges.sparkSession)
+    e = cut(edges.select("g", "src", "dst").where("src is not null and dst is not null").distinct())
+    small, large = _by_size(e)
+    kind = dict(e.dtypes)
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        nodes, src, dst = _indexed(part)
+        out = nodes.to_frame(index=False).set_axis(["g", "node"], axis=1).assign(of=_tarjan(src, dst, len(nodes)))
+        out["component"] = out.groupby("of")["node"].transform("min")
+        loops = np.zeros(len(nodes), bool)
+        loops[src[src == dst]] = True
+        return out[(out.groupby("of")["of"].transform("size") > 1) | loops][["g", "node", "component"]]
+
+    found = cut(small.groupBy("bin_").applyInPandas(lambda part: solve(part), f"g {kind['g']}, node {kind['src']}, component {kind['src']}"))
+    e = cut(large)
+    while e.limit(1).count():
+        colour = cut(e.select("g", F.col("src").alias("node")).unionByName(e.select("g", F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node")))
+        colour = _spread(colour, e, "src", "dst", F.least)
+        inside = e.join(colour.select("g", F.col("node").alias("src"), F.col("colour").alias("a")), ["g", "src"]).join(colour.select("g", F.col("node").alias("dst"), F.col("colour").alias("b")), ["g", "dst"]).where("a = b").select("g", "src", "dst")
+        reached = cut(colour.withColumn("colour", (F.col("node") == F.col("colour")).cast("int")))
+        reached = _spread(reached, cut(inside), "dst", "src", F.greatest)
+        own = cut(colour.join(reached.where("colour = 1").select("g", "node"), ["g", "node"]))
+        looped = inside.where("src = dst").select("g", F.col("src").alias("node"), F.lit(True).alias("own")).distinct()
+        size = own.groupBy("g", "colour").agg(F.count("*").alias("size_"))
+        found = found.unionByName(own.join(size, ["g", "colour"]).join(looped, ["g", "node"], "left").where("size_ > 1 or own").select("g", "node", F.col("colour").alias("component")))
+        gone = lambda c: own.select("g", F.col("node").alias(c))
+        e = cut(e.join(gone("src"), ["g", "src"], "left_anti").join(gone("dst"), ["g", "dst"], "left_anti").select("g", "src", "dst"))
+    return found
+
+
+def _spread(values: DataFrame, e: DataFrame, start: str, end: str, better) -> DataFrame:
+    """values (g, node, colour) after each node has taken the better of its own and its neighbours', until none changes. Only nodes
+    that changed speak in the next round."""
+    pick = F.min if better is F.least else F.max
+    fresh = values
+    while True:
+        said = e.join(fresh.select("g", F.col("node").alias(start), F.col("colour").alias("said")), ["g", start]).groupBy("g", F.col(end).alias("node")).agg(pick("said").alias("said"))
+        after = cut(values.join(said, ["g", "node"], "left").select("g", "node", better("colour", F.coalesce("said", "colour")).alias("colour"), (better("colour", F.coalesce("said", "colour")) != F.col("colour")).alias("moved")))
+        values, fresh = after.drop("moved"), after.where("moved").drop("moved")
+        if not fresh.limit(1).count():
+            return values
+
+
 def heads(edges: DataFrame, with_hops: bool = False) -> DataFrame:
     """(id, head): where each chain of src superseded by dst ends, with the number of links where asked for; each round
     doubles the way."""

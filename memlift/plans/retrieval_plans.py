@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlift.functions import text as T
+from memlift.operators import graph as G
 from memlift.operators import retrieval as R
 from memlift.operators import vectors as V
 from memlift.operators import windows as O
@@ -177,13 +178,17 @@ _NOTED = """select event_id, user_id, event_type, value, lead(event_id) over w a
 
 
 @query(
-    f"""with n as ({_NOTED}), conf as (select event_id, 'conflicts with ' || b_id::varchar as note, row_number() over (partition by event_id order by b_id) as r from (select a.event_id, b.event_type, min(b.event_id) as b_id from events a join events b on a.user_id = b.user_id and floor(a.value) = floor(b.value) and a.event_type <> b.event_type and b.event_id > a.event_id where a.value > 60 group by all)),
+    f"""with recursive n as ({_NOTED}), conf as (select event_id, 'conflicts with ' || b_id::varchar as note, row_number() over (partition by event_id order by b_id) as r from (select a.event_id, b.event_type, min(b.event_id) as b_id from events a join events b on a.user_id = b.user_id and floor(a.value) = floor(b.value) and a.event_type <> b.event_type and b.event_id > a.event_id where a.value > 60 group by all)),
 c as (select event_id, string_agg(note, '; ' order by r) as notes from conf where r <= 3 group by event_id),
-k as (select event_id, 'cycle ' || least(src, dst)::varchar || '-' || greatest(src, dst)::varchar as note from (select event_id, k as src, lead(k) over w as dst, lead(k, 2) over w as back from (select *, json_extract_string(props, '$.k')::bigint % 10 as k from events) window w as (partition by user_id order by event_id)) where src = back and src <> dst)
+ke as (select distinct user_id as g, k as src, dst from (select user_id, event_type, json_extract_string(props, '$.k')::bigint % 10 as k, lead(json_extract_string(props, '$.k')::bigint % 10) over (partition by user_id order by event_id) as dst from events) where event_type = 'purchase' and k <> dst),
+kr as (select g, src as a, dst as b from ke union select kr.g, kr.a, ke.dst from kr join ke on ke.g = kr.g and ke.src = kr.b),
+km as (select x.g, x.a as node, 'cycle ' || string_agg(x.b::varchar, '-' order by x.b) as note from kr x join kr y on x.g = y.g and x.a = y.b and x.b = y.a group by x.g, x.a),
+k as (select event_id, km.note from events join km on g = user_id and node = json_extract_string(props, '$.k')::bigint % 10)
 select event_id, concat_ws('; ', k.note, c.notes, case when later is not null and abs(next_value - value) > 50 then 'updated by ' || later::varchar end) as note from n left join k using (event_id) left join c using (event_id) where k.note is not null or c.notes is not null or (later is not null and abs(next_value - value) > 50)"""
 )
 def ret11_notes(spark, sf_dir):
-    """Notes for hits, in the order that tells a reader most: a cycle of values (there and back), conflicts (with the next fact of
+    """Notes for hits, in the order that tells a reader most: the cycle that the hit's item lies on, of any length (items are the last
+    digits of k, ordered by a user's purchases: the members of its strongly connected component), conflicts (with the next fact of
     each other type under the same whole value, three at most), and an update by a later fact."""
     e = table(spark, sf_dir, "events").withColumn("v", F.floor("value"))
     w = W.partitionBy("user_id", "event_type").orderBy("event_id")
@@ -194,9 +199,10 @@ def ret11_notes(spark, sf_dir):
     three = F.slice(F.array_sort(F.array_compact(F.array(*each))), 1, 3)
     c = e.select("event_id", "value", "event_type", three.alias("x")).where("value > 60 and size(x) > 0")
     c = c.select("event_id", F.array_join(F.transform("x", lambda y: F.concat(F.lit("conflicts with "), y.cast("string"))), "; ").alias("conflicts"))
-    k, u = F.col("k"), W.partitionBy("user_id").orderBy("event_id")
-    o = e.withColumn("k", F.get_json_object("props", "$.k").cast("long") % 10).select("event_id", "k", F.lead("k").over(u).alias("dst"), F.lead("k", 2).over(u).alias("back"))
-    o = o.where("k = back and k <> dst").select("event_id", F.concat(F.lit("cycle "), F.least(k, "dst").cast("string"), F.lit("-"), F.greatest(k, "dst").cast("string")).alias("cycle"))
+    items = e.withColumn("k", F.get_json_object("props", "$.k").cast("long") % 10).select("event_id", F.col("user_id").alias("g"), "event_type", F.col("k").alias("node"), F.lead("k").over(W.partitionBy("user_id").orderBy("event_id")).alias("dst"))
+    on = G.strong_components(items.where("event_type = 'purchase' and node <> dst").select("g", F.col("node").alias("src"), "dst"))
+    members = on.groupBy("g", "component").agg(F.concat(F.lit("cycle "), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), "-")).alias("cycle"))
+    o = items.hint("merge").join(on.join(members, ["g", "component"]), ["g", "node"]).select("event_id", "cycle")
     note = F.concat_ws("; ", "cycle", "conflicts", "update")
     return n.join(o, "event_id", "left").join(c, "event_id", "left").select("event_id", note.alias("note")).where("note <> ''")
 

@@ -71,6 +71,23 @@ def test_closing_edges_of_small_and_large_graphs(spark, monkeypatch):
         assert {r["g"]: r["closing"] for r in graph.closing_edges(edges).collect()} == want
 
 
+def test_strong_components_of_small_and_large_graphs(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(g, rng.randrange(14), rng.randrange(14)) for g in range(3) for _ in range(16)] + [(7, i, i + 1) for i in range(5)] + [(8, 3, 3)] + [(9, i, (i + 1) % 6) for i in range(6)] + [(9, 5, 6), (9, 6, 7), (9, 7, 6)]
+    want = {}
+    for g in {e[0] for e in edges}:
+        reach = {a: {b for x, a_, b in edges if x == g and a_ == a} for _, a, _ in edges}
+        for _ in range(20):
+            reach = {a: bs | {c for b in bs for c in reach.get(b, ())} for a, bs in reach.items()}
+        for a in reach:
+            if a in reach[a]:
+                want[g, a] = min(b for b in reach[a] if a in reach.get(b, ()))
+    for whole in (graph.WHOLE, 8):
+        monkeypatch.setattr(graph, "WHOLE", whole)
+        got_ = {(r["g"], r["node"]): r["component"] for r in graph.strong_components(spark.createDataFrame(edges, EDGE)).collect()}
+        assert got_ == want
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], EDGE + ", seq long")
     assert graph.levels(none).count() == 0 and graph.closing_edges(none).count() == 0
