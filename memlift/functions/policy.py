@@ -57,7 +57,7 @@ def sensitivity(s: Column) -> Column:
     return F.when(s.rlike(SECRET), "secret").when(private, "private").otherwise("public")
 
 
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTHS = "january february march april may june july august september october november december".split()
 
 
 def expiry(text: Column, created: Column) -> Column:
@@ -78,6 +78,31 @@ def expired(expires_at: Column, now: Column) -> Column:
     return F.coalesce(expires_at <= now, F.lit(False))
 
 
+# The frozen cases of the expiry rules, as (name, text, created, expires) and (name, expires, now, expired).
+EXTRACTION_CASES = (
+    ("implicit-june-created-year", "training for the June marathon", "2023-06-28", "2023-06-30T23:59:59.999Z"),
+    ("explicit-leap-february", "attending the February 2024 conference", "2023-12-01", "2024-02-29T23:59:59.999Z"),
+    ("explicit-q2", "Q2 2025 budget freeze in effect", "2025-04-01", "2025-06-30T23:59:59.999Z"),
+    ("inclusive-through-month", "subscribed through December 2023", "2023-06-01", "2023-12-31T23:59:59.999Z"),
+    ("timeless", "is vegetarian", "2023-05-01", None),
+)
+DECISION_CASES = (
+    ("equal-boundary-is-expired", "2023-06-30T23:59:59.999Z", "2023-06-30T23:59:59.999Z", True),
+    ("one-ms-before-is-current", "2023-07-01T00:00:00.000Z", "2023-06-30T23:59:59.999Z", False),
+    ("one-ms-after-is-expired", "2023-06-30T23:59:59.999Z", "2023-07-01T00:00:00.000Z", True),
+    ("timeless-is-current", None, "2033-07-01T00:00:00.000Z", False),
+)
+
+
+def witnesses(created: Column) -> Column:
+    """An array with a row a frozen case: its name, what its text gives for a row created then (null for decisions), and whether the
+    rules still give what the case says."""
+    day = lambda x: F.lit(x).cast("date")
+    rows = [F.struct(F.lit(n).alias("name"), expiry(F.lit(t), created).alias("expires"), expiry(F.lit(t), day(c)).eqNullSafe(F.lit(e)).alias("holds")) for n, t, c, e in EXTRACTION_CASES]
+    rows += [F.struct(F.lit(n).alias("name"), F.lit(None).cast("string").alias("expires"), (expired(F.lit(e).cast("string"), F.lit(now)) == F.lit(x)).alias("holds")) for n, e, now, x in DECISION_CASES]
+    return F.array(*rows)
+
+
 def effective_confidence(conf: Column, support: Column, challenge: Column, calibration: float = 1.0) -> Column:
     """Confidence with what supports and what challenges it, within 0 and 1."""
     raw = conf * calibration + 0.15 * F.tanh(support) - 0.6 * F.tanh(challenge)

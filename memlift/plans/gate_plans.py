@@ -301,11 +301,15 @@ def gt17_negative_control(spark, sf_dir):
     return real.crossJoin(F.broadcast(fake))  # one row each
 
 
-@query("select year(o_orderdate)::int as y, strftime(last_day(make_date(year(o_orderdate)::int, 3, 1)), '%Y-%m-%d') || 'T23:59:59.999Z' as q1, count(*) as n from orders group by all")
+@query(
+    "with y as (select year(o_orderdate)::int as y, count(*) as n from orders group by all), c as (select * from (values ('implicit-june-created-year', '-06-30'), ('explicit-leap-february', '2024-02-29'), ('explicit-q2', '2025-06-30'), ('inclusive-through-month', '2023-12-31'), ('timeless', null), "
+    "('equal-boundary-is-expired', null), ('one-ms-before-is-current', null), ('one-ms-after-is-expired', null), ('timeless-is-current', null)) t(name, d)) "
+    "select y, n, name, case when d like '-%' then y::varchar || d else d end || 'T23:59:59.999Z' as expires, true as holds from y, c"
+)
 def gt18_policy_witness(spark, sf_dir):
-    """The frozen rule for a quarter gives the last day of March in each year of the orders."""
-    o = table(spark, sf_dir, "orders").withColumn("q1", P.expiry(F.lit("renews in Q1, in October at the latest"), F.col("o_orderdate")))
-    return o.groupBy(F.year("o_orderdate").alias("y"), "q1").agg(F.count("*").alias("n"))
+    """The nine frozen cases of the expiry rules, and what their texts give for the orders of each year."""
+    years = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("created"))
+    return years.select("y", "n", F.inline(P.witnesses(F.col("created"))))
 
 
 @query("select class, count(*) as n, class = 'measured' as comparable from (select case when event_type = 'error' then 'mock' when value < 5 then 'smoke' else 'measured' end as class from events) group by class")

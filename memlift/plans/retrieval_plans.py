@@ -163,15 +163,15 @@ def ret9_hybrid(spark, sf_dir):
 _LISTING = r"\b(how many|list|all|every|in order|order|total|the|les|der|los)\b"
 
 
-@query(rf"with col as (select source, unnest([source, lang]) as keyword from documents group by source, lang), asks as (select item_id as q_id, string_split(lower(text), ' ') as w, lower(text) as t from benchmark where regexp_matches(lower(text), '{_LISTING}')), k as (select lang, source, left(min(lower(string_split(trim(text), ' ')[1])), 4) as keyword from documents where len(trim(text)) > 3 group by lang, source) select q_id, k.source as collection, k.lang, count(*) as members from asks join k on contains(t, keyword) and length(keyword) > 1 join documents d on d.source = k.source and d.lang = k.lang group by all")
+@query(rf"with col as (select source, unnest([source, lang]) as keyword from documents group by source, lang), asks as (select item_id as q_id, string_split(lower(text), ' ') as w, lower(text) as t from benchmark where regexp_matches(lower(text), '{_LISTING}')), k as (select lang, source, left(min(lower(string_split(trim(text), ' ')[1])), 4) as keyword from documents where len(trim(text)) > 3 group by lang, source) select q_id, k.source as collection, k.lang, doc_id as member from asks join k on contains(t, keyword) and length(keyword) > 1 join documents d on d.source = k.source and d.lang = k.lang")
 def ret10_enumeration(spark, sf_dir):
-    """A question of a listing kind gets the whole of each collection (language and source) whose keyword it contains."""
+    """A question of a listing kind gets all members of each collection (language and source) whose keyword it contains."""
     d = table(spark, sf_dir, "documents")
     word = F.lower(F.element_at(F.split(F.trim("text"), " "), 1))
     k = d.where(F.length(F.trim("text")) > 3).groupBy("lang", "source").agg(F.substring(F.min(word), 1, 4).alias("keyword")).where(F.length("keyword") > 1)
     asks = table(spark, sf_dir, "benchmark").where(F.lower("text").rlike(_LISTING)).select(F.col("item_id").alias("q_id"), F.lower("text").alias("t"))
     hit = R.contained(asks, "t", k, "keyword").select("q_id", "lang", "source")
-    return hit.join(d.groupBy("lang", "source").agg(F.count("*").alias("members")), ["lang", "source"]).select("q_id", F.col("source").alias("collection"), "lang", "members")
+    return hit.hint("merge").join(d.select("lang", "source", "doc_id"), ["lang", "source"]).select("q_id", F.col("source").alias("collection"), "lang", F.col("doc_id").alias("member"))
 
 
 _NOTED = """select event_id, user_id, event_type, value, lead(event_id) over w as later, lead(value) over w as next_value, lag(value) over w as last_value from events window w as (partition by user_id, event_type order by event_id)"""

@@ -54,7 +54,9 @@ def test_expiry_witnesses(spark):
         (3, "March through October", "2023-03-31T23:59:59.999Z"),
         (4, "no date", None),
         (5, None, None),
-        (6, "feb 2024", "2024-02-29T23:59:59.999Z"),
+        (6, "february 2024", "2024-02-29T23:59:59.999Z"),
+        (7, "feb 2024", None),
+        (8, "training for the June marathon", "2023-06-30T23:59:59.999Z"),
     ]
     got = one(spark, [(a, b) for a, b, _ in rows], "n int, t string", policy.expiry(F.col("t"), F.lit("2023-07-15").cast("date")))
     assert got == [x for *_, x in rows]
