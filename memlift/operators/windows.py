@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,3 +65,12 @@ def splice(turns: DataFrame, extra: DataFrame, key: str, order: str) -> DataFram
     """Extra rows placed after the turn their order names, all renumbered from 0."""
     both = turns.withColumn("at_", F.col(order).cast("double")).unionByName(extra.withColumn("at_", F.col(order) + 0.5))
     return both.withColumn(order, F.row_number().over(W.partitionBy(key).orderBy("at_")) - 1).drop("at_")
+
+
+def merge_support(sources: list[DataFrame], key: str) -> DataFrame:
+    """(key, merged, n) from sources (key, place, body) in order of precedence: each body once, where it first comes, in order of
+    source and place. Repeats are folded before rows of a key come together."""
+    rows = reduce(DataFrame.unionByName, [d.select(key, F.lit(i).alias("source_"), F.col("place").cast("long").alias("place"), "body") for i, d in enumerate(sources)])
+    once = rows.where("body is not null").groupBy(key, "body").agg(F.min(F.struct("source_", "place")).alias("at"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "body")))
+    return once.groupBy(key).agg(F.transform(listed, lambda x: x["body"]).alias("merged"), F.count("*").alias("n"))

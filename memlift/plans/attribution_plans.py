@@ -190,13 +190,13 @@ def agg9_retrieval_quality(spark, sf_dir):
     s = segments(spark, sf_dir)
     items = turns(spark, sf_dir).select("conv_id", F.col("id").alias("item_id"), F.col("text").alias("body"))
     r = R.overlap_scores(s, items, ["conv_id"]).where("item_id <> q_id").withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc(F.round("score", 9)), "item_id")))
-    first = s.join(r.select("q_id", F.col("item_id").alias("gold_id"), "rank"), ["q_id", "gold_id"], "left").select("q_id", "rank")
+    first = s.join(r.select("q_id", F.col("item_id").alias("gold_id"), "rank").hint("merge"), ["q_id", "gold_id"], "left").select("q_id", "rank")
     return R.rank_quality(first, [], (1, 5, 10))
 
 
 @query(sql("select avg((a or b)::int) as union_recall, avg(a::int) as recall_a, avg(b::int) as recall_b from (select s.q_id, coalesce(bool_or(v.item_id = s.gold_id) filter (tier = 'T4'), false) as a, coalesce(bool_or(v.item_id = s.gold_id + 1) filter (tier = 'T2'), false) as b from segs s left join served v using (q_id) group by s.q_id)"))
 def agg10_union_recall(spark, sf_dir):
-    j = segments(spark, sf_dir).join(served(spark, sf_dir).select("q_id", "tier", "item_id"), "q_id", "left")
+    j = segments(spark, sf_dir).join(served(spark, sf_dir).select("q_id", "tier", "item_id").hint("merge"), "q_id", "left")
     hit = lambda tier, gold: F.coalesce(F.bool_or((F.col("tier") == tier) & (F.col("item_id") == gold)), F.lit(False))
     per = j.groupBy("q_id").agg(hit("T4", F.col("gold_id")).alias("a"), hit("T2", F.col("gold_id") + 1).alias("b"))
     return per.agg(F.avg((F.col("a") | F.col("b")).cast("int")).alias("union_recall"), F.avg(F.col("a").cast("int")).alias("recall_a"), F.avg(F.col("b").cast("int")).alias("recall_b"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memlift.functions import text as T
 from memlift.operators import sampling as S
 from memlift.operators import retrieval as R
+from memlift.operators import graph as G
 from memlift.operators import windows as O
 from memlift.plans.registry import query, table
 
@@ -193,7 +194,7 @@ def top8_term_merge(spark, sf_dir):
     terms = F.slice(F.array_distinct(F.filter(F.split("phrase", "[^a-z0-9_-]+"), lambda w: F.length(w) >= 3)), 1, 8)
     d = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("body"))
     whole = R.phrase_hits(q, d, "phrase", "body").select("conv_id", "turn", "item_id").distinct()
-    t = q.join(whole, ["conv_id", "turn"], "left_anti").select(F.struct("conv_id", "turn").alias("q_id"), F.posexplode(terms).alias("i", "term"))
+    t = q.join(whole.hint("merge"), ["conv_id", "turn"], "left_anti").select(F.struct("conv_id", "turn").alias("q_id"), F.posexplode(terms).alias("i", "term"))
     h = R.contained(d, "body", t.select("term").distinct(), "term").select("item_id", "term").hint("merge").join(t, "term")
     h = O.top_k(h, ["q_id", "i"], [F.asc("item_id")], 5).withColumnRenamed("rank", "r")
     k = O.top_k(O.keep_first(h, ["q_id", "item_id"], ["i", "r"]), "q_id", [F.asc("i"), F.asc("r")], 6).select("q_id.*", "item_id", F.lit("term").alias("route"))
@@ -249,17 +250,39 @@ def set5_distribution_difference(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("n")).exceptAll(known.groupBy("lang").agg(F.count("*").alias("n")))
 
 
-_PRECEDENCE = "case event_type when 'error' then 1 when 'login' then 2 when 'purchase' then 3 when 'view' then 4 else 5 end"
+_K = "json_extract_string(props, '$.k')::bigint % 10"
 
 
-@query(f"select user_id, string_agg(note, ',' order by p, note) as support, count(*) as n, min_by(note, [p::varchar, note]) as first from (select user_id, event_type || ':' || floor(value)::bigint::varchar as note, min({_PRECEDENCE}) as p from events group by all) group by user_id")
+@query(
+    f"with recursive ke as (select distinct user_id as g, k as src, dst from (select user_id, event_type, {_K} as k, lead({_K}) over (partition by user_id order by event_id) as dst from events) where event_type = 'purchase' and k <> dst), "
+    "kr as (select g, src as a, dst as b from ke union select kr.g, kr.a, ke.dst from kr join ke on ke.g = kr.g and ke.src = kr.b), "
+    "km as (select x.g, min(x.b) as place, 'cycle ' || string_agg(x.b::varchar, '-' order by x.b) as body from kr x join kr y on x.g = y.g and x.a = y.b and x.b = y.a group by x.g, x.a), "
+    "f as (select *, lag(event_id) over w as past, lag(value) over w as old from events window w as (partition by user_id, event_type order by event_id)), "
+    "c as (select user_id, event_id, past, row_number() over (partition by user_id order by event_id) as r from f where abs(value - old) > 60), "
+    "h as (select *, row_number() over (partition by user_id order by event_id desc) as r from events), o as (select user_id, min(event_id) as oldest from h where r <= 5 group by user_id), "
+    "s as (select g as user_id, 0 as source, place, body from km union all select user_id, 1, event_id, 'conflict ' || past::varchar || '-' || event_id::varchar from c where r <= 3 "
+    "union all select user_id, 2, event_id, 'update ' || event_type || ':' || floor(value)::bigint::varchar from events join o using (user_id) where event_type = 'error' and event_id > oldest "
+    "union all select user_id, 3, r, event_type || ':' || floor(value)::bigint::varchar from h where r <= 5 union all select user_id, 4, event_id, event_type || ':' || floor(value)::bigint::varchar from events where value < 5), "
+    "m as (select user_id, body, min(struct_pack(s := source, p := place)) as spot from s group by all) select user_id, string_agg(body, '|' order by spot, body) as merged, count(*) as n from m group by user_id"
+)
 def set6_support_merge(spark, sf_dir):
-    """Notes and evidence of a user, each once, by fixed precedence of kinds; what comes first decides."""
-    p = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "login", 2).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "view", 4).otherwise(5)
-    e = table(spark, sf_dir, "events").groupBy("user_id", F.concat("event_type", F.lit(":"), F.floor("value").cast("string")).alias("note")).agg(F.min(p).alias("p"))
-    rows = F.array_sort(F.collect_list(F.struct("p", "note")))
-    g = e.groupBy("user_id").agg(rows.alias("rows"))
-    return g.select("user_id", F.array_join(F.transform("rows", lambda x: x["note"]), ",").alias("support"), F.size("rows").cast("long").alias("n"), F.col("rows")[0]["note"].alias("first"))
+    """What a user's five latest events (the hits) are served with, each text once: cycles on which the user's items lie, up to three
+    conflicts, later errors that concern the hits, the hits, and the members of the collection of small values."""
+    e = table(spark, sf_dir, "events")
+    k, user = F.get_json_object("props", "$.k").cast("long") % 10, W.partitionBy("user_id").orderBy("event_id")
+    fact = F.concat_ws(":", "event_type", F.floor("value").cast("string"))
+    order = e.select(F.col("user_id").alias("g"), "event_type", k.alias("src"), F.lead(k).over(user).alias("dst"))
+    on = G.strong_components(order.where("event_type = 'purchase' and src <> dst"))
+    cycles = on.groupBy(F.col("g").alias("user_id"), F.col("component").alias("place")).agg(F.concat(F.lit("cycle "), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), "-")).alias("body"))
+    same = W.partitionBy("user_id", "event_type").orderBy("event_id")
+    flips = e.select("user_id", "event_id", F.lag("event_id").over(same).alias("past"), F.abs(F.col("value") - F.lag("value").over(same)).alias("by")).where("by > 60")
+    conflicts = O.top_k(flips, "user_id", [F.asc("event_id")], 3).select("user_id", F.col("event_id").alias("place"), F.format_string("conflict %d-%d", "past", "event_id").alias("body"))
+    hits = O.top_k(e, "user_id", [F.desc("event_id")], 5)
+    oldest = hits.groupBy("user_id").agg(F.min("event_id").alias("oldest"))
+    concerns = e.where("event_type = 'error'").hint("merge").join(oldest, "user_id").where("event_id > oldest").select("user_id", F.col("event_id").alias("place"), F.concat(F.lit("update "), fact).alias("body"))
+    small = e.where("value < 5").select("user_id", F.col("event_id").alias("place"), fact.alias("body"))
+    merged = O.merge_support([cycles, conflicts, concerns, hits.select("user_id", F.col("rank").alias("place"), fact.alias("body")), small], "user_id")
+    return merged.select("user_id", F.array_join("merged", "|").alias("merged"), "n")
 
 
 @query("select o_orderkey, list_sort(list(l_linenumber)) = list_transform(range(1, count(*) + 1), lambda x: x::int) as same from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey")

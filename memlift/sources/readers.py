@@ -24,7 +24,7 @@ def numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id_"), "value").withColumn("part_", F.shiftright("id_", 33))
     parts = t.groupBy("file", "part_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(W.partitionBy("file").orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = t.join(parts.withColumn("before_", before).drop("n_"), ["file", "part_"])
+    rows = t.join(parts.withColumn("before_", before).drop("n_").hint("broadcast"), ["file", "part_"])  # one row a part of a file
     x = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return rows.select("file", (F.col("id_") - F.col("first_") + F.col("before_") + 1).alias("line"), x.alias("x_")).select("file", "line", "x_.*")
 
@@ -102,7 +102,7 @@ def import_edges(files: DataFrame) -> DataFrame:
     stem = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^/]+)$", 1), r"\.\w+$", "")
     named = files.select(F.col("path").alias("src"), F.explode(F.regexp_extract_all("body", F.lit(r"(?m)(?:from|import|require\()\s*['\"]?\.{0,2}/?([\w./-]+)"), F.lit(1))).alias("name"))
     own = files.select(F.col("path").alias("dst"), stem(F.col("path")).alias("stem"))
-    return named.withColumn("stem", stem(F.col("name"))).join(own, "stem").where("src <> dst").select("src", "dst").distinct()
+    return named.withColumn("stem", stem(F.col("name"))).hint("merge").join(own, "stem").where("src <> dst").select("src", "dst").distinct()
 
 
 def published(rows: DataFrame, status: str, score: str, submitted: str, limit: int) -> DataFrame:
