@@ -204,3 +204,23 @@ def test_line_numbers_over_several_files(spark, tmp_path):
     got = readers.numbered_jsonl(spark, str(tmp_path), "x int").collect()
     assert sorted((r["file"][-1], r["line"], r["x"], r["_bad"]) for r in got if r["_bad"]) == [("a", 3, None, "bad"), ("b", 3, None, "bad")]
     assert sorted((r["file"][-1], r["line"], r["x"]) for r in got if not r["_bad"]) == [("a", 1, 0), ("a", 2, 1), ("b", 1, 0), ("b", 2, 1), ("b", 4, 3), ("b", 5, 4)]
+
+
+def test_merged_support_keeps_the_first_of_each_text(spark):
+    notes = spark.createDataFrame([(1, 5, "cycle"), (1, 2, "early"), (2, 1, None)], "q int, place long, body string")
+    support = spark.createDataFrame([(1, 1, "fact"), (1, 2, "cycle"), (2, 1, "only")], "q int, place long, body string")
+    got = {r["q"]: (r["merged"], r["n"]) for r in windows.merge_support([notes, support], "q").collect()}
+    assert got == {1: (["early", "cycle", "fact"], 3), 2: (["only"], 1)}
+
+
+def test_bm25_counts_lengths_in_the_row(spark):
+    from memlift.operators import retrieval
+
+    items = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, ""), (4, None)], "item_id long, body string")
+    asked = spark.createDataFrame([(9, "beta delta")], "q_id long, question string")
+    got = {r["item_id"]: r["score"] for r in retrieval.bm25(asked, items, text.tokens(F.col("question")), text.tokens(F.col("body"))).collect()}
+    import math
+
+    idf, mean = math.log(1 + (4 - 2 + 0.5) / 2.5), 5 / 4
+    want = {i: idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) for i, tf, dl in ((1, 2, 3), (2, 1, 2))}
+    assert got == pytest.approx(want)
