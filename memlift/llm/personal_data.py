@@ -273,7 +273,8 @@ def reliabilities(found: DataFrame) -> list[float]:
             n = [sum(total.get((k, 0, v), (0, 0))[y] for v in range(3)) for y in (0, 1)]
             prior.append(round((n[1] + START_WEIGHT / 2) / (n[0] + n[1] + START_WEIGHT), 6))
             rate.append([[[round((total.get((k, i, v), (0, 0))[y] + START_WEIGHT * start[i][y][v]) / (n[y] + START_WEIGHT), 9) for v in range(3)] for y in (0, 1)] for i in range(len(LABELERS))])
-        if all(abs(a - b) < 1e-5 for a, b in zip(prior, before[0])):
+        flat = lambda of: [of[0][k] for k in range(size)] + [x for kind in of[1] for labeler in kind for y in labeler for x in y]
+        if all(abs(a - b) < 1e-4 for a, b in zip(flat((prior, rate)), flat(before))):
             break
     pairs = found.sparkSession.range(size * PATTERNS).select((F.col("id") / PATTERNS).cast("int").alias("kind"), (F.col("id") % PATTERNS).cast("int").alias("votes"), "id")
     soft = [r.p / 1e6 for r in pairs.select("id", score().alias("p")).orderBy("id").collect()]
