@@ -25,6 +25,8 @@ from memlift.shipping import ship
 CENTRES, FIRST_CELLS = 512, 4
 #: Items and questions of one block.
 BLOCK_ITEMS, BLOCK_QUESTIONS = 4096, 2048
+#: Rows that a task's Python holds at once: questions scored against a block, and rows that go to cells.
+SCORED, SENT_ROWS = 128, 8192
 #: Scores count to so many places, and angles are compared with room for that.
 PLACES = 6
 
@@ -54,13 +56,16 @@ def _block_best(k: int):
     def run(items: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(items) or not len(asked):
             return pd.DataFrame({"q_id": [], "item_id": [], "score": []})
-        ids, score = items["item_id"].to_numpy(), np.round(_matrix(asked["v"]) @ _matrix(items["v"]).T, PLACES) + 0.0
-        score[asked["q_id"].to_numpy()[:, None] == ids[None, :]] = -9
+        items = items.sort_values("item_id", kind="stable")
+        ids, at = items["item_id"].to_numpy(), _matrix(items["v"]).T
         out = []
-        order = np.argsort(ids, kind="stable")
-        for q, row in zip(asked["q_id"], score[:, order]):
-            best = np.argsort(-row, kind="stable")[:k]
-            out += [(q, ids[order[i]], row[i]) for i in best if row[i] > -9]
+        for first in range(0, len(asked), SCORED):
+            some = asked.iloc[first : first + SCORED]
+            score = np.round(_matrix(some["v"]) @ at, PLACES) + 0.0
+            score[some["q_id"].to_numpy()[:, None] == ids[None, :]] = -9
+            for q, row in zip(some["q_id"], score):
+                best = np.argsort(-row, kind="stable")[:k]
+                out += [(q, ids[i], row[i]) for i in best if row[i] > -9]
         return pd.DataFrame(out, columns=["q_id", "item_id", "score"])
 
     return run
@@ -123,7 +128,10 @@ def nearest(items: DataFrame, questions: DataFrame, k: int, vec: str = "v") -> D
                 need = bound <= worst.reshape(-1, 1) + 1e-7
                 np.put_along_axis(need, first_cells(x), False, axis=1)
                 row, at = np.nonzero(need)
-                yield part[["q_id", "v"]].iloc[row].assign(cell=live[at].astype(np.int32))
+                # a question may need every cell: its vector isn't repeated for a whole batch at once
+                for first in range(0, len(row), SENT_ROWS):
+                    some = slice(first, first + SENT_ROWS)
+                    yield part[["q_id", "v"]].iloc[row[some]].assign(cell=live[at[some]].astype(np.int32))
 
     looked = "q_id long, v array<double>, cell int"
     order = [F.desc("score"), F.asc("item_id")]
