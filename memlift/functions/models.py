@@ -69,7 +69,7 @@ class FactMemory:
 
 class Bm25Retriever:
     def topk(self, questions: DataFrame, items: DataFrame, k: int) -> DataFrame:
-        return R.best(R.bm25(questions, items, T.tokens(F.col("question")), T.tokens(F.col("body"))), k)
+        return R.best(R.bm25(questions, items, T.tokens(F.col("question")), T.tokens(F.col("body")), most=k), k)
 
 
 def capture(turns: DataFrame, key: str, order: str, text: str, reader: Callable[[Column], Column]) -> DataFrame:

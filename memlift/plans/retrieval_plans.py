@@ -36,12 +36,12 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("body"), "lang", "source")
 
 
-def overlap(spark, sf_dir):
-    return R.overlap_scores(questions(spark, sf_dir), documents(spark, sf_dir), [])
+def overlap(spark, sf_dir, most=None):
+    return R.overlap_scores(questions(spark, sf_dir), documents(spark, sf_dir), [], most=most)
 
 
-def bm25(spark, sf_dir):
-    return R.bm25(questions(spark, sf_dir), documents(spark, sf_dir), T.tokens(F.col("question")), T.tokens(F.col("body")))
+def bm25(spark, sf_dir, most=None, summed=False):
+    return R.bm25(questions(spark, sf_dir), documents(spark, sf_dir), T.tokens(F.col("question")), T.tokens(F.col("body")), most=most, summed=summed)
 
 
 def ranked(scores, k: int):
@@ -59,12 +59,12 @@ def jn3_similarity_join(spark, sf_dir):
 
 @query(ranked(OVERLAP, 8))
 def ret1_overlap_top(spark, sf_dir):
-    return long_rank(R.best(overlap(spark, sf_dir), 8))
+    return long_rank(R.best(overlap(spark, sf_dir, 8), 8))
 
 
 @query(ranked(BM25, 10))
 def ret2_bm25_top(spark, sf_dir):
-    return long_rank(R.best(bm25(spark, sf_dir), 10))
+    return long_rank(R.best(bm25(spark, sf_dir, 10), 10))
 
 
 _GRAMS = "list_filter(list_transform(list_zip(c, c[2:], c[3:]), lambda z: z[1] || z[2] || z[3]), lambda g: g is not null)"
@@ -82,7 +82,7 @@ def ret3_trigrams(spark, sf_dir):
     """BM25 over the trigrams of five fields put together."""
     fields = F.concat_ws(" | ", "text", "lang", "source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.concat(F.lit("len "), F.col("n_chars").cast("string")))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), fields.alias("body"))
-    s = R.bm25(questions(spark, sf_dir), d, R.trigrams(F.col("question")), R.trigrams(F.col("body")))
+    s = R.bm25(questions(spark, sf_dir), d, R.trigrams(F.col("question")), R.trigrams(F.col("body")), most=3, runs=F.lower("body"))
     return O.top_k(s, "q_id", [F.desc(F.round("score", 6)), F.asc("item_id")], 3).select("q_id", "item_id")
 
 
@@ -157,7 +157,7 @@ def ret8_vector_top(spark, sf_dir):
 
 @query(f"select coalesce(a.q_id, b.q_id) as q_id, coalesce(a.item_id, b.item_id) as item_id, a.rank as rank_a, b.rank as rank_b from ({ranked(OVERLAP, 5)}) a full join ({ranked(BM25, 5)}) b using (q_id, item_id)")
 def ret9_hybrid(spark, sf_dir):
-    return R.hybrid(long_rank(R.best(overlap(spark, sf_dir), 5)), long_rank(R.best(bm25(spark, sf_dir), 5)))
+    return R.hybrid(long_rank(R.best(overlap(spark, sf_dir, 5), 5)), long_rank(R.best(bm25(spark, sf_dir, 5), 5)))
 
 
 _LISTING = r"\b(how many|list|all|every|in order|order|total|the|les|der|los)\b"
@@ -209,8 +209,8 @@ def ret11_notes(spark, sf_dir):
 
 @query(f"with s as {BM25} select q.item_id as q_id, count(s.item_id) as hits, coalesce(round(max(s.score), 6), 0) as top from benchmark q left join s on s.q_id = q.item_id group by q.item_id")
 def ret12_absent_probe(spark, sf_dir):
-    s = bm25(spark, sf_dir)
-    return questions(spark, sf_dir).select("q_id").join(s.hint("merge"), "q_id", "left").groupBy("q_id").agg(F.count("item_id").alias("hits"), F.coalesce(F.round(F.max("score"), 6), F.lit(0.0)).alias("top"))
+    s = bm25(spark, sf_dir, summed=True)
+    return questions(spark, sf_dir).select("q_id").join(s.hint("merge"), "q_id", "left").groupBy("q_id").agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.round(F.max("top"), 6), F.lit(0.0)).alias("top"))
 
 
 _TRIALS = "select user_id, user_id % 4 as d, event_id, value, event_type, row_number() over (partition by user_id order by event_id desc) as back from events"
