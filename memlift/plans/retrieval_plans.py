@@ -103,17 +103,11 @@ def terms_of(spark, sf_dir):
 def ret4_like_score(spark, sf_dir):
     """How many of a question's terms occur in the text and in the role; the five best turns. Terms are looked up by their first
     three letters among the trigrams of a turn and tried only where these are."""
-    h = R.term_hits(terms_of(spark, sf_dir), turn_fields(spark, sf_dir), ["conv_id", "turn"], "field")
-    s = h.groupBy("q_id", "conv_id", "turn").agg(F.count("*").alias("score"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.lower("text"), F.lower("role")).alias("bodies"))
+    s = R.term_scores(terms_of(spark, sf_dir), rows, ["conv_id", "turn"], 5, True)
     return O.top_k(s, "q_id", [F.desc("score"), F.asc("conv_id"), F.asc("turn")], 5).select("q_id", "conv_id", "turn", "score")
 
 
-def turn_fields(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    f = F.explode(F.map_from_arrays(F.array(F.lit("text"), F.lit("role")), F.array(F.lower("text"), F.lower("role"))))
-    return c.select("conv_id", "turn", f.alias("field", "body"))
-
-
 @query("select distinct d.doc_id, b.item_id from documents d join benchmark b on contains(lower(d.text), lower(b.text))")
 def ret5_phrase(spark, sf_dir):
     """Documents that hold a question whole. A phrase is looked up by its longest word, as a whole word or not, and then tried;
@@ -241,8 +235,7 @@ def ret14_known_split(spark, sf_dir):
 @query(f"with q as (select item_id as q_id, unnest({_TERMS}) as t from benchmark) select q_id, conv_id, turn, score from (select *, row_number() over (partition by q_id order by score desc, conv_id desc, turn desc) as r from (select q_id, conv_id, turn, sum(length(t))::bigint as score from conversations join q on contains(lower(role || ' ' || text), t) group by all)) where r <= 5")
 def ret15_length_score(spark, sf_dir):
     """Lengths of the question's terms that occur in role and text put together; newest first on ties."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.concat_ws(" ", "role", "text")).alias("body"))
-    h = R.term_hits(terms_of(spark, sf_dir), rows, ["conv_id", "turn"])
-    s = h.groupBy("q_id", "conv_id", "turn").agg(F.sum(F.length("term")).alias("score"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.lower(F.concat_ws(" ", "role", "text"))).alias("bodies"))
+    s = R.term_scores(terms_of(spark, sf_dir), rows, ["conv_id", "turn"], 5, False, by_length=True)
     return O.top_k(s, "q_id", [F.desc("score"), F.desc("conv_id"), F.desc("turn")], 5).select("q_id", "conv_id", "turn", "score")
 
