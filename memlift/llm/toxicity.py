@@ -98,18 +98,23 @@ def features(gains: list[int]) -> np.ndarray:
 
 def standing_out(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """The words that stand out in the toxic texts, once for each context."""
-    contexts: dict[bytes, set[tuple[bytes, bytes]]] = {}
     usual: Counter[bytes] = Counter()
     for t in ordinary:
         usual.update({w.strip(EDGE) for w in words_of(t)})
+    least, share = max(3, 0.005 * len(toxic)), len(toxic) / max(1, len(ordinary))
+    enough = lambda w, n: n >= least and n >= STANDS_OUT * share * (usual[w] + 0.5)
+    # a word has no more contexts than occurrences, so contexts are kept of few words only
+    occurs: Counter[bytes] = Counter()
+    for t in toxic:
+        occurs.update(w.strip(EDGE) for w in words_of(t))
+    contexts: dict[bytes, set[tuple[bytes, bytes]]] = {w: set() for w, n in occurs.items() if len(w) > 2 and enough(w, n)}
     for t in toxic:
         ws = words_of(t)
         for before, w, after in zip([b"", *ws], ws, [*ws[1:], b""]):
             w = w.strip(EDGE)
-            if len(w) > 2:
-                contexts.setdefault(w, set()).add((before, after))
-    least, share = max(3, 0.005 * len(toxic)), len(toxic) / max(1, len(ordinary))
-    return [w for w in sorted(contexts) if len(contexts[w]) >= least and len(contexts[w]) >= STANDS_OUT * share * (usual[w] + 0.5) for _ in contexts[w]]
+            if w in contexts:
+                contexts[w].add((before, after))
+    return [w for w in sorted(contexts) if enough(w, len(contexts[w])) for _ in contexts[w]]
 
 
 def dictionaries(toxic: list[str], ordinary: list[str], rng: np.random.Generator) -> tuple[bytes, bytes]:

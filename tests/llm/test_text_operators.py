@@ -413,3 +413,20 @@ class TestToxicity:
         model = toxicity.train(self.rows(300, 3))
         assert all(0 <= r["score"] <= 1 for r in toxicity.score(d, model).collect())
         assert toxicity.keep_ordinary(d, model).columns == d.columns
+
+
+def test_contexts_are_kept_of_few_words():
+    """The pipeline's driver ran out of memory while fitting: contexts of all words of toxic texts were kept, though few words can stand out."""
+    import random
+    import tracemalloc
+
+    from memlift.llm import toxicity
+
+    rng = random.Random(8)
+    usual = [" ".join(f"w{rng.randrange(3000)}" for _ in range(100)) for _ in range(400)]
+    bad = [" ".join(f"w{rng.randrange(3000)}" if i % 10 else "slur," for i in range(100)) for _ in range(400)]
+    tracemalloc.start()
+    found = toxicity.standing_out(bad, usual)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found) == {b"slur"} and len(found) > 3000 and most < 4_000_000
