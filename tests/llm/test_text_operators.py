@@ -84,6 +84,27 @@ class TestPieces:
             assert got[i]["ids"] == lib.encode(t or "") and got[i]["decoded"]
             assert model.decode(got[i]["ids"]) == (t or "").replace("▁", " ") == lib.decode(got[i]["ids"])
 
+    def test_words_of_a_task_are_solved_once(self):
+        """op8: with room for half of these words, each turn over the texts solved most of them again."""
+        model = piece_lattice.PieceModel(self.path)
+        solve, solved = model.solve_together, []
+        model.solve_together = lambda words: solved.extend(words) or solve(words)
+        texts = [model.normal(" ".join(f"{i:x}" for i in range(at, at + 2000))) for at in range(0, 240_000, 2000)]
+        first = [w[:5] for t in texts[:3] for w in model.words_of(t)]
+        for _ in range(2):
+            for at in range(0, len(texts), 40):
+                model.words_of_all(texts[at : at + 40])
+        assert len(solved) == len(set(solved)) == 240_000
+        assert [w[:5] for t in texts[:3] for w in model.words_of(t)] == first
+
+    def test_long_words_are_not_all_kept(self, monkeypatch):
+        monkeypatch.setattr(piece_lattice, "CACHE_CHARS", 5000)
+        model, plain = piece_lattice.PieceModel(self.path), piece_lattice.PieceModel(self.path)
+        for i in range(60):
+            text = model.normal(f"{i} " + f"x{i}y" * 200)
+            assert model.words_of(text) == plain.words_of(text)
+        assert sum(map(len, model.words)) + sum(map(len, model.older)) < 15_000
+
     def test_n_best_equal_the_library(self, texts):
         u, scores = self.unigram()
         model = piece_lattice.PieceModel(self.path, 5)
