@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlift.llm.common import arrow_map, arrow_schema, release, sized, stage, unstage, utf8
+from memlift.llm.common import arrow_schema, release, sized, stage, unstage, utf8
 from memlift.llm.components import linked_groups
 from memlift.llm.wordhash import distinct, mixed, sequence_hashes, spans_and_hashes
 from memlift.shipping import ship
@@ -290,14 +290,33 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.select(*PLACE, "first_doc", "unit", F.col("component").alias("part"))
 
 
-def inside(parts: list[tuple]) -> list[bool]:
-    """For each (start, end, unit, ...) in order of start, longest first, whether a paragraph before it in the list holds it."""
-    out, reach = [], -1
-    for start, end, unit, *_ in parts:
-        out.append(end <= reach)
-        if not unit:
-            reach = max(reach, end)
-    return out
+def mark_nested(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """id, nested, first_char, last_char, unit, first_word, words, first_doc and part of each different part; batch: id and its
+    parts. Nested are parts that a paragraph before them holds, in order of start, longest first, paragraphs before units."""
+    lists = batch.column(1)
+    flat = lists.flatten()
+    doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    cols = [c.to_numpy(zero_copy_only=False) for c in flat.flatten()]
+    start, end, unit, *more = cols
+    order = np.lexsort((*more[::-1], unit, -end.astype(np.int64), start, doc))
+    doc, cols = doc[order], [c[order] for c in cols]
+    new = np.ones(len(doc), bool)
+    if len(doc):
+        new[1:] = np.any([c[1:] != c[:-1] for c in (doc, *cols)], axis=0)
+    doc, cols = doc[new], [c[new] for c in cols]
+    # how far the paragraphs so far reach, each document above all before it
+    base = doc.astype(np.int64) << 32
+    reach = np.maximum.accumulate(np.where(cols[2], base, base + cols[1] + 1)) if len(doc) else base
+    nested = np.zeros(len(doc), bool)
+    nested[1:] = (base + cols[1] + 1)[1:] <= reach[:-1]
+    return [batch.column(0).to_numpy()[doc], nested, *cols]
+
+
+def tuples(lists: pa.ListArray) -> list[list[tuple]]:
+    """Lists of structs as lists of tuples."""
+    flat, cut = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+    rows = list(zip(*(c.to_pylist() for c in flat.flatten())))
+    return [rows[a:b] for a, b in zip(cut, cut[1:])]
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -366,37 +385,33 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a document's own parts: bounded by its text
     per = stage(rows.groupBy("id").agg(F.collect_list(F.struct(*part)).alias("parts")), "parts_by_document")
 
-    def mark():
-        def step(batch):
-            out: dict[str, list] = {n: [] for n in ("id", "nested", *part)}
-            for i, parts in zip(batch["id"], batch["parts"]):
-                own = sorted({tuple(p[n] for n in part) for p in parts}, key=lambda p: (p[0], -p[1], p[2]))
-                for p, nested in zip(own, inside(own)):
-                    for n, v in zip(out, (i, nested, *p)):
-                        out[n].append(v)
-            return out
+    schema = "id long, nested boolean, first_char int, last_char int, unit boolean, first_word int, words int, first_doc long, part long"
+    target = arrow_schema(docs.sparkSession, schema)
 
-        return step
+    def mark(batches):
+        for batch in batches:
+            cols = mark_nested(batch)
+            for x in range(0, len(cols[0]), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 5000], type=f.type) for c, f in zip(cols, target)], schema=target)
 
+    ship(docs.sparkSession)
     # whoever stands inside repeated paragraphs everywhere goes or stays with them
-    marked = stage(arrow_map(per, mark, "id long, nested boolean, first_char int, last_char int, unit boolean, first_word int, words int, first_doc long, part long"), "marked")
+    marked = stage(per.mapInArrow(mark, schema), "marked")
     free = marked.where("not nested")
     deep = marked.where("nested").join(free.select("unit", "part").distinct().hint("merge"), ["unit", "part"], "left_semi")
     own = free.unionByName(deep).groupBy("id").agg(F.collect_list(F.struct("first_char", "last_char", "first_word", "words", "first_doc", "unit")).alias("parts"))
     own = stage(own, "by_document")
 
-    def make():
-        def step(batch):
-            out: dict[str, list] = {n: [] for n in ("id", "first_doc_id", "first_char", "last_char", "n_words", "removed")}
-            for i, parts in zip(batch["id"], batch["parts"]):
-                for start, end, words, first, removed in runs(i, [(p["first_char"], p["last_char"], p["first_word"], p["words"], p["first_doc"], p["unit"]) for p in parts], least_words):
-                    for n, v in zip(out, (i, first, start, end, words, removed)):
-                        out[n].append(v)
-            return out
+    out = "id long, first_doc_id long, first_char long, last_char long, n_words long, removed boolean"
+    passages = arrow_schema(docs.sparkSession, out)
 
-        return step
+    def find(batches):
+        for batch in batches:
+            rows = [(i, first, start, end, words, removed) for i, parts in zip(batch.column(0).to_pylist(), tuples(batch.column(1))) for start, end, words, first, removed in runs(i, parts, least_words)]
+            for x in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[x : x + 5000]), passages)], schema=passages)
 
-    return arrow_map(own, make, "id long, first_doc_id long, first_char long, last_char long, n_words long, removed boolean").withColumnRenamed("id", id_col)
+    return own.mapInArrow(find, out).withColumnRenamed("id", id_col)
 
 
 def remove_passages(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from memlift.llm import embed_dedup, mixing, para_dedup
@@ -180,6 +181,27 @@ class TestParagraphs:
             assert cut.strip(". ") in inner and r["n_words"] >= 48
         assert para_dedup.remove_passages(text[201], [(r["first_char"], r["last_char"]) for r in got[201]]) == ""
 
+    def test_nested_parts_are_found_by_whole_columns(self):
+        """op6: each part was a Python dictionary. Random parts, some of them twice, against a plain loop."""
+        rng = random.Random(6)
+        docs = []
+        for i in range(60):
+            parts = [(a := rng.randrange(40), a + rng.randrange(1, 12), rng.random() < 0.6, a, 3, rng.randrange(9), rng.randrange(-4, 4)) for _ in range(rng.randrange(30))]
+            docs.append((i * 7, parts + parts[:3]))
+        names = ("first_char", "last_char", "unit", "first_word", "words", "first_doc", "part")
+        kinds = pa.struct([(n, pa.bool_() if n == "unit" else pa.int64() if n in ("first_doc", "part") else pa.int32()) for n in names])
+        lists = pa.array([[dict(zip(names, p)) for p in parts] for _, parts in docs], pa.list_(kinds))
+        whole = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), lists], ["id", "parts"])
+        for batch, given in ((whole, docs), (whole.slice(11, 30), docs[11:41]), (whole.slice(0, 0), [])):
+            wanted = []
+            for i, parts in given:
+                reach = -1
+                for p in sorted(set(parts), key=lambda p: (p[0], -p[1], *p[2:])):
+                    wanted.append((i, p[1] <= reach, *p))
+                    reach = reach if p[2] else max(reach, p[1])
+            assert list(zip(*(c.tolist() for c in para_dedup.mark_nested(batch)))) == wanted
+            assert para_dedup.tuples(batch.column(1)) == [parts for _, parts in given]
+
     def units(self, text):
         p = para_dedup.cut_texts([text]).units
         return [text[a:b] for a, b in zip(p["first_char"], p["last_char"])]
