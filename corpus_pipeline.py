@@ -19,6 +19,8 @@ from memlift.llm import mixing, ngram_join, piece_lattice, secret_scan, toxicity
 from memlift.llm.common import sized, stage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that the last stage's tasks keep (at most twice so many): by then the stages before have filled the executors' memory.
+PIECE_WORDS = 90_000
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +68,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the encoding of each row, its ids among it. A null text has no pieces. Each row is handled by
     itself. An empty table gives an empty result; further columns go."""
-    return piece_lattice.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, carry=("lang", "source"))
+    return piece_lattice.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, carry=("lang", "source"), room=PIECE_WORDS)
 
 
 STAGES = [("toxicity", toxic_out), ("near_duplicates", near_duplicates_out), ("secrets", secrets_out), ("mixture", mixture), ("pieces", pieces)]

@@ -27,9 +27,10 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 from copy import copy
 from functools import lru_cache
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import sentencepiece
@@ -39,15 +40,17 @@ from memlift.llm.common import arrow_map
 
 SPACE = "▁"
 N_BEST = 4
-#: At most twice so many words, and so many parts, keep their segmentations in a Python worker. With 90,000 a third of what
-#: was solved in 8,000 texts had been solved before.
+#: At most twice so many words, and so many parts, keep their segmentations in a Python worker, a word in about 230 bytes. Of
+#: 8,000 texts 549,000 words are solved with 360,000 (all are kept, 691,000 entries at most), 777,000 with 90,000 (217,000 entries).
 CACHE, PARTS = 360_000, 20_000
 #: Characters of the words that are kept, at most twice so many (a text at once aside): words may be as long as a text.
 CACHE_CHARS = 16 * CACHE
 #: Words of up to so many characters are solved together; parts of longer ones by themselves.
 TOGETHER = 48
-#: Texts whose new words are solved together.
-AT_ONCE = 250
+#: Texts whose new words are looked up together, and most of their characters (a longer one goes by itself).
+AT_ONCE, AT_ONCE_CHARS = 250, 2_000_000
+#: Characters of new words that are solved together: each has its edges in several arrays for that time.
+SOLVED_CHARS = 65_536
 #: In place of a score: pieces begin so, and none does. Scores are never above 0.
 BEGINS, ABSENT = 2.0, 1.0
 #: What the library takes off the lowest score for a character without a piece.
@@ -92,6 +95,70 @@ class PieceTrie:
         return out
 
 
+def bounded(items: list[str], most: int, chars: int) -> Iterator[list[str]]:
+    """The items in order, so many and of so many characters at a time at most, or one longer."""
+    out, held = [], 0
+    for x in items:
+        if out and (len(out) >= most or held + len(x) > chars):
+            yield out
+            out, held = [], 0
+        out.append(x)
+        held += len(x)
+    if out:
+        yield out
+
+
+class Column:
+    """Numbers one behind the other, in an array with room for more."""
+
+    def __init__(self, kind: type, first: tuple = ()):
+        self.all, self.n = np.array(first, kind), len(first)
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.all):
+            grown = np.empty(n + n // 8 + 1024, self.all.dtype)
+            grown[: self.n] = self.all[: self.n]
+            self.all = grown
+        self.all[self.n : n] = values
+        self.n = n
+
+
+class SolvedWords(dict):
+    """The row of each word, and the rows in columns: tuples with bytes and floats take half as much again."""
+
+    def __init__(self):
+        super().__init__()
+        self.score, self.step, self.decodes = Column(np.float64), Column(np.float64), Column(np.bool_)
+        #: ids by merges and of the best path, word by word, and where each word's begin
+        self.ids, self.begin = (Column(np.int32), Column(np.int32)), (Column(np.int64, (0,)), Column(np.int64, (0,)))
+
+    def add(self, words: list[str], score, step, decodes, *paths: tuple[np.ndarray, np.ndarray]) -> None:
+        self.update(zip(words, range(len(self), len(self) + len(words))))
+        self.score.add(score)
+        self.step.add(step)
+        self.decodes.add(decodes)
+        for ids, begin, (new, sizes) in zip(self.ids, self.begin, paths):
+            begin.add(np.cumsum(sizes) + ids.n)
+            ids.add(new)
+
+    def path(self, rows: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in these rows, by merges (0) or of the best path (1), and how many each has."""
+        begin = self.begin[which].all
+        start = begin[rows]
+        size = begin[rows + 1] - start
+        at = np.repeat(start - (np.cumsum(size) - size), size)
+        return self.ids[which].all[at + np.arange(len(at))], size
+
+    def take(self, words: list[str], other: SolvedWords) -> None:
+        """Adds words that the other has."""
+        rows = other.rows(words)
+        self.add(words, other.score.all[rows], other.step.all[rows], other.decodes.all[rows], other.path(rows, 0), other.path(rows, 1))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 class PieceModel:
     def __init__(self, path: str, n_best: int = N_BEST):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -100,6 +167,8 @@ class PieceModel:
         self.names = [sp.id_to_piece(i) for i in range(size)]
         self.byte = {int(self.names[i][1:-1], 16): i for i in range(size) if sp.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
+        self.is_byte = np.array([i in self.of_byte for i in range(size)])
+        self.chars = np.array([len(x) for x in self.names])
         skip = set(special)
         self.ids = {self.names[i]: i for i in range(size) if i not in skip}
         given = {p: sp.get_score(i) for p, i in self.ids.items()}
@@ -114,18 +183,19 @@ class PieceModel:
         self.trie = PieceTrie(self.starts, self.ids)
         self.together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.n_best = n_best
-        self.words: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.words, self.older = SolvedWords(), SolvedWords()
+        self.room = CACHE
         self.kept_chars = 0
         self.parts: dict[str, tuple] = {}
         self.several: dict[str, list] = {}
         # words may be cut before a space only if no piece has one behind another character
         self.word = re.compile(f"{SPACE}.*" if any(SPACE in p.lstrip(SPACE) for p in self.ids) else f"{SPACE}+[^{SPACE}]*", re.S)
 
-    def fresh(self) -> PieceModel:
-        """The same model with its own memory of words, which goes with it."""
+    def fresh(self, room: int = CACHE) -> PieceModel:
+        """The same model with its own memory of words, at most twice so many, which goes with it."""
         out = copy(self)
-        out.words, out.older, out.parts, out.several = {}, {}, {}, {}
+        out.room = room
+        out.words, out.older, out.parts, out.several = SolvedWords(), SolvedWords(), {}, {}
         out.kept_chars = 0
         return out
 
@@ -243,8 +313,9 @@ class PieceModel:
         start, stop, score, piece, size_ = map(np.concatenate, (starts, stops, scores, pieces, sizes))
         depth = stop - np.repeat(offset, lengths + 1)[stop]
         # edges that end at one depth and have one size end at different places; longer pieces first
-        order = np.argsort((depth * 256 - np.minimum(size_, 255)).astype(np.int32), kind="stable")
-        start, stop, score, piece, group = start[order], stop[order], score[order], piece[order], (depth * 256 - np.minimum(size_, 255))[order]
+        group = (depth * 256 - np.minimum(size_, 255)).astype(np.uint16 if lengths.max() < 256 else np.int64)
+        order = np.argsort(group, kind="stable")
+        start, stop, score, piece, group = start[order], stop[order], score[order], piece[order], group[order]
         cuts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]))
         n = len(chars) + len(words)
         best, second, came, by = np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n, np.int64), np.full(n, -1, np.int64)
@@ -306,28 +377,53 @@ class PieceModel:
 
     def words_of_all(self, texts: list[str]) -> list[list[tuple]]:
         """words_of() for each text; words that are new are solved together."""
-        if len(self.words) >= CACHE or self.kept_chars >= CACHE_CHARS:  # what was used since the last turn stays, so frequent words are never solved again
-            self.older, self.words, self.kept_chars = self.words, {}, 0
+        out = []
+        for words, rows in self.rows_of_all(texts):
+            known, paths = self.words, []
+            for which in (0, 1):
+                ids, size = known.path(rows, which)
+                cut = [0, *(np.cumsum(size) * 4).tolist()]
+                raw = ids.tobytes()
+                paths.append([raw[a:b] for a, b in zip(cut, cut[1:])])
+            out.append(list(zip(words, *paths, known.score.all[rows].tolist(), known.step.all[rows].tolist(), known.decodes.all[rows].tolist())))
+        return out
+
+    def rows_of_all(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """The words of each normal text and their rows in self.words, until the next call; words that are new are solved
+        together."""
+        if len(self.words) >= self.room or self.kept_chars >= CACHE_CHARS:  # what was used since the last turn stays, so frequent words are never solved again
+            self.older, self.words, self.kept_chars = self.words, SolvedWords(), 0
         found = [self.word.findall(t) for t in texts]
-        known, older, new = self.words, self.older, []
-        for w in dict.fromkeys([w for ws in found for w in ws]):
-            if w not in known:
-                self.kept_chars += len(w)
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        if new:
+        known, older = self.words, self.older
+        unknown = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in known]
+        self.kept_chars += sum(map(len, unknown))
+        if older:
+            known.take([w for w in unknown if w in older], older)
+            unknown = [w for w in unknown if w not in older]
+        for new in bounded(unknown, len(unknown), SOLVED_CHARS):
             # the library puts the first space before each word itself, but not before an empty one
             given = self.library.encode([w[1:].replace(SPACE, " ") for w in new], num_threads=1)
+            given = [ids or self.piece_ids(word) for word, ids in zip(new, given)]
             short = [w for w in new if len(w) <= TOGETHER]
             solved = dict(zip(short, self.solve_together(short))) if short else {}
-            for word, ids in zip(new, given):
-                ids = ids or self.piece_ids(word)
-                raw = array("i", ids).tobytes()
-                score, path, step = solved[word] if word in solved else self.solve_long(word)
-                known[word] = (word, raw, path, score, step, self.decoded(ids) == word)
-        return [[known[w] for w in ws] for ws in found]
+            score, path, step = zip(*(solved[w] if w in solved else self.solve_long(w) for w in new))
+            merged = np.fromiter(chain.from_iterable(given), np.int32), np.fromiter(map(len, given), np.int64)
+            decodes = self.give_back(new, *merged)
+            best = np.frombuffer(b"".join(path), np.int32), np.fromiter(map(len, path), np.int64) // 4
+            known.add(new, score, step, decodes, merged, best)
+        return [(ws, known.rows(ws)) for ws in found]
+
+    def give_back(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each word's ids, one at least, decode to it. Words without byte pieces are compared together."""
+        begin = np.cumsum(size) - size
+        odd = np.logical_or.reduceat(self.is_byte[ids], begin)
+        odd |= np.add.reduceat(self.chars[ids], begin) != np.fromiter(map(len, words), np.int64, len(words))
+        if "".join(map(self.names.__getitem__, ids[np.repeat(~odd, size)].tolist())) != "".join([w for w, x in zip(words, odd.tolist()) if not x]):
+            odd[:] = True
+        out = ~odd
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.decoded(ids[begin[i] : begin[i] + size[i]].tolist()) == words[i]
+        return out
 
     def solve_long(self, word: str) -> tuple[float, bytes, float]:
         solved = [self.solve(p) for p in self.cut(word)]
@@ -357,10 +453,8 @@ class PieceModel:
         return "".join([*out, held.decode("utf-8", "surrogatepass")])
 
     def encode(self, text: str | None) -> list[int]:
-        out = array("i")
-        for w in self.words_of(self.normal(text or "")):
-            out.frombytes(w[1])
-        return out.tolist()
+        [(_, rows)] = self.rows_of_all([self.normal(text or "")])
+        return self.words.path(rows, 0)[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = self.decoded(ids).replace(SPACE, " ")
@@ -368,33 +462,32 @@ class PieceModel:
 
     def n_best_of(self, text: str | None, with_ids: bool = True) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a whole text."""
-        return self._n_best(self.words_of(self.normal(text or "")), with_ids)
-
-    def near_best(self, words: list[tuple]):
-        """The words that can differ in the N best, the N best of each, the score of all others, and the N best sums as
-        (score of those words, which of the N best of each)."""
-        near = sorted(heapq.nsmallest(self.n_best - 1, range(len(words)), key=list(map(itemgetter(4), words)).__getitem__))
-        lists = [self.n_best_word(words[i][0]) for i in near]
-        base = sum(map(itemgetter(3), words)) - sum(words[i][3] for i in near)
-        return near, lists, base, self.add_up([[(s, [j]) for j, (s, _) in enumerate(x)] for x in lists])
-
-    def _n_best(self, words: list[tuple], with_ids: bool) -> list[tuple[float, list[int]]]:
-        # other than by their best, only the words with the smallest steps can take part
-        near, lists, base, picked = self.near_best(words)
+        [(words, rows)] = self.rows_of_all([self.normal(text or "")])
+        near, lists, base, picked = self.near_best(words, rows)
         if not with_ids:
             return [(base + s, []) for s, _ in picked]
+        ids, size = self.words.path(rows, 1)
+        end = np.cumsum(size)
         out = []
         for s, chosen in picked:
-            ids = array("i")
-            own = {i: x[j][1] for i, x, j in zip(near, lists, chosen)}
-            for i, w in enumerate(words):
-                if i in own:
-                    ids.extend(own[i])
-                else:
-                    ids.frombytes(w[2])
-            out.append((base + s, ids.tolist()))
+            own, at = [], 0
+            for i, x, j in zip(near, lists, chosen):
+                own += [*ids[at : end[i] - size[i]].tolist(), *x[j][1]]
+                at = end[i]
+            out.append((base + s, own + ids[at:].tolist()))
         return out
 
+    def near_best(self, words: list[str], rows: np.ndarray):
+        """The words that can differ in the N best, the N best of each, the score of all others, and the N best sums as
+        (score of those words, which of the N best of each). Other than by their best, only the words with the smallest steps
+        can take part, of equal ones the first."""
+        score, step, most = self.words.score.all[rows].tolist(), self.words.step.all[rows], self.n_best - 1
+        least = np.flatnonzero(step <= np.partition(step, most - 1)[most - 1]) if len(step) > most > 0 else np.arange(len(step))
+        near = sorted(least[np.argsort(step[least], kind="stable")[:most]].tolist())
+        lists = [self.n_best_word(words[i]) for i in near]
+        base = sum(score) - sum(score[i] for i in near)
+        return near, lists, base, self.add_up([[(s, [j]) for j, (s, _) in enumerate(x)] for x in lists])
+
 
 @lru_cache(1)
 def model_of(path: str, n_best: int) -> PieceModel:
@@ -402,34 +495,33 @@ def model_of(path: str, n_best: int) -> PieceModel:
     return PieceModel(path, n_best)
 
 
-def encode_documents(docs: DataFrame, path: str, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, carry: tuple[str, ...] = (), room: int = CACHE) -> DataFrame:
     """One row a document: its id, n_pieces and ids_sha256 of the library's encoding, best_pieces, best_sha256 and best_score of
     the best path, n_best_scores and n_best_pieces (how many each of the N best has), and decoded, whether the library's ids
-    give the text back; ids and the columns in `carry` where asked for. No shuffle."""
+    give the text back; ids and the columns in `carry` where asked for. A task keeps at most twice `room` words. No shuffle."""
     names = ("n_pieces", "ids_sha256", "best_pieces", "best_sha256", "best_score", "n_best_scores", "n_best_pieces", "decoded", "ids")
 
     def make():
-        model = model_of(path, n_best).fresh()
+        model = model_of(path, n_best).fresh(room)
 
         def step(batch):
             out: dict[str, list] = {n: [] for n in names}
             texts = [model.normal(t or "") for t in batch["text"]]
-            for at in range(0, len(texts), AT_ONCE):
-                for words in model.words_of_all(texts[at : at + AT_ONCE]):
-                    raw = b"".join(map(itemgetter(1), words))
-                    best = b"".join(map(itemgetter(2), words))
-                    near, lists, base, picked = model.near_best(words)
-                    rest = len(best) // 4 - sum(len(words[i][2]) // 4 for i in near)
-                    out["n_pieces"].append(len(raw) // 4)
-                    out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-                    out["best_pieces"].append(len(best) // 4)
-                    out["best_sha256"].append(hashlib.sha256(best).hexdigest())
+            for some in bounded(texts, AT_ONCE, AT_ONCE_CHARS):
+                for words, rows in model.rows_of_all(some):
+                    (raw, _), (best, size) = model.words.path(rows, 0), model.words.path(rows, 1)
+                    near, lists, base, picked = model.near_best(words, rows)
+                    rest = len(best) - int(size[near].sum())
+                    out["n_pieces"].append(len(raw))
+                    out["ids_sha256"].append(hashlib.sha256(raw.tobytes()).hexdigest())
+                    out["best_pieces"].append(len(best))
+                    out["best_sha256"].append(hashlib.sha256(best.tobytes()).hexdigest())
                     out["best_score"].append(base + picked[0][0])
                     out["n_best_scores"].append([base + s for s, _ in picked])
                     out["n_best_pieces"].append([rest + sum(len(x[j][1]) for x, j in zip(lists, chosen)) for _, chosen in picked])
-                    out["decoded"].append(all(map(itemgetter(5), words)))
+                    out["decoded"].append(bool(model.words.decodes.all[rows].all()))
                     if with_ids:
-                        out["ids"].append(np.frombuffer(raw, np.int32))
+                        out["ids"].append(raw)
             return out | {"id": batch["id"]} | {f"carry_{c}": batch[f"carry_{c}"] for c in carry}
 
         return step
